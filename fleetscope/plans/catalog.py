@@ -35,11 +35,14 @@ def register(name: str, sql: str | None):
 
 
 def finalize(df: DataFrame) -> DataFrame:
-    """Present instants as zone-less timestamps (the driver's parquet type)."""
+    """Present instants as zone-less timestamps (the driver's parquet type)
+    and integral columns as 64-bit, the types the SQL twin produces."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.TimestampType):
             cols.append(F.col(f.name).cast("timestamp_ntz").alias(f.name))
+        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
+            cols.append(F.col(f.name).cast("long").alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

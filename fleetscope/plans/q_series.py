@@ -195,8 +195,8 @@ SELECT server_id, metric_name, ts, value AS raw_value,
        AS rate_of_change,
   sin(2 * pi() * (hour(ts) + minute(ts) / 60.0 + second(ts) / 3600.0) / 24) AS hour_sin,
   cos(2 * pi() * (hour(ts) + minute(ts) / 60.0 + second(ts) / 3600.0) / 24) AS hour_cos,
-  CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week,
-  CAST(isodow(ts) >= 6 AS INTEGER) AS is_weekend
+  CAST(isodow(ts) - 1 AS BIGINT) AS day_of_week,
+  CAST(isodow(ts) >= 6 AS BIGINT) AS is_weekend
 FROM metrics_fast
 WINDOW w AS (PARTITION BY server_id, metric_name ORDER BY epoch_us(ts)
              RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW),
