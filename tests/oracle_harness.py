@@ -75,7 +75,7 @@ def main(argv: list[str]) -> int:
     import __spark_entry__ as E
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     only = argv[2:] if len(argv) > 2 else None
-    spark = build_session("local[8]", 8)
+    spark = build_session("local[8]", 8, extra={"spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     qs, sq = E.queries(), E.oracle_sql()
