@@ -22,8 +22,14 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NaT:
         return "<null>"
+    if not isinstance(v, (list, tuple, str)) and not hasattr(v, "tolist"):
+        try:
+            if pd.isna(v):
+                return "<null>"
+        except (TypeError, ValueError):
+            pass
     if isinstance(v, float):
         if math.isnan(v):
             return "<null>"
