@@ -130,3 +130,10 @@ def p12(spark, d):
     ev = B.alert_events(spark, d).filter(F.col("triggered_at") >= F.to_timestamp(F.lit("2024-01-30 00:00:00")))
     return ev.groupBy("server_id").agg(F.count(F.lit(1)).alias("events_24h"),
                                        F.count_if(F.col("state") == "FIRING").alias("firing_24h"))
+
+
+@register("R3_R4_alert_replay", None)
+def r3(spark, d):
+    from fleetscope.operators import alert_replay as R
+    ticks = R.breach_ticks(B.alert_rules(spark, d), B.metrics_fast(spark, d), scores(spark, d), AS_OF_FAST_TS)
+    return R.replay(ticks)

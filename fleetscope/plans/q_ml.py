@@ -1 +1,46 @@
-"""Registered queries."""
+"""Registered model queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fleetscope.operators import features
+from fleetscope.operators.anomaly import iforest
+from fleetscope.plans.catalog import register
+from fleetscope.sources import bindings as B
+
+# the driver tables hold ~400 rows per series at sf0.01, below the default 500
+MIN_SAMPLES = 200
+N_TREES = 25
+
+
+def feats(spark, d):
+    return features.compute_features(B.metrics_fast(spark, d))
+
+
+@register("A23_training_gate", f"""
+SELECT server_id, metric_name, count(*) AS n FROM metrics_fast GROUP BY ALL HAVING count(*) >= {MIN_SAMPLES}""")
+def a23(spark, d):
+    return iforest.eligible(feats(spark, d), MIN_SAMPLES)
+
+
+@register("M2_M4_model_registry", f"""
+SELECT server_id, metric_name, 'v2' AS version, CAST({N_TREES} AS BIGINT) AS n_trees
+FROM metrics_fast GROUP BY ALL HAVING count(*) >= {MIN_SAMPLES}""")
+def m2(spark, d):
+    trees = iforest.train(feats(spark, d), MIN_SAMPLES, N_TREES, version="v1")
+    published = trees.unionByName(trees.withColumn("version", F.lit("v2")))
+    latest = iforest.latest_models(published)
+    return latest.groupBy("server_id", "metric_name", "version").agg(F.count(F.lit(1)).alias("n_trees"))
+
+
+@register("M3_F22_iforest_scores", None)
+def m3(spark, d):
+    return iforest.fit_and_score(feats(spark, d), MIN_SAMPLES, N_TREES)
+
+
+@register("A22_model_bounds", None)
+def a22(spark, d):
+    f = feats(spark, d)
+    trees = iforest.train(f, MIN_SAMPLES, N_TREES)
+    return iforest.bounds(iforest.raw_scores(f, trees))
