@@ -116,7 +116,8 @@ def _train_group(n_trees: int, sample_size: int, seed: int):
 
 def _score_group(keys, feats: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
     if feats.empty or trees.empty:
-        return pd.DataFrame({"server_id": [], "metric_name": [], "ts": [], "raw": []})
+        return pd.DataFrame({"server_id": pd.Series([], dtype=object), "metric_name": pd.Series([], dtype=object),
+                             "ts": pd.Series([], dtype="datetime64[us]"), "raw": pd.Series([], dtype=float)})
     x = feats[FEATURES].to_numpy(dtype=np.float64)
     total = np.zeros(len(x))
     for t in trees.itertuples(index=False):
