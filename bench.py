@@ -16,19 +16,19 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "H1_health_snapshot",
-    "H5_A16_A17_A18_T6_T7_F25_fleet_overview",
-    "M1_feature_table",
+    "H1_J10_F8_F9_P9_health_snapshot",
+    "H5_J7_A16_A17_A18_T6_T7_F25_fleet_overview",
+    "M1_W1_W2_W3_F5_F6_feature_table",
     "R2_incremental_features",
-    "J1_H6_overlay_nearest",
+    "J1_P13_H6_overlay_nearest",
     "W7_counter_rate",
     "A5_A6_T3_ssh_stats",
-    "A7_T5_attackers_top20",
+    "A7_T5_F19_attackers_top20",
     "H3_F17_threat_summary",
-    "F1_H2_ssh_events_last200",
-    "H4_F10_F20_rule_report",
+    "F1_H2_T1_ssh_events_last200",
+    "H4_F10_F20_J2_J3_rule_report",
     "T1_log_history_200",
-    "S2_parse_metric_json",
+    "S1_S2_parse_metric_json",
     "F4_F24_document_line_severity",
     "A14_scores_dedup",
     "M3_F22_iforest_scores",

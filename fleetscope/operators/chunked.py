@@ -78,6 +78,23 @@ def with_previous(df: DataFrame, keys: list[str], ts: str, cols: list[str],
     return x.drop("_us", "_chunk", "_rn", "_carry")
 
 
+def row_index(df: DataFrame, keys: list[str], ts: str, tiebreak: list[str] | None = None,
+              out: str = "idx", chunk_us: int = DAY_US) -> DataFrame:
+    """0-based position of every row in its series (``ts`` order, then
+    ``tiebreak``): row number inside the chunk plus the row count of all
+    earlier chunks."""
+    us = _us(ts)
+    x = df.withColumn("_us", us).withColumn("_chunk", idiv(us, chunk_us))
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_us", *(tiebreak or []))
+    x = x.withColumn("_rn", F.row_number().over(w) - 1)
+    cnt = x.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    ws = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    off = cnt.withColumn("_off", F.coalesce(F.sum("_n").over(ws), F.lit(0))).drop("_n")
+    return (x.join(off, on=[*keys, "_chunk"], how="left")
+            .withColumn(out, (F.col("_rn") + F.col("_off")).cast("long"))
+            .drop("_us", "_chunk", "_rn", "_off"))
+
+
 def running_sum(df: DataFrame, keys: list[str], ts: str, value: str, out: str,
                 chunk_us: int = DAY_US) -> DataFrame:
     """Cumulative sum of ``value`` per series in ``ts`` order (ties summed

@@ -62,7 +62,7 @@ report AS (
        LEFT JOIN firing f USING (server_id, rule_id))"""
 
 
-@register("H4_F10_F20_rule_report", _REPORT + "\nSELECT * FROM report")
+@register("H4_F10_F20_J2_J3_rule_report", _REPORT + "\nSELECT * FROM report")
 def h4(spark, d):
     return A.rule_report(B.alert_rules(spark, d), B.alert_events(spark, d), B.metrics_fast(spark, d),
                          AS_OF_TS, AS_OF_FAST_TS)

@@ -96,7 +96,7 @@ def snapshot(spark, d):
                               B.heartbeats(spark, d), AS_OF_FAST_TS, AS_OF_TS)
 
 
-@register("H1_health_snapshot", _SNAPSHOT + f"\nSELECT {', '.join(_H1_COLS)} FROM snapshot")
+@register("H1_J10_F8_F9_P9_health_snapshot", _SNAPSHOT + f"\nSELECT {', '.join(_H1_COLS)} FROM snapshot")
 def h1(spark, d):
     s = snapshot(spark, d)
     for short in ("cpu", "mem", "disk"):
@@ -109,7 +109,7 @@ def f7(spark, d):
     return FL.server_status(B.heartbeats(spark, d), AS_OF_FAST_TS)
 
 
-@register("P9_critical_services", """
+@register("P9_critical_services_list", """
 SELECT server_id, 'sshd:true,nginx:' || CASE WHEN nginx_status = 'active' THEN 'true' ELSE 'false' END
        || ',python3:false,node:false' AS services FROM heartbeats""")
 def p9(spark, d):
@@ -149,7 +149,7 @@ def f13(spark, d):
                     FL.rising_flag("disk_trend", "disk_value", "disk_baseline").alias("disk_flag"))
 
 
-@register("H5_A16_A17_A18_T6_T7_F25_fleet_overview", _SNAPSHOT + _STATUS.replace("\n, status", ",\nstatus", 1) + f""",
+@register("H5_J7_A16_A17_A18_T6_T7_F25_fleet_overview", _SNAPSHOT + _STATUS.replace("\n, status", ",\nstatus", 1) + f""",
 fleet AS (SELECT st.server_id, st.status, coalesce(sn.state, 'quiet') AS state, sn.cpu_value, sn.anomalies6h
           FROM status st LEFT JOIN snapshot sn USING (server_id)),
 agg AS (SELECT count(*) FILTER (WHERE state = 'critical') AS critical,

@@ -44,7 +44,7 @@ parsed AS (SELECT event_id,
   FROM pl)"""
 
 
-@register("S2_parse_metric_json", _PAYLOAD_SQL + """
+@register("S1_S2_parse_metric_json", _PAYLOAD_SQL + """
 SELECT server_id, metric_name, value, ts FROM parsed
 WHERE server_id IS NOT NULL AND metric_name IS NOT NULL AND value IS NOT NULL AND ts IS NOT NULL""")
 def s2(spark, d):
@@ -162,3 +162,15 @@ SELECT server_id, metric_name, ts, value FROM (
 def s17(spark, d):
     return I.newest_per_stream(B.metrics(spark, d), ["server_id"], "ts", 1000).select(
         "server_id", "metric_name", "ts", "value")
+
+
+@register("S3_F24_parse_log_events", """
+SELECT server_id, log_file, ts, line FROM logs WHERE seq % 53 <> 0""")
+def s3(spark, d):
+    lg = B.logs(spark, d)
+    raw = lg.select(
+        "server_id", "log_file",
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+        F.when(F.col("seq") % 53 == 0, F.lit(""))
+        .when(F.col("seq") % 4 == 0, F.concat("line", F.lit("\r\n"))).otherwise(F.col("line")).alias("line"))
+    return I.parse_logs(raw)

@@ -78,7 +78,7 @@ def u1(spark, d):
             .select("server_id", "log_file", "ts", "line"))
 
 
-@register("S18_log_export_lines", """
+@register("S18_F11_log_export_lines", """
 SELECT server_id, log_file, ts,
        '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z] [' || log_file || '] ' || line AS value
 FROM logs""")

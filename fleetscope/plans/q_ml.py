@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetscope.operators import features
 from fleetscope.operators.anomaly import iforest
 from fleetscope.plans.catalog import register
+from fleetscope.plans.q_series import _FEATURES_SQL
 from fleetscope.sources import bindings as B
 
 # the driver tables hold ~400 rows per series at sf0.01, below the default 500
@@ -44,3 +45,33 @@ def a22(spark, d):
     f = feats(spark, d)
     trees = iforest.train(f, MIN_SAMPLES, N_TREES)
     return iforest.bounds(iforest.raw_scores(f, trees))
+
+
+@register("R5_online_hst_scores", None)
+def r5(spark, d):
+    from fleetscope.operators.anomaly import hst
+    return hst.online_scores(B.metrics_fast(spark, d))
+
+
+@register("R5_hst_window_index", """
+SELECT server_id, metric_name, (rn - 1) // 250 AS win, count(*) AS n FROM (
+  SELECT server_id, metric_name, row_number() OVER (PARTITION BY server_id, metric_name ORDER BY ts, value) AS rn
+  FROM metrics_fast) GROUP BY ALL""")
+def r5_windows(spark, d):
+    from fleetscope.operators.chunked import row_index
+    x = row_index(B.metrics_fast(spark, d), ["server_id", "metric_name"], "ts", ["value"], chunk_us=3_600_000_000)
+    return (x.groupBy("server_id", "metric_name", (F.col("idx") / 250).cast("long").alias("win"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("S14_training_scan", f"""
+, ff AS ({_FEATURES_SQL}),
+el AS (SELECT server_id, metric_name FROM metrics_fast GROUP BY ALL HAVING count(*) >= {MIN_SAMPLES})
+SELECT server_id, metric_name, ts, rolling_mean_5m, rolling_std_5m, rate_of_change, hour_sin, hour_cos,
+       day_of_week, is_weekend
+FROM ff JOIN el USING (server_id, metric_name)""")
+def s14(spark, d):
+    f = feats(spark, d)
+    return f.join(iforest.eligible(f, MIN_SAMPLES).select("server_id", "metric_name"),
+                  ["server_id", "metric_name"], "left_semi").select(
+        "server_id", "metric_name", "ts", *iforest.FEATURES)

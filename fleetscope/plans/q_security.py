@@ -51,7 +51,7 @@ def a5(spark, d):
     return S.ssh_stats(B.logs(spark, d), AS_OF_TS)
 
 
-@register("A7_T5_attackers_top20", _F24 + f""",
+@register("A7_T5_F19_attackers_top20", _F24 + f""",
 g AS (SELECT server_id, ip, count(*) AS attempts, max(ts) AS last_seen,
              string_agg(DISTINCT u, ',' ORDER BY u) FILTER (WHERE u IS NOT NULL AND u <> '') AS users
       FROM f WHERE ip <> '' GROUP BY server_id, ip),
@@ -86,7 +86,7 @@ bl AS (SELECT s.server_id, coalesce(avg(n), 0.0) AS avg_daily
        FROM (SELECT DISTINCT server_id FROM logs) s LEFT JOIN daily USING (server_id) GROUP BY s.server_id)"""
 
 
-@register("A9_ssh_baseline_7d", _BASE + "\nSELECT server_id, avg_daily FROM bl")
+@register("A9_W10_ssh_baseline_7d", _BASE + "\nSELECT server_id, avg_daily FROM bl")
 def a9(spark, d):
     return S.ssh_baseline(B.logs(spark, d), AS_OF_TS)
 
@@ -134,7 +134,7 @@ _CLASSIFY = " ".join(
     for pat, typ, act, res in auth.CLASSES)
 
 
-@register("F1_H2_ssh_events_last200", f"""
+@register("F1_H2_T1_ssh_events_last200", f"""
 , tail AS (SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY server_id, log_file ORDER BY ts DESC, seq DESC) AS rn
     FROM logs WHERE log_file = 'auth.log') WHERE rn <= 200),

@@ -171,7 +171,7 @@ def w7(spark, d):
     return series.counter_rate(B.counters(spark, d))
 
 
-@register("J1_H6_overlay_nearest", f"""
+@register("J1_P13_H6_overlay_nearest", f"""
 , v AS (SELECT server_id, metric_name, ts, value FROM metrics_fast WHERE ts >= {AS_OF_FAST} - INTERVAL 30 MINUTE),
 s AS (SELECT server_id, metric_name, ts, score FROM scores
       WHERE ts >= {AS_OF_FAST} - INTERVAL 30 MINUTE AND score >= 0.5),
@@ -203,7 +203,7 @@ WINDOW w AS (PARTITION BY server_id, metric_name ORDER BY epoch_us(ts)
        o AS (PARTITION BY server_id, metric_name ORDER BY ts)"""
 
 
-@register("M1_feature_table", _FEATURES_SQL)
+@register("M1_W1_W2_W3_F5_F6_feature_table", _FEATURES_SQL)
 def m1(spark, d):
     return features.compute_features(B.metrics_fast(spark, d))
 

@@ -52,3 +52,17 @@ def test_presence_transitions(spark):
     q.stop()
     rows = {(r.server_id, r.status) for r in spark.sql("SELECT * FROM presence_t").collect()}
     assert ("a", "online") in rows and ("b", "online") in rows
+
+
+def test_live_tail_delivers_every_row(spark):
+    from fleetscope.sources import bindings as B
+    d = tempfile.mkdtemp(prefix="fs-tail-")
+    lg = B.logs(spark, SMALL).select("server_id", "log_file", "ts", "line")
+    lg.write.parquet(os.path.join(d, "logs"))
+    s = spark.readStream.schema(lg.schema).parquet(os.path.join(d, "logs"))
+    q = (jobs.live_tail(s, "srv-1", "auth.log").writeStream.format("memory").queryName("tail_t")
+         .option("checkpointLocation", os.path.join(d, "ck")).trigger(processingTime="1 second").start())
+    q.processAllAvailable()
+    q.stop()
+    got = spark.sql("SELECT count(*) AS n FROM tail_t").first().n
+    assert got == lg.filter("server_id = 'srv-1' AND log_file = 'auth.log'").count()
