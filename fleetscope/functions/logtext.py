@@ -25,9 +25,11 @@ def _c(x: Column | str) -> Column:
 def severity(line: Column | str = "line") -> Column:
     """severity class of a log line (upper-cased, word-bounded)."""
     u = F.upper(_c(line))
-    out = None
+    # one combined test first: most lines hold no keyword and skip the chain
+    any_kw = "|".join(f"(?:{pat})" for _, pat in SEVERITY_CLASSES)
+    out = F.when(~u.rlike(any_kw), F.lit("other"))
     for name, pat in SEVERITY_CLASSES:
-        out = F.when(u.rlike(pat), F.lit(name)) if out is None else out.when(u.rlike(pat), F.lit(name))
+        out = out.when(u.rlike(pat), F.lit(name))
     return out.otherwise(F.lit("other"))
 
 

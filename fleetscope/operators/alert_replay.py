@@ -23,11 +23,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.operators import alerts as A
-from fleetscope.operators.chunked import running_sum
+from fleetscope.operators.chunked import first_at_or_after, running_sum
 from fleetscope.operators.series import ts_lit
 from fleetscope.session import cut_lineage
 from fleetscope.sources.bindings import idiv
@@ -89,7 +89,6 @@ def breach_ticks(rules: DataFrame, metrics: DataFrame, scores: DataFrame | None,
 def replay(ticks: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """FIRING / RESOLVED events of the state machine over ``breach_ticks``."""
     t = ticks.withColumn("_ts", F.timestamp_micros("tick_us"))
-    w = Window.partitionBy(*RULE).orderBy("tick_us")
     # islands: a new run starts where the flag changes (lag per (rule, day) is
     # enough inside a chunk; the chunk edge uses the previous tick's flag)
     from fleetscope.operators.chunked import with_previous
@@ -101,29 +100,27 @@ def replay(ticks: DataFrame, max_rounds: int | None = None) -> DataFrame:
     runs = t.groupBy(*RULE, "run").agg(F.first("breached").alias("breached"),
                                        F.min("tick_us").alias("start_us"), F.max("tick_us").alias("end_us"),
                                        F.first("cooldown_us").alias("cooldown_us"))
-    wr = Window.partitionBy(*RULE).orderBy("run")
-    runs = runs.withColumn("resolve_us", F.lead("start_us").over(wr))   # first tick after the run
+    # runs are numbered 1, 2, ... per rule: the tick that ends run r is the
+    # start of run r + 1 (an equi-join, no per-rule window)
+    succ = runs.select(*RULE, (F.col("run") - 1).alias("run"), F.col("start_us").alias("resolve_us"))
+    runs = runs.join(succ, [*RULE, "run"], "left")
     b = runs.filter("breached").withColumn("target_us", F.col("resolve_us") + F.col("cooldown_us"))
     b = cut_lineage(b)
 
-    # next(i): first breached run ending at or after target_i (runs are
-    # ordered, so "ends at or after" is an as-of lookup over run ends)
-    ends = b.select(*RULE, F.col("end_us").alias("_t"), F.lit(1).alias("_side"), F.col("run").alias("_j"),
-                    F.lit(None).cast("long").alias("_i"))
-    tgts = (b.filter(F.col("target_us").isNotNull())
-            .select(*RULE, F.col("target_us").alias("_t"), F.lit(0).alias("_side"),
-                    F.lit(None).cast("long").alias("_j"), F.col("run").alias("_i")))
-    wu = Window.partitionBy(*RULE).orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
-    nxt = (ends.unionByName(tgts).withColumn("_nj", F.first("_j", ignorenulls=True).over(wu))
-           .filter((F.col("_side") == 0) & F.col("_nj").isNotNull())
-           .select(*RULE, F.col("_i").alias("i"), F.col("_nj").alias("j")))
+    # next(i): first breached run ending at or after target_i (run ends are
+    # increasing, so this is an as-of lookup, chunked by time)
+    tg = b.filter(F.col("target_us").isNotNull()).select(*RULE, F.col("run").alias("i"),
+                                                          F.col("target_us").alias("_t"))
+    ends = b.select(*RULE, F.col("end_us").alias("_t"), F.col("run").alias("_j"))
+    nxt = (first_at_or_after(tg, ends, RULE, "_t", "_j", "j").filter(F.col("j").isNotNull())
+           .select(*RULE, "i", "j"))
     nxt = cut_lineage(nxt)
 
     first = b.groupBy(*RULE).agg(F.min("run").alias("i"))
     n_max = b.groupBy(*RULE).count().agg(F.max("count")).first()[0] or 1
     rounds = max_rounds if max_rounds is not None else max(1, math.ceil(math.log2(n_max + 1)))
     jumps = [nxt]
-    for _ in range(rounds):
+    for r in range(rounds):
         j = jumps[-1]
         comp = (j.alias("a").join(j.alias("b"), (F.col("a.server_id") == F.col("b.server_id"))
                                   & (F.col("a.rule_id") == F.col("b.rule_id")) & (F.col("a.j") == F.col("b.i")))
@@ -131,9 +128,11 @@ def replay(ticks: DataFrame, max_rounds: int | None = None) -> DataFrame:
                         F.col("a.i").alias("i"), F.col("b.j").alias("j")))
         jumps.append(cut_lineage(comp))
     path = first
-    for j in reversed(jumps):
+    for k, j in enumerate(reversed(jumps)):
         step = path.join(j, [*RULE, "i"], "inner").select(*RULE, F.col("j").alias("i"))
-        path = cut_lineage(path.unionByName(step).distinct())
+        path = path.unionByName(step).distinct()
+        if k % 3 == 2:      # bound the plan depth; jump tables are already cut
+            path = cut_lineage(path)
     path = path.withColumnRenamed("i", "run")
 
     # fire tick: first run -> its start; later runs -> first tick >= target of

@@ -100,7 +100,7 @@ def with_time_features(metrics: DataFrame) -> DataFrame:
 
 
 def online_scores(metrics: DataFrame, n_trees: int = N_TREES, height: int = HEIGHT, window: int = WINDOW,
-                  seed: int = SEED, scale: str = "none", chunk_us: int = DAY_US) -> DataFrame:
+                  seed: int = SEED, scale: str = "none", chunk_us: int | None = None) -> DataFrame:
     """R5 replay: (server_id, metric_name, ts, score) for every sample.
 
     ``scale='none'`` feeds raw values with the default (0, 1) workspace, as

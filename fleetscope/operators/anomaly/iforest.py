@@ -183,9 +183,16 @@ def normalise(raw: DataFrame, b: DataFrame) -> DataFrame:
 
 def fit_and_score(features: DataFrame, min_samples: int = MIN_SAMPLES, n_trees: int = N_TREES,
                   sample_size: int = SAMPLE_SIZE, seed: int = SEED, version: str = "v1") -> DataFrame:
-    """M2 + M3 + A22 + F22: normalised scores of the training rows."""
-    trees = train(features, min_samples, n_trees, sample_size, seed, version)
+    """M2 + M3 + A22 + F22: normalised scores of the training rows.
+
+    The feature rows and the raw scores are each used by several branches
+    (gate, sample, scoring; bounds and normalisation), so both are written
+    once to the shared checkpoint folder instead of being recomputed."""
+    from fleetscope.session import cut_lineage
+    features = cut_lineage(features)
+    trees = cut_lineage(train(features, min_samples, n_trees, sample_size, seed, version))
     raw = raw_scores(features.join(eligible(features, min_samples).select(*KEY), KEY, "left_semi"), trees)
+    raw = cut_lineage(raw)
     return normalise(raw, bounds(raw)).withColumn("model_version", F.lit(version))
 
 

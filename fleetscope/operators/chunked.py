@@ -22,6 +22,20 @@ from pyspark.sql import functions as F
 from fleetscope.sources.bindings import idiv
 
 DAY_US = 86_400_000_000
+CHUNK_CONF = "fleetscope.chunk.seconds"
+
+
+def chunk_size(chunk_us: int | None) -> int:
+    """Chunk length in microseconds: the argument, else the session setting
+    ``fleetscope.chunk.seconds`` (default one day).  Choose it so that one
+    chunk of the densest series fits a task (e.g. 300 s for a series that
+    lands gigabytes per day); results do not depend on it."""
+    if chunk_us:
+        return int(chunk_us)
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    secs = spark.conf.get(CHUNK_CONF, None) if spark is not None else None
+    return int(float(secs) * 1_000_000) if secs else DAY_US
 
 
 def _us(ts: str) -> Column:
@@ -29,10 +43,11 @@ def _us(ts: str) -> Column:
 
 
 def rolling_stats(df: DataFrame, keys: list[str], ts: str, value: str, window_us: int,
-                  chunk_us: int = DAY_US, prefix: str = "roll") -> DataFrame:
+                  chunk_us: int | None = None, prefix: str = "roll") -> DataFrame:
     """Mean, sample std and count of ``value`` over the half-open frame
     (t - window, t] per series; adds ``{prefix}_mean``, ``{prefix}_std``,
     ``{prefix}_n``.  ``window_us`` must not exceed ``chunk_us``."""
+    chunk_us = chunk_size(chunk_us)
     if window_us > chunk_us:
         raise ValueError("rolling window longer than the chunk")
     us = _us(ts)
@@ -52,9 +67,10 @@ def rolling_stats(df: DataFrame, keys: list[str], ts: str, value: str, window_us
 
 
 def with_previous(df: DataFrame, keys: list[str], ts: str, cols: list[str],
-                  chunk_us: int = DAY_US, prefix: str = "prev_") -> DataFrame:
+                  chunk_us: int | None = None, prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<ts>`` and ``prev_<col>`` = the previous row of the series
     (by ``ts``), also when it lies in an earlier chunk."""
+    chunk_us = chunk_size(chunk_us)
     us = _us(ts)
     x = df.withColumn("_us", us).withColumn("_chunk", idiv(us, chunk_us))
     w = Window.partitionBy(*keys, "_chunk").orderBy("_us")
@@ -79,10 +95,11 @@ def with_previous(df: DataFrame, keys: list[str], ts: str, cols: list[str],
 
 
 def row_index(df: DataFrame, keys: list[str], ts: str, tiebreak: list[str] | None = None,
-              out: str = "idx", chunk_us: int = DAY_US) -> DataFrame:
+              out: str = "idx", chunk_us: int | None = None) -> DataFrame:
     """0-based position of every row in its series (``ts`` order, then
     ``tiebreak``): row number inside the chunk plus the row count of all
     earlier chunks."""
+    chunk_us = chunk_size(chunk_us)
     us = _us(ts)
     x = df.withColumn("_us", us).withColumn("_chunk", idiv(us, chunk_us))
     w = Window.partitionBy(*keys, "_chunk").orderBy("_us", *(tiebreak or []))
@@ -96,9 +113,10 @@ def row_index(df: DataFrame, keys: list[str], ts: str, tiebreak: list[str] | Non
 
 
 def running_sum(df: DataFrame, keys: list[str], ts: str, value: str, out: str,
-                chunk_us: int = DAY_US) -> DataFrame:
+                chunk_us: int | None = None) -> DataFrame:
     """Cumulative sum of ``value`` per series in ``ts`` order (ties summed
     together, as a RANGE frame does)."""
+    chunk_us = chunk_size(chunk_us)
     us = _us(ts)
     x = df.withColumn("_us", us).withColumn("_chunk", idiv(us, chunk_us))
     w = (Window.partitionBy(*keys, "_chunk").orderBy("_us")
@@ -113,11 +131,12 @@ def running_sum(df: DataFrame, keys: list[str], ts: str, value: str, out: str,
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], ts: str, value: str,
-            out: str = "nearest_value", chunk_us: int = DAY_US) -> DataFrame:
+            out: str = "nearest_value", chunk_us: int | None = None) -> DataFrame:
     """As-of join in both directions: every ``left`` row gets the ``value`` of
     the ``right`` row of the same series nearest in time; equal distance goes
     to the earlier point, distance is unbounded.  No range self-join: both
     sides are unioned and scanned once per (series, chunk)."""
+    chunk_us = chunk_size(chunk_us)
     lcols = left.columns
     l_ = left.withColumn("_side", F.lit(1)).withColumn("_rv", F.lit(None).cast("double"))
     r_ = (right.select(*keys, ts, F.col(value).cast("double").alias("_rv"))
@@ -167,3 +186,35 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], ts: str, value:
             .when(db <= da, F.col("_b.v"))
             .otherwise(F.col("_a.v")))
     return res.withColumn(out, pick).select(*lcols, out)
+
+
+def first_at_or_after(left: DataFrame, right: DataFrame, keys: list[str], t: str, payload: str,
+                      out: str, chunk_us: int | None = None) -> DataFrame:
+    """For every ``left`` row: ``payload`` of the first ``right`` row of the
+    same key whose ``t`` (long microseconds) is >= the left row's ``t``;
+    NULL when there is none.  Scanned per (key, chunk) with a per-chunk
+    summary carrying the answer across chunks without right rows."""
+    chunk_us = chunk_size(chunk_us)
+    lcols = left.columns
+    l_ = left.select(*keys, F.col(t).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_v"),
+                     F.struct(*[F.col(c) for c in lcols]).alias("_row"))
+    r_ = right.select(*keys, F.col(t).alias("_t"), F.lit(0).alias("_side"), F.col(payload).cast("long").alias("_v"),
+                      F.lit(None).cast(l_.schema["_row"].dataType).alias("_row"))
+    u = l_.unionByName(r_).withColumn("_chunk", idiv(F.col("_t"), chunk_us))
+    # left rows sort before right rows at the same instant: "at" counts as after
+    w = (Window.partitionBy(*keys, "_chunk").orderBy("_t", F.col("_side").desc())
+         .rowsBetween(0, Window.unboundedFollowing))
+    u = u.withColumn("_a", F.first("_v", ignorenulls=True).over(w))
+    lhs = u.filter(F.col("_side") == 1)
+    have = lhs.filter(F.col("_a").isNotNull())
+    need = lhs.filter(F.col("_a").isNull())
+    summ = (u.filter(F.col("_side") == 0).groupBy(*keys, "_chunk")
+            .agg(F.min_by("_v", "_t").alias("_first")).withColumn("_mark", F.lit(False)))
+    marks = need.select(*keys, "_chunk").distinct().select(
+        *keys, "_chunk", F.lit(None).cast("long").alias("_first"), F.lit(True).alias("_mark"))
+    ws = Window.partitionBy(*keys).orderBy("_chunk").rangeBetween(1, Window.unboundedFollowing)
+    carry = (summ.unionByName(marks).withColumn("_ca", F.first("_first", ignorenulls=True).over(ws))
+             .filter("_mark").select(*keys, "_chunk", "_ca"))
+    need = need.join(carry, [*keys, "_chunk"], "left").withColumn("_a", F.col("_ca")).drop("_ca")
+    res = have.unionByName(need)
+    return res.select(*[F.col(f"_row.{c}").alias(c) for c in lcols], F.col("_a").alias(out))

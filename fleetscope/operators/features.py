@@ -23,7 +23,7 @@ FEATURE_COLUMNS = ["server_id", "metric_name", "ts", "raw_value", "rolling_mean_
 
 
 def compute_features(metrics: DataFrame, keys: list[str] | None = None,
-                     chunk_us: int = chunked.DAY_US) -> DataFrame:
+                     chunk_us: int | None = None) -> DataFrame:
     """M1: feature rows for every sample of every series.
 
     Rate of change is 0 for the first sample of a series and for samples that
@@ -50,7 +50,7 @@ def compute_features(metrics: DataFrame, keys: list[str] | None = None,
 
 def incremental_features(metrics: DataFrame, stored: DataFrame | None, as_of,
                          lookback_days: int = 30, buffer_minutes: int = 10,
-                         chunk_us: int = chunked.DAY_US) -> DataFrame:
+                         chunk_us: int | None = None) -> DataFrame:
     """R2: the rows the hourly job appends.
 
     Per series: with no stored features, start at as_of - 30 days; otherwise

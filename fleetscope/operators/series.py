@@ -172,7 +172,7 @@ def projection(current: Column | str, arr: Column | str, threshold: float = 90.0
 
 def counter_rate(counters: DataFrame, keys: list[str] | None = None, ts: str = "ts",
                  counter: str = "counter", out: str = "rate_per_sec",
-                 chunk_us: int = chunked.DAY_US) -> DataFrame:
+                 chunk_us: int | None = None) -> DataFrame:
     """Counter -> rate per device: (curr - prev) / elapsed seconds,
     clamped at 0; the first reading of a device yields no row."""
     keys = keys or ["server_id", "metric_name", "device"]
@@ -185,7 +185,7 @@ def counter_rate(counters: DataFrame, keys: list[str] | None = None, ts: str = "
 
 
 def overlay(values: DataFrame, scores: DataFrame, as_of, minutes: int = 30,
-            min_score: float = 0.5, red: float = 0.8, chunk_us: int = chunked.DAY_US) -> DataFrame:
+            min_score: float = 0.5, red: float = 0.8, chunk_us: int | None = None) -> DataFrame:
     """Anomaly points of the chart window with the value of
     the nearest sample (both directions, ties to the earlier sample) and an
     amber/red class."""

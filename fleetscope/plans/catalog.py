@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetscope.plans.oracle import AS_OF, AS_OF_FAST, with_views
+from fleetscope.session import configure
 from fleetscope.sources import bindings as B
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -26,6 +27,7 @@ AS_OF_FAST_TS = B.as_of_fast(B.AS_OF)
 def register(name: str, sql: str | None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            configure(spark)          # UTC instants and a checkpoint folder, whoever made the session
             return finalize(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__

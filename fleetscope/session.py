@@ -23,6 +23,8 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # per-key top-N filters up to the 2000-line log tail get a map-side group limit
+    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }
 
 
@@ -44,7 +46,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session (e.g. the driver's)."""
-    for k in ("spark.sql.session.timeZone",):
+    for k in ("spark.sql.session.timeZone", "spark.sql.optimizer.windowGroupLimitThreshold"):
         spark.conf.set(k, BASE_CONF[k])
     ensure_checkpoint_dir(spark)
     return spark

@@ -38,18 +38,24 @@ def parse_instant(s):
     return s.try_cast("timestamp")
 
 
+def _parse_once(raw: DataFrame, col: str, schema: str) -> DataFrame:
+    """``from_json`` evaluated once per record: the generator is a plan
+    barrier, so later references to the parsed fields do not re-run the
+    parser (or the expression that produced the text)."""
+    return raw.select(F.col(col).alias("raw"), *[c for c in raw.columns if c != col],
+                      F.inline_outer(F.array(F.from_json(F.col(col), schema))))
+
+
 def parse_metrics(raw: DataFrame, col: str = "data") -> tuple[DataFrame, DataFrame]:
     """JSON metric payloads -> (good rows, dead letters).
 
     value may be a JSON number or a numeric string; null/missing tags -> {}."""
-    p = raw.withColumn("_p", F.from_json(F.col(col), METRIC_PAYLOAD))
+    p = _parse_once(raw.select(col), col, METRIC_PAYLOAD)
     parsed = p.select(
-        F.col(col).alias("raw"),
-        F.col("_p.server_id").alias("server_id"),
-        F.col("_p.metric_name").alias("metric_name"),
-        F.col("_p.value").try_cast("double").alias("value"),
-        parse_instant(F.col("_p.timestamp")).alias("ts"),
-        F.coalesce(F.col("_p.tags"), F.create_map().cast("map<string,string>")).alias("tags"))
+        "raw", "server_id", "metric_name",
+        F.col("value").try_cast("double").alias("value"),
+        parse_instant(F.col("timestamp")).alias("ts"),
+        F.coalesce(F.col("tags"), F.create_map().cast("map<string,string>")).alias("tags"))
     reason = (F.when(F.col("server_id").isNull() & F.col("metric_name").isNull() & F.col("ts").isNull(),
                      F.lit("not a metric record"))
               .when(F.col("server_id").isNull(), F.lit("missing server_id"))
@@ -73,13 +79,13 @@ def parse_logs(raw: DataFrame) -> DataFrame:
 def parse_heartbeats(raw: DataFrame, col: str = "data") -> DataFrame:
     """Heartbeat payloads with defaults (agent_version 'unknown', empty
     watched_logs / inventory)."""
-    p = raw.withColumn("_p", F.from_json(F.col(col), HEARTBEAT_PAYLOAD))
+    p = _parse_once(raw, col, HEARTBEAT_PAYLOAD)
     out = p.select(
-        F.col("_p.server_id").alias("server_id"),
-        parse_instant(F.col("_p.timestamp")).alias("timestamp"),
-        F.coalesce(F.col("_p.agent_version"), F.lit("unknown")).alias("agent_version"),
-        F.coalesce(F.col("_p.watched_logs"), F.array().cast("array<string>")).alias("watched_logs"),
-        F.coalesce(F.col("_p.inventory"),
+        F.col("server_id"),
+        parse_instant(F.col("timestamp")).alias("timestamp"),
+        F.coalesce(F.col("agent_version"), F.lit("unknown")).alias("agent_version"),
+        F.coalesce(F.col("watched_logs"), F.array().cast("array<string>")).alias("watched_logs"),
+        F.coalesce(F.col("inventory"),
                    F.array().cast("array<struct<name:string,version:string,status:string,uptime_since:string>>"))
         .alias("inventory"),
         *[c for c in raw.columns if c != col])
