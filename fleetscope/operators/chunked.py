@@ -152,33 +152,23 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], ts: str, value:
     w = Window.partitionBy(*keys, "_chunk").orderBy("_us", "_side")
     u = (u.withColumn("_b", F.last(pt, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
          .withColumn("_a", F.first(pt, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))))
-    # chunk-level carry for left rows that found nothing inside their chunk:
-    # one summary row per (series, chunk holding right rows) plus one marker
-    # row per chunk that needs a carry, scanned per series (#chunks rows)
-    pt_of = F.struct(F.col("_us").alias("t"), F.col("_rv").alias("v"))
-    summ = (u.filter(F.col("_side") == 0).groupBy(*keys, "_chunk")
-            .agg(F.max_by(pt_of, "_us").alias("_last"), F.min_by(pt_of, "_us").alias("_first"))
-            .withColumn("_mark", F.lit(False)))
-    lhs = u.filter(F.col("_side") == 1)
-    need = lhs.filter(F.col("_b").isNull() | F.col("_a").isNull())
-    have = lhs.filter(F.col("_b").isNotNull() & F.col("_a").isNotNull())
-    null_pt = F.lit(None).cast(summ.schema["_last"].dataType)
-    marks = (need.select(*keys, "_chunk").distinct()
-             .select(*keys, "_chunk", null_pt.alias("_last"), null_pt.alias("_first"),
-                     F.lit(True).alias("_mark")))
+    # chunk-level carry: one summary row per (series, chunk) holding any row
+    # (its last / first right point, NULL when it has none), scanned per
+    # series (#chunks rows) for the nearest right point strictly before /
+    # after the chunk, and joined to every left row of the chunk.  The summary
+    # is a map-side partial aggregate; the data itself is shuffled once.
+    pt_of = F.when(F.col("_side") == 0, F.struct(F.col("_us").alias("t"), F.col("_rv").alias("v")))
+    pre = l_.unionByName(r_).withColumn("_us", us).withColumn("_chunk", idiv(us, chunk_us))
+    summ = pre.groupBy(*keys, "_chunk").agg(F.max(pt_of).alias("_last"), F.min(pt_of).alias("_first"))
     ws = Window.partitionBy(*keys).orderBy("_chunk")
-    carry = (summ.unionByName(marks)
-             .withColumn("_cb", F.last("_last", ignorenulls=True)
-                         .over(ws.rangeBetween(Window.unboundedPreceding, -1)))
+    carry = (summ.withColumn("_cb", F.last("_last", ignorenulls=True)
+                             .over(ws.rangeBetween(Window.unboundedPreceding, -1)))
              .withColumn("_ca", F.first("_first", ignorenulls=True)
                          .over(ws.rangeBetween(1, Window.unboundedFollowing)))
-             .filter("_mark")
              .select(*keys, "_chunk", "_cb", "_ca"))
-    need = (need.join(carry, on=[*keys, "_chunk"], how="left")
-            .withColumn("_b", F.coalesce("_b", "_cb"))
-            .withColumn("_a", F.coalesce("_a", "_ca"))
-            .drop("_cb", "_ca"))
-    res = have.unionByName(need)
+    res = (u.filter(F.col("_side") == 1).join(carry, [*keys, "_chunk"], "left")
+           .withColumn("_b", F.coalesce("_b", "_cb"))
+           .withColumn("_a", F.coalesce("_a", "_ca")))
     db = F.col("_us") - F.col("_b.t")
     da = F.col("_a.t") - F.col("_us")
     pick = (F.when(F.col("_b").isNull(), F.col("_a.v"))

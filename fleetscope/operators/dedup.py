@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def latest_version(df: DataFrame, keys: list[str], version: str | Column) -> DataFrame:
@@ -13,6 +14,11 @@ def latest_version(df: DataFrame, keys: list[str], version: str | Column) -> Dat
     is reduced before the shuffle (no sort of the whole key group)."""
     v = F.col(version) if isinstance(version, str) else version
     rest = [c for c in df.columns if c not in keys]
+    fixed = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+             T.TimestampType, T.TimestampNTZType, T.DateType)
+    if all(isinstance(df.schema[c].dataType, fixed) for c in rest):
+        # fixed-width buffers keep this a hash aggregate (no sort)
+        return df.groupBy(*keys).agg(*[F.max_by(c, v).alias(c) for c in rest]).select(*df.columns)
     packed = F.struct(*[F.col(c) for c in rest])
     return (df.groupBy(*keys).agg(F.max_by(packed, v).alias("_row"))
             .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.functions import timefeat
 from fleetscope.operators import chunked
 from fleetscope.operators.series import SERIES, to_dt, ts_lit
+from fleetscope.sources.bindings import idiv
 
 ROLLING_US = 300_000_000   # 5 minutes
 FEATURE_COLUMNS = ["server_id", "metric_name", "ts", "raw_value", "rolling_mean_5m", "rolling_std_5m",
@@ -27,19 +28,47 @@ def compute_features(metrics: DataFrame, keys: list[str] | None = None,
     """M1: feature rows for every sample of every series.
 
     Rate of change is 0 for the first sample of a series and for samples that
-    share the previous sample's instant."""
+    share the previous sample's instant.
+
+    One shuffle of the data: rows are partitioned by (series, chunk), rows
+    near a chunk's end are copied into the next chunk, and a single window
+    stage yields the rolling mean/std and the previous row.  Only a first row
+    whose predecessor is more than 5 minutes back (outside the copies) needs
+    the per-chunk summary, which is aggregated on the already partitioned
+    window output and joined back."""
     keys = keys or SERIES
-    x = metrics.select(*keys, "ts", "value")
-    x = chunked.rolling_stats(x, keys, "ts", "value", ROLLING_US, chunk_us=chunk_us, prefix="_r")
-    x = chunked.with_previous(x, keys, "ts", ["value"], chunk_us=chunk_us, prefix="_p")
-    dt = (F.unix_micros("ts") - F.unix_micros("_pts")) / 1e6
-    rate = F.coalesce(F.when(dt == 0, F.lit(0.0))
-                      .otherwise(F.try_divide(F.col("value") - F.col("_pvalue"), dt)), F.lit(0.0))
+    chunk_us = chunked.chunk_size(chunk_us)
+    if ROLLING_US > chunk_us:
+        raise ValueError("chunk shorter than the rolling window")
+    us = F.unix_micros("ts")
+    chunk = idiv(us, chunk_us)
+    copies = F.when(us > (chunk + 1) * F.lit(chunk_us) - ROLLING_US,
+                    F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    x = (metrics.select(*keys, "ts", "value").withColumn("_us", us)
+         .withColumn("_copy", F.explode(copies)).withColumn("_chunk", chunk + F.col("_copy")))
+    w_row = Window.partitionBy(*keys, "_chunk").orderBy("_us")
+    w_roll = w_row.rangeBetween(-(ROLLING_US - 1), 0)
+    x = (x.withColumn("_mean", F.avg("value").over(w_roll))
+         .withColumn("_std", F.coalesce(F.stddev_samp("value").over(w_roll), F.lit(0.0)))
+         .withColumn("_pus", F.lag("_us").over(w_row))
+         .withColumn("_pv", F.lag("value").over(w_row))
+         .filter(F.col("_copy") == 0))
+    # last row of each non-empty chunk -> carried to the next non-empty chunk
+    last = x.groupBy(*keys, "_chunk").agg(F.max("_us").alias("_lus"), F.max_by("value", "_us").alias("_lv"))
+    ws = Window.partitionBy(*keys).orderBy("_chunk")
+    carry = (last.withColumn("_cus", F.lag("_lus").over(ws)).withColumn("_cv", F.lag("_lv").over(ws))
+             .select(*keys, "_chunk", "_cus", "_cv"))
+    x = x.join(carry, [*keys, "_chunk"], "left")
+    first = F.col("_pus").isNull()
+    pus = F.when(first, F.col("_cus")).otherwise(F.col("_pus"))
+    pv = F.when(first, F.col("_cv")).otherwise(F.col("_pv"))
+    dt = (F.col("_us") - pus) / 1e6
+    rate = F.coalesce(F.when(dt == 0, F.lit(0.0)).otherwise(F.try_divide(F.col("value") - pv, dt)), F.lit(0.0))
     return x.select(
         *keys, "ts",
         F.col("value").alias("raw_value"),
-        F.col("_r_mean").alias("rolling_mean_5m"),
-        F.col("_r_std").alias("rolling_std_5m"),
+        F.col("_mean").alias("rolling_mean_5m"),
+        F.col("_std").alias("rolling_std_5m"),
         rate.alias("rate_of_change"),
         timefeat.hour_sin("ts").alias("hour_sin"),
         timefeat.hour_cos("ts").alias("hour_cos"),
