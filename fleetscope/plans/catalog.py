@@ -24,14 +24,14 @@ AS_OF_TS = B.AS_OF
 AS_OF_FAST_TS = B.as_of_fast(B.AS_OF)
 
 
-def register(name: str, sql: str | None):
+def register(name: str, sql: str | None, recursive: bool = False):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             configure(spark)          # UTC instants and a checkpoint folder, whoever made the session
             return finalize(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
-        REGISTRY[name] = (run, with_views(sql) if sql else None)
+        REGISTRY[name] = (run, with_views(sql, recursive) if sql else None)
         return run
     return deco
 

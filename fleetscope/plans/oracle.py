@@ -106,6 +106,6 @@ VIEWS = {
 }
 
 
-def with_views(body: str) -> str:
+def with_views(body: str, recursive: bool = False) -> str:
     ctes = ",\n".join(f"{name} AS (\n{sql}\n)" for name, sql in VIEWS.items())
-    return f"WITH {ctes}\n{body}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}"
