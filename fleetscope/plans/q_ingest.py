@@ -174,3 +174,45 @@ def s3(spark, d):
         F.when(F.col("seq") % 53 == 0, F.lit(""))
         .when(F.col("seq") % 4 == 0, F.concat("line", F.lit("\r\n"))).otherwise(F.col("line")).alias("line"))
     return I.parse_logs(raw)
+
+
+@register("S6_S7_S9_append_layout", """
+SELECT 'metrics' AS tbl, CAST(strftime(ts, '%Y%m') AS BIGINT) AS month, count(*) AS n FROM metrics GROUP BY ALL
+UNION ALL SELECT 'logs', CAST(strftime(ts, '%Y%m') AS BIGINT), count(*) FROM logs GROUP BY ALL
+UNION ALL SELECT 'alert_events', CAST(strftime(triggered_at, '%Y%m') AS BIGINT), count(*) FROM alert_events GROUP BY ALL""")
+def s6(spark, d):
+    from fleetscope.sources.sinks import append_layout
+    m = append_layout(B.metrics(spark, d), "ts", ["server_id", "metric_name"]).select(F.lit("metrics").alias("tbl"), "month")
+    lg = append_layout(B.logs(spark, d), "ts", ["server_id", "log_file"]).select(F.lit("logs").alias("tbl"), "month")
+    ev = append_layout(B.alert_events(spark, d), "triggered_at", ["server_id"]).select(
+        F.lit("alert_events").alias("tbl"), "month")
+    return m.unionByName(lg).unionByName(ev).groupBy("tbl", "month").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("S8_keyed_append_dedup", "SELECT server_id, metric_name, ts, score FROM scores")
+def s8(spark, d):
+    from fleetscope.operators.dedup import latest_version
+    from fleetscope.sources.sinks import append_layout
+    s = B.anomaly_scores(spark, d)
+    batches = [append_layout(s.filter(F.col("ingest_seq") == k).select("server_id", "metric_name", "ts", "score")
+                             .withColumn("ingest_seq", F.lit(k).cast("long")), "ts", ["server_id", "metric_name"])
+               for k in (1, 2)]
+    table = batches[0].unionByName(batches[1]).drop("month")
+    return latest_version(table, ["server_id", "metric_name", "ts"], "ingest_seq").drop("ingest_seq")
+
+
+@register("R1_S1_microbatch_ingest", _PAYLOAD_SQL + """
+SELECT CAST(strftime(ts, '%Y%m') AS BIGINT) AS month, server_id, count(*) AS n FROM parsed
+WHERE server_id IS NOT NULL AND metric_name IS NOT NULL AND value IS NOT NULL AND ts IS NOT NULL GROUP BY ALL""")
+def r1(spark, d):
+    # the transformation each micro-batch of the metric stream runs before its append
+    from fleetscope.sources.sinks import with_month
+    good, _ = I.parse_metrics(metric_payloads(spark, d))
+    return with_month(good).groupBy("month", "server_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("R6_live_tail_rows", """
+SELECT server_id, log_file, ts, line FROM logs WHERE server_id = 'srv-1' AND log_file = 'auth.log'""")
+def r6(spark, d):
+    from fleetscope.streaming import jobs
+    return jobs.live_tail(B.logs(spark, d), "srv-1", "auth.log").select("server_id", "log_file", "ts", "line")

@@ -19,14 +19,20 @@ def with_month(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn("month", month_key(ts))
 
 
-def append_table(df: DataFrame, path: str, ts: str = "ts", sort_keys: list[str] | None = None) -> None:
-    """Append rows, partitioned by month and clustered by the
-    sort key inside each file (row-group statistics then prune ranges)."""
+def append_layout(df: DataFrame, ts: str = "ts", sort_keys: list[str] | None = None) -> DataFrame:
+    """The frame an append writes: month column, one shuffle by (month,
+    leading sort key) so each task writes few files, rows clustered by the
+    sort key and time inside each file (row-group statistics then prune)."""
     out = with_month(df, ts)
     out = out.repartition("month", *(sort_keys[:1] if sort_keys else []))
     if sort_keys:
         out = out.sortWithinPartitions(*sort_keys, ts)
-    out.write.mode("append").partitionBy("month").parquet(path)
+    return out
+
+
+def append_table(df: DataFrame, path: str, ts: str = "ts", sort_keys: list[str] | None = None) -> None:
+    """Append rows, partitioned by month."""
+    append_layout(df, ts, sort_keys).write.mode("append").partitionBy("month").parquet(path)
 
 
 def append_keyed(df: DataFrame, path: str, ingest_seq: int, ts: str = "ts",
