@@ -114,3 +114,59 @@ def heartbeat_gaps(heartbeats: DataFrame, offline_after_s: int = OFFLINE_AFTER_S
             .select("server_id", F.col("prev_timestamp").alias("last_seen"),
                     (F.col("prev_timestamp") + F.expr(f"INTERVAL {offline_after_s} SECONDS")).alias("offline_at"),
                     F.col("timestamp").alias("back_online_at")))
+
+
+# --- alert evaluation (R3 streaming twin) -----------------------------------
+
+ALERT_EVENT_SCHEMA = ("server_id string, rule_id string, metric_name string, state string, "
+                      "triggered_at timestamp, value double")
+ALERT_STATE_SCHEMA = "state string, resolved_us long"
+
+
+def _alert_fsm(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """FIRING / RESOLVED transitions of one (server, rule) over the ticks of
+    one micro-batch (a handful per trigger), state kept in the state store."""
+    cur, resolved = state.get if state.exists else ("INACTIVE", None)
+    rows = pd.concat(list(batches)).sort_values("tick_us")
+    out = []
+    for r in rows.itertuples(index=False):
+        if r.breached and cur != "FIRING":
+            if resolved is not None and r.tick_us - resolved < r.cooldown_us:
+                continue
+            cur = "FIRING"
+            out.append((r.server_id, r.rule_id, r.metric_name, cur, r.tick_us, r.value))
+        elif not r.breached and cur == "FIRING":
+            cur, resolved = "RESOLVED", int(r.tick_us)
+            out.append((r.server_id, r.rule_id, r.metric_name, cur, r.tick_us, r.value))
+    state.update((cur, None if resolved is None else int(resolved)))
+    df = pd.DataFrame(out, columns=["server_id", "rule_id", "metric_name", "state", "tick_us", "value"])
+    df["triggered_at"] = pd.to_datetime(df["tick_us"].astype("int64"), unit="us")
+    yield df[["server_id", "rule_id", "metric_name", "state", "triggered_at", "value"]]
+
+
+def alert_state_machine(ticks: DataFrame) -> DataFrame:
+    """R3/R4 stream: breach ticks (``operators.alert_replay.breach_ticks``
+    rows, or one ``alerts.evaluate_once`` result per trigger) -> alert
+    events, keyed by (server, rule) with the rule's state in the state store."""
+    return (ticks.groupBy("server_id", "rule_id")
+            .applyInPandasWithState(_alert_fsm, ALERT_EVENT_SCHEMA, ALERT_STATE_SCHEMA, "append",
+                                    GroupStateTimeout.NoTimeout))
+
+
+def evaluator(trigger_source: DataFrame, rules: DataFrame, heartbeats: DataFrame, metrics: DataFrame,
+              scores: DataFrame, ticks_path: str, checkpoint: str, every_s: int = 30):
+    """The 30-second evaluator: on every trigger, evaluate all rules of
+    servers with a heartbeat at the trigger time and append the breach rows
+    to the ticks table that ``alert_state_machine`` streams from."""
+    from fleetscope.operators import alerts as A
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        now = batch.sparkSession.sql("SELECT current_timestamp() AS t").first().t
+        ev = A.evaluate_once(rules, heartbeats, metrics, scores, now)
+        (ev.select("server_id", "rule_id", "metric_name",
+                   F.unix_micros(F.lit(now).cast("timestamp")).alias("tick_us"), "value", "breached",
+                   (F.col("cooldown_minutes").cast("long") * 60_000_000).alias("cooldown_us"))
+         .write.mode("overwrite").parquet(f"{ticks_path}/batch={batch_id}"))
+
+    return (trigger_source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+            .trigger(processingTime=f"{every_s} seconds").start())
