@@ -37,7 +37,7 @@ def compute_features(metrics: DataFrame, keys: list[str] | None = None,
     the per-chunk summary, which is aggregated on the already partitioned
     window output and joined back."""
     keys = keys or SERIES
-    chunk_us = chunked.chunk_size(chunk_us)
+    chunk_us = chunked.chunk_size(chunk_us, metrics, keys, "ts", floor_us=ROLLING_US)
     if ROLLING_US > chunk_us:
         raise ValueError("chunk shorter than the rolling window")
     us = F.unix_micros("ts")

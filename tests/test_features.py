@@ -89,3 +89,24 @@ def test_incremental_emits_strictly_newer(spark):
     out = features.incremental_features(df, stored, T0 + timedelta(hours=1)).orderBy("ts").collect()
     assert [r.raw_value for r in out] == [2.0, 3.0]
     assert abs(out[0].rate_of_change - 1 / 15) < 1e-12
+
+
+def test_auto_chunks_match_day_chunks(spark, monkeypatch):
+    from fleetscope.operators import chunked
+    from fleetscope.sources import bindings as B
+    from tests.conftest import SMALL
+    m = B.metrics_fast(spark, SMALL)
+    base = features.compute_features(m)
+    monkeypatch.setattr(chunked, "TARGET_ROWS", 5)      # force many small chunks
+    spark.conf.set(chunked.CHUNK_CONF, "auto")
+    try:
+        size = chunked.chunk_size(None, m, ["server_id", "metric_name"], "ts", 300_000_000)
+        assert 300_000_000 <= size < chunked.DAY_US
+        auto = features.compute_features(m)
+        cols = ["server_id", "metric_name", "ts", "raw_value", "rate_of_change"]
+        assert base.select(*cols).exceptAll(auto.select(*cols)).count() == 0
+        a = {(r.server_id, r.metric_name, r.ts): r.rolling_std_5m for r in base.collect()}
+        for r in auto.collect():
+            assert abs(a[(r.server_id, r.metric_name, r.ts)] - r.rolling_std_5m) < 1e-9
+    finally:
+        spark.conf.unset(chunked.CHUNK_CONF)
