@@ -43,3 +43,13 @@ FROM metrics_fast GROUP BY ALL""")
 def r8(spark, d):
     out = jobs.bucket_counts(B.metrics_fast(spark, d), 2)
     return out.select("server_id", "metric_name", F.col("bucket.start").alias("bucket_start"), "avg_value", "n")
+
+
+@register("R7_heartbeat_gaps_event_clock", """
+, g AS (SELECT 'srv-' || CAST(user_id % 5 AS VARCHAR) AS server_id, ts AS "timestamp",
+               lag(ts) OVER (PARTITION BY user_id % 5 ORDER BY ts) AS prev
+        FROM events)
+SELECT server_id, prev AS last_seen, prev + INTERVAL 90 SECOND AS offline_at, "timestamp" AS back_online_at
+FROM g WHERE epoch_us("timestamp") - epoch_us(prev) > 90000000""")
+def r7_raw(spark, d):
+    return jobs.heartbeat_gaps(B.heartbeat_messages(spark, d, clock="raw"))

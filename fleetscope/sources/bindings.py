@@ -137,9 +137,11 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     e.alias("seq")))
 
 
-def heartbeat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One heartbeat message per event (compressed clock), as agents send them."""
+def heartbeat_messages(spark: SparkSession, sf_dir: str, clock: str = "fast") -> DataFrame:
+    """One heartbeat message per event, as agents send them (compressed
+    clock by default, ``clock='raw'`` for the event clock)."""
     e = events(spark, sf_dir)
+    stamp = _compress(_instant("ts")) if clock == "fast" else _instant("ts")
     inv = F.array(
         F.struct(F.lit("sshd").alias("name"), F.lit("9.6").alias("version"),
                  F.lit("active").alias("status")),
@@ -153,7 +155,7 @@ def heartbeat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return e.select(
         _server().alias("server_id"),
-        _compress(_instant("ts")).alias("timestamp"),
+        stamp.alias("timestamp"),
         F.concat(F.lit("1.0."), (F.col("event_id") % 3).cast("string")).alias("agent_version"),
         F.array(F.lit("/var/log/auth.log"), F.lit("/var/log/syslog"),
                 F.lit("/opt/app/logs/app.log")).alias("watched_logs"),

@@ -20,11 +20,13 @@ def with_month(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def append_layout(df: DataFrame, ts: str = "ts", sort_keys: list[str] | None = None) -> DataFrame:
-    """The frame an append writes: month column, one shuffle by (month,
-    leading sort key) so each task writes few files, rows clustered by the
-    sort key and time inside each file (row-group statistics then prune)."""
+    """The frame an append writes: month column, one rebalancing shuffle by
+    (month, leading sort key) so each task writes few files - AQE splits the
+    partition of a hot key (one server with a third of the rows) into several
+    tasks instead of one huge file - and rows clustered by the sort key and
+    time inside each file (row-group statistics then prune)."""
     out = with_month(df, ts)
-    out = out.repartition("month", *(sort_keys[:1] if sort_keys else []))
+    out = out.hint("rebalance", "month", *(sort_keys[:1] if sort_keys else []))
     if sort_keys:
         out = out.sortWithinPartitions(*sort_keys, ts)
     return out
