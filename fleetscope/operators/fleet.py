@@ -179,26 +179,28 @@ def fleet_overview(snapshot: DataFrame, status: DataFrame, scores: DataFrame, as
     fleet = status.select("server_id", "status").join(
         snapshot.select("server_id", "state", "cpu_value", "anomalies6h"), "server_id", "left")
     fleet = fleet.withColumn("state", F.coalesce("state", F.lit("quiet")))
+    # worst CPU anomaly of the last 6 h per server (ties -> earliest); the
+    # focus server's one is picked by the same ordering that picks the server
+    cpu = scores.filter((F.col("metric_name") == "cpu_usage_percent") & since(as_of_values, hours=6))
+    worst = cpu.groupBy("server_id").agg(
+        F.max_by(F.struct("ts", "score"), F.struct(F.col("score"), -F.unix_micros("ts"))).alias("_w"))
+    fleet = fleet.join(worst, "server_id", "left")
     prio = (F.when((F.col("state") == "critical") & F.col("cpu_value").isNotNull(), F.lit(0))
             .when(F.col("state") == "attention", F.lit(1)).otherwise(F.lit(2)))
+    focus_order = F.struct(prio, F.col("server_id"))
     agg = fleet.agg(
         F.count_if(F.col("state") == "critical").alias("critical"),
         F.count_if(F.col("state") == "attention").alias("attention"),
         F.count_if(F.col("state") == "ok").alias("ok"),
         F.count_if(F.col("state") == "quiet").alias("quiet"),
         F.coalesce(F.sum("anomalies6h"), F.lit(0)).cast("long").alias("anomalies6h_total"),
-        F.min_by("server_id", F.struct(prio, F.col("server_id"))).alias("focus_server"),
+        F.min_by("server_id", focus_order).alias("focus_server"),
+        F.min_by("_w", focus_order).alias("_fw"),
         F.min_by(F.when(F.col("status") == "online", F.col("server_id")),
                  F.struct(F.col("status") != "online", F.col("server_id"))).alias("primary_server"))
     text = (F.when(F.col("critical") > 0, F.format_string("%d server(s) critical", F.col("critical")))
             .when(F.col("attention") > 0, F.format_string("%d ok, %d need attention", F.col("ok"), F.col("attention")))
             .otherwise(F.lit("all systems nominal")))
-    agg = agg.withColumn("headline", text)
-    cpu = scores.filter((F.col("metric_name") == "cpu_usage_percent") & since(as_of_values, hours=6))
-    worst = (cpu.join(agg.select(F.col("focus_server").alias("server_id")), "server_id", "left_semi")
-             .agg(F.max_by(F.struct("ts", "score"), F.struct(F.col("score"), -F.unix_micros("ts"))).alias("_w")))
-    # both sides are single-row global aggregates
-    one = F.lit(1).alias("_one")
-    return agg.select("*", one).join(worst.select("*", one), "_one").select(
-        "critical", "attention", "ok", "quiet", "anomalies6h_total", "headline", "focus_server",
-        "primary_server", F.col("_w.ts").alias("most_severe_ts"), F.col("_w.score").alias("most_severe_score"))
+    return agg.select("critical", "attention", "ok", "quiet", "anomalies6h_total", text.alias("headline"),
+                      "focus_server", "primary_server", F.col("_fw.ts").alias("most_severe_ts"),
+                      F.col("_fw.score").alias("most_severe_score"))
