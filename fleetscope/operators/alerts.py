@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.functions.logtext import utc_iso
 from fleetscope.operators.dedup import newest_n
 from fleetscope.operators.series import latest_score, latest_value, since, ts_lit
 from fleetscope.sources.ingest import latest_rules

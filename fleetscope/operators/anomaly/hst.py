@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.functions import timefeat
-from fleetscope.operators.chunked import DAY_US, row_index
+from fleetscope.operators.chunked import row_index
 
 # ---- fixed values: model inputs and defaults -------------------------------
 FEATURES = ["value", "hour_sin", "hour_cos", "day_of_week", "is_weekend"]
@@ -145,3 +145,56 @@ def online_scores(metrics: DataFrame, n_trees: int = N_TREES, height: int = HEIG
     score = F.when(F.col("win") == 0, F.lit(0.0)).otherwise(
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("s") / max_score)))
     return per_point.select(*KEY, "ts", score.alias("score"))
+
+
+# --- streaming twin ------------------------------------------------------------
+
+HST_STATE_SCHEMA = "idx long, l array<long>, r array<long>"
+HST_OUT_SCHEMA = "server_id string, metric_name string, ts timestamp, score double"
+
+
+def _stream_fn(feat: np.ndarray, split: np.ndarray, height: int, window: int):
+    n_trees = feat.shape[0]
+    width = 2 ** (height + 1)
+    limit = 0.1 * window
+    max_score = float(n_trees * window * 2 ** height)
+
+    def fn(key, batches, state):
+        if state.exists:
+            idx, l_, r_ = state.get
+            l_m = np.asarray(l_, dtype=np.int64).reshape(n_trees, width)
+            r_m = np.asarray(r_, dtype=np.int64).reshape(n_trees, width)
+        else:
+            idx, l_m, r_m = 0, np.zeros((n_trees, width), np.int64), np.zeros((n_trees, width), np.int64)
+        rows = pd.concat(list(batches)).sort_values(["ts", "value"], kind="mergesort")
+        lv = leaves(rows[FEATURES].to_numpy(dtype=np.float64), feat, split, height)
+        scores = np.zeros(len(rows))
+        for i in range(len(rows)):
+            heap = (2 ** height) + lv[i]                      # leaf per tree, 1-based heap ids
+            paths = heap[:, None] >> (height - np.arange(height + 1))[None, :]   # (trees, depth)
+            if idx >= window:
+                masses = r_m[np.arange(n_trees)[:, None], paths]
+                small = masses < limit
+                stop = np.where(small.any(axis=1), small.argmax(axis=1), height)
+                s = (masses[np.arange(n_trees), stop] * (2.0 ** stop)).sum()
+                scores[i] = min(1.0, max(0.0, 1.0 - s / max_score))
+            np.add.at(l_m, (np.repeat(np.arange(n_trees), height + 1), paths.ravel()), 1)
+            idx += 1
+            if idx % window == 0:
+                r_m, l_m = l_m, np.zeros_like(l_m)
+        state.update((int(idx), l_m.ravel().tolist(), r_m.ravel().tolist()))
+        yield pd.DataFrame({"server_id": rows["server_id"].to_numpy(), "metric_name": rows["metric_name"].to_numpy(),
+                            "ts": rows["ts"].to_numpy(), "score": scores})
+    return fn
+
+
+def stream_scores(metrics: DataFrame, n_trees: int = N_TREES, height: int = HEIGHT, window: int = WINDOW,
+                  seed: int = SEED) -> DataFrame:
+    """R5 stream: score-then-learn per (server, metric) with the tree masses
+    and the point count in the state store (``applyInPandasWithState``).
+    Fed in time order it yields exactly ``online_scores(scale='none')``."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    feat, split = make_trees(len(FEATURES), n_trees, height, seed)
+    x = with_time_features(metrics.select(*KEY, "ts", "value"))
+    return (x.groupBy(*KEY).applyInPandasWithState(_stream_fn(feat, split, height, window), HST_OUT_SCHEMA,
+                                                   HST_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetscope.functions import logtext
-from fleetscope.operators.series import ts_lit
 from fleetscope.plans.catalog import AS_OF_TS, AS_OF, register
 from fleetscope.sources import bindings as B
 from fleetscope.sources import ingest as I

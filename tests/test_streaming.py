@@ -90,3 +90,24 @@ def test_alert_stream_matches_batch_replay(spark):
     exp = sorted((r.server_id, r.rule_id, r.state, r.us) for r in R.replay(ticks.drop("part")).select(
         "server_id", "rule_id", "state", F.unix_micros("triggered_at").alias("us")).collect())
     assert got == exp and len(exp) > 0
+
+
+def test_hst_stream_matches_replay(spark):
+    from fleetscope.operators.anomaly import hst
+    from fleetscope.sources import bindings as B
+    d = tempfile.mkdtemp(prefix="fs-hst-")
+    m = (B.metrics_fast(spark, SMALL).select("server_id", "metric_name", "ts", "value")
+         .filter(F.col("server_id").isin("srv-0", "srv-1")))
+    m = m.withColumn("part", (F.unix_micros("ts") / 1_800_000_000).cast("long"))
+    m.repartition("part").write.partitionBy("part").parquet(f"{d}/m")
+    schema = spark.read.parquet(f"{d}/m").schema
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/m").drop("part")
+    q = (hst.stream_scores(s, window=10).writeStream.outputMode("append").format("memory").queryName("hst_t")
+         .option("checkpointLocation", f"{d}/ck").start())
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.server_id, r.metric_name, r.ts): r.score for r in spark.sql("SELECT * FROM hst_t").collect()}
+    exp = {(r.server_id, r.metric_name, r.ts): r.score
+           for r in hst.online_scores(m.drop("part"), window=10).collect()}
+    assert got.keys() == exp.keys() and len(exp) > 0
+    assert all(abs(got[k] - exp[k]) < 1e-12 for k in exp)
