@@ -65,7 +65,7 @@ VIEWS = {
         FROM heartbeat_messages GROUP BY server_id""",
     "rules_v1": f"""SELECT server_id || ':' || metric_name || ':r1' AS rule_id, server_id, metric_name,
         {_RULE_OP} AS operator, CAST({_RULE_THR} AS DOUBLE) AS threshold, {_RULE_SEV} AS severity,
-        5 AS cooldown_minutes, TRUE AS enabled, created_at, CAST(1 AS BIGINT) AS version,
+        CAST(5 AS BIGINT) AS cooldown_minutes, TRUE AS enabled, created_at, CAST(1 AS BIGINT) AS version,
         {_RULE_MODE} AS alert_mode, CAST(0.7 AS DOUBLE) AS ml_score_threshold
         FROM (SELECT server_id, metric_name, min(ts) AS created_at FROM metrics GROUP BY server_id, metric_name)""",
     "alert_rules": """SELECT * FROM rules_v1 UNION ALL

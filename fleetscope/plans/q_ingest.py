@@ -61,7 +61,7 @@ def s2_bad(spark, d):
 
 
 @register("S4_S5_latest_heartbeat", """
-SELECT server_id, "timestamp", agent_version, 3 AS n_watched,
+SELECT server_id, "timestamp", agent_version, CAST(3 AS BIGINT) AS n_watched,
        'nginx=' || nginx_status AS inventory_tail FROM heartbeats""")
 def s4(spark, d):
     msgs = B.heartbeat_messages(spark, d)
