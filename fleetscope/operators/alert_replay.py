@@ -88,13 +88,17 @@ def breach_ticks(rules: DataFrame, metrics: DataFrame, scores: DataFrame | None,
 
 def replay(ticks: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """FIRING / RESOLVED events of the state machine over ``breach_ticks``."""
-    t = ticks.withColumn("_ts", F.timestamp_micros("tick_us"))
+    # materialised once: the chunk sizing and both scans below read it
+    t = cut_lineage(ticks.withColumn("_ts", F.timestamp_micros("tick_us")))
     # islands: a new run starts where the flag changes (lag per (rule, day) is
     # enough inside a chunk; the chunk edge uses the previous tick's flag)
-    from fleetscope.operators.chunked import with_previous
-    t = with_previous(t.withColumn("_b", F.col("breached").cast("int")), RULE, "_ts", ["_b"], prefix="_p")
+    from fleetscope.operators.chunked import chunk_size, with_previous
+    chunk = chunk_size(None, t, RULE, "_ts")          # sized once for both scans
+    t = with_previous(t.withColumn("_b", F.col("breached").cast("int")), RULE, "_ts", ["_b"], prefix="_p",
+                      chunk_us=chunk)
     t = t.withColumn("_new", F.when(F.col("_p_b").isNull() | (F.col("_p_b") != F.col("_b")), 1.0).otherwise(0.0))
-    t = running_sum(t, RULE, "_ts", "_new", "_run").withColumn("run", F.col("_run").cast("long")).drop("_run")
+    t = running_sum(t, RULE, "_ts", "_new", "_run", chunk_us=chunk).withColumn(
+        "run", F.col("_run").cast("long")).drop("_run")
     t = cut_lineage(t.drop("_p_ts", "_p_b", "_new"))
 
     runs = t.groupBy(*RULE, "run").agg(F.first("breached").alias("breached"),
@@ -112,7 +116,7 @@ def replay(ticks: DataFrame, max_rounds: int | None = None) -> DataFrame:
     tg = b.filter(F.col("target_us").isNotNull()).select(*RULE, F.col("run").alias("i"),
                                                           F.col("target_us").alias("_t"))
     ends = b.select(*RULE, F.col("end_us").alias("_t"), F.col("run").alias("_j"))
-    nxt = (first_at_or_after(tg, ends, RULE, "_t", "_j", "j").filter(F.col("j").isNotNull())
+    nxt = (first_at_or_after(tg, ends, RULE, "_t", "_j", "j", chunk_us=chunk).filter(F.col("j").isNotNull())
            .select(*RULE, "i", "j"))
     nxt = cut_lineage(nxt)
 

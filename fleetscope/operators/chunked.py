@@ -31,8 +31,8 @@ TARGET_ROWS = 1_000_000       # rows of the densest series per chunk in "auto" m
 def chunk_size(chunk_us: int | None, df: DataFrame | None = None, keys: list[str] | None = None,
                ts: str | None = None, floor_us: int = 60_000_000) -> int:
     """Chunk length in microseconds: the argument, else the session setting
-    ``fleetscope.chunk.seconds`` (default one day).  ``auto`` sizes the chunk
-    from the data: one aggregate finds the densest series (rows per unit of
+    ``fleetscope.chunk.seconds``: a number of seconds, or ``auto`` (the
+    default) which sizes the chunk from the data: one aggregate finds the densest series (rows per unit of
     time) and the chunk holds about ``TARGET_ROWS`` of its rows, never less
     than the operator's frame nor more than a day.  A series with a third of
     all rows is then cut into many tasks; sparse series simply have few
@@ -41,7 +41,7 @@ def chunk_size(chunk_us: int | None, df: DataFrame | None = None, keys: list[str
         return int(chunk_us)
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
-    secs = spark.conf.get(CHUNK_CONF, None) if spark is not None else None
+    secs = (spark.conf.get(CHUNK_CONF, None) if spark is not None else None) or "auto"
     if secs == "auto" and df is not None:
         return auto_chunk_us(df, keys or [], ts, floor_us)
     return max(floor_us, int(float(secs) * 1_000_000)) if secs and secs != "auto" else DAY_US

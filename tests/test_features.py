@@ -96,7 +96,7 @@ def test_auto_chunks_match_day_chunks(spark, monkeypatch):
     from fleetscope.sources import bindings as B
     from tests.conftest import SMALL
     m = B.metrics_fast(spark, SMALL)
-    base = features.compute_features(m)
+    base = features.compute_features(m, chunk_us=chunked.DAY_US)
     monkeypatch.setattr(chunked, "TARGET_ROWS", 5)      # force many small chunks
     spark.conf.set(chunked.CHUNK_CONF, "auto")
     try:
@@ -109,4 +109,4 @@ def test_auto_chunks_match_day_chunks(spark, monkeypatch):
         for r in auto.collect():
             assert abs(a[(r.server_id, r.metric_name, r.ts)] - r.rolling_std_5m) < 1e-9
     finally:
-        spark.conf.unset(chunked.CHUNK_CONF)
+        spark.conf.set(chunked.CHUNK_CONF, "auto")
