@@ -90,6 +90,8 @@ def incremental_features(metrics: DataFrame, stored: DataFrame | None, as_of,
     job: the watermark table (one row per series) is joined, not looped."""
     first_start = ts_lit(to_dt(as_of) - timedelta(days=lookback_days))
     m = metrics.select(*SERIES, "ts", "value")
+    # sized once on the raw samples, not on the joined/unioned frame below
+    chunk_us = chunked.chunk_size(chunk_us, m, SERIES, "ts", floor_us=ROLLING_US)
     if stored is None:
         return compute_features(m.filter(F.col("ts") >= first_start), chunk_us=chunk_us)
     wm = stored.groupBy(*SERIES).agg(F.max("ts").alias("watermark"))
