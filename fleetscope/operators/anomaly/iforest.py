@@ -190,7 +190,7 @@ def fit_and_score(features: DataFrame, min_samples: int = MIN_SAMPLES, n_trees:
     once to the shared checkpoint folder instead of being recomputed."""
     from fleetscope.session import cut_lineage
     features = cut_lineage(features)
-    trees = cut_lineage(train(features, min_samples, n_trees, sample_size, seed, version))
+    trees = train(features, min_samples, n_trees, sample_size, seed, version)   # read once
     raw = raw_scores(features.join(eligible(features, min_samples).select(*KEY), KEY, "left_semi"), trees)
     raw = cut_lineage(raw)
     return normalise(raw, bounds(raw)).withColumn("model_version", F.lit(version))
