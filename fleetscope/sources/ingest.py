@@ -107,8 +107,7 @@ def validate_rules(rules: DataFrame) -> DataFrame:
               .when(~F.coalesce(F.col("severity").isin(*SEVERITIES), F.lit(False)), F.lit("severity"))
               .when(~cd.between(*COOLDOWN_RANGE), F.lit("cooldown_minutes"))
               .when(~mode.isin(*MODES), F.lit("alert_mode"))
-              .when(~st.between(0.0, 1.0), F.lit("ml_score_threshold"))
-              .when(~logtext.valid_metric_name("metric_name"), F.lit("metric_name")))
+              .when(~st.between(0.0, 1.0), F.lit("ml_score_threshold")))
     return (rules.withColumn("cooldown_minutes", cd).withColumn("ml_score_threshold", st)
             .withColumn("alert_mode", mode)
             .withColumn("reason", reason).withColumn("valid", F.col("reason").isNull()))
