@@ -124,3 +124,22 @@ def test_sinks_roundtrip(spark):
                           ["server_id", "metric_name", "ts"], "ingest_seq")
     assert read.filter(F.col("score") != 0.25).count() == 0
     assert read.count() == s.select("server_id", "metric_name", "ts").distinct().count()
+
+
+def test_model_registry_and_bounds(spark):
+    from fleetscope.operators import features
+    from fleetscope.operators.anomaly import iforest
+    from fleetscope.sources import bindings as B
+    f = features.compute_features(B.metrics_fast(spark, "/root/testdata/sf0.01"))
+    trees = iforest.train(f, min_samples=200, n_trees=5, version="2024-01-01").cache()
+    newer = trees.withColumn("version", F.lit("2024-02-01"))
+    latest = iforest.latest_models(trees.unionByName(newer))
+    assert {r.version for r in latest.select("version").distinct().collect()} == {"2024-02-01"}
+    assert latest.count() == trees.count()
+    raw = iforest.raw_scores(f, trees)
+    b = {(r.server_id, r.metric_name): r for r in iforest.bounds(raw).collect()}
+    n = {(r.server_id, r.metric_name): r["count"] for r in f.groupBy("server_id", "metric_name").count().collect()}
+    assert b and all(b[k].n_samples == n[k] and b[k].score_min <= b[k].score_max for k in b)
+    s = iforest.normalise(raw, iforest.bounds(raw)).groupBy("server_id", "metric_name").agg(
+        F.min("score").alias("lo"), F.max("score").alias("hi")).collect()
+    assert all(abs(r.lo) < 1e-12 and abs(r.hi - 1) < 1e-12 for r in s)   # per-model min 0 / max 1
