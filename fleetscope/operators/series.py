@@ -161,7 +161,7 @@ def projection(current: Column | str, arr: Column | str, threshold: float = 90.0
     threshold is reached within 24 h; NULL otherwise."""
     cur = F.col(current) if isinstance(current, str) else current
     a = F.col(arr) if isinstance(arr, str) else arr
-    rate = F.element_at(a, -1) - F.element_at(a, 1)
+    rate = F.try_element_at(a, F.lit(-1)) - F.try_element_at(a, F.lit(1))
     hours = F.try_divide(F.lit(threshold) - cur, rate)
     ok = cur.isNotNull() & (F.size(a) >= 5) & (rate >= 0.5) & (hours > 0) & (hours < 24)
     return F.when(ok, F.format_string(f"{threshold:.0f}%% in ~%dh",
