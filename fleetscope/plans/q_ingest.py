@@ -71,7 +71,7 @@ def s4(spark, d):
     hb = I.latest_heartbeat(I.parse_heartbeats(js))
     inv = F.filter("inventory", lambda x: x["name"] == "nginx")
     return hb.select("server_id", "timestamp", "agent_version", F.size("watched_logs").alias("n_watched"),
-                     F.concat(F.lit("nginx="), F.element_at(inv, 1)["status"]).alias("inventory_tail"))
+                     F.concat(F.lit("nginx="), F.try_element_at(inv, F.lit(1))["status"]).alias("inventory_tail"))
 
 
 @register("S12_rule_validation", """
