@@ -75,3 +75,39 @@ def s14(spark, d):
     return f.join(iforest.eligible(f, MIN_SAMPLES).select("server_id", "metric_name"),
                   ["server_id", "metric_name"], "left_semi").select(
         "server_id", "metric_name", "ts", *iforest.FEATURES)
+
+
+@register("A22_training_metadata", f"""
+SELECT server_id, metric_name, count(*) AS n_samples, min(ts) AS data_range_start, max(ts) AS data_range_end
+FROM metrics_fast GROUP BY ALL HAVING count(*) >= {MIN_SAMPLES}""")
+def a22_meta(spark, d):
+    f = feats(spark, d)
+    trees = iforest.train(f, MIN_SAMPLES, N_TREES)
+    raw = iforest.raw_scores(f.join(iforest.eligible(f, MIN_SAMPLES).select("server_id", "metric_name"),
+                                    ["server_id", "metric_name"], "left_semi"), trees)
+    return iforest.bounds(raw).select("server_id", "metric_name", "n_samples", "data_range_start", "data_range_end")
+
+
+@register("M3_F22_score_invariants", f"""
+SELECT server_id, metric_name, count(*) AS n_scored, TRUE AS has_zero, TRUE AS has_one, TRUE AS in_range
+FROM metrics_fast GROUP BY ALL HAVING count(*) >= {MIN_SAMPLES}""")
+def m3_inv(spark, d):
+    s = iforest.fit_and_score(feats(spark, d), MIN_SAMPLES, N_TREES)
+    return s.groupBy("server_id", "metric_name").agg(
+        F.count(F.lit(1)).alias("n_scored"),
+        (F.min("score") == 0.0).alias("has_zero"),
+        (F.max("score") == 1.0).alias("has_one"),
+        F.bool_and(F.col("score").between(0.0, 1.0)).alias("in_range"))
+
+
+@register("R5_hst_score_invariants", """
+SELECT server_id, metric_name, count(*) AS n_scored, TRUE AS first_window_silent, TRUE AS in_range
+FROM metrics_fast GROUP BY ALL""")
+def r5_inv(spark, d):
+    from fleetscope.operators.anomaly import hst
+    s = hst.online_scores(B.metrics_fast(spark, d))
+    return s.groupBy("server_id", "metric_name").agg(
+        F.count(F.lit(1)).alias("n_scored"),
+        (F.count_if(F.col("score") == 0.0) >= F.least(F.count(F.lit(1)), F.lit(hst.WINDOW))).alias(
+            "first_window_silent"),
+        F.bool_and(F.col("score").between(0.0, 1.0)).alias("in_range"))
