@@ -15,14 +15,18 @@ without collecting a rule's history into one task.
    resolves at the first non-breached tick e_i after it; the next fire is
    the first breached tick >= e_i + cooldown, in some later run j.  So
    next(i) = j is a pointer between runs, and the fired runs are the path
-   from the first breached run.  The path is found by pointer doubling
-   (log2(#runs) rounds of joins), each round checkpointed to cut lineage.
+   from the first breached run.  The run table of a rule is bounded by its
+   tick count, so behind a size check the path is followed in one grouped
+   task per rule; beyond it, pointer doubling (log2(#runs) rounds of joins,
+   each checkpointed) keeps every step distributed.
 """
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,24 +124,12 @@ def replay(ticks: DataFrame, max_rounds: int | None = None) -> DataFrame:
            .select(*RULE, "i", "j"))
     nxt = cut_lineage(nxt)
 
-    first = b.groupBy(*RULE).agg(F.min("run").alias("i"))
     n_max = b.groupBy(*RULE).count().agg(F.max("count")).first()[0] or 1
-    rounds = max_rounds if max_rounds is not None else max(1, math.ceil(math.log2(n_max + 1)))
-    jumps = [nxt]
-    for r in range(rounds):
-        j = jumps[-1]
-        comp = (j.alias("a").join(j.alias("b"), (F.col("a.server_id") == F.col("b.server_id"))
-                                  & (F.col("a.rule_id") == F.col("b.rule_id")) & (F.col("a.j") == F.col("b.i")))
-                .select(F.col("a.server_id").alias("server_id"), F.col("a.rule_id").alias("rule_id"),
-                        F.col("a.i").alias("i"), F.col("b.j").alias("j")))
-        jumps.append(cut_lineage(comp))
-    path = first
-    for k, j in enumerate(reversed(jumps)):
-        step = path.join(j, [*RULE, "i"], "inner").select(*RULE, F.col("j").alias("i"))
-        path = path.unionByName(step).distinct()
-        if k % 3 == 2:      # bound the plan depth; jump tables are already cut
-            path = cut_lineage(path)
-    path = path.withColumnRenamed("i", "run")
+    if max_rounds is None and n_max <= MAX_RUNS_PER_TASK:
+        path = _path_by_chase(b, nxt)
+    else:
+        path = _path_by_doubling(b, nxt, max_rounds if max_rounds is not None
+                                 else max(1, math.ceil(math.log2(n_max + 1))))
 
     # fire tick: first run -> its start; later runs -> first tick >= target of
     # the predecessor on the path
@@ -159,6 +151,55 @@ def replay(ticks: DataFrame, max_rounds: int | None = None) -> DataFrame:
             .select(*RULE, "metric_name", "state", F.timestamp_micros("tick_us").alias("triggered_at"), "value"))
 
 
+# A rule is evaluated once per tick, so its breached runs are bounded by the
+# history length over the tick interval (90 days / 30 s -> at most ~130 000
+# runs) whatever the sample volume of its series.  Up to this many runs per
+# rule the chain is followed inside one task per rule; beyond it, pointer
+# doubling keeps every step distributed.
+MAX_RUNS_PER_TASK = 2_000_000
+
+
+def _path_by_chase(b: DataFrame, nxt: DataFrame) -> DataFrame:
+    """Fired runs: follow next() from the first breached run of each rule,
+    one grouped pass over the (bounded) run table of the rule."""
+    runs = (b.select(*RULE, "run").join(nxt.withColumnRenamed("i", "run"), [*RULE, "run"], "left")
+            .select(*RULE, "run", "j"))
+
+    def chase(pdf):
+        nxt_of = dict(zip(pdf["run"].tolist(), pdf["j"].tolist()))
+        p, out = int(pdf["run"].min()), []
+        while p is not None and p == p:            # NaN-safe: a missing next ends the chain
+            out.append(p)
+            q = nxt_of.get(p)
+            p = None if q is None or q != q else int(q)
+        return pd.DataFrame({"server_id": pdf["server_id"].iloc[0], "rule_id": pdf["rule_id"].iloc[0],
+                             "run": out})
+
+    return runs.groupBy(*RULE).applyInPandas(chase, "server_id string, rule_id string, run long")
+
+
+def _path_by_doubling(b: DataFrame, nxt: DataFrame, rounds: int) -> DataFrame:
+    """Fired runs by pointer doubling: jump tables J_k = next^(2^k) by
+    self-joins, then the path set grown from the first run through
+    J_K .. J_0; every step is a distributed join."""
+    first = b.groupBy(*RULE).agg(F.min("run").alias("i"))
+    jumps = [nxt]
+    for _ in range(rounds):
+        j = jumps[-1]
+        comp = (j.alias("a").join(j.alias("b"), (F.col("a.server_id") == F.col("b.server_id"))
+                                  & (F.col("a.rule_id") == F.col("b.rule_id")) & (F.col("a.j") == F.col("b.i")))
+                .select(F.col("a.server_id").alias("server_id"), F.col("a.rule_id").alias("rule_id"),
+                        F.col("a.i").alias("i"), F.col("b.j").alias("j")))
+        jumps.append(cut_lineage(comp))
+    path = first
+    for k, j in enumerate(reversed(jumps)):
+        step = path.join(j, [*RULE, "i"], "inner").select(*RULE, F.col("j").alias("i"))
+        path = path.unionByName(step).distinct()
+        if k % 3 == 2:      # bound the plan depth; jump tables are already cut
+            path = cut_lineage(path)
+    return path.withColumnRenamed("i", "run")
+
+
 def replay_reference(rows: list[tuple]) -> list[tuple]:
     """Sequential replay for tests: rows = (rule, tick_us, value, breached,
     cooldown_us) sorted; returns (rule, state, tick_us, value)."""
