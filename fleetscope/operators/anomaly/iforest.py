@@ -196,6 +196,18 @@ def fit_and_score(features: DataFrame, min_samples: int = MIN_SAMPLES, n_trees:
     return normalise(raw, bounds(raw)).withColumn("model_version", F.lit(version))
 
 
+def publish(models: DataFrame, path: str) -> None:
+    """M4 write side: a model version is published by appending its trees
+    to the model table, partitioned by ``version``; a failed write leaves no
+    partial version behind (the job commit is atomic per version folder)."""
+    models.write.mode("append").partitionBy("version").parquet(path)
+
+
+def read_published(spark, path: str) -> DataFrame:
+    """M4 read side over the model table: newest version per series."""
+    return latest_models(spark.read.parquet(path))
+
+
 def latest_models(models: DataFrame) -> DataFrame:
     """M4 read side: newest published version per series."""
     newest = latest_version(models.select(*KEY, "version").distinct(), KEY, "version")

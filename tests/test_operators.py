@@ -145,3 +145,28 @@ def test_model_registry_and_bounds(spark):
     s = iforest.normalise(raw, iforest.bounds(raw)).groupBy("server_id", "metric_name").agg(
         F.min("score").alias("lo"), F.max("score").alias("hi")).collect()
     assert all(abs(r.lo) < 1e-12 and abs(r.hi - 1) < 1e-12 for r in s)   # per-model min 0 / max 1
+
+
+def test_publish_and_read_models(spark):
+    import tempfile
+    from fleetscope.operators import features
+    from fleetscope.operators.anomaly import iforest
+    from fleetscope.sources import bindings as B
+    d = tempfile.mkdtemp(prefix="fs-models-")
+    f = features.compute_features(B.metrics_fast(spark, "/root/testdata/sf0.01"))
+    v1 = iforest.train(f, min_samples=200, n_trees=3, version="20240101T000000")
+    iforest.publish(v1, f"{d}/models")
+    iforest.publish(v1.withColumn("version", F.lit("20240201T000000")), f"{d}/models")
+    got = iforest.read_published(spark, f"{d}/models")
+    assert {r.version for r in got.select("version").distinct().collect()} == {"20240201T000000"}
+    assert got.count() == v1.count()
+
+
+def test_approx_distinct_ips_close(spark):
+    from fleetscope.operators import security
+    from fleetscope.plans.catalog import AS_OF_TS
+    from fleetscope.sources import bindings as B
+    lg = B.logs(spark, "/root/testdata/sf0.01")
+    exact = {r.server_id: r.unique_ips_24h for r in security.ssh_stats(lg, AS_OF_TS).collect()}
+    approx = {r.server_id: r.unique_ips_24h for r in security.ssh_stats(lg, AS_OF_TS, approx_ips=True).collect()}
+    assert all(abs(approx[k] - exact[k]) <= max(2, 0.1 * exact[k]) for k in exact)
