@@ -22,13 +22,24 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+_WORD = "[A-Za-z0-9_]"
+# a word boundary over ASCII word characters only (Java's \b also treats
+# accented letters as word characters; the classes are defined with ASCII ones)
+_ASCII_B = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
+
+
+def _ascii_bounds(pattern: str) -> str:
+    return pattern.replace(r"\b", _ASCII_B)
+
+
 def severity(line: Column | str = "line") -> Column:
     """severity class of a log line (upper-cased, word-bounded)."""
     u = F.upper(_c(line))
+    classes = [(name, _ascii_bounds(pat)) for name, pat in SEVERITY_CLASSES]
     # one combined test first: most lines hold no keyword and skip the chain
-    any_kw = "|".join(f"(?:{pat})" for _, pat in SEVERITY_CLASSES)
+    any_kw = "|".join(f"(?:{pat})" for _, pat in classes)
     out = F.when(~u.rlike(any_kw), F.lit("other"))
-    for name, pat in SEVERITY_CLASSES:
+    for name, pat in classes:
         out = out.when(u.rlike(pat), F.lit(name))
     return out.otherwise(F.lit("other"))
 
