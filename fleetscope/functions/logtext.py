@@ -50,9 +50,11 @@ def contains_ci(line: Column | str, query: str) -> Column:
 
 
 def valid_metric_name(name: Column | str = "metric_name") -> Column:
-    """Metric naming rule; NULL/empty names are invalid."""
+    """Metric naming rule; NULL/empty names are invalid.  The rule's
+    ``$`` means end of text (Java's ``$`` would also accept a trailing
+    newline), hence ``\\z``."""
     c = _c(name)
-    return F.coalesce(c.rlike(METRIC_NAME_RULE), F.lit(False))
+    return F.coalesce(c.rlike(METRIC_NAME_RULE[:-1] + r"\z"), F.lit(False))
 
 
 def log_name(path: Column | str = "path") -> Column:

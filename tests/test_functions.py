@@ -43,7 +43,7 @@ def test_severity(spark):
 def test_metric_names(spark):
     valid = ["cpu_usage_percent", "ab", "a1", "a_b", "cpu_seconds_total", "http_requests_total"]
     invalid = ["", "_starts_under", "1starts_digit", "CamelCase", "kebab-case", "dot.separated", "trailing_",
-               "CPU", "a", "has space"]
+               "CPU", "a", "has space", "cpu\n"]
     assert all(one(spark, logtext.valid_metric_name(F.col("x")), valid))
     assert not any(one(spark, logtext.valid_metric_name(F.col("x")), invalid))
 
