@@ -65,8 +65,9 @@ def log_name(path: Column | str = "path") -> Column:
 
 
 def clean_line(line: Column | str = "line") -> Column:
-    """drop trailing CR/LF; callers filter empty results."""
-    return F.regexp_replace(_c(line), r"[\r\n]+$", "")
+    """drop trailing CR/LF (a trim, no regex); callers filter empty
+    results."""
+    return F.rtrim(_c(line), F.lit("\r\n"))
 
 
 def utc_iso(ts: Column | str = "ts") -> Column:
