@@ -72,3 +72,13 @@ def test_health_rules(spark):
     df = df.withColumn("state", fleet.health_state()).withColumn("headline", fleet.headline())
     got = [(r.state, r.headline) for r in df.collect()]
     assert got == [(c[7], c[8]) for c in cases]
+
+
+def test_severity_stems_cover_keywords():
+    import re
+    words = set()
+    for _, pat in logtext.SEVERITY_CLASSES:
+        body = re.sub(r"\\b|[()]", "", pat)
+        for w in body.split("|"):
+            words |= {w.replace("?", ""), re.sub(r"ING\?", "", w)} if "?" in w else {w}
+    assert all(any(st in w for st in logtext.SEVERITY_STEMS) for w in words if w)
