@@ -25,13 +25,16 @@ def _c(x: Column | str) -> Column:
 
 
 _WORD = "[A-Za-z0-9_]"
-# a word boundary over ASCII word characters only (Java's \b also treats
-# accented letters as word characters; the classes are defined with ASCII ones)
-_ASCII_B = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
 
 def _ascii_bounds(pattern: str) -> str:
-    return pattern.replace(r"\b", _ASCII_B)
+    """Word boundaries over ASCII word characters only (Java's ``\\b`` also
+    treats accented letters as word characters; the classes are defined with
+    ASCII ones).  Each class pattern is ``\\b<keywords>\\b`` with keywords
+    that start and end with a word character, so the boundaries are a
+    look-behind and a look-ahead."""
+    assert pattern.startswith("\\b") and pattern.endswith("\\b")
+    return f"(?<!{_WORD})" + pattern[2:-2] + f"(?!{_WORD})"
 
 
 def severity(line: Column | str = "line") -> Column:
