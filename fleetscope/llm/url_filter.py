@@ -1,0 +1,161 @@
+"""URL verdicts: rules first, then a logistic regression on hashed n-grams."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetscope.llm.common import grouped, prepare
+
+DIMENSIONS = 1 << 18
+LENGTHS = (3, 4, 5)
+#: Labelled rows that the classifier is fitted on at most (a hash order of the urls picks them).
+MAX_LABELLED = 20_000
+
+#: The rules of the contract, as (verdict, host, path).
+RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+#: Words of the small labelled url table, most unwanted kinds of site first.
+UNWANTED = ("casino bets poker slots pills pharma viagra spam farm adult xxx porn escort ads track click banner "
+            "loan payday replica cheap free win lottery jackpot dating warez crack torrent").split()
+WANTED = ("news library school university museum science health garden travel recipe history music weather city "
+          "forum wiki docs blog journal review sport energy climate market office family water paper house the "
+          "tion there other these whether station mother within").split()
+#: Frequent English letter pairs: hosts built from them stand for harmless names of no known word.
+PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co".split()
+
+
+def seed_urls() -> list[tuple[str, int]]:
+    """The small labelled table (url, 1 unwanted): each word, and each with the
+    word after it, under a few host and path forms, and names of letter pairs."""
+    out = []
+    for words, label in ((UNWANTED, 1), (WANTED, 0)):
+        for i, w in enumerate(words):
+            pair = f"{w}-{words[(i + 1) % len(words)]}" if label else w + words[(i + 1) % len(words)]
+            for j, host in enumerate((w, pair, f"www.{pair}", f"blog.{w}", f"m.{pair}")):
+                tld, lang = ("com", "net", "org")[(i + j) % 3], ("en", "fr", "de", "es")[(i + j) % 4]
+                out.append((f"http://{host}.example.{tld}/{lang}/{37 * i + 11 * j}", label))
+    for i, p in enumerate(PAIRS):
+        for j in range(10):
+            name = p + PAIRS[(i * 7 + j * 3) % len(PAIRS)] + PAIRS[(i + j * 5) % len(PAIRS)] * (j % 2)
+            tld, lang = ("com", "net", "org")[(i + j) % 3], ("en", "fr", "de", "es")[(i + 2 * j) % 4]
+            out.append((f"https://{('', 'www.', 'blog.', 'm.')[j % 4]}{name}.example.{tld}/{lang}/{41 * i + 7 * j}", 0))
+    return out
+
+
+def host_path(url: Column) -> tuple[Column, Column]:
+    """Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
+    lower-cased; path: from there up to ``?``, ``#`` or the end; both empty for
+    a null url or one without ``://``."""
+    form = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
+    part = lambda i: F.coalesce(F.regexp_extract(url, form, i), F.lit(""))
+    return F.translate(part(1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), part(2)
+
+
+def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """The longest rule that fits (its host or a subdomain, path by prefix), as
+    struct(size, rule, verdict); null if none does."""
+    fits = [F.when(((host == h) | host.endswith(f".{h}")) & path.startswith(p),
+                   F.struct(F.lit(len(h + p)).alias("size"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict")))
+            for v, h, p in rules]
+    return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
+
+
+def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, slot) of every character n-gram of the texts, repeats included."""
+    rows, slots = [], []
+    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+    stops = np.cumsum([len(t) for t in texts])
+    owner = np.repeat(np.arange(len(texts)), np.diff(stops, prepend=0))
+    for n in LENGTHS:
+        if len(data) < n:
+            continue
+        h = np.full(len(data) - n + 1, n, np.uint64)
+        for i in range(n):
+            h = (h ^ data[i:len(data) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        inside = owner[:len(h)] == owner[n - 1:]
+        rows.append(owner[:len(h)][inside])
+        slots.append((h[inside] % np.uint64(DIMENSIONS)).astype(np.int64))
+    none = np.empty(0, np.int64)
+    return (np.concatenate(rows), np.concatenate(slots)) if rows else (none, none)
+
+
+def _texts(host: list[str], path: list[str]) -> list[bytes]:
+    """Host between marks, then the path with digits folded."""
+    fold = str.maketrans("123456789", "000000000")
+    return [f"^{h}$ {p.translate(fold)}".encode() for h, p in zip(host, path)]
+
+
+def _logit(row: np.ndarray, slot: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
+    size = np.maximum(np.bincount(row, minlength=n), 1)
+    return np.bincount(row, weights[slot], minlength=n) / np.sqrt(size) + weights[-1]
+
+
+def fit(urls: pd.DataFrame, rounds: int = 300, rate: float = 2.0, decay: float = 1e-4) -> np.ndarray:
+    """Weights (the last is the bias) by full-batch gradient steps on rows
+    (host, path, label); repeated rows weigh as often as they occur."""
+    n, y = len(urls), urls["label"].to_numpy(float)
+    row, slot = features(_texts(urls["host"].tolist(), urls["path"].tolist()))
+    scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
+    w = np.zeros(DIMENSIONS + 1)
+    for _ in range(rounds if n else 0):
+        gap = (1 / (1 + np.exp(-_logit(row, slot, n, w))) - y) / n
+        step = np.bincount(slot, (gap * scale)[row], minlength=DIMENSIONS + 1)
+        step[-1] = gap.sum()
+        w -= rate * (step * 8 + decay * w)
+    return w
+
+
+def train(labelled: DataFrame, max_rows: int = MAX_LABELLED) -> np.ndarray:
+    """Fit on ``labelled`` (url, label), on ``max_rows`` rows at most, taken in
+    a fixed hash order.  Rows without a label are left out."""
+    host, path = host_path(F.col("url"))
+    rows = (labelled.where("label is not null").orderBy(F.xxhash64("url"), "url", "label").limit(max_rows)
+            .select(host.alias("host"), path.alias("path"), F.col("label").cast("double").alias("label")))
+    return fit(rows.toPandas())
+
+
+def url_verdicts(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]] = RULES,
+                 threshold: float = 0.5) -> DataFrame:
+    """(page_id, host, path, rule, verdict, p_block) for every row of ``pages``.
+
+    The longest rule that fits decides; else the classifier does, on any text:
+    a null url has empty host and path and takes the verdict of the empty url.
+    Repeated rows each give a row; an empty table gives none; other columns are
+    ignored.  With no labelled rows the classifier allows everything."""
+    spark = prepare(pages.sparkSession)
+    weights = spark.sparkContext.broadcast(train(labelled).astype(np.float32))  # DIMENSIONS floats
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = weights.value
+        for b in batches:
+            texts, p = _texts(b.column("host").to_pylist(), b.column("path").to_pylist()), []
+            for i, j in grouped([len(t) for t in texts], 1 << 20):
+                row, slot = features(texts[i:j])
+                p.append(1 / (1 + np.exp(-_logit(row, slot, j - i, w))))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([*p, np.empty(0)]))],
+                                             [*b.schema.names, "p_block"])
+
+    host, path = host_path(F.col("url").cast("string"))
+    read = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    scored = read.mapInArrow(run, "page_id long, host string, path string, p_block double")
+    model = F.when(F.col("p_block") > threshold, "block").otherwise("allow")
+    return (scored.withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
+            .select("page_id", "host", "path", F.col("fit.rule").alias("rule"),
+                    F.coalesce("fit.verdict", model).alias("verdict"), "p_block"))
+
+
+def seed_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(seed_urls(), "url string, label int")
