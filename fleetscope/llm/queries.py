@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import simhash_dups, token_cache, topk_search, url_filter
+from fleetscope.llm import simhash_dups, suffix_dedup, token_cache, topk_search, url_filter
 from fleetscope.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,10 @@ def op4(spark, sf_dir):
 @register("op8_simhash_near_dedup")
 def op8(spark, sf_dir):
     return simhash_dups.simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+
+
+@register("op10_suffix_array_dedup")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.remove_repeats(docs, 100, with_text=False)
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
