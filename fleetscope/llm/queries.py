@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import lm_quality, simhash_dups, suffix_dedup, token_cache, topk_search, url_filter
+from fleetscope.llm import decontaminate, lm_quality, sentence_dedup, simhash_dups, suffix_dedup, token_cache, topk_search, url_filter
 from fleetscope.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,16 @@ def op4(spark, sf_dir):
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), url_filter.seed_table(spark))
 
 
+@register("op5_decontamination")
+def op5(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op6_substring_dedup")
+def op6(spark, sf_dir):
+    return sentence_dedup.remove_repeated_sentences(table(spark, sf_dir, "documents"))
+
+
 @register("op7_quality_classifier")
 def op7(spark, sf_dir):
     return lm_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
