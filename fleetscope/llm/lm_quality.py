@@ -18,8 +18,10 @@ ORDER = 5
 BLOCK_BYTES, SLICE = 24 << 20, 2 << 20
 #: Packed text that a task holds before it writes its parts of the blocks.
 PACK_BYTES = 16 << 20
-#: A language's threshold: this quantile of its trusted documents, times the slack.
-QUANTILE, SLACK = 0.99, 1.05
+#: One in so many trusted documents is held out: the model does not see it, and thresholds come from these.
+HELD_OUT = 5
+#: A language's threshold: this quantile of its held-out documents, times the slack.
+QUANTILE, SLACK = 0.99, 1.1
 #: log-perplexities are compared in steps of 1 / STEP, so that quantiles are exact counts.
 STEP = 10_000
 
@@ -272,16 +274,17 @@ def exact_quantile(rows: DataFrame, key: str, value: str, q: float) -> DataFrame
 def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, keep) for every row.
 
-    The model is trained on the documents that all their rows of ``labels``
-    (doc_id, quality, toxic) call good and not toxic.  Blocks of documents send
+    Trusted are the documents that all their rows of ``labels`` (doc_id,
+    quality, toxic) call good and not toxic; the model is trained on them but
+    for one in HELD_OUT, on which the thresholds rest.  Blocks of documents send
     the counts of their trusted n-grams and ask for the scores of the distinct
     n-grams of all their documents; both are dealt out by n-gram, where counts
     are summed and joined, order by order, to probabilities.  A document's
     perplexity is per byte; it is kept unless that exceeds its language's
-    ``q`` quantile over trusted documents by the factor ``slack``.
+    ``q`` quantile over held-out documents by the factor ``slack``.
 
     Empty or null texts have no perplexity and stay; so do documents of a
-    language (null is one) without trusted documents.  Repeated rows each give
+    language (null is one) without held-out documents.  Repeated rows each give
     a row; rows without a doc_id are scored but never trusted; an empty table
     gives no rows, empty labels keep everything; other columns are ignored."""
     spark = prepare(docs.sparkSession)
@@ -295,9 +298,10 @@ def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE, slack: floa
     trusted = (labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("did"))
                .agg((F.coalesce(F.min("quality"), F.lit(0)) == 1).alias("good"),
                     (F.coalesce(F.max("toxic"), F.lit(0)) == 0).alias("clean"))
-               .where("good and clean").select("did"))
+               .where("good and clean")
+               .select("did", (F.pmod(F.xxhash64("did"), F.lit(1 << 40)) % HELD_OUT == 0).alias("held")))
     by_block = pieces.groupBy("block")
-    asked = stored(by_block.cogroup(trusted.select(block, "did").groupBy("block")).applyInArrow(_gather(shards), ASKED),
+    asked = stored(by_block.cogroup(trusted.where("not held").select(block, "did").groupBy("block")).applyInArrow(_gather(shards), ASKED),
                    "ngrams")
     counts = stored(asked.where("trained").groupBy("shard").applyInArrow(_sum_counts, "gram long, c long"), "counts")
     requests = asked.where("not trained").select("shard", "block", "grams")
@@ -308,7 +312,7 @@ def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE, slack: floa
                .applyInArrow(_reply, "block long, grams binary, logp binary"))
     found = stored(by_block.cogroup(replies.groupBy("block"))
                    .applyInArrow(_perplexities, "did long, lang string, n_bytes long, steps long"), "perplexities")
-    limits = exact_quantile(found.join(trusted, "did", "left_semi"), "lang", "steps", q)
+    limits = exact_quantile(found.join(trusted.where("held"), "did", "left_semi"), "lang", "steps", q)
     perplexity = lambda c: F.exp(F.col(c) / float(STEP))
     return (found.join(limits, "lang", "left")
             .select(F.when(F.col("did") != F.lit(NULL_ID), F.col("did")).alias("doc_id"), "lang", "n_bytes",

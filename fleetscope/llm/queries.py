@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import decontaminate, lm_quality, sentence_dedup, simhash_dups, suffix_dedup, token_cache, topk_search, url_filter
+from fleetscope.llm import (decontaminate, license_scan, lm_quality, mixing, sentence_dedup, simhash_dups,
+                            suffix_dedup, token_cache, topk_search, url_filter)
 from fleetscope.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +57,12 @@ def op2(spark, sf_dir):
     return topk_search.top_k(v.where(F.col("vec_id") % 50 == 0), v, 5)
 
 
+@register("op3_mix_sources", mixing.mixture_sql())
+def op3(spark, sf_dir):
+    return (mixing.mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+            .select("doc_id", *mixing.MARGINS, "n_tokens", F.round("probability", 6).alias("probability"), "kept"))
+
+
 @register("op4_url_filter")
 def op4(spark, sf_dir):
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), url_filter.seed_table(spark))
@@ -81,6 +88,11 @@ def op8(spark, sf_dir):
     return simhash_dups.simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
 
+@register("op9_license_scan")
+def op9(spark, sf_dir):
+    return license_scan.licences(table(spark, sf_dir, "documents"))
+
+
 @register("op10_suffix_array_dedup")
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -300,21 +300,23 @@ def _finish(length: int, with_text: bool):
                 cut = gone[base:base + len(text)]
                 n_removed, n_spans = int(cut.sum()), int(cut[0]) + int((cut[1:] & ~cut[:-1]).sum())
                 text = np.frombuffer(text, np.uint8)[~cut].tobytes()
-            found.append((n_removed, n_spans, hashlib.sha256(text).hexdigest(), text if with_text else None))
+            found.append((n_removed, n_spans, hashlib.sha256(text).hexdigest(),
+                          text.decode("utf-8", "ignore") if with_text else None))
         number = {k: i for i, k in enumerate(zip(docs.column("did").to_pylist(), docs.column("tk").to_pylist()))}
         rows = [number[k] for k in zip(block.column("did").to_pylist(), block.column("tk").to_pylist())]
         out = {"row": block.column("row"), "n_bytes": pa.array(sizes[rows], pa.int64())}
         for i, (name, kind) in enumerate((("n_removed", pa.int64()), ("n_spans", pa.int64()),
-                                          ("kept_sha256", pa.string()), ("kept", pa.binary()))):
+                                          ("kept_sha256", pa.string()), ("text", pa.string()))):
             out[name] = pa.array([found[r][i] for r in rows], kind)
         return pa.table(out)
     return run
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True) -> DataFrame:
-    """(row, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of
-    ``docs``; ``row`` holds its columns but ``text``, ``kept`` the remaining
-    bytes (null unless ``with_text``).
+    """(row, n_bytes, n_removed, n_spans, kept_sha256, text) for every row of
+    ``docs``; ``row`` holds its columns but ``text``, ``kept_sha256`` is of the
+    remaining bytes, and ``text`` (null unless ``with_text``) is what they
+    spell, without characters that lost a byte.
 
     Each byte covered by a string of ``length`` bytes that also starts earlier
     goes (smaller doc_id, then same document and earlier start); overlaps
@@ -351,5 +353,5 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True) -
     strings = by_block.cogroup(answers.groupBy("block")).applyInArrow(_strings(length, buckets), STRINGS_SCHEMA)
     marks = strings.repartition("bucket").mapInArrow(_transform(length), "block long, doc binary, start binary, marks binary")
     schema = T.StructType([texts.schema["row"], *T._parse_datatype_string(
-        "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").fields])
+        "n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string").fields])
     return by_block.cogroup(marks.groupBy("block")).applyInArrow(_finish(length, with_text), schema)
