@@ -4,6 +4,7 @@ import os
 import re
 
 import __spark_entry__ as E
+from fleetscope.plans import catalog
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -23,10 +24,15 @@ def test_every_sql_twin_has_a_query():
 
 def test_keys_start_with_an_inventory_id():
     ids = set(survey_ids())
-    for k in E.queries():
+    for k in catalog.queries():
         assert k.split("_")[0] in ids, k
 
 
 def test_every_inventory_id_is_registered():
-    toks = {t for k in E.queries() for t in k.split("_")}
+    toks = {t for k in catalog.queries() for t in k.split("_")}
     assert [i for i in survey_ids() if i not in toks] == []
+
+
+def test_entry_holds_the_catalog():
+    assert set(catalog.queries()) <= set(E.queries())
+    assert all(E.oracle_sql()[k] == v for k, v in catalog.oracle_sql().items())

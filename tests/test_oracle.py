@@ -6,9 +6,10 @@ from tests.conftest import SMALL
 from tests.oracle_harness import compare, duck
 
 import __spark_entry__ as E
+from fleetscope.plans import catalog
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = catalog.queries()
+SQL = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
