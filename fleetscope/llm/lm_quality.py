@@ -285,7 +285,7 @@ def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE, slack: floa
 
     Empty or null texts have no perplexity and stay; so do documents of a
     language (null is one) without held-out documents.  Repeated rows each give
-    a row; rows without a doc_id are scored but never trusted; an empty table
+    a row and train as often; rows without a doc_id are scored but never trusted; an empty table
     gives no rows, empty labels keep everything; other columns are ignored."""
     spark = prepare(docs.sparkSession)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))

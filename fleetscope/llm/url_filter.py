@@ -76,7 +76,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(row, slot) of every character n-gram of the texts, repeats included."""
     rows, slots = [], []
     data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
-    stops = np.cumsum([len(t) for t in texts])
+    stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
     owner = np.repeat(np.arange(len(texts)), np.diff(stops, prepend=0))
     for n in LENGTHS:
         if len(data) < n:
@@ -89,7 +89,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         rows.append(owner[:len(h)][inside])
         slots.append((h[inside] % np.uint64(DIMENSIONS)).astype(np.int64))
     none = np.empty(0, np.int64)
-    return (np.concatenate(rows), np.concatenate(slots)) if rows else (none, none)
+    return np.concatenate([none, *rows]), np.concatenate([none, *slots])
 
 
 def _texts(host: list[str], path: list[str]) -> list[bytes]:
