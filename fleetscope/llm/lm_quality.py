@@ -296,8 +296,8 @@ def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE, slack: floa
                           text.alias("text"))
               .select(block, "did", "lang", "text").mapInArrow(_packed, "block long, payload binary"))
     trusted = (labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("did"))
-               .agg((F.coalesce(F.min("quality"), F.lit(0)) == 1).alias("good"),
-                    (F.coalesce(F.max("toxic"), F.lit(0)) == 0).alias("clean"))
+               .agg((F.min(F.coalesce("quality", F.lit(0))) == 1).alias("good"),
+                    (F.max(F.coalesce("toxic", F.lit(1))) == 0).alias("clean"))
                .where("good and clean")
                .select("did", (F.pmod(F.xxhash64("did"), F.lit(1 << 40)) % HELD_OUT == 0).alias("held")))
     by_block = pieces.groupBy("block")

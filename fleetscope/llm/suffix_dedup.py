@@ -20,6 +20,8 @@ BLOCK = 1 << 17
 BLOCK_BYTES = 4 << 20
 #: A key with more strings than this is split into single windows.
 LONG_KEY = 50_000
+#: Place of the key gram in a string that is keyed by all of it.
+SINGLE = 255
 #: Strings of one transform, about.
 STRINGS = 1 << 16
 _M = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64)) for i in range(8)]
@@ -97,7 +99,7 @@ class Runs:
                for a in (self.at[of] + nth).tolist()]
         grow = lambda x, more: np.concatenate((x[~rows], more))
         self.key = grow(self.key, np.array(key, np.uint64))
-        self.place = grow(self.place, np.zeros(len(of), np.int64))
+        self.place = grow(self.place, np.full(len(of), SINGLE))
         self.text, self.start = grow(self.text, self.text[of]), grow(self.start, self.start[of] + nth)
         self.at, self.windows = grow(self.at, self.at[of] + nth), grow(self.windows, np.ones(len(of), np.int64))
 
@@ -134,26 +136,28 @@ def _requests(length: int, buckets: int):
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(long_key: int):
     """Answer the requests of some buckets: 0 one string in all, 1 several,
-    2 more than LONG_KEY."""
-    rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "keys", "counts")))]
-    if not rows:
-        return
-    keys = np.frombuffer(b"".join(r[2] for r in rows), np.uint64)
-    counts = np.frombuffer(b"".join(r[3] for r in rows), np.uint32)
-    order = np.argsort(keys, kind="stable")
-    heads = np.flatnonzero(np.concatenate(([True], np.diff(keys[order]) != 0)))
-    total = np.repeat(np.add.reduceat(counts[order].astype(np.int64), heads), np.diff(heads, append=len(keys)))
-    answer = np.empty(len(keys), np.uint8)
-    answer[order] = (total > 1).astype(np.uint8) + (total > LONG_KEY)
-    at = 0
-    for block, bucket, own, _ in rows:
-        n = len(own) // 8
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int64()),
-                                          pa.array([answer[at:at + n].tobytes()], pa.binary())],
-                                         ["block", "bucket", "answer"])
-        at += n
+    2 more than ``long_key``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "keys", "counts")))]
+        if not rows:
+            return
+        keys = np.frombuffer(b"".join(r[2] for r in rows), np.uint64)
+        counts = np.frombuffer(b"".join(r[3] for r in rows), np.uint32)
+        order = np.argsort(keys, kind="stable")
+        heads = np.flatnonzero(np.concatenate(([True], np.diff(keys[order]) != 0)))
+        total = np.repeat(np.add.reduceat(counts[order].astype(np.int64), heads), np.diff(heads, append=len(keys)))
+        answer = np.empty(len(keys), np.uint8)
+        answer[order] = (total > 1).astype(np.uint8) + (total > long_key)
+        at = 0
+        for block, bucket, own, _ in rows:
+            n = len(own) // 8
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int64()),
+                                              pa.array([answer[at:at + n].tobytes()], pa.binary())],
+                                             ["block", "bucket", "answer"])
+            at += n
+    return run
 
 
 STRINGS_SCHEMA = ("bucket long, block long, texts binary, sizes binary, place binary, did binary, tk binary, "
@@ -201,10 +205,12 @@ def _later(strings: list[bytes], place: np.ndarray, rank: np.ndarray, start: np.
     marks = np.zeros((len(strings), wide), bool)
     for column, order, lcp in columns(strings, first, wide - 1 + length):
         nth = column - first[order]
-        if column > wide - 1 or not len(order):
+        if column > wide - 1:                               # no window starts there
             continue
         group = np.cumsum(lcp < length)                     # equal strings of ``length`` bytes are neighbours
         real = np.flatnonzero((nth >= 0) & (nth < windows[order]))
+        if not len(real):
+            continue
         row, of = order[real], group[real]
         when = start[row] + nth[real]
         by = np.lexsort((when, rank[row], of))
@@ -213,7 +219,7 @@ def _later(strings: list[bytes], place: np.ndarray, rank: np.ndarray, start: np.
     return marks
 
 
-def _transform(length: int):
+def _transform(length: int, most: int):
     """Build the transform of some buckets' strings, a bounded part at a time,
     and send each block the windows of its strings that also start earlier."""
     def answers(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -233,11 +239,12 @@ def _transform(length: int):
         lead = by[lead]                                     # the earliest place of each distinct string
         strings = list(seen)
         marks = np.zeros((len(strings), length - GRAM + 1), bool)
-        # strings of one key share their gram, so a sort by it keeps what may match together
-        gram = [s[p:p + GRAM] for s, p in zip(strings, cells["place"][lead].tolist())]
-        single = np.fromiter((len(s) == length for s in strings), bool, len(strings))
-        for part in _parts(strings, gram, single):
-            marks[part] = _later([strings[i] for i in part.tolist()], cells["place"][lead][part], rank[lead][part],
+        single = cells["place"][lead] == SINGLE
+        place = np.where(single, 0, cells["place"][lead])
+        # a sort by what they are keyed by keeps what may match together
+        key = [s if one else s[p:p + GRAM] for s, p, one in zip(strings, place.tolist(), single.tolist())]
+        for part in _parts(key, most):
+            marks[part] = _later([strings[i] for i in part.tolist()], place[part], rank[lead][part],
                                  cells["start"][lead][part], length)
         windows = cells["sizes"] - length + 1
         own = marks[of]
@@ -261,16 +268,15 @@ def _transform(length: int):
     return run
 
 
-def _parts(strings: list[bytes], gram: list[bytes], single: np.ndarray) -> Iterator[np.ndarray]:
-    """Cut the strings into parts of about STRINGS; those of a key stay together."""
-    if len(strings) <= STRINGS:
-        yield np.arange(len(strings))
+def _parts(key: list[bytes], most: int) -> Iterator[np.ndarray]:
+    """Cut the strings into parts of about ``most``; those of a key stay together."""
+    if len(key) <= most:
+        yield np.arange(len(key))
         return
-    key = [s if one else g for s, g, one in zip(strings, gram, single.tolist())]
     order = sorted(range(len(key)), key=key.__getitem__)
     a = 0
     while a < len(order):
-        b = min(a + STRINGS, len(order))
+        b = min(a + most, len(order))
         while b < len(order) and key[order[b]] == key[order[b - 1]]:
             b += 1
         yield np.array(order[a:b])
@@ -312,7 +318,8 @@ def _finish(length: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True, long_key: int = LONG_KEY,
+                   strings_at_once: int = STRINGS) -> DataFrame:
     """(row, n_bytes, n_removed, n_spans, kept_sha256, text) for every row of
     ``docs``; ``row`` holds its columns but ``text``, ``kept_sha256`` is of the
     remaining bytes, and ``text`` (null unless ``with_text``) is what they
@@ -326,10 +333,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True) -
        hash of the window, and ask whether other strings have that key; a block
        asks once a key, so copies and common passages are reduced before the
        shuffle.
-    2. Strings of shared keys are dealt out by key.  A key that very many
-       strings share is split into its single windows.
-    3. Each task builds the column-wise transform of its strings, aligned by
-       their key grams: equal windows have equal keys and places, so they stand
+    2. Strings of shared keys are dealt out by key.  A key that more than
+       ``long_key`` strings share is split into its single windows.
+    3. Each task builds the column-wise transform of its strings, about
+       ``strings_at_once`` of them, aligned by their key grams: equal windows have equal keys and places, so they stand
        in one column, where a common prefix of ``length`` marks them.
     4. The marks return to the blocks, which cut the bytes.
 
@@ -349,9 +356,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True) -
              .withColumn("block", F.pmod(F.xxhash64("did", "tk"), F.lit(blocks)).cast("long")))
     by_block = texts.groupBy("block")
     answers = (by_block.applyInArrow(_requests(length, buckets), "block long, bucket long, keys binary, counts binary")
-               .repartition("bucket").mapInArrow(_count, "block long, bucket long, answer binary"))
+               .repartition("bucket").mapInArrow(_count(long_key), "block long, bucket long, answer binary"))
     strings = by_block.cogroup(answers.groupBy("block")).applyInArrow(_strings(length, buckets), STRINGS_SCHEMA)
-    marks = strings.repartition("bucket").mapInArrow(_transform(length), "block long, doc binary, start binary, marks binary")
+    marks = strings.repartition("bucket").mapInArrow(_transform(length, strings_at_once), "block long, doc binary, start binary, marks binary")
     schema = T.StructType([texts.schema["row"], *T._parse_datatype_string(
         "n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string").fields])
     return by_block.cogroup(marks.groupBy("block")).applyInArrow(_finish(length, with_text), schema)

@@ -118,10 +118,7 @@ def brute_repeats(rows, length):
 
 @pytest.mark.parametrize("long_key,strings", [(50_000, 1 << 16), (3, 1 << 16), (50_000, 40)])
 def test_repeated_bytes_against_brute_force(make_docs, prose, monkeypatch, long_key, strings):
-    monkeypatch.setattr(suffix_dedup, "LONG_KEY", long_key)
-    monkeypatch.setattr(suffix_dedup, "STRINGS", strings)
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4000)
-    monkeypatch.setattr(suffix_dedup, "BLOCK", 777)
     pick, line = random.Random(2), "This common line stands in many documents, and nothing is special about it.\n"
     rows = [(0, None), (1, ""), (2, "short"), (3, "é" * 300), (4, "ab" * 400), (5, "x" * 99), (6, "x" * 100), (7, "x" * 250)]
     for i in range(40):
@@ -133,11 +130,23 @@ def test_repeated_bytes_against_brute_force(make_docs, prose, monkeypatch, long_
             text += prose(99, 80)[a:a + 300]
         rows.append((10 + i, text))
     rows += [(60, prose(5, 400) + prose(5, 400)), (61, "\n".join([prose(6, 90), "ü" + prose(6, 90)]))]
-    got = suffix_dedup.remove_repeats(make_docs(rows + rows[8:10]), 100).collect()
+    got = suffix_dedup.remove_repeats(make_docs(rows + rows[8:10]), 100, True, long_key, strings).collect()
     assert len(got) == len(rows) + 2
     assert {r.row.doc_id: tuple(r)[1:] for r in got} == brute_repeats(rows, 100)
 
 
+def test_window_keys_in_small_blocks(prose, monkeypatch):
+    data = np.frombuffer((prose(1, 500) + "a" * 300 + "ab" * 200).encode(), np.uint8)
+    keys, places = suffix_dedup.window_keys(data, 100)
+    grams = suffix_dedup._gram_hashes(data)
+    for i in range(0, len(keys), 37):
+        own = grams[i:i + 100 - suffix_dedup.GRAM + 1]
+        assert keys[i] == own.min() and places[i] == own.argmin()
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 777)
+    again = suffix_dedup.window_keys(data, 100)
+    assert (again[0] == keys).all() and (again[1] == places).all()
+
+
 def test_repeats_defined_cases(make_docs, prose):
     t = prose(1, 60)
     assert suffix_dedup.remove_repeats(make_docs([]), 100).count() == 0

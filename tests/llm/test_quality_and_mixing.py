@@ -47,8 +47,6 @@ def brute_model(texts):
 
 
 def test_perplexities_against_the_formulas(spark, make_docs, prose, monkeypatch):
-    monkeypatch.setattr(lm_quality, "SLICE", 700)
-    monkeypatch.setattr(lm_quality, "PACK_BYTES", 3000)
     monkeypatch.setattr(lm_quality, "BLOCK_BYTES", 5000)
     rows = [(i, prose(i, 40), "en" if i % 3 else "fr") for i in range(40)]
     rows += [(100, "@@ $$ %% ## || @@ !! ^^ ~~ " * 9), (101, None), (102, ""), (103, "é" * 40, None), (104, prose(7, 2000)),
@@ -78,6 +76,25 @@ def test_perplexities_against_the_formulas(spark, make_docs, prose, monkeypatch)
     assert sum(r.keep for r in got) >= 40
 
 
+def test_ngrams_in_small_slices(prose, monkeypatch):
+    texts = [b"", b"a", prose(1, 300).encode(), b"\xc3\xa9" * 50, prose(2, 900).encode()]
+    expected = Counter(int.from_bytes((b"\0" * 4 + t)[i:i + 5], "big") for t in texts for i in range(len(t)))
+    for size in (1 << 20, 700, 5):
+        monkeypatch.setattr(lm_quality, "SLICE", size)
+        keys, counts = lm_quality._counted(texts)
+        assert dict(zip(keys.tolist(), counts.tolist())) == expected
+        assert keys.tolist() == sorted(expected)
+        total = [0] * len(texts)
+        for grams, of, sizes in lm_quality._slices(texts):
+            assert len(grams) == sizes.sum()
+            for i, n in zip(of.tolist(), sizes.tolist()):
+                total[i] += n
+        assert total == [len(t) for t in texts]
+    assert lm_quality._got(lm_quality._put(keys)).tolist() == keys.tolist()
+    rows = [(1, "en", b"x"), (-5, "", b""), (2, "f\u00fc", prose(3).encode())]
+    assert lm_quality._unpack(lm_quality._pack(rows)) == rows
+
+
 def test_quality_without_labels_or_documents(spark, make_docs, prose):
     none = spark.createDataFrame([], LABELS)
     assert [r.keep for r in lm_quality.quality(make_docs([(1, prose(1)), (2, "%%")]), none).collect()] == [True, True]
@@ -125,7 +142,6 @@ def brute_matches(docs, items):
 
 def test_decontamination_against_brute_force(spark, make_docs, prose, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEMS", 5)
-    monkeypatch.setattr(decontaminate, "SLICE", 3000)
     items = [(i, prose(900 + i, 20 + 4 * i)) for i in range(10)] + [(20, "Only three words"), (21, ""), (22, None), (23, "...")]
     items += [(24, "ta ta ta ta ta ta ta ta ta ta"), (None, "no id at all here")]
     rows = [(100, None), (101, ""), (102, "one two"), (103, "x only THREE, words y"), (104, "ta " * 30)]
@@ -147,6 +163,18 @@ def test_decontamination_against_brute_force(spark, make_docs, prose, monkeypatc
     assert decontaminate.contaminated(make_docs(rows), benchmark.limit(0)).count() == 0
 
 
+def test_long_texts_in_parts(prose):
+    from fleetscope.llm.words import Words, parts
+    text = (prose(8, 2000) + "\n" + "x" * 900 + " " + prose(9, 300)).encode()
+    whole = Words([text])
+    for limit in (150, 1000, 10_000):
+        seen = {}
+        for part, first in parts(text, 40, limit):
+            for i, h in enumerate(Words([part]).hash.tolist()):
+                assert seen.setdefault(first + i, h) == h
+        assert [seen[i] for i in range(len(whole))] == whole.hash.tolist()
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     import random
 
