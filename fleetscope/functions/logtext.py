@@ -69,7 +69,7 @@ def valid_metric_name(name: Column | str = "metric_name") -> Column:
 def log_name(path: Column | str = "path") -> Column:
     """strip the /var/log/ root, else keep the base name."""
     p = _c(path)
-    return F.when(p.startswith(LOG_ROOT), F.substring(p, len(LOG_ROOT) + 1, 1 << 20)) \
+    return F.when(p.startswith(LOG_ROOT), F.substr(p, F.lit(len(LOG_ROOT) + 1))) \
         .otherwise(F.substring_index(p, "/", -1))
 
 

@@ -15,19 +15,19 @@ without collecting a rule's history into one task.
    resolves at the first non-breached tick e_i after it; the next fire is
    the first breached tick >= e_i + cooldown, in some later run j.  So
    next(i) = j is a pointer between runs, and the fired runs are the path
-   from the first breached run.  The run table of a rule is bounded by its
-   tick count, so behind a size check the path is followed in one grouped
-   task per rule; beyond it, pointer doubling (log2(#runs) rounds of joins,
-   each checkpointed) keeps every step distributed.
+   from the first breached run, found by pointer doubling: log2(#runs) rounds
+   of joins, each checkpointed, with every step distributed.
+
+Only servers with a heartbeat are evaluated (J8).  Events carry what the event
+table (S9), the outbox (F23) and the rule report (H4) read: an id made from
+rule, state and instant, the threshold and the severity.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.operators import alerts as A
@@ -75,10 +75,13 @@ def tick_scores(scores: DataFrame, as_of, tick_s: int = 30, window_min: int = 5)
 
 
 def breach_ticks(rules: DataFrame, metrics: DataFrame, scores: DataFrame | None, as_of,
-                 tick_s: int = 30) -> DataFrame:
+                 tick_s: int = 30, heartbeats: DataFrame | None = None) -> DataFrame:
     """(server, rule, tick_us, value, breached, cooldown_us) for every tick
-    the evaluator would act on."""
+    the evaluator would act on: rules of servers in ``heartbeats`` (None: of
+    all servers)."""
     r = A.enabled_rules(rules)
+    if heartbeats is not None:
+        r = r.join(heartbeats.select("server_id"), "server_id", "left_semi")
     tv = tick_values(metrics, as_of, tick_s)
     x = r.join(tv, SERIES, "inner")
     if scores is not None:
@@ -86,7 +89,7 @@ def breach_ticks(rules: DataFrame, metrics: DataFrame, scores: DataFrame | None,
     else:
         x = x.withColumn("score", F.lit(None).cast("double"))
     x = x.withColumn("breached", A.breach(F.col("value"), F.col("score"))).filter(F.col("breached").isNotNull())
-    return x.select(*RULE, "metric_name", "tick_us", "value", "breached",
+    return x.select(*RULE, "metric_name", "threshold", "severity", "tick_us", "value", "breached",
                     (F.col("cooldown_minutes").cast("long") * 60_000_000).alias("cooldown_us"))
 
 
@@ -97,7 +100,7 @@ def replay(ticks: DataFrame, max_rounds: int | None = None) -> DataFrame:
     # islands: a new run starts where the flag changes (lag per (rule, day) is
     # enough inside a chunk; the chunk edge uses the previous tick's flag)
     from fleetscope.operators.chunked import chunk_size, with_previous
-    chunk = chunk_size(None, t, RULE, "_ts")          # sized once for both scans
+    chunk = chunk_size()
     t = with_previous(t.withColumn("_b", F.col("breached").cast("int")), RULE, "_ts", ["_b"], prefix="_p",
                       chunk_us=chunk)
     t = t.withColumn("_new", F.when(F.col("_p_b").isNull() | (F.col("_p_b") != F.col("_b")), 1.0).otherwise(0.0))
@@ -124,12 +127,10 @@ def replay(ticks: DataFrame, max_rounds: int | None = None) -> DataFrame:
            .select(*RULE, "i", "j"))
     nxt = cut_lineage(nxt)
 
-    n_max = b.groupBy(*RULE).count().agg(F.max("count")).first()[0] or 1
-    if max_rounds is None and n_max <= MAX_RUNS_PER_TASK:
-        path = _path_by_chase(b, nxt)
-    else:
-        path = _path_by_doubling(b, nxt, max_rounds if max_rounds is not None
-                                 else max(1, math.ceil(math.log2(n_max + 1))))
+    if max_rounds is None:
+        n_max = b.groupBy(*RULE).count().agg(F.max("count")).first()[0] or 1
+        max_rounds = max(1, math.ceil(math.log2(n_max + 1)))
+    path = _path_by_doubling(b, nxt, max_rounds)
 
     # fire tick: first run -> its start; later runs -> first tick >= target of
     # the predecessor on the path
@@ -146,36 +147,15 @@ def replay(ticks: DataFrame, max_rounds: int | None = None) -> DataFrame:
     res_runs = path.join(b.select(*RULE, "run", "resolve_us"), [*RULE, "run"]).filter(F.col("resolve_us").isNotNull())
     resolves = (res_runs.join(t.select(*RULE, F.col("tick_us").alias("resolve_us"), "value"), [*RULE, "resolve_us"])
                 .select(*RULE, F.col("resolve_us").alias("tick_us"), "value", F.lit("RESOLVED").alias("state")))
-    meta = t.select(*RULE, "metric_name").distinct()
+    meta = t.select(*RULE, "metric_name", "threshold", "severity").distinct()
     return (fires.unionByName(resolves).join(meta, RULE)
-            .select(*RULE, "metric_name", "state", F.timestamp_micros("tick_us").alias("triggered_at"), "value"))
-
-
-# A rule is evaluated once per tick, so its breached runs are bounded by the
-# history length over the tick interval (90 days / 30 s -> at most ~130 000
-# runs) whatever the sample volume of its series.  Up to this many runs per
-# rule the chain is followed inside one task per rule; beyond it, pointer
-# doubling keeps every step distributed.
-MAX_RUNS_PER_TASK = 2_000_000
+            .select(event_id().alias("event_id"), *RULE, "metric_name", "threshold", "severity", "state",
+                    F.timestamp_micros("tick_us").alias("triggered_at"), "value"))
 
 
-def _path_by_chase(b: DataFrame, nxt: DataFrame) -> DataFrame:
-    """Fired runs: follow next() from the first breached run of each rule,
-    one grouped pass over the (bounded) run table of the rule."""
-    runs = (b.select(*RULE, "run").join(nxt.withColumnRenamed("i", "run"), [*RULE, "run"], "left")
-            .select(*RULE, "run", "j"))
-
-    def chase(pdf):
-        nxt_of = dict(zip(pdf["run"].tolist(), pdf["j"].tolist()))
-        p, out = int(pdf["run"].min()), []
-        while p is not None and p == p:            # NaN-safe: a missing next ends the chain
-            out.append(p)
-            q = nxt_of.get(p)
-            p = None if q is None or q != q else int(q)
-        return pd.DataFrame({"server_id": pdf["server_id"].iloc[0], "rule_id": pdf["rule_id"].iloc[0],
-                             "run": out})
-
-    return runs.groupBy(*RULE).applyInPandas(chase, "server_id string, rule_id string, run long")
+def event_id() -> Column:
+    """The same event always has the same id, in batch and stream."""
+    return F.md5(F.concat_ws("|", "server_id", "rule_id", "state", F.col("tick_us").cast("string")))
 
 
 def _path_by_doubling(b: DataFrame, nxt: DataFrame, rounds: int) -> DataFrame:
@@ -198,20 +178,3 @@ def _path_by_doubling(b: DataFrame, nxt: DataFrame, rounds: int) -> DataFrame:
         if k % 3 == 2:      # bound the plan depth; jump tables are already cut
             path = cut_lineage(path)
     return path.withColumnRenamed("i", "run")
-
-
-def replay_reference(rows: list[tuple]) -> list[tuple]:
-    """Sequential replay for tests: rows = (rule, tick_us, value, breached,
-    cooldown_us) sorted; returns (rule, state, tick_us, value)."""
-    out, state = [], {}
-    for rule, tick, value, breached, cd in rows:
-        st = state.setdefault(rule, {"state": "INACTIVE", "resolved": None})
-        if breached and st["state"] != "FIRING":
-            if st["resolved"] is not None and tick - st["resolved"] < cd:
-                continue
-            out.append((rule, "FIRING", tick, value))
-            st["state"] = "FIRING"
-        elif not breached and st["state"] == "FIRING":
-            out.append((rule, "RESOLVED", tick, value))
-            st["state"], st["resolved"] = "RESOLVED", tick
-    return out

@@ -126,16 +126,26 @@ def iso_seconds_or_micros(ts: Column) -> Column:
     return F.concat(whole, F.when(frac != "000000", F.concat(F.lit("."), frac)).otherwise(F.lit("")), F.lit("Z"))
 
 
+def plain_number(x: Column) -> Column:
+    """A double as Python prints it between 1e-4 and 1e16: no exponent, and
+    ``.0`` after a whole number."""
+    whole = (x == F.floor(x)) & (F.abs(x) >= 1e7) & (F.abs(x) < 1e16)
+    large = (F.abs(x) >= 1e7) & (F.abs(x) < 1e16)
+    digits = F.regexp_replace(x.cast("string").cast("decimal(38,10)").cast("string"), "0+$", "")
+    return (F.when(whole, F.concat(x.cast("long").cast("string"), F.lit(".0"))).when(large, digits)
+            .otherwise(x.cast("string")))
+
+
 def notification_outbox(events: DataFrame, webhooks: DataFrame) -> DataFrame:
     """F23 + J6: one webhook payload per event of a server that has a
     webhook.  The webhook table holds one row per server (bounded by the
     fleet size), so the join can broadcast it."""
     icon = F.when(F.col("state") == "FIRING", F.lit(ICON_FIRING)).otherwise(F.lit(ICON_OTHER))
     text = F.concat(icon, F.lit(" "), F.col("state"), F.lit(": "), F.col("metric_name"), F.lit(" "),
-                    F.lit(OP_SYMBOL), F.lit(" "), F.col("threshold").cast("string"), F.lit(" em "),
+                    F.lit(OP_SYMBOL), F.lit(" "), plain_number(F.col("threshold")), F.lit(" em "),
                     F.col("server_id"), F.lit(" (valor: "), F.format_string("%.2f", F.col("value")), F.lit(")"))
     payload = F.to_json(F.struct(
         text.alias("text"), "server_id", "metric_name", "value", "threshold", "severity", "state",
-        iso_seconds_or_micros(F.col("triggered_at")).alias("triggered_at")))
+        iso_seconds_or_micros(F.col("triggered_at")).alias("triggered_at")), {"ignoreNullFields": "false"})
     return (events.join(webhooks, "server_id", "inner")
             .select("event_id", "server_id", "url", text.alias("text"), payload.alias("payload")))

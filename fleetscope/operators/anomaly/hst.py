@@ -6,17 +6,18 @@ the point counts of window k-1 (windows of ``window`` consecutive points per
 series).  So "score, then learn" over a stream equals:
 
 1. number the points of each series (exact chunked row index);
-2. find each point's leaf in every tree (an Arrow-batched pandas UDF walks
-   the small, seed-derived trees; no per-row Python);
-3. count points per (series, window, tree, node) - an aggregation;
-4. join each point's path with the counts of the previous window and take
-   the mass at the terminal node (first node below ``size_limit`` or the
-   leaf): score = 1 - sum(mass * 2^depth) / (n_trees * window * 2^height).
-
-Points of the first window score 0 (no reference masses yet).  Every
-series is independent and windows are bounded, so nothing is collected per
-series.  Trees: each node halves the current range of a random feature;
-the workspace is randomly perturbed per tree, as in the paper.
+2. deal them out by (series, run of consecutive windows), the points of a
+   run's last window also to the next run as its reference;
+3. in each run, find every point's leaf in every tree, count the points per
+   (window, tree, node), and score each point against the counts of the window
+   before: down each tree, masses times 2^depth are added up to and including
+   the first node whose mass is below ``LIMIT`` of a window, and
+   score = 1 - sum / (n_trees * window * (2^(height + 1) - 1)).
+
+Points of the first window score 0 (no reference masses yet).  A run is
+bounded, so a long series is many tasks; nothing is collected per series.
+Trees: each node halves the current range of a random feature; the workspace
+is randomly perturbed per tree, as in the paper.
 """
 
 from __future__ import annotations
@@ -35,9 +36,15 @@ N_TREES = 10
 HEIGHT = 8
 WINDOW = 250
 SEED = 42
+LIMIT = 0.1                  # of a window: a node of less mass ends the walk
 # -----------------------------------------------------------------------------
 
 KEY = ["server_id", "metric_name"]
+WINDOWS_PER_TASK = 64
+
+
+def max_score(n_trees: int, height: int, window: int) -> float:
+    return float(n_trees * window * (2 ** (height + 1) - 1))
 
 
 def make_trees(n_features: int, n_trees: int = N_TREES, height: int = HEIGHT, seed: int = SEED,
@@ -84,12 +91,48 @@ def leaves(x: np.ndarray, feat: np.ndarray, split: np.ndarray, height: int) -> n
     return out
 
 
-def _leaf_udf(feat: np.ndarray, split: np.ndarray, height: int):
-    @F.pandas_udf("array<int>")
-    def leaf_of(v: pd.DataFrame) -> pd.Series:
-        x = v[FEATURES].to_numpy(dtype=np.float64)
-        return pd.Series(list(leaves(x, feat, split, height).astype(np.int32)))
-    return leaf_of
+def node_paths(leaf: np.ndarray, height: int) -> np.ndarray:
+    """(point, tree, depth): the nodes from root to leaf, in 1-based heap order."""
+    return (leaf[:, :, None] + 2 ** height) >> (height - np.arange(height + 1))
+
+
+def node_masses(paths: np.ndarray, window_of: np.ndarray, windows: int, height: int) -> np.ndarray:
+    """(window, tree, node): how many points went through each node."""
+    n_trees, width = paths.shape[1], 2 ** (height + 1)
+    cell = (window_of[:, None, None] * n_trees + np.arange(n_trees)[None, :, None]) * width + paths
+    return np.bincount(cell.ravel(), minlength=windows * n_trees * width).reshape(windows, n_trees, width)
+
+
+def point_scores(paths: np.ndarray, reference: np.ndarray, window: int) -> np.ndarray:
+    """Scores against ``reference`` masses, (tree, node) or one such per point."""
+    n_trees, height = paths.shape[1], paths.shape[2] - 1
+    trees = np.arange(n_trees)[None, :, None]
+    mass = (reference[trees, paths] if reference.ndim == 2
+            else reference[np.arange(len(paths))[:, None, None], trees, paths])
+    small = mass < LIMIT * window
+    stop = np.where(small.any(axis=2), small.argmax(axis=2), height)
+    depth = np.arange(height + 1)
+    total = (mass * 2.0 ** depth * (depth <= stop[:, :, None])).sum(axis=(1, 2))
+    return np.clip(1.0 - total / max_score(n_trees, height, window), 0.0, 1.0)
+
+
+def _score_run(feat: np.ndarray, split: np.ndarray, height: int, window: int):
+    """Score the points of a run of windows; rows of the window before it only
+    count as reference."""
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(pdf["run"].iloc[0]) * WINDOWS_PER_TASK - 1      # the reference window of the run
+        win = (pdf["idx"].to_numpy() // window - first).astype(np.int64)
+        paths = node_paths(leaves(pdf[FEATURES].to_numpy(dtype=np.float64), feat, split, height), height)
+        masses = node_masses(paths, win, WINDOWS_PER_TASK + 1, height)
+        scores = np.zeros(len(pdf))
+        for w in range(1, WINDOWS_PER_TASK + 1):
+            own = win == w
+            if first + w > 0 and own.any():
+                scores[own] = point_scores(paths[own], masses[w - 1], window)
+        own = win > 0
+        return pd.DataFrame({"server_id": pdf["server_id"][own], "metric_name": pdf["metric_name"][own],
+                             "ts": pdf["ts"][own], "score": scores[own]})
+    return fn
 
 
 def with_time_features(metrics: DataFrame) -> DataFrame:
@@ -100,51 +143,18 @@ def with_time_features(metrics: DataFrame) -> DataFrame:
 
 
 def online_scores(metrics: DataFrame, n_trees: int = N_TREES, height: int = HEIGHT, window: int = WINDOW,
-                  seed: int = SEED, scale: str = "none", chunk_us: int | None = None) -> DataFrame:
-    """R5 replay: (server_id, metric_name, ts, score) for every sample.
-
-    ``scale='none'`` feeds raw values with the default (0, 1) workspace, as
-    the reference does; ``scale='minmax'`` first rescales each feature to
-    [0, 1] with the series' own min/max (a per-series aggregate)."""
+                  seed: int = SEED, chunk_us: int | None = None) -> DataFrame:
+    """R5 replay: (server_id, metric_name, ts, score) for every sample.  Values
+    are fed as they are, with the default (0, 1) workspace, as the reference
+    does; bounds of a whole series would look into the future."""
     x = with_time_features(metrics.select(*KEY, "ts", "value"))
-    if scale == "minmax":
-        # per-series bounds as a partial aggregate joined back (no whole-series window)
-        b = x.groupBy(*KEY).agg(*[F.min(c).alias(f"_lo_{c}") for c in FEATURES],
-                                *[F.max(c).alias(f"_hi_{c}") for c in FEATURES])
-        x = x.join(b, KEY)
-        for c in FEATURES:
-            lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
-            x = x.withColumn(c, F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(0.5)))
-        x = x.drop(*[f"_lo_{c}" for c in FEATURES], *[f"_hi_{c}" for c in FEATURES])
     feat, split = make_trees(len(FEATURES), n_trees, height, seed)
     x = row_index(x, KEY, "ts", ["value"], out="idx", chunk_us=chunk_us)
-    x = x.withColumn("win", (F.col("idx") / window).cast("long"))
-    x = x.withColumn("leaves", _leaf_udf(feat, split, height)(F.struct(*FEATURES)))
-    pts = x.select(*KEY, "ts", "idx", "win", F.posexplode("leaves").alias("tree", "leaf"))
-    # masses of every node per (series, window, tree): leaf counts rolled up
-    leaf_n = pts.groupBy(*KEY, "win", "tree", "leaf").agg(F.count(F.lit(1)).alias("n"))
-    depth = F.explode(F.sequence(F.lit(0), F.lit(height))).alias("depth")
-    heap = F.lit(2 ** height) + F.col("leaf")
-    # ancestor of the leaf at ``depth`` in 1-based heap numbering
-    node = F.floor(heap / F.pow(F.lit(2.0), F.lit(height) - F.col("depth"))).cast("long")
-    mass = (leaf_n.select(*KEY, "win", "tree", "n", "leaf", depth)
-            .groupBy(*KEY, (F.col("win") + 1).alias("win"), "tree", "depth", node.alias("node"))
-            .agg(F.sum("n").alias("r")))
-    path = pts.select(*KEY, "ts", "idx", "win", "tree", "leaf", depth).withColumn("node", node).drop("leaf")
-    j = path.join(mass, [*KEY, "win", "tree", "depth", "node"], "left").withColumn("r", F.coalesce("r", F.lit(0)))
-    limit = 0.1 * window
-    per_tree = (j.groupBy(*KEY, "ts", "idx", "win", "tree")
-                .agg(F.min(F.when(F.col("r") < limit, F.col("depth"))).alias("_stop"),
-                     F.collect_list(F.struct("depth", "r")).alias("_p")))
-    stop = F.coalesce(F.col("_stop"), F.lit(height))
-    at_stop = F.aggregate(F.filter("_p", lambda e: e["depth"] == stop), F.lit(0).cast("long"),
-                          lambda a, e: a + e["r"])
-    per_tree = per_tree.withColumn("s", at_stop * F.pow(F.lit(2.0), stop))
-    max_score = float(n_trees * window * 2 ** height)
-    per_point = per_tree.groupBy(*KEY, "ts", "idx", "win").agg(F.sum("s").alias("s"))
-    score = F.when(F.col("win") == 0, F.lit(0.0)).otherwise(
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("s") / max_score)))
-    return per_point.select(*KEY, "ts", score.alias("score"))
+    win = F.floor(F.col("idx") / window)
+    run = F.floor(win / WINDOWS_PER_TASK)
+    last = win % WINDOWS_PER_TASK == WINDOWS_PER_TASK - 1
+    x = x.withColumn("run", F.explode(F.when(last, F.array(run, run + 1)).otherwise(F.array(run))))
+    return x.groupBy(*KEY, "run").applyInPandas(_score_run(feat, split, height, window), HST_OUT_SCHEMA)
 
 
 # --- streaming twin ------------------------------------------------------------
@@ -156,33 +166,26 @@ HST_OUT_SCHEMA = "server_id string, metric_name string, ts timestamp, score doub
 def _stream_fn(feat: np.ndarray, split: np.ndarray, height: int, window: int):
     n_trees = feat.shape[0]
     width = 2 ** (height + 1)
-    limit = 0.1 * window
-    max_score = float(n_trees * window * 2 ** height)
 
     def fn(key, batches, state):
         if state.exists:
             idx, l_, r_ = state.get
-            l_m = np.asarray(l_, dtype=np.int64).reshape(n_trees, width)
-            r_m = np.asarray(r_, dtype=np.int64).reshape(n_trees, width)
+            learned = np.asarray(l_, dtype=np.int64).reshape(n_trees, width)
+            reference = np.asarray(r_, dtype=np.int64).reshape(n_trees, width)
         else:
-            idx, l_m, r_m = 0, np.zeros((n_trees, width), np.int64), np.zeros((n_trees, width), np.int64)
+            idx, learned, reference = 0, np.zeros((n_trees, width), np.int64), np.zeros((n_trees, width), np.int64)
         rows = pd.concat(list(batches)).sort_values(["ts", "value"], kind="mergesort")
-        lv = leaves(rows[FEATURES].to_numpy(dtype=np.float64), feat, split, height)
-        scores = np.zeros(len(rows))
-        for i in range(len(rows)):
-            heap = (2 ** height) + lv[i]                      # leaf per tree, 1-based heap ids
-            paths = heap[:, None] >> (height - np.arange(height + 1))[None, :]   # (trees, depth)
+        paths = node_paths(leaves(rows[FEATURES].to_numpy(dtype=np.float64), feat, split, height), height)
+        scores, a = np.zeros(len(rows)), 0
+        while a < len(rows):                       # slices that end with a window
+            b = min(len(rows), a + window - idx % window)
             if idx >= window:
-                masses = r_m[np.arange(n_trees)[:, None], paths]
-                small = masses < limit
-                stop = np.where(small.any(axis=1), small.argmax(axis=1), height)
-                s = (masses[np.arange(n_trees), stop] * (2.0 ** stop)).sum()
-                scores[i] = min(1.0, max(0.0, 1.0 - s / max_score))
-            np.add.at(l_m, (np.repeat(np.arange(n_trees), height + 1), paths.ravel()), 1)
-            idx += 1
+                scores[a:b] = point_scores(paths[a:b], reference, window)
+            learned = learned + node_masses(paths[a:b], np.zeros(b - a, np.int64), 1, height)[0]
+            idx, a = idx + b - a, b
             if idx % window == 0:
-                r_m, l_m = l_m, np.zeros_like(l_m)
-        state.update((int(idx), l_m.ravel().tolist(), r_m.ravel().tolist()))
+                reference, learned = learned, np.zeros_like(learned)
+        state.update((int(idx), learned.ravel().tolist(), reference.ravel().tolist()))
         yield pd.DataFrame({"server_id": rows["server_id"].to_numpy(), "metric_name": rows["metric_name"].to_numpy(),
                             "ts": rows["ts"].to_numpy(), "score": scores})
     return fn
@@ -192,7 +195,7 @@ def stream_scores(metrics: DataFrame, n_trees: int = N_TREES, height: int = HEIG
                   seed: int = SEED) -> DataFrame:
     """R5 stream: score-then-learn per (server, metric) with the tree masses
     and the point count in the state store (``applyInPandasWithState``).
-    Fed in time order it yields exactly ``online_scores(scale='none')``."""
+    Fed in time order it yields exactly ``online_scores``."""
     from pyspark.sql.streaming.state import GroupStateTimeout
     feat, split = make_trees(len(FEATURES), n_trees, height, seed)
     x = with_time_features(metrics.select(*KEY, "ts", "value"))

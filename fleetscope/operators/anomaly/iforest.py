@@ -3,9 +3,11 @@
 Spark does the data work; numpy only builds and walks trees inside tasks:
 
 * A23 gate: series with fewer than ``min_samples`` feature rows are skipped.
-* M2 train: each series contributes a hash sample bounded by
-  ``n_trees * sample_size`` rows (a map-side filter, no sort), grouped per
-  series into ``applyInPandas`` -> one model row per tree.
+* M2 train: every tree draws its ``sample_size`` rows from all rows of its
+  series, by a hash of (row, tree): a row is sent to the trees whose hash is
+  low enough, and each tree keeps its lowest.  Rows meet per (series, block of
+  trees), so a long series is trained by many tasks, and the same data and
+  seed give the same forest whatever the partitioning.
 * M3 score: feature rows are spread over ``ceil(n / rows_per_task)`` salts
   per series and cogrouped with that series' trees, so a huge series is
   scored by many tasks.
@@ -39,6 +41,10 @@ SAMPLE_SIZE = 256
 SEED = 42
 # -----------------------------------------------------------------------------
 
+# trees that one grouped task builds, and how many times its sample a tree is sent on average
+TREES_PER_TASK = 10
+OVERDRAW = 1.5
+
 KEY = ["server_id", "metric_name"]
 TREE_SCHEMA = ("server_id string, metric_name string, tree_id int, feature array<int>, split array<double>, "
                "left array<int>, right array<int>, size array<int>, sample_size int")
@@ -96,19 +102,17 @@ def path_lengths(x: np.ndarray, feat, split, left, right, size) -> np.ndarray:
     return depth + _c(size[node])
 
 
-def _train_group(n_trees: int, sample_size: int, seed: int):
+def _train_group(sample_size: int, seed: int):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[FEATURES].to_numpy(dtype=np.float64)
         key = (pdf["server_id"].iloc[0], pdf["metric_name"].iloc[0])
-        # stable per-series seed: same data and seed -> same forest
-        rng = np.random.default_rng([seed, zlib.crc32(f"{key[0]}\x00{key[1]}".encode())])
-        psi = min(sample_size, len(x))
+        series = zlib.crc32(f"{key[0]}\x00{key[1]}".encode())
+        psi = int(min(sample_size, pdf["n"].iloc[0]))
         depth = max(1, math.ceil(math.log2(max(psi, 2))))
         rows = []
-        for t in range(n_trees):
-            pick = rng.choice(len(x), size=psi, replace=False)
-            fe, sp, le, ri, sz = build_tree(x[pick], rng, depth)
-            rows.append((key[0], key[1], t, fe, sp, le, ri, sz, psi))
+        for t, own in pdf.groupby("tree_id"):
+            x = own.sort_values(["h", *FEATURES])[FEATURES].to_numpy(dtype=np.float64)[:psi]
+            tree = build_tree(x, np.random.default_rng([seed, series, int(t)]), depth)
+            rows.append((*key, int(t), *tree, psi))
         return pd.DataFrame(rows, columns=["server_id", "metric_name", "tree_id", "feature", "split",
                                            "left", "right", "size", "sample_size"])
     return fn
@@ -139,13 +143,18 @@ def train(features: DataFrame, min_samples: int = MIN_SAMPLES, n_trees: int = N_
           sample_size: int = SAMPLE_SIZE, seed: int = SEED, version: str = "v1") -> DataFrame:
     """M2: one row per (series, tree)."""
     counts = eligible(features, min_samples)
-    cap = n_trees * sample_size
     x = features.join(counts, KEY, "inner")
-    # bounded per-series sample, kept map-side: P(keep) = cap / n
-    h = F.abs(F.xxhash64(*KEY, "ts", F.lit(seed))) % 1_000_000
-    x = x.filter(h < F.least(F.lit(1.0), F.lit(float(cap)) / F.col("n")) * 1_000_000)
-    trees = (x.select(*KEY, *FEATURES).groupBy(*KEY)
-             .applyInPandas(_train_group(n_trees, sample_size, seed), TREE_SCHEMA))
+    steps = 1 << 40
+    # a share of rows per tree that holds its sample with room to spare; each
+    # tree then keeps exactly its lowest hashes
+    share = F.least(F.lit(1.0), F.lit(float(OVERDRAW * sample_size)) / F.col("n"))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(
+        t.alias("tree_id"), F.pmod(F.xxhash64(F.lit(seed), t, "ts", *FEATURES), F.lit(steps)).alias("h")))
+    drawn = F.explode(F.filter(draws, lambda d: d["h"] < share * steps)).alias("d")
+    trees = (x.select(*KEY, "n", *FEATURES, drawn)
+             .select(*KEY, "n", *FEATURES, "d.tree_id", "d.h")
+             .groupBy(*KEY, F.floor(F.col("tree_id") / TREES_PER_TASK).alias("block"))
+             .applyInPandas(_train_group(sample_size, seed), TREE_SCHEMA))
     return trees.withColumn("version", F.lit(version))
 
 
@@ -155,7 +164,7 @@ def raw_scores(features: DataFrame, trees: DataFrame, rows_per_task: int = 200_0
     counts = features.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
     salts = counts.withColumn("_salts", F.greatest(F.lit(1), F.ceil(F.col("_n") / rows_per_task).cast("int")))
     f = (features.join(salts.select(*KEY, "_salts"), KEY, "inner")
-         .withColumn("_salt", (F.abs(F.xxhash64("ts")) % F.col("_salts")).cast("int"))
+         .withColumn("_salt", F.pmod(F.xxhash64("ts"), F.col("_salts")).cast("int"))
          .select(*KEY, "_salt", "ts", *FEATURES))
     t = (trees.join(salts.select(*KEY, "_salts"), KEY, "inner")
          .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))

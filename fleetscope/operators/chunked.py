@@ -11,7 +11,8 @@ chunk edges exactly:
   summary (a few rows per chunk, tiny next to the data) is windowed per
   series and joined back, so values carry across any number of empty chunks.
 
-All helpers are exact: the chunk size changes the plan, never the result.
+The chunk size changes the plan, not the result, but for the last digits of
+running sums of doubles.
 """
 
 from __future__ import annotations
@@ -25,70 +26,31 @@ DAY_US = 86_400_000_000
 CHUNK_CONF = "fleetscope.chunk.seconds"
 
 
-TARGET_ROWS = 1_000_000       # rows of the densest series per chunk in "auto" mode
+DEFAULT_S = 3600
 
 
-def chunk_size(chunk_us: int | None, df: DataFrame | None = None, keys: list[str] | None = None,
-               ts: str | None = None, floor_us: int = 60_000_000) -> int:
+def chunk_size(chunk_us: int | None = None, floor_us: int = 60_000_000) -> int:
     """Chunk length in microseconds: the argument, else the session setting
-    ``fleetscope.chunk.seconds``: a number of seconds, or ``auto`` (the
-    default) which sizes the chunk from the data: one aggregate finds the densest series (rows per unit of
-    time) and the chunk holds about ``TARGET_ROWS`` of its rows, never less
-    than the operator's frame nor more than a day.  A series with a third of
-    all rows is then cut into many tasks; sparse series simply have few
-    non-empty chunks.  Results never depend on the chunk length."""
+    ``fleetscope.chunk.seconds`` (an hour by default), never less than the
+    operator's frame.  It is a setting and not measured from the data, so that
+    building a plan starts no job."""
     if chunk_us:
         return int(chunk_us)
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
-    secs = (spark.conf.get(CHUNK_CONF, None) if spark is not None else None) or "auto"
-    if secs == "auto" and df is not None:
-        return auto_chunk_us(df, keys or [], ts, floor_us)
-    return max(floor_us, int(float(secs) * 1_000_000)) if secs and secs != "auto" else DAY_US
-
-
-def auto_chunk_us(df: DataFrame, keys: list[str], ts: str, floor_us: int) -> int:
-    us = F.unix_micros(ts)
-    dens = (df.groupBy(*keys).agg((F.count(F.lit(1)) / F.greatest(F.max(us) - F.min(us), F.lit(1))).alias("d"))
-            .agg(F.max("d")).first()[0])
-    if not dens:
-        return DAY_US
-    return int(max(floor_us, min(DAY_US, TARGET_ROWS / dens)))
+    seconds = (spark.conf.get(CHUNK_CONF, None) if spark is not None else None) or DEFAULT_S
+    return max(floor_us, int(float(seconds) * 1_000_000))
 
 
 def _us(ts: str) -> Column:
     return F.unix_micros(F.col(ts))
 
 
-def rolling_stats(df: DataFrame, keys: list[str], ts: str, value: str, window_us: int,
-                  chunk_us: int | None = None, prefix: str = "roll") -> DataFrame:
-    """Mean, sample std and count of ``value`` over the half-open frame
-    (t - window, t] per series; adds ``{prefix}_mean``, ``{prefix}_std``,
-    ``{prefix}_n``.  ``window_us`` must not exceed ``chunk_us``."""
-    chunk_us = chunk_size(chunk_us, df, keys, ts, floor_us=window_us)
-    if window_us > chunk_us:
-        raise ValueError("rolling window longer than the chunk")
-    us = _us(ts)
-    chunk = idiv(us, chunk_us)
-    next_start = (chunk + 1) * F.lit(chunk_us)
-    copies = F.when(us > next_start - window_us, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    x = (df.withColumn("_us", us)
-         .withColumn("_copy", F.explode(copies))
-         .withColumn("_chunk", chunk + F.col("_copy")))
-    w = (Window.partitionBy(*keys, "_chunk").orderBy("_us")
-         .rangeBetween(-(window_us - 1), 0))
-    return (x.withColumn(f"{prefix}_mean", F.avg(value).over(w))
-            .withColumn(f"{prefix}_std", F.coalesce(F.stddev_samp(value).over(w), F.lit(0.0)))
-            .withColumn(f"{prefix}_n", F.count(value).over(w))
-            .filter(F.col("_copy") == 0)
-            .drop("_us", "_copy", "_chunk"))
-
-
 def with_previous(df: DataFrame, keys: list[str], ts: str, cols: list[str],
                   chunk_us: int | None = None, prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<ts>`` and ``prev_<col>`` = the previous row of the series
     (by ``ts``), also when it lies in an earlier chunk."""
-    chunk_us = chunk_size(chunk_us, df, keys, ts)
+    chunk_us = chunk_size(chunk_us)
     us = _us(ts)
     x = df.withColumn("_us", us).withColumn("_chunk", idiv(us, chunk_us))
     w = Window.partitionBy(*keys, "_chunk").orderBy("_us")
@@ -117,7 +79,7 @@ def row_index(df: DataFrame, keys: list[str], ts: str, tiebreak: list[str] | Non
     """0-based position of every row in its series (``ts`` order, then
     ``tiebreak``): row number inside the chunk plus the row count of all
     earlier chunks."""
-    chunk_us = chunk_size(chunk_us, df, keys, ts)
+    chunk_us = chunk_size(chunk_us)
     us = _us(ts)
     x = df.withColumn("_us", us).withColumn("_chunk", idiv(us, chunk_us))
     w = Window.partitionBy(*keys, "_chunk").orderBy("_us", *(tiebreak or []))
@@ -134,7 +96,7 @@ def running_sum(df: DataFrame, keys: list[str], ts: str, value: str, out: str,
                 chunk_us: int | None = None) -> DataFrame:
     """Cumulative sum of ``value`` per series in ``ts`` order (ties summed
     together, as a RANGE frame does)."""
-    chunk_us = chunk_size(chunk_us, df, keys, ts)
+    chunk_us = chunk_size(chunk_us)
     us = _us(ts)
     x = df.withColumn("_us", us).withColumn("_chunk", idiv(us, chunk_us))
     w = (Window.partitionBy(*keys, "_chunk").orderBy("_us")
@@ -154,7 +116,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], ts: str, value:
     the ``right`` row of the same series nearest in time; equal distance goes
     to the earlier point, distance is unbounded.  No range self-join: both
     sides are unioned and scanned once per (series, chunk)."""
-    chunk_us = chunk_size(chunk_us, right, keys, ts)
+    chunk_us = chunk_size(chunk_us)
     lcols = left.columns
     l_ = left.withColumn("_side", F.lit(1)).withColumn("_rv", F.lit(None).cast("double"))
     r_ = (right.select(*keys, ts, F.col(value).cast("double").alias("_rv"))

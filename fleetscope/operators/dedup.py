@@ -19,15 +19,31 @@ def latest_version(df: DataFrame, keys: list[str], version: str | Column) -> Dat
     if all(isinstance(df.schema[c].dataType, fixed) for c in rest):
         # fixed-width buffers keep this a hash aggregate (no sort)
         return df.groupBy(*keys).agg(*[F.max_by(c, v).alias(c) for c in rest]).select(*df.columns)
+    # strings and arrays do not fit a hash aggregate's buffers: find the highest
+    # version per key first (a long), and pack only the rows that have it
+    top = df.select(*keys, v.alias("_v")).groupBy(*keys).agg(F.max("_v").alias("_top"))
+    newest = df.withColumn("_v", v).join(top, keys).where(F.col("_v").eqNullSafe(F.col("_top")))
     packed = F.struct(*[F.col(c) for c in rest])
-    return (df.groupBy(*keys).agg(F.max_by(packed, v).alias("_row"))
+    return (newest.groupBy(*keys).agg(F.max_by(packed, "_v").alias("_row"), F.min(packed).alias("_any"))
+            .withColumn("_row", F.coalesce("_row", "_any"))
             .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
             .select(*df.columns))
 
 
-def newest_n(df: DataFrame, keys: list[str], ts: str, n: int, tiebreak: list[str] | None = None) -> DataFrame:
-    """Newest ``n`` rows per key (``row_number`` rank filter,
-    which Spark plans as a per-partition group limit before the shuffle)."""
+def newest_n(df: DataFrame, keys: list[str], ts: str, n: int | Column, tiebreak: list[str] | None = None) -> DataFrame:
+    """Newest ``n`` rows per key (a number, or an expression of
+    the key), rows without an instant last.
+
+    Rows are counted per key and day first (two columns, combined on the map
+    side); only the days that can hold one of the newest ``n`` are ranked, so a
+    hot key sends its newest days to a task and not its history."""
+    day = F.coalesce(F.date_trunc("day", F.col(ts)), F.lit("0001-01-01").cast("timestamp")).cast("timestamp")
+    counts = df.select(*keys, day.alias("_day")).groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_n"))
+    newer = (Window.partitionBy(*keys).orderBy(F.col("_day").desc())
+             .rowsBetween(Window.unboundedPreceding, -1))
+    cut = (counts.withColumn("_before", F.coalesce(F.sum("_n").over(newer), F.lit(0))).where(F.col("_before") < n)
+           .groupBy(*keys).agg(F.min("_day").alias("_from")))
     order = [F.col(ts).desc()] + [F.col(c).desc() for c in (tiebreak or [])]
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    return (df.join(cut, keys).where(day >= F.col("_from")).withColumn("_rn", F.row_number().over(w))
+            .where(F.col("_rn") <= n).select(*df.columns))

@@ -8,7 +8,7 @@ exact edge repair (``operators.chunked``), so a hot series is never one task.
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +37,7 @@ def compute_features(metrics: DataFrame, keys: list[str] | None = None,
     the per-chunk summary, which is aggregated on the already partitioned
     window output and joined back."""
     keys = keys or SERIES
-    chunk_us = chunked.chunk_size(chunk_us, metrics, keys, "ts", floor_us=ROLLING_US)
+    chunk_us = chunked.chunk_size(chunk_us, floor_us=ROLLING_US)
     if ROLLING_US > chunk_us:
         raise ValueError("chunk shorter than the rolling window")
     us = F.unix_micros("ts")
@@ -83,27 +83,26 @@ def incremental_features(metrics: DataFrame, stored: DataFrame | None, as_of,
     """R2: the rows the hourly job appends.
 
     Per series: with no stored features, start at as_of - 30 days; otherwise
-    re-read from watermark - 10 minutes (warm-up for the rolling frame) plus
-    the single sample before that buffer (so the first new rate is exact) and
+    re-read from watermark - 10 minutes (warm-up for the rolling frame, and it
+    holds the sample at the watermark, the first new row's predecessor) and
     emit only rows strictly newer than the watermark.  Late rows at or before
     the watermark are never computed, as in the reference.  All series in one
     job: the watermark table (one row per series) is joined, not looped."""
     first_start = ts_lit(to_dt(as_of) - timedelta(days=lookback_days))
     m = metrics.select(*SERIES, "ts", "value")
-    # sized once on the raw samples, not on the joined/unioned frame below
-    chunk_us = chunked.chunk_size(chunk_us, m, SERIES, "ts", floor_us=ROLLING_US)
+    chunk_us = chunked.chunk_size(chunk_us, floor_us=ROLLING_US)
     if stored is None:
         return compute_features(m.filter(F.col("ts") >= first_start), chunk_us=chunk_us)
     wm = stored.groupBy(*SERIES).agg(F.max("ts").alias("watermark"))
-    x = m.join(wm, SERIES, "left")
+    # one scalar from the stored features: a literal bound that prunes the scan
+    low = wm.agg(F.min(F.unix_micros("watermark"))).first()[0]
+    oldest = to_dt(as_of) - timedelta(days=lookback_days)
+    if low is not None:
+        oldest = min(oldest, datetime(1970, 1, 1) + timedelta(microseconds=low, minutes=-buffer_minutes))
+    x = m.filter(F.col("ts") >= ts_lit(oldest)).join(wm, SERIES, "left")
     start = F.coalesce(F.col("watermark") - F.expr(f"INTERVAL {buffer_minutes} MINUTES"), first_start)
-    inside = x.filter(F.col("ts") >= start)
-    # the one sample just before the buffer keeps the first new rate exact
-    before = (x.filter(F.col("watermark").isNotNull() & (F.col("ts") < start)).groupBy(*SERIES)
-              .agg(F.max_by(F.struct("ts", "value"), "ts").alias("_b"))
-              .select(*SERIES, F.col("_b.ts").alias("ts"), F.col("_b.value").alias("value")))
-    feats = compute_features(inside.select(*SERIES, "ts", "value").unionByName(before),
-                             chunk_us=chunk_us)
+    # the sample at the watermark lies in the buffer: the first new row has its predecessor
+    feats = compute_features(x.filter(F.col("ts") >= start).select(*SERIES, "ts", "value"), chunk_us=chunk_us)
     feats = feats.join(wm, SERIES, "left")
     out = feats.filter((F.col("watermark").isNull() & (F.col("ts") >= first_start))
                        | (F.col("ts") > F.col("watermark")))

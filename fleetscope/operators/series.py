@@ -195,12 +195,3 @@ def overlay(values: DataFrame, scores: DataFrame, as_of, minutes: int = 30,
     j = chunked.nearest(s, v, SERIES, "ts", "value", out="value", chunk_us=chunk_us)
     return (j.filter(F.col("value").isNotNull())
             .withColumn("level", F.when(F.col("score") >= red, "red").otherwise("amber")))
-
-
-def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int,
-                rank_col: str | None = None) -> DataFrame:
-    """Top-n rows per key (``row_number`` filter, planned as a group limit)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rn = rank_col or "_rn"
-    out = df.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) <= n)
-    return out if rank_col else out.drop(rn)

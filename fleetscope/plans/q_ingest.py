@@ -140,11 +140,11 @@ def p7(spark, d):
 @register("S15_retention_counts", f"""
 SELECT 'logs' AS tbl, count(*) AS n FROM logs WHERE ts > {AS_OF} - INTERVAL 30 DAY
 UNION ALL SELECT 'metrics', count(*) FROM metrics WHERE ts > {AS_OF} - INTERVAL 90 DAY
-UNION ALL SELECT 'alert_events', count(*) FROM alert_events WHERE triggered_at > {AS_OF} - INTERVAL 7 DAY""")
+UNION ALL SELECT 'alert_events', count(*) FROM alert_events WHERE triggered_at > {AS_OF} - INTERVAL 90 DAY""")
 def s15(spark, d):
     lg = I.retain(B.logs(spark, d), AS_OF_TS, 30).select(F.lit("logs").alias("tbl"))
     m = I.retain(B.metrics(spark, d), AS_OF_TS, 90).select(F.lit("metrics").alias("tbl"))
-    ev = I.retain(B.alert_events(spark, d), AS_OF_TS, 7, ts="triggered_at").select(F.lit("alert_events").alias("tbl"))
+    ev = I.retain(B.alert_events(spark, d), AS_OF_TS, 90, ts="triggered_at").select(F.lit("alert_events").alias("tbl"))
     return lg.unionByName(m).unionByName(ev).groupBy("tbl").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -155,12 +155,21 @@ def s16(spark, d):
     return with_month(B.metrics(spark, d)).groupBy("month", "server_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("S17_newest_per_stream", """
-SELECT server_id, metric_name, ts, value FROM (
-  SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY ts DESC) AS rn FROM metrics) WHERE rn <= 1000""")
+@register("S17_newest_per_stream", f"""
+, st AS (SELECT 'metrics' AS stream, server_id, metric_name AS name, ts, value AS num FROM metrics
+  UNION ALL SELECT 'logs', server_id, log_file, ts, CAST(seq AS DOUBLE) FROM logs
+  UNION ALL SELECT 'heartbeats', server_id, agent_version, "timestamp", CAST(arrival_seq AS DOUBLE) FROM heartbeat_messages)
+SELECT stream, server_id, name, ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ts DESC, server_id DESC, name DESC, num DESC) AS rn FROM st)
+WHERE rn <= CASE stream {" ".join(f"WHEN '{k}' THEN {n}" for k, n in I.STREAM_BOUNDS.items())} END""")
 def s17(spark, d):
-    return I.newest_per_stream(B.metrics(spark, d), ["server_id"], "ts", 1000).select(
-        "server_id", "metric_name", "ts", "value")
+    def rows(df, stream, name, ts, num):
+        return df.select(F.lit(stream).alias("stream"), "server_id", F.col(name).alias("name"), F.col(ts).alias("ts"),
+                         F.col(num).cast("double").alias("num"))
+    streams = (rows(B.metrics(spark, d), "metrics", "metric_name", "ts", "value")
+               .unionByName(rows(B.logs(spark, d), "logs", "log_file", "ts", "seq"))
+               .unionByName(rows(B.heartbeat_messages(spark, d), "heartbeats", "agent_version", "timestamp", "arrival_seq")))
+    return I.newest_per_stream(streams, "ts", ["server_id", "name", "num"]).select("stream", "server_id", "name", "ts")
 
 
 @register("S3_F24_parse_log_events", """

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetscope.operators import features
-from fleetscope.operators.anomaly import iforest
+from fleetscope.operators.anomaly import hst, iforest
 from fleetscope.plans.catalog import register
 from fleetscope.plans.q_series import _FEATURES_SQL
 from fleetscope.sources import bindings as B
 
-# the driver tables hold ~400 rows per series at sf0.01, below the default 500
+# the driver tables hold ~400 rows per series at sf0.01, where results are
+# compared with SQL: below the default gate of 500, which would leave nothing
 MIN_SAMPLES = 200
-N_TREES = 25
+N_TREES = iforest.N_TREES
 
 
 def feats(spark, d):
@@ -29,8 +30,8 @@ def a23(spark, d):
 SELECT server_id, metric_name, 'v2' AS version, CAST({N_TREES} AS BIGINT) AS n_trees
 FROM metrics_fast GROUP BY ALL HAVING count(*) >= {MIN_SAMPLES}""")
 def m2(spark, d):
-    trees = iforest.train(feats(spark, d), MIN_SAMPLES, N_TREES, version="v1")
-    published = trees.unionByName(trees.withColumn("version", F.lit("v2")))
+    trees = iforest.train(feats(spark, d), MIN_SAMPLES, N_TREES)
+    published = trees.withColumn("version", F.explode(F.array(F.lit("v1"), F.lit("v2"))))
     latest = iforest.latest_models(published)
     return latest.groupBy("server_id", "metric_name", "version").agg(F.count(F.lit(1)).alias("n_trees"))
 
@@ -47,9 +48,105 @@ def a22(spark, d):
     return iforest.bounds(iforest.raw_scores(f, trees))
 
 
-@register("R5_online_hst_scores", None)
+# A small fixed forest (feature name, split, left, right; a number is a leaf's
+# size), so that scoring and normalisation can be followed in SQL.
+FIXED_FOREST = [
+    ("rolling_mean_5m", 40.0, ("rolling_std_5m", 10.0, 30, 12), ("rate_of_change", 0.0, 90, ("hour_sin", 0.1, 64, 1))),
+    ("rolling_std_5m", 25.0, ("day_of_week", 2.5, 100, ("rolling_mean_5m", 60.0, 77, 2)), 9),
+    ("hour_cos", -0.2, ("is_weekend", 0.5, 3, 50), ("rolling_mean_5m", 20.0, 8, 128)),
+]
+FIXED_SAMPLE = 256
+
+
+def _flat_tree(tree):
+    """(feature, split, left, right, size) arrays of a nested tree."""
+    cells = []
+
+    def add(node):
+        at = len(cells)
+        cells.append([-1, 0.0, -1, -1, 0])
+        if isinstance(node, int):
+            cells[at][4] = node
+        else:
+            cells[at][:2] = [iforest.FEATURES.index(node[0]), node[1]]
+            cells[at][2], cells[at][3] = add(node[2]), add(node[3])
+        return at
+    add(tree)
+    return [list(c) for c in zip(*cells)]
+
+
+def _path_sql(node, depth=0):
+    if isinstance(node, int):
+        return repr(depth + float(iforest._c([node])[0]))
+    return f"CASE WHEN {node[0]} < {node[1]} THEN {_path_sql(node[2], depth + 1)} ELSE {_path_sql(node[3], depth + 1)} END"
+
+
+_FIXED_SQL = f"""
+, ff AS ({_FEATURES_SQL}),
+raw AS (SELECT server_id, metric_name, ts,
+  pow(CAST(2 AS DOUBLE), -(({') + ('.join(_path_sql(t) for t in FIXED_FOREST)})) / {len(FIXED_FOREST)}
+      / {float(iforest._c([FIXED_SAMPLE])[0])!r}) AS raw FROM ff),
+b AS (SELECT server_id, metric_name, min(raw) AS score_min, max(raw) AS score_max, count(*) AS n_samples,
+             min(ts) AS data_range_start, max(ts) AS data_range_end FROM raw GROUP BY ALL)"""
+
+
+def _fixed_raw(spark, d):
+    f = feats(spark, d)
+    forest = spark.createDataFrame([(i, *_flat_tree(t), FIXED_SAMPLE, "fixed") for i, t in enumerate(FIXED_FOREST)],
+                                   iforest.TREE_SCHEMA.split("metric_name string, ")[1] + ", version string")
+    trees = (f.select(*iforest.KEY).distinct()
+             .withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(len(FIXED_FOREST) - 1)))).join(forest, "tree_id"))
+    # fresh column identities: both sides of the scoring cogroup come from the features
+    return iforest.raw_scores(f, trees.select(*iforest.KEY, *forest.columns).toDF(*iforest.KEY, *forest.columns))
+
+
+@register("M3_F22_fixed_forest_scores", _FIXED_SQL + """
+SELECT server_id, metric_name, ts,
+       CASE WHEN score_max = score_min THEN 0.5 ELSE (raw - score_min) / (score_max - score_min) END AS score
+FROM raw JOIN b USING (server_id, metric_name)""")
+def m3_fixed(spark, d):
+    raw = _fixed_raw(spark, d)
+    return iforest.normalise(raw, iforest.bounds(raw))
+
+
+@register("A22_fixed_forest_bounds", _FIXED_SQL + """
+SELECT server_id, metric_name, score_min, score_max, n_samples, data_range_start, data_range_end FROM b""")
+def a22_fixed(spark, d):
+    return iforest.bounds(_fixed_raw(spark, d))
+
+
+def _online_sql():
+    """The online replay in SQL: descend the fixed trees level by level, count
+    node masses per window, score against the window before."""
+    feat, split = hst.make_trees(len(hst.FEATURES))
+    cells = ", ".join(f"({t}, {n}, {feat[t, n]}, {float(split[t, n])!r})" for t in range(hst.N_TREES) for n in range(1, 2 ** hst.HEIGHT))
+    value = "CASE s.q " + " ".join(f"WHEN {i} THEN l.{c}" for i, c in enumerate(hst.FEATURES)) + " END"
+    levels = "".join(f"""
+l{k + 1} AS (SELECT l.* REPLACE (2 * l.node + CASE WHEN {value} >= s.split THEN 1 ELSE 0 END AS node)
+     FROM l{k} l JOIN splits s ON s.t = l.t AND s.node = l.node),""" for k in range(hst.HEIGHT))
+    return f"""
+, splits AS (SELECT * FROM (VALUES {cells}) v(t, node, q, split)),
+pts AS (SELECT server_id, metric_name, ts, value,
+  row_number() OVER (PARTITION BY server_id, metric_name ORDER BY ts, value) - 1 AS idx,
+  sin(2 * pi() * (hour(ts) + minute(ts) / 60.0 + second(ts) / 3600.0) / 24) AS hour_sin,
+  cos(2 * pi() * (hour(ts) + minute(ts) / 60.0 + second(ts) / 3600.0) / 24) AS hour_cos,
+  CAST(isodow(ts) - 1 AS DOUBLE) AS day_of_week, CASE WHEN isodow(ts) >= 6 THEN 1.0 ELSE 0.0 END AS is_weekend
+  FROM metrics_fast),
+l0 AS (SELECT *, idx // {hst.WINDOW} AS win, unnest(range({hst.N_TREES})) AS t, CAST(1 AS BIGINT) AS node FROM pts),{levels}
+path AS (SELECT server_id, metric_name, ts, idx, win, t, d, node >> CAST({hst.HEIGHT} - d AS BIGINT) AS node
+  FROM l{hst.HEIGHT}, (SELECT unnest(range({hst.HEIGHT + 1})) AS d)),
+mass AS (SELECT server_id, metric_name, win + 1 AS win, t, d, node, count(*) AS r FROM path GROUP BY ALL),
+seen AS (SELECT p.*, coalesce(m.r, 0) AS r FROM path p LEFT JOIN mass m USING (server_id, metric_name, win, t, d, node)),
+stops AS (SELECT *, coalesce(min(CASE WHEN r < {hst.LIMIT * hst.WINDOW} THEN d END)
+  OVER (PARTITION BY server_id, metric_name, idx, t), {hst.HEIGHT}) AS stop FROM seen)
+SELECT server_id, metric_name, ts,
+  CASE WHEN win = 0 THEN 0.0 ELSE greatest(0.0, least(1.0,
+    1 - sum(CASE WHEN d <= stop THEN r * pow(2, d) ELSE 0 END) / {hst.max_score(hst.N_TREES, hst.HEIGHT, hst.WINDOW)})) END AS score
+FROM stops GROUP BY server_id, metric_name, ts, idx, win"""
+
+
+@register("R5_online_hst_scores", _online_sql())
 def r5(spark, d):
-    from fleetscope.operators.anomaly import hst
     return hst.online_scores(B.metrics_fast(spark, d))
 
 
@@ -104,7 +201,6 @@ def m3_inv(spark, d):
 SELECT server_id, metric_name, count(*) AS n_scored, TRUE AS first_window_silent, TRUE AS in_range
 FROM metrics_fast GROUP BY ALL""")
 def r5_inv(spark, d):
-    from fleetscope.operators.anomaly import hst
     s = hst.online_scores(B.metrics_fast(spark, d))
     return s.groupBy("server_id", "metric_name").agg(
         F.count(F.lit(1)).alias("n_scored"),

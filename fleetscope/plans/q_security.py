@@ -31,6 +31,11 @@ stats AS (SELECT srv.server_id, coalesce(attempts_1h, 0) AS attempts_1h, coalesc
 FROM srv LEFT JOIN c USING (server_id) LEFT JOIN t USING (server_id))"""
 
 
+def servers(spark, d):
+    """Servers that ever sent a heartbeat."""
+    return B.heartbeat_messages(spark, d).select("server_id").distinct()
+
+
 @register("P4_failed_login_lines", "SELECT server_id, ts, line FROM failed_logins")
 def p4(spark, d):
     return S.failed_logins(B.logs(spark, d)).select("server_id", "ts", "line")
@@ -48,7 +53,7 @@ def f2(spark, d):
 
 @register("A5_A6_T3_ssh_stats", _STATS + "\nSELECT * FROM stats")
 def a5(spark, d):
-    return S.ssh_stats(B.logs(spark, d), AS_OF_TS)
+    return S.ssh_stats(B.logs(spark, d), AS_OF_TS, servers=servers(spark, d))
 
 
 @register("A7_T5_F19_attackers_top20", _F24 + f""",
@@ -76,7 +81,7 @@ by_hour AS (SELECT spine.server_id, spine.hour, coalesce(n, 0) AS count
 
 @register("A8_J9_attack_by_hour", _BY_HOUR + "\nSELECT server_id, hour, count FROM by_hour")
 def a8(spark, d):
-    return S.attack_by_hour(B.logs(spark, d), DAY_OF)
+    return S.attack_by_hour(B.logs(spark, d), DAY_OF, servers(spark, d))
 
 
 _BASE = f"""
@@ -88,14 +93,14 @@ bl AS (SELECT s.server_id, coalesce(avg(n), 0.0) AS avg_daily
 
 @register("A9_W10_ssh_baseline_7d", _BASE + "\nSELECT server_id, avg_daily FROM bl")
 def a9(spark, d):
-    return S.ssh_baseline(B.logs(spark, d), AS_OF_TS)
+    return S.ssh_baseline(B.logs(spark, d), AS_OF_TS, servers=servers(spark, d))
 
 
 @register("A21_peak_attack_hour", _BY_HOUR + """
 SELECT server_id, arg_max(hour, count * 100 - hour) AS peak_hour, max(count) AS peak_count
 FROM by_hour GROUP BY server_id""")
 def a21(spark, d):
-    return S.peak_hour(S.attack_by_hour(B.logs(spark, d), DAY_OF))
+    return S.peak_hour(S.attack_by_hour(B.logs(spark, d), DAY_OF, servers(spark, d)))
 
 
 @register("F18_hourly_bars", _BY_HOUR + _BASE.replace("\n, daily", ",\ndaily", 1) + """
@@ -104,7 +109,7 @@ SELECT h.server_id, h.hour, h.count,
        h.count > bl.avg_daily / 24.0 * 2 AS over
 FROM by_hour h JOIN bl USING (server_id)""")
 def f18(spark, d):
-    return S.hourly_bars(B.logs(spark, d), AS_OF_TS, DAY_OF)
+    return S.hourly_bars(B.logs(spark, d), AS_OF_TS, DAY_OF, servers(spark, d))
 
 
 @register("H3_F17_threat_summary", _STATS + _BY_HOUR.replace("\n, cnt", ",\ncnt", 1)
@@ -124,7 +129,7 @@ SELECT server_id, today, baseline, ratio,
        peak_hour, peak_count, hours_over_baseline, bar_scale
 FROM x""")
 def h3(spark, d):
-    return S.threat_summary(B.logs(spark, d), AS_OF_TS, DAY_OF)
+    return S.threat_summary(B.logs(spark, d), AS_OF_TS, DAY_OF, servers(spark, d))
 
 
 _CLASSIFY = " ".join(

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.functions import logtext
-from fleetscope.operators.dedup import latest_version
+from fleetscope.operators.dedup import latest_version, newest_n
 from fleetscope.operators.series import to_dt, ts_lit
 
 METRIC_PAYLOAD = ("server_id string, metric_name string, value string, timestamp string, "
@@ -141,7 +141,16 @@ def retain(df: DataFrame, as_of, days: int, ts: str = "ts") -> DataFrame:
     return df.filter(F.col(ts) > ts_lit(to_dt(as_of) - timedelta(days=days)))
 
 
-def newest_per_stream(df: DataFrame, keys: list[str], ts: str, n: int) -> DataFrame:
-    """Bounded stream retention re-aimed as "newest N per stream"."""
-    w = Window.partitionBy(*keys).orderBy(F.col(ts).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+# ---- fixed values: rows a stream keeps --------------------------------------
+STREAM_BOUNDS = {"metrics": 10_000, "logs": 20_000, "heartbeats": 1_000}
+# -----------------------------------------------------------------------------
+
+
+def newest_per_stream(df: DataFrame, ts: str, tiebreak: list[str]) -> DataFrame:
+    """Bounded stream retention re-aimed as "newest N per stream" over the
+    rows of all streams (column ``stream``); rows of one instant are ordered by
+    ``tiebreak``, so what survives is defined.  Unknown streams keep nothing."""
+    bound = F.lit(0)
+    for stream, n in STREAM_BOUNDS.items():
+        bound = F.when(F.col("stream") == stream, F.lit(n)).otherwise(bound)
+    return newest_n(df, ["stream"], ts, bound, tiebreak)

@@ -10,7 +10,9 @@ failed tasks are retried and nothing is dropped).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -118,8 +120,8 @@ def heartbeat_gaps(heartbeats: DataFrame, offline_after_s: int = OFFLINE_AFTER_S
 
 # --- alert evaluation (R3 streaming twin) -----------------------------------
 
-ALERT_EVENT_SCHEMA = ("server_id string, rule_id string, metric_name string, state string, "
-                      "triggered_at timestamp, value double")
+ALERT_EVENT_SCHEMA = ("event_id string, server_id string, rule_id string, metric_name string, threshold double, "
+                      "severity string, state string, triggered_at timestamp, value double")
 ALERT_STATE_SCHEMA = "state string, resolved_us long"
 
 
@@ -134,14 +136,17 @@ def _alert_fsm(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Itera
             if resolved is not None and r.tick_us - resolved < r.cooldown_us:
                 continue
             cur = "FIRING"
-            out.append((r.server_id, r.rule_id, r.metric_name, cur, r.tick_us, r.value))
+            out.append((r.server_id, r.rule_id, r.metric_name, r.threshold, r.severity, cur, r.tick_us, r.value))
         elif not r.breached and cur == "FIRING":
             cur, resolved = "RESOLVED", int(r.tick_us)
-            out.append((r.server_id, r.rule_id, r.metric_name, cur, r.tick_us, r.value))
+            out.append((r.server_id, r.rule_id, r.metric_name, r.threshold, r.severity, cur, r.tick_us, r.value))
     state.update((cur, None if resolved is None else int(resolved)))
-    df = pd.DataFrame(out, columns=["server_id", "rule_id", "metric_name", "state", "tick_us", "value"])
+    df = pd.DataFrame(out, columns=["server_id", "rule_id", "metric_name", "threshold", "severity", "state", "tick_us",
+                                    "value"])
+    df["event_id"] = [hashlib.md5("|".join((r.server_id, r.rule_id, r.state, str(r.tick_us))).encode()).hexdigest()
+                      for r in df.itertuples(index=False)]
     df["triggered_at"] = pd.to_datetime(df["tick_us"].astype("int64"), unit="us")
-    yield df[["server_id", "rule_id", "metric_name", "state", "triggered_at", "value"]]
+    yield df[["event_id", "server_id", "rule_id", "metric_name", "threshold", "severity", "state", "triggered_at", "value"]]
 
 
 def alert_state_machine(ticks: DataFrame) -> DataFrame:
@@ -153,18 +158,28 @@ def alert_state_machine(ticks: DataFrame) -> DataFrame:
                                     GroupStateTimeout.NoTimeout))
 
 
-def evaluator(trigger_source: DataFrame, rules: DataFrame, heartbeats: DataFrame, metrics: DataFrame,
-              scores: DataFrame, ticks_path: str, checkpoint: str, every_s: int = 30):
+def evaluator(trigger_source: DataFrame, tables: dict[str, str], ticks_path: str, checkpoint: str,
+              every_s: int = 30):
     """The 30-second evaluator: on every trigger, evaluate all rules of
     servers with a heartbeat at the trigger time and append the breach rows
-    to the ticks table that ``alert_state_machine`` streams from."""
+    to the ticks table that ``alert_state_machine`` streams from.
+
+    ``tables`` holds the paths of rules, heartbeats, metrics and scores; they
+    are listed anew in each trigger, so rows appended since are seen.  The
+    instant is the batch's newest ``timestamp``, in microseconds: a batch that
+    is run again evaluates the same instant, whatever zone the driver is in."""
     from fleetscope.operators import alerts as A
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        now = batch.sparkSession.sql("SELECT current_timestamp() AS t").first().t
+        now_us = batch.agg(F.max(F.unix_micros("timestamp"))).first()[0]
+        if now_us is None:
+            return
+        now = datetime(1970, 1, 1) + timedelta(microseconds=now_us)
+        rules, heartbeats, metrics, scores = (batch.sparkSession.read.parquet(tables[t])
+                                              for t in ("rules", "heartbeats", "metrics", "scores"))
         ev = A.evaluate_once(rules, heartbeats, metrics, scores, now)
-        (ev.select("server_id", "rule_id", "metric_name",
-                   F.unix_micros(F.lit(now).cast("timestamp")).alias("tick_us"), "value", "breached",
+        (ev.select("server_id", "rule_id", "metric_name", "threshold", "severity",
+                   F.lit(now_us).cast("long").alias("tick_us"), "value", "breached",
                    (F.col("cooldown_minutes").cast("long") * 60_000_000).alias("cooldown_us"))
          .write.mode("overwrite").parquet(f"{ticks_path}/batch={batch_id}"))
 

@@ -91,22 +91,37 @@ def test_incremental_emits_strictly_newer(spark):
     assert abs(out[0].rate_of_change - 1 / 15) < 1e-12
 
 
-def test_auto_chunks_match_day_chunks(spark, monkeypatch):
+def test_chunk_length_does_not_change_features(spark):
     from fleetscope.operators import chunked
     from fleetscope.sources import bindings as B
     from tests.conftest import SMALL
     m = B.metrics_fast(spark, SMALL)
+    assert chunked.chunk_size() == 3_600_000_000 and chunked.chunk_size(floor_us=chunked.DAY_US) == chunked.DAY_US
     base = features.compute_features(m, chunk_us=chunked.DAY_US)
-    monkeypatch.setattr(chunked, "TARGET_ROWS", 5)      # force many small chunks
-    spark.conf.set(chunked.CHUNK_CONF, "auto")
+    spark.conf.set(chunked.CHUNK_CONF, "400")
     try:
-        size = chunked.chunk_size(None, m, ["server_id", "metric_name"], "ts", 300_000_000)
-        assert 300_000_000 <= size < chunked.DAY_US
-        auto = features.compute_features(m)
-        cols = ["server_id", "metric_name", "ts", "raw_value", "rate_of_change"]
-        assert base.select(*cols).exceptAll(auto.select(*cols)).count() == 0
-        a = {(r.server_id, r.metric_name, r.ts): r.rolling_std_5m for r in base.collect()}
-        for r in auto.collect():
-            assert abs(a[(r.server_id, r.metric_name, r.ts)] - r.rolling_std_5m) < 1e-9
+        assert chunked.chunk_size() == 400_000_000
+        small = features.compute_features(m)
     finally:
-        spark.conf.set(chunked.CHUNK_CONF, "auto")
+        spark.conf.unset(chunked.CHUNK_CONF)
+    cols = ["server_id", "metric_name", "ts", "raw_value", "rate_of_change"]
+    assert base.select(*cols).exceptAll(small.select(*cols)).count() == 0
+    a = {(r.server_id, r.metric_name, r.ts): r.rolling_std_5m for r in base.collect()}
+    for r in small.collect():
+        assert abs(a[(r.server_id, r.metric_name, r.ts)] - r.rolling_std_5m) < 1e-9
+
+
+def test_two_incremental_runs_equal_one(spark):
+    from fleetscope.sources import bindings as B
+    from fleetscope.plans.catalog import AS_OF_FAST_TS
+    from tests.conftest import SMALL
+    m = B.metrics_fast(spark, SMALL)
+    cut1, cut2 = (AS_OF_FAST_TS - timedelta(minutes=k) for k in (60, 30))
+    upto = lambda t: m.filter(F.col("ts") < F.lit(t.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp"))
+    stored = features.compute_features(upto(cut1))
+    second = stored.unionByName(features.incremental_features(upto(cut2), stored, cut2)).cache()
+    third = second.unionByName(features.incremental_features(m, second, AS_OF_FAST_TS))
+    want = features.compute_features(m)
+    key = ["server_id", "metric_name", "ts", "raw_value", "rate_of_change"]
+    assert third.count() == want.count() > second.count() > stored.count()
+    assert third.select(*key).exceptAll(want.select(*key)).count() == 0

@@ -27,6 +27,23 @@ def test_nearest_matches_loop(spark):
             assert got[t0 + timedelta(seconds=s)] == float(best)
 
 
+def sequential_replay(rows: list[tuple]) -> list[tuple]:
+    """Sequential replay for tests: rows = (rule, tick_us, value, breached,
+    cooldown_us) sorted; returns (rule, state, tick_us, value)."""
+    out, state = [], {}
+    for rule, tick, value, breached, cd in rows:
+        st = state.setdefault(rule, {"state": "INACTIVE", "resolved": None})
+        if breached and st["state"] != "FIRING":
+            if st["resolved"] is not None and tick - st["resolved"] < cd:
+                continue
+            out.append((rule, "FIRING", tick, value))
+            st["state"] = "FIRING"
+        elif not breached and st["state"] == "FIRING":
+            out.append((rule, "RESOLVED", tick, value))
+            st["state"], st["resolved"] = "RESOLVED", tick
+    return out
+
+
 def test_alert_replay_matches_sequential(spark):
     from fleetscope.operators import alert_replay as R
     from fleetscope.plans.catalog import AS_OF_FAST_TS
@@ -36,14 +53,24 @@ def test_alert_replay_matches_sequential(spark):
                            AS_OF_FAST_TS).cache()
     rows = sorted((r.server_id + "|" + r.rule_id, r.tick_us, r.value, r.breached, r.cooldown_us)
                   for r in ticks.collect())
-    ref = sorted(R.replay_reference(rows))
-    for rounds in (None, 12):           # grouped chase, and pointer doubling
+    ref = sorted(sequential_replay(rows))
+    for rounds in (None, 12):           # rounds from the longest chain, and more than needed
         got = sorted((r.server_id + "|" + r.rule_id, r.state, r.us, r.value) for r in R.replay(
             ticks, max_rounds=rounds).select(
             "server_id", "rule_id", "state", F.unix_micros("triggered_at").alias("us"), "value").collect())
         assert got == ref and len(ref) > 0
 
 
+def test_alert_replay_needs_a_heartbeat(spark):
+    from fleetscope.operators import alert_replay as R
+    from fleetscope.plans.catalog import AS_OF_FAST_TS
+    from fleetscope.sources import bindings as B
+    beats = B.heartbeats(spark, SMALL).where("server_id <> 'srv-1'")
+    ticks = R.breach_ticks(B.alert_rules(spark, SMALL), B.metrics_fast(spark, SMALL), None, AS_OF_FAST_TS, heartbeats=beats)
+    servers = {r.server_id for r in ticks.select("server_id").distinct().collect()}
+    assert servers and "srv-1" not in servers
+
+
 def test_tick_values_brute_force(spark):
     from fleetscope.operators import alert_replay as R
     from fleetscope.plans.catalog import AS_OF_FAST_TS
@@ -84,14 +111,14 @@ def test_iforest_invariants(spark):
 def test_hst_invariants(spark):
     from fleetscope.operators.anomaly import hst
     t0 = datetime(2026, 5, 12)
-    rows = [("s", "m", (t0 + timedelta(hours=i % 24, seconds=i)).isoformat(sep=" "), 50.0 + i % 5)
+    rows = [("s", "m", (t0 + timedelta(hours=i % 24, seconds=i)).isoformat(sep=" "), 0.5 + i % 5 / 100)
             for i in range(200)]
-    rows += [("s", "m", (t0 + timedelta(days=1, seconds=1)).isoformat(sep=" "), 52.0),
-             ("s", "m", (t0 + timedelta(days=1, seconds=2)).isoformat(sep=" "), 9999.0)]
+    rows += [("s", "m", (t0 + timedelta(days=1, seconds=1)).isoformat(sep=" "), 0.52),
+             ("s", "m", (t0 + timedelta(days=1, seconds=2)).isoformat(sep=" "), 0.99)]
     df = spark.createDataFrame(rows, "server_id string, metric_name string, t string, value double")
     df = df.select("server_id", "metric_name", F.to_timestamp("t").alias("ts"), "value")
     other = df.withColumn("metric_name", F.lit("m2"))
-    out = hst.online_scores(df.unionByName(other), window=50, scale="minmax").toPandas()
+    out = hst.online_scores(df.unionByName(other), window=50).toPandas()
     assert len(out) == 404 and out.score.between(0, 1).all()
     a = out[out.metric_name == "m"].sort_values("ts").reset_index(drop=True)
     b = out[out.metric_name == "m2"].sort_values("ts").reset_index(drop=True)
@@ -170,3 +197,36 @@ def test_approx_distinct_ips_close(spark):
     exact = {r.server_id: r.unique_ips_24h for r in security.ssh_stats(lg, AS_OF_TS).collect()}
     approx = {r.server_id: r.unique_ips_24h for r in security.ssh_stats(lg, AS_OF_TS, approx_ips=True).collect()}
     assert all(abs(approx[k] - exact[k]) <= max(2, 0.1 * exact[k]) for k in exact)
+
+
+def test_forest_samples_and_is_repeatable(spark):
+    """More rows than a tree draws: every tree holds exactly its sample, and
+    neither partitioning nor order changes the forest."""
+    from fleetscope.operators.anomaly import iforest
+    df = spark.range(3000).selectExpr(
+        "'s' AS server_id", "'m' AS metric_name", "timestamp_seconds(1700000000 + id) AS ts",
+        *[f"(pmod(xxhash64(id, {i}), 1000)) / 1000.0D AS {c}" for i, c in enumerate(iforest.FEATURES)])
+    key = ["tree_id", "feature", "split", "left", "right", "size", "sample_size"]
+    a = {r.tree_id: r for r in iforest.train(df, n_trees=25).select(*key).collect()}
+    b = {r.tree_id: r for r in iforest.train(df.repartition(7, "ts").sort(F.desc("ts")), n_trees=25).select(*key).collect()}
+    assert a == b and len(a) == 25
+    assert all(r.size[0] == r.sample_size == iforest.SAMPLE_SIZE for r in a.values())
+    assert len({tuple(r.split) for r in a.values()}) == 25
+
+
+def test_newest_n_across_days_ties_and_nulls(spark):
+    from fleetscope.operators.dedup import newest_n
+    rows = [("a", f"2024-01-{1 + i // 5:02d} 00:00:{i % 5:02d}", i) for i in range(50)] + [("b", None, 1), ("b", "2024-01-01 00:00:00", 2)]
+    rows += [("a", "2024-01-10 00:00:04", 100)]
+    df = spark.createDataFrame(rows, "k string, t string, v int").select("k", F.to_timestamp("t").alias("ts"), "v")
+    got = newest_n(df, ["k"], "ts", 7, ["v"]).collect()
+    assert sorted(r.v for r in got if r.k == "a") == [44, 45, 46, 47, 48, 49, 100]
+    assert sorted(r.v for r in got if r.k == "b") == [1, 2]
+    assert {r.v for r in newest_n(df, ["k"], "ts", 1, ["v"]).collect()} == {100, 2}
+
+
+def test_numbers_in_webhook_texts(spark):
+    from fleetscope.operators import alerts as A
+    values = [10000000.0, 80.0, 0.5, 123456789.25, 1e15, -2e7, 42.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r.s for r in df.select(A.plain_number(F.col("x")).alias("s")).collect()] == [repr(v) for v in values]
