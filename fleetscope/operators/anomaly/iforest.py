@@ -48,6 +48,9 @@ OVERDRAW = 1.5
 KEY = ["server_id", "metric_name"]
 TREE_SCHEMA = ("server_id string, metric_name string, tree_id int, feature array<int>, split array<double>, "
                "left array<int>, right array<int>, size array<int>, sample_size int")
+TREE_COLUMNS = ["tree_id", "feature", "split", "left", "right", "size", "sample_size"]
+MODEL_COLUMNS = [*KEY, *TREE_COLUMNS, "version", "score_min", "score_max", "n_samples", "data_range_start",
+                 "data_range_end", "trained_at", "contamination"]
 SCORE_SCHEMA = "server_id string, metric_name string, ts timestamp, raw double"
 
 
@@ -168,7 +171,7 @@ def raw_scores(features: DataFrame, trees: DataFrame, rows_per_task: int = 200_0
          .select(*KEY, "_salt", "ts", *FEATURES))
     t = (trees.join(salts.select(*KEY, "_salts"), KEY, "inner")
          .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-         .drop("_salts", "version"))
+         .select(*KEY, "_salt", *TREE_COLUMNS))
     return (f.groupBy(*KEY, "_salt").cogroup(t.groupBy(*KEY, "_salt"))
             .applyInPandas(_score_group, SCORE_SCHEMA))
 
@@ -205,11 +208,22 @@ def fit_and_score(features: DataFrame, min_samples: int = MIN_SAMPLES, n_trees:
     return normalise(raw, bounds(raw)).withColumn("model_version", F.lit(version))
 
 
+def with_metadata(models: DataFrame, b: DataFrame, trained_at, contamination: float | None = None) -> DataFrame:
+    """M4: what a stored model needs to score new rows: its trees, the bounds
+    and training range of its series (A22), and when it was trained."""
+    return (models.join(b, KEY).withColumn("trained_at", F.lit(trained_at).cast("timestamp"))
+            .withColumn("contamination", F.lit(contamination).cast("double")).select(*MODEL_COLUMNS))
+
+
 def publish(models: DataFrame, path: str) -> None:
-    """M4 write side: a model version is published by appending its trees
-    to the model table, partitioned by ``version``; a failed write leaves no
-    partial version behind (the job commit is atomic per version folder)."""
-    models.write.mode("append").partitionBy("version").parquet(path)
+    """M4 write side: a model version is published by appending its rows to
+    the model table, partitioned by ``version``; a failed write leaves no
+    partial version behind (the job commit is atomic per version folder).
+    Models without all of ``MODEL_COLUMNS`` are refused."""
+    missing = [c for c in MODEL_COLUMNS if c not in models.columns]
+    if missing:
+        raise ValueError(f"model rows lack {', '.join(missing)}")
+    models.select(*MODEL_COLUMNS).write.mode("append").partitionBy("version").parquet(path)
 
 
 def read_published(spark, path: str) -> DataFrame:
@@ -221,3 +235,11 @@ def latest_models(models: DataFrame) -> DataFrame:
     """M4 read side: newest published version per series."""
     newest = latest_version(models.select(*KEY, "version").distinct(), KEY, "version")
     return models.join(newest, [*KEY, "version"], "left_semi")
+
+
+def score_published(features: DataFrame, models: DataFrame) -> DataFrame:
+    """M3 + F22 for rows a model has not seen: raw scores under the stored
+    trees, normalised with the stored bounds and clamped to [0, 1].  Series
+    without a model give no rows."""
+    raw = raw_scores(features.join(models.select(*KEY).distinct(), KEY, "left_semi"), models)
+    return normalise(raw, models.select(*KEY, "score_min", "score_max").distinct())

@@ -68,7 +68,7 @@ def s4(spark, d):
     js = msgs.select(F.to_json(F.struct(
         "server_id", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
         "agent_version", "watched_logs", "inventory")).alias("data"), "arrival_seq")
-    hb = I.latest_heartbeat(I.parse_heartbeats(js))
+    hb = I.latest_heartbeat(I.parse_heartbeats(js)[0])
     inv = F.filter("inventory", lambda x: x["name"] == "nginx")
     return hb.select("server_id", "timestamp", "agent_version", F.size("watched_logs").alias("n_watched"),
                      F.concat(F.lit("nginx="), F.try_element_at(inv, F.lit(1))["status"]).alias("inventory_tail"))
@@ -181,7 +181,7 @@ def s3(spark, d):
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
         F.when(F.col("seq") % 53 == 0, F.lit(""))
         .when(F.col("seq") % 4 == 0, F.concat("line", F.lit("\r\n"))).otherwise(F.col("line")).alias("line"))
-    return I.parse_logs(raw)
+    return I.parse_logs(raw)[0]
 
 
 @register("S6_S7_S9_append_layout", """

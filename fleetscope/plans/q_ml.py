@@ -90,14 +90,18 @@ b AS (SELECT server_id, metric_name, min(raw) AS score_min, max(raw) AS score_ma
              min(ts) AS data_range_start, max(ts) AS data_range_end FROM raw GROUP BY ALL)"""
 
 
-def _fixed_raw(spark, d):
-    f = feats(spark, d)
+def _fixed_trees(spark, f):
     forest = spark.createDataFrame([(i, *_flat_tree(t), FIXED_SAMPLE, "fixed") for i, t in enumerate(FIXED_FOREST)],
                                    iforest.TREE_SCHEMA.split("metric_name string, ")[1] + ", version string")
     trees = (f.select(*iforest.KEY).distinct()
              .withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(len(FIXED_FOREST) - 1)))).join(forest, "tree_id"))
     # fresh column identities: both sides of the scoring cogroup come from the features
-    return iforest.raw_scores(f, trees.select(*iforest.KEY, *forest.columns).toDF(*iforest.KEY, *forest.columns))
+    return trees.select(*iforest.KEY, *forest.columns).toDF(*iforest.KEY, *forest.columns)
+
+
+def _fixed_raw(spark, d):
+    f = feats(spark, d)
+    return iforest.raw_scores(f, _fixed_trees(spark, f))
 
 
 @register("M3_F22_fixed_forest_scores", _FIXED_SQL + """
@@ -115,6 +119,26 @@ def a22_fixed(spark, d):
     return iforest.bounds(_fixed_raw(spark, d))
 
 
+@register("M4_F22_score_new_rows", _FIXED_SQL + """,
+half AS (SELECT make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) AS cut FROM raw),
+old AS (SELECT server_id, metric_name, min(raw) AS lo, max(raw) AS hi FROM raw, half WHERE ts < cut GROUP BY ALL)
+SELECT server_id, metric_name, ts,
+       CASE WHEN hi = lo THEN 0.5 ELSE greatest(0.0, least(1.0, (raw - lo) / (hi - lo))) END AS score
+FROM raw JOIN old USING (server_id, metric_name)""")
+def m4_new(spark, d):
+    """A model fitted on the older half of the history scores all of it: rows
+    outside the range it has seen are clamped."""
+    f = feats(spark, d)
+    low, high = f.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    old = f.filter(F.unix_micros("ts") < (low + high) // 2)
+    trees = _fixed_trees(spark, f)
+    b = iforest.bounds(iforest.raw_scores(old, trees)).toDF(*iforest.KEY, "score_min", "score_max", "n_samples",
+                                                            "data_range_start", "data_range_end")
+    models = iforest.with_metadata(trees, b, "2024-01-31 00:00:00")
+    models = models.toDF(*models.columns)
+    return iforest.score_published(f, models)
+
+
 def _online_sql():
     """The online replay in SQL: descend the fixed trees level by level, count
     node masses per window, score against the window before."""

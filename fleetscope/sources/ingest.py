@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.functions import logtext
@@ -46,10 +46,21 @@ def _parse_once(raw: DataFrame, col: str, schema: str) -> DataFrame:
                       F.inline_outer(F.array(F.from_json(F.col(col), schema))))
 
 
+def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good rows, dead letters) of a checked frame: one with the record's text
+    in ``raw`` and a ``reason`` where it is bad."""
+    return (checked.filter(F.col("reason").isNull()).drop("reason", "raw"),
+            checked.filter(F.col("reason").isNotNull()).select("raw", "reason"))
+
+
 def parse_metrics(raw: DataFrame, col: str = "data") -> tuple[DataFrame, DataFrame]:
-    """JSON metric payloads -> (good rows, dead letters).
+    """JSON metric payloads -> (good rows, dead letters)."""
+    return split(check_metrics(raw, col))
 
-    value may be a JSON number or a numeric string; null/missing tags -> {}."""
+
+def check_metrics(raw: DataFrame, col: str = "data") -> DataFrame:
+    """Value may be a JSON number or a numeric string; null/missing tags
+    -> {}."""
     p = _parse_once(raw.select(col), col, METRIC_PAYLOAD)
     parsed = p.select(
         "raw", "server_id", "metric_name",
@@ -62,26 +73,35 @@ def parse_metrics(raw: DataFrame, col: str = "data") -> tuple[DataFrame, DataFra
               .when(F.col("metric_name").isNull(), F.lit("missing metric_name"))
               .when(F.col("value").isNull(), F.lit("bad value"))
               .when(F.col("ts").isNull(), F.lit("bad timestamp")))
-    x = parsed.withColumn("reason", reason)
-    good = x.filter(F.col("reason").isNull()).drop("reason", "raw")
-    bad = x.filter(F.col("reason").isNotNull()).select("raw", "reason")
-    return good, bad
+    return parsed.withColumn("reason", reason)
+
+
+def parse_logs(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S3 + F24: flat log events -> (good rows, dead letters)."""
+    return split(check_logs(raw))
+
+
+def check_logs(raw: DataFrame) -> DataFrame:
+    """S3 + F24: trailing CR/LF trimmed; records without a server, a readable
+    time or any text are bad."""
+    x = raw.select(F.to_json(F.struct(*LOG_FIELDS)).alias("raw"), "server_id", "log_file",
+                   parse_instant(F.col("timestamp")).alias("ts"), logtext.clean_line("line").alias("line"))
+    return x.withColumn("reason", F.when(F.col("server_id").isNull(), F.lit("missing server_id"))
+                        .when(F.col("ts").isNull(), F.lit("bad timestamp"))
+                        .when(F.coalesce(F.col("line"), F.lit("")) == "", F.lit("empty line")))
 
 
-def parse_logs(raw: DataFrame) -> DataFrame:
-    """S3 + F24: flat log events; trailing CR/LF trimmed, empty lines and
-    unparseable timestamps dropped."""
-    return (raw.select("server_id", "log_file", parse_instant(F.col("timestamp")).alias("ts"),
-                       logtext.clean_line("line").alias("line"))
-            .filter(F.col("ts").isNotNull() & (F.col("line") != "")))
+def parse_heartbeats(raw: DataFrame, col: str = "data") -> tuple[DataFrame, DataFrame]:
+    """Heartbeat payloads -> (good rows, dead letters)."""
+    return split(check_heartbeats(raw, col))
 
 
-def parse_heartbeats(raw: DataFrame, col: str = "data") -> DataFrame:
-    """Heartbeat payloads with defaults (agent_version 'unknown', empty
-    watched_logs / inventory)."""
+def check_heartbeats(raw: DataFrame, col: str = "data") -> DataFrame:
+    """Defaults are agent_version 'unknown' and empty watched_logs and
+    inventory; records without a server or a readable time are bad."""
     p = _parse_once(raw, col, HEARTBEAT_PAYLOAD)
     out = p.select(
-        F.col("server_id"),
+        "raw", F.col("server_id"),
         parse_instant(F.col("timestamp")).alias("timestamp"),
         F.coalesce(F.col("agent_version"), F.lit("unknown")).alias("agent_version"),
         F.coalesce(F.col("watched_logs"), F.array().cast("array<string>")).alias("watched_logs"),
@@ -89,10 +109,11 @@ def parse_heartbeats(raw: DataFrame, col: str = "data") -> DataFrame:
                    F.array().cast("array<struct<name:string,version:string,status:string,uptime_since:string>>"))
         .alias("inventory"),
         *[c for c in raw.columns if c != col])
-    return out.filter(F.col("server_id").isNotNull())
+    return out.withColumn("reason", F.when(F.col("server_id").isNull(), F.lit("missing server_id"))
+                          .when(F.col("timestamp").isNull(), F.lit("bad timestamp")))
 
 
-def latest_heartbeat(messages: DataFrame, order: str = "arrival_seq") -> DataFrame:
+def latest_heartbeat(messages: DataFrame, order: str | Column = "arrival_seq") -> DataFrame:
     """One row per server, the last message by arrival (the reference's
     hash overwrite); pass ``order='timestamp'`` for event-time semantics."""
     return latest_version(messages, ["server_id"], order)

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fleetscope.functions.timefeat import month_key
 from fleetscope.sources import ingest
+from fleetscope.sources.sinks import append_layout
 
 OFFLINE_AFTER_S = 90
 
@@ -31,29 +31,75 @@ def json_lines(spark: SparkSession, path: str, max_files: int = 100) -> DataFram
             .withColumnRenamed("value", "data"))
 
 
-def metrics_to_table(raw: DataFrame, table_path: str, dead_path: str, checkpoint: str,
-                     trigger_s: int = 5):
-    """S1 + S2 + R1: parse metric payloads every 5 s; good rows appended to
-    the month-partitioned table, bad ones to a dead-letter table, both in
-    one checkpointed ``foreachBatch`` (the batch id makes retries
-    idempotent: a replayed batch overwrites its own output folder)."""
+def _append_batches(raw: DataFrame, check, table_path: str, dead_path: str, checkpoint: str, ts: str,
+                    keys: list[str], trigger_s: int):
+    """Each micro-batch is parsed once; good rows go to the table, laid out as
+    its batch appends are (month first, so a month bound lists its own folders
+    only), bad ones with their reason to the dead letters.  Both are kept by
+    batch id: a batch that runs again replaces what it wrote before."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = ingest.parse_metrics(batch)
-        (good.withColumn("month", month_key("ts")).write.mode("overwrite")
-         .partitionBy("month").parquet(f"{table_path}/batch={batch_id}"))
-        bad.write.mode("overwrite").parquet(f"{dead_path}/batch={batch_id}")
+        x = check(batch).withColumn("batch", F.lit(batch_id).cast("long")).persist()
+        try:
+            good = x.filter(F.col("reason").isNull()).drop("reason", "raw")
+            (append_layout(good, ts, keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("month", "batch").parquet(table_path))
+            (x.filter(F.col("reason").isNotNull()).select("raw", "reason", "batch").write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(dead_path))
+        finally:
+            x.unpersist()
 
     return (raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(processingTime=f"{trigger_s} seconds").start())
 
 
-def logs_to_table(raw: DataFrame, table_path: str, checkpoint: str, trigger_s: int = 5):
-    """S3 + R1: flat log events -> month-partitioned parquet (file sink,
-    exactly-once through its commit log)."""
-    parsed = ingest.parse_logs(raw).withColumn("month", month_key("ts"))
-    return (parsed.writeStream.format("parquet").option("path", table_path)
-            .option("checkpointLocation", checkpoint).partitionBy("month")
-            .trigger(processingTime=f"{trigger_s} seconds").start())
+def metrics_to_table(raw: DataFrame, table_path: str, dead_path: str, checkpoint: str, trigger_s: int = 5):
+    """S1 + S2 + R1: metric payloads (column ``data``) to the metrics table."""
+    return _append_batches(raw, ingest.check_metrics, table_path, dead_path, checkpoint, "ts",
+                           ["server_id", "metric_name"], trigger_s)
+
+
+def logs_to_table(raw: DataFrame, table_path: str, dead_path: str, checkpoint: str, trigger_s: int = 5):
+    """S3 + R1: flat log events to the log table."""
+    return _append_batches(raw, ingest.check_logs, table_path, dead_path, checkpoint, "ts",
+                           ["server_id", "log_file"], trigger_s)
+
+
+def heartbeats_to_table(raw: DataFrame, table_path: str, dead_path: str, checkpoint: str, trigger_s: int = 5):
+    """Heartbeat payloads (column ``data``) to the heartbeat table; the
+    latest state per server (S5) is ``latest_heartbeats`` of that table."""
+    return _append_batches(raw, ingest.check_heartbeats, table_path, dead_path, checkpoint, "timestamp",
+                           ["server_id"], trigger_s)
+
+
+def latest_heartbeats(spark: SparkSession, table_path: str) -> DataFrame:
+    """S5 over the heartbeat table: the last batch that has the server, and in
+    it the newest instant."""
+    order = F.struct("batch", "timestamp")
+    return ingest.latest_heartbeat(spark.read.parquet(table_path), order).drop("batch", "month")
+
+
+def features_to_table(metrics: DataFrame, metrics_path: str, features_path: str, checkpoint: str):
+    """R2 as an ``availableNow`` job: when samples have arrived since the last
+    run, append the feature rows newer than each series' watermark."""
+    from fleetscope.operators import features
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        last = batch.agg(F.max(F.unix_micros("ts"))).first()[0]
+        if last is None:
+            return
+        has = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(features_path)
+        fs = has.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        # what an earlier attempt at this batch wrote does not count as stored
+        stored = spark.read.parquet(features_path).filter(F.col("batch") < batch_id) if fs.exists(has) else None
+        now = datetime(1970, 1, 1) + timedelta(microseconds=last)
+        new = features.incremental_features(spark.read.parquet(metrics_path), stored, now)
+        (append_layout(new.withColumn("batch", F.lit(batch_id).cast("long")), "ts", ["server_id", "metric_name"])
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "month")
+         .parquet(features_path))
+
+    return (metrics.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 def live_tail(logs: DataFrame, server_id: str, log_file: str) -> DataFrame:

@@ -36,8 +36,10 @@ def test_heartbeat_defaults(spark):
     raw = ['{"server_id": "a", "timestamp": "2026-05-12T10:00:00Z"}',
            '{"server_id": "b", "timestamp": "2026-05-12T10:00:00Z", "agent_version": "1.2",'
            ' "watched_logs": ["/var/log/x"], "inventory": [{"name": "sshd", "version": "9", "status": "active"}]}',
-           '{"timestamp": "2026-05-12T10:00:00Z"}']
-    hb = ingest.parse_heartbeats(spark.createDataFrame([(r,) for r in raw], "data string"))
+           '{"timestamp": "2026-05-12T10:00:00Z"}', 'not json', '{"server_id": "c", "timestamp": "soon"}']
+    hb, bad = ingest.parse_heartbeats(spark.createDataFrame([(r,) for r in raw], "data string"))
+    assert sorted((r.raw, r.reason) for r in bad.collect()) == sorted([
+        (raw[2], "missing server_id"), (raw[3], "missing server_id"), (raw[4], "bad timestamp")])
     rows = {r.server_id: r for r in hb.collect()}
     assert set(rows) == {"a", "b"}
     assert rows["a"].agent_version == "unknown" and rows["a"].watched_logs == [] and rows["a"].inventory == []
@@ -75,3 +77,11 @@ def test_server_status(spark):
     df = df.select("server_id", F.to_timestamp("t").alias("timestamp"), "agent_version")
     got = {r.server_id: r.status for r in fleet.server_status(df, datetime(2026, 5, 12, 10, 1, 30)).collect()}
     assert got == {"a": "online", "b": "offline", "c": "unknown"}
+
+
+def test_log_dead_letters(spark):
+    rows = [("a", "auth.log", "2026-05-12T10:00:00Z", "ok\r\n"), ("a", "auth.log", "never", "x"), ("a", "auth.log", "2026-05-12T10:00:00Z", "\n"),
+            (None, "auth.log", "2026-05-12T10:00:00Z", "x"), ("a", "auth.log", "2026-05-12T10:00:00Z", None)]
+    good, bad = ingest.parse_logs(spark.createDataFrame(rows, "server_id string, log_file string, timestamp string, line string"))
+    assert [r.line for r in good.collect()] == ["ok"]
+    assert sorted(r.reason for r in bad.collect()) == ["bad timestamp", "empty line", "empty line", "missing server_id"]

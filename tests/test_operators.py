@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetscope.operators import chunked
@@ -182,11 +183,19 @@ def test_publish_and_read_models(spark):
     d = tempfile.mkdtemp(prefix="fs-models-")
     f = features.compute_features(B.metrics_fast(spark, "/root/testdata/sf0.01"))
     v1 = iforest.train(f, min_samples=200, n_trees=3, version="20240101T000000")
+    with pytest.raises(ValueError):
+        iforest.publish(v1, f"{d}/models")                       # trees alone cannot score
+    v1 = iforest.with_metadata(v1, iforest.bounds(iforest.raw_scores(f, v1)), "2024-01-01 00:00:00", 0.05).cache()
+    v1 = v1.toDF(*v1.columns)
     iforest.publish(v1, f"{d}/models")
     iforest.publish(v1.withColumn("version", F.lit("20240201T000000")), f"{d}/models")
     got = iforest.read_published(spark, f"{d}/models")
     assert {r.version for r in got.select("version").distinct().collect()} == {"20240201T000000"}
     assert got.count() == v1.count()
+    far = f.withColumn("rolling_mean_5m", F.col("rolling_mean_5m") + 1e6).withColumn("rate_of_change", F.lit(-1e9))
+    scored = iforest.score_published(f.unionByName(far), got).collect()
+    assert len(scored) == 2 * f.join(v1.select("server_id", "metric_name").distinct(), ["server_id", "metric_name"]).count()
+    assert all(0 <= r.score <= 1 for r in scored)
 
 
 def test_approx_distinct_ips_close(spark):

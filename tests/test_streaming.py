@@ -25,6 +25,50 @@ def test_metric_stream_matches_batch(spark):
     assert spark.read.parquet(dead).count() == bad.count()
 
 
+def test_log_and_heartbeat_streams_match_batch(spark):
+    import json
+    d = tempfile.mkdtemp(prefix="fs-streams-")
+    logs = [("a", "auth.log", f"2024-01-{1 + i % 28:02d}T00:00:00Z" if i % 7 else "never", f"line {i}\r\n" if i % 5 else "\n")
+            for i in range(60)]
+    raw = spark.createDataFrame(logs, "server_id string, log_file string, timestamp string, line string").repartition(3)
+    raw.write.parquet(f"{d}/logs")
+    beats = [json.dumps({"server_id": f"s{i % 4}", "timestamp": f"2024-01-01T00:00:{i:02d}Z", "agent_version": str(i)}) for i in range(40)]
+    beats += ["not json", '{"server_id": "x", "timestamp": "soon"}']
+    hb = spark.createDataFrame([(b,) for b in beats], "data string").coalesce(1)
+    hb.write.text(f"{d}/beats")
+
+    def run(q):
+        q.processAllAvailable()
+        q.stop()
+    run(jobs.logs_to_table(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/logs"),
+                           f"{d}/log_table", f"{d}/log_dead", f"{d}/ck1"))
+    run(jobs.heartbeats_to_table(jobs.json_lines(spark, f"{d}/beats"), f"{d}/hb_table", f"{d}/hb_dead", f"{d}/ck2"))
+    for (good, bad), table in ((ingest.parse_logs(raw), "log"), (ingest.parse_heartbeats(hb), "hb")):
+        assert spark.read.parquet(f"{d}/{table}_table").count() == good.count() > 0
+        assert spark.read.parquet(f"{d}/{table}_dead").count() == bad.count() > 0
+    latest = {r.server_id: r.agent_version for r in jobs.latest_heartbeats(spark, f"{d}/hb_table").collect()}
+    assert latest == {f"s{i}": str(36 + i) for i in range(4)}
+
+
+def test_feature_job_runs_twice_to_the_full_table(spark):
+    from datetime import timedelta
+
+    from fleetscope.operators import features
+    from fleetscope.plans.catalog import AS_OF_FAST_TS
+    from fleetscope.sources import bindings as B
+    d = tempfile.mkdtemp(prefix="fs-features-")
+    m = B.metrics_fast(spark, SMALL).select("server_id", "metric_name", "ts", "value")
+    cut = F.lit((AS_OF_FAST_TS - timedelta(minutes=40)).strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
+    for part in (m.filter(F.col("ts") < cut), m.filter(F.col("ts") >= cut)):
+        part.write.mode("append").parquet(f"{d}/metrics")
+        q = jobs.features_to_table(spark.readStream.schema(m.schema).parquet(f"{d}/metrics"), f"{d}/metrics", f"{d}/features", f"{d}/ck")
+        q.awaitTermination()
+    got, want = spark.read.parquet(f"{d}/features"), features.compute_features(m)
+    key = ["server_id", "metric_name", "ts", "raw_value", "rate_of_change"]
+    assert got.count() == want.count()
+    assert got.select(*key).exceptAll(want.select(*key)).count() == 0
+
+
 def test_bucket_counts_stream(spark):
     from fleetscope.sources import bindings as B
     d = tempfile.mkdtemp(prefix="fs-buckets-")
