@@ -78,6 +78,16 @@ def attackers(logs: DataFrame, as_of, top: int = 20, block_after_s: int = 1800)
                     auth.is_private_ip("ip").alias("private")))
 
 
+def attacker_users(logs: DataFrame, as_of) -> DataFrame:
+    """(server, ip, user, attempts) of the last 24 h: the users that an address
+    tried, as rows; an address that sprays millions of names is many rows, and
+    the array of ``attackers`` is the view for a dashboard."""
+    f = (failed_logins(logs).filter(since(as_of, hours=24))
+         .select("server_id", auth.attacker_ip("line").alias("ip"), auth.target_user("line").alias("user")))
+    return (f.filter((F.col("ip") != "") & F.col("user").isNotNull() & (F.col("user") != ""))
+            .groupBy("server_id", "ip", "user").agg(F.count(F.lit(1)).alias("attempts")))
+
+
 def attack_by_hour(logs: DataFrame, as_of, servers: DataFrame | None = None) -> DataFrame:
     """A8 + J9: failed logins per UTC hour since the start of as_of's day, 24
     dense buckets per server (generated per server, no cross join)."""

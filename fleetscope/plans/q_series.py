@@ -33,7 +33,7 @@ def a2(spark, d):
 SELECT server_id, metric_name, max(value) AS value FROM metrics_fast
 WHERE ts >= {AS_OF_FAST} - INTERVAL 5 MINUTE GROUP BY server_id, metric_name""")
 def a3(spark, d):
-    return series.latest_value(B.metrics_fast(spark, d), AS_OF_FAST_TS, 5)
+    return series.latest_value(B.metrics_fast(spark, d, minutes=5), AS_OF_FAST_TS, 5)
 
 
 @register("A4_baseline_7d", f"""
@@ -47,7 +47,7 @@ def a4(spark, d):
 SELECT server_id, metric_name, ts, value FROM metrics_fast
 WHERE ts >= {AS_OF_FAST} - INTERVAL 30 MINUTE""")
 def p1(spark, d):
-    return series.series_window(B.metrics_fast(spark, d), AS_OF_FAST_TS, 30)
+    return series.series_window(B.metrics_fast(spark, d, minutes=30), AS_OF_FAST_TS, 30)
 
 
 @register("S13_metrics_range", f"""
@@ -98,7 +98,7 @@ SELECT server_id, metric_name, make_timestamp((epoch_us(ts) // 120000000) * 1200
        avg(value) AS avg_value
 FROM metrics_fast WHERE ts >= {AS_OF_FAST} - INTERVAL 60 MINUTE GROUP BY ALL""")
 def w4(spark, d):
-    return series.sparkline_buckets(B.metrics_fast(spark, d), AS_OF_FAST_TS, 60, 30)
+    return series.sparkline_buckets(B.metrics_fast(spark, d, minutes=60), AS_OF_FAST_TS, 60, 30)
 
 
 _SPARK_SQL = f"""
@@ -130,7 +130,7 @@ SELECT server_id, metric_name, n AS n_points,
        WHEN second_half - first_half > 0 THEN 'up' ELSE 'down' END AS card_trend
 FROM halves""")
 def w5(spark, d):
-    sp = series.sparkline(B.metrics_fast(spark, d), AS_OF_FAST_TS)
+    sp = series.sparkline(B.metrics_fast(spark, d, minutes=60), AS_OF_FAST_TS)
     return sp.select("server_id", "metric_name", F.size("spark").alias("n_points"),
                      series.trend("spark").alias("trend"), series.card_trend("spark").alias("card_trend"))
 

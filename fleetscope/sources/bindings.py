@@ -20,7 +20,7 @@ input.  The same derivations exist as DuckDB SQL in ``plans.oracle``.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,10 +92,15 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.from_json("props", "map<string,string>").alias("tags")))
 
 
-def metrics_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric samples on the compressed clock (for 5- and 60-minute windows)."""
-    return (events(spark, sf_dir)
-            .select(_server().alias("server_id"),
+def metrics_fast(spark: SparkSession, sf_dir: str, minutes: int | None = None, as_of: datetime = AS_OF) -> DataFrame:
+    """Metric samples on the compressed clock (for 5- and 60-minute windows).
+    With ``minutes``, those of the last compressed minutes before ``as_of`` at
+    least: the bound is put on the stored instant too, where the scan sees it."""
+    e = events(spark, sf_dir)
+    if minutes is not None:
+        low = as_of - timedelta(minutes=minutes * CLOCK_DIVISOR, seconds=CLOCK_DIVISOR)
+        e = e.filter(F.col("ts") >= F.lit(low.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(e.schema["ts"].dataType))
+    return (e.select(_server().alias("server_id"),
                     _metric_name().alias("metric_name"),
                     F.col("value"),
                     _compress(_instant("ts")).alias("ts"),
