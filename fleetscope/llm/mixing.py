@@ -13,8 +13,8 @@ from fleetscope.llm.common import prepare, stored
 MARGINS = ("source", "lang", "topic")
 #: Targets are a margin's token shares to this power, scaled to one.
 POWER = 0.7
-#: Sweeps over the margins, sweeps a plan may chain, and steps of the cap.
-SWEEPS, CHAIN, CAP_STEPS = 8, 2, 8
+#: Sweeps over the margins, and steps of the cap.
+SWEEPS, CAP_STEPS = 8, 8
 #: Share of all tokens that the sample should hold.
 BUDGET = 0.6
 SEED = "mix"
@@ -65,14 +65,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     per margin value so that every margin's sums come to its targets.  A value
     without target ends with weight zero."""
     fitted = cells.withColumn("w", F.col("tokens").cast("double"))
-    for i in range(sweeps):
+    for _ in range(sweeps):
         for m in MARGINS:
             factor = (fitted.groupBy(m).agg(F.sum("w").alias("s")).join(targets[m], m, "left")
                       .select(m, F.when(F.col("s") > 0, F.coalesce("target", F.lit(0.0)) / F.col("s"))
                               .otherwise(0.0).alias("factor")))
             fitted = fitted.join(factor, m).select(*MARGINS, "tokens", (F.col("w") * F.col("factor")).alias("w"))
-        if (i + 1) % CHAIN == 0 or i + 1 == sweeps:
-            fitted = stored(fitted, "raked")
+        fitted = stored(fitted, "raked")   # each margin reads the cells twice: plans must not chain
     return fitted
 
 
