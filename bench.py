@@ -34,6 +34,7 @@ HEADLINE = [
     "A14_scores_dedup",
     "M3_F22_iforest_scores",
     "R3_R4_alert_replay",
+    "R5_online_hst_scores",
 ]
 
 
