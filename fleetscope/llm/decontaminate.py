@@ -18,8 +18,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bit radius.  At weighted-shingle similarity 0.8 the cosine is 0.89 or so and
 #: 10 of 64 bits differ on average, with a deviation of 3.
 RADIUS, BLOCKS = 18, 6
-#: Items that one pass holds in each worker; more items take more passes.
-ITEMS = 20_000
+#: Items, and bytes of their texts, that one pass holds in each worker; more take more passes.
+ITEMS, ITEM_BYTES = 20_000, 16 << 20
 
 
 def simhash(rows: np.ndarray) -> np.ndarray:
@@ -172,8 +172,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item's length in words whose weighted similarity over five-word shingles
     is 0.8 or more.
 
-    Documents are read once per ITEMS items; each worker holds the index of
-    those items only.  Windows are fingerprinted where they share a shingle
+    Documents are read once per ITEMS items (or ITEM_BYTES of their texts);
+    each worker holds the index of those items only.  Windows are fingerprinted where they share a shingle
     with an item of their length: any other window has similarity zero.  The
     multi-index returns all fingerprints within RADIUS bits, and each is then
     verified exactly.  Texts and items that are null or hold no word match
@@ -184,12 +184,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = prepare(docs.sparkSession)
     items = (benchmark.where("text is not null and item_id is not null")
              .select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct())
-    passes = max(1, -(-items.count() // ITEMS))
+    n, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    passes = max(1, -(-n // ITEMS), -(-(size or 0) // ITEM_BYTES))
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"),
                                                   F.col("text").cast("string").alias("text"))
     found = None
     for i in range(passes):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)  # about ITEMS rows
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)  # about its share
         rows = [(r.item_id, r.text.encode()) for r in own.orderBy("item_id", "text").collect()]
         part = texts.mapInArrow(_find(rows), FOUND)
         found = part if found is None else found.union(part)

@@ -97,7 +97,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     every candidate block, where sparse query rows scatter their weighted
     postings into a dense score array and a partition selection keeps k.  The
     partial lists, k a block, are then merged.  Components past the end of a
-    shorter vector count as zero; of rows that share a query id with different
+    shorter vector count as zero; scores are 64-bit integers, which components
+    under 2 ** 27 cannot leave; of rows that share a query id with different
     vectors the smallest vector asks.  Empty tables give no rows."""
     spark = prepare(candidates.sparkSession)
     n, m = candidates.count(), queries.select("vec_id").distinct().count()
