@@ -73,7 +73,39 @@ def op5(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@register("op6_substring_dedup")
+# A sentence ends after . ! or ? before a blank and after a line end; blank
+# pieces join the sentence before them (or the first one).
+OP6_SQL = r"""
+WITH pieces AS (
+  SELECT doc_id, unnest(cut) AS piece, generate_subscripts(cut, 1) AS pos
+  FROM (SELECT doc_id, string_split(replace(regexp_replace(coalesce(text, ''), '([.!?])([ \t\r\n])', '\1' || chr(1) || '\2', 'g'),
+                                            chr(10), chr(10) || chr(1)), chr(1)) AS cut FROM documents)),
+marked AS (
+  SELECT doc_id, piece, pos, greatest(1, sum(CASE WHEN regexp_matches(piece, '[^ \t\n\r\x0b\f]') THEN 1 ELSE 0 END)
+                                        OVER (PARTITION BY doc_id ORDER BY pos)) AS i
+  FROM pieces WHERE piece <> ''),
+sentences AS (SELECT doc_id, i, string_agg(piece, '' ORDER BY pos) AS sentence FROM marked GROUP BY doc_id, i),
+plain AS (
+  SELECT *, translate(trim(regexp_replace(sentence, '[ \t\n\r\x0b\f]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz') AS words FROM sentences),
+counted AS (SELECT *, CASE WHEN words = '' THEN 0 ELSE length(words) - length(replace(words, ' ', '')) + 1 END AS n FROM plain),
+runs AS (
+  SELECT doc_id, i, words || chr(10) || lead(words) OVER o AS run, n + lead(n) OVER o AS n
+  FROM counted WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth
+                         FROM runs WHERE run IS NOT NULL AND n >= 8) WHERE nth > 1),
+gone AS (SELECT doc_id, i FROM again UNION SELECT doc_id, i + 1 FROM again),
+kept AS (
+  SELECT s.doc_id, count(*) AS n_sentences, count(g.i) AS n_removed,
+         coalesce(string_agg(sentence, '' ORDER BY s.i) FILTER (WHERE g.i IS NULL), '') AS text
+  FROM sentences s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.i = s.i GROUP BY s.doc_id)
+SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(k.text, '') AS text
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+
+@register("op6_substring_dedup", OP6_SQL)
 def op6(spark, sf_dir):
     return sentence_dedup.remove_repeated_sentences(table(spark, sf_dir, "documents"))
 
@@ -93,7 +125,32 @@ def op9(spark, sf_dir):
     return license_scan.licences(table(spark, sf_dir, "documents"))
 
 
-@register("op10_suffix_array_dedup")
+# Bytes as pairs of hex digits; every window of 100 bytes is a row.
+OP10_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM d)),
+later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM w) WHERE nth > 1),
+steps AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM later),
+spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b
+  FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM steps) GROUP BY doc_id, span),
+gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
+cut AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+         string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(from_hex(CASE WHEN last IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
+@register("op10_suffix_array_dedup", OP10_SQL)
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = suffix_dedup.remove_repeats(docs, 100, with_text=False)
