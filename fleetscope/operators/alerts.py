@@ -52,21 +52,28 @@ def rule_patterns(events: DataFrame, as_of, days: int = 7) -> DataFrame:
             .withColumn("peak_window", peak_window(F.col("peak_hour"))))
 
 
-def firing_rules(events: DataFrame, window: int = 50) -> DataFrame:
-    """Rules with a FIRING event among the server's 50 newest events."""
-    return (recent_events(events, window).filter(F.col("state") == "FIRING")
-            .select("server_id", "rule_id").distinct())
+def firing_rules(events: DataFrame, window: int = 50, strict: bool = False) -> DataFrame:
+    """Rules with a FIRING event among the server's 50 newest events;
+    ``strict``: rules whose last event among them is FIRING, so a rule that has
+    resolved since does not count."""
+    recent = recent_events(events, window)
+    if strict:
+        last = F.max_by("state", F.struct("triggered_at", "event_id"))
+        return (recent.groupBy("server_id", "rule_id").agg(last.alias("state"))
+                .filter(F.col("state") == "FIRING").select("server_id", "rule_id"))
+    return recent.filter(F.col("state") == "FIRING").select("server_id", "rule_id").distinct()
 
 
 def rule_report(rules: DataFrame, events: DataFrame, metrics: DataFrame, as_of_events, as_of_values,
-                recent_hours: int = 24) -> DataFrame:
+                recent_hours: int = 24, strict: bool = False) -> DataFrame:
     """Enabled rules with current value (J2), 7-day pattern (J3,
     defaults 0 / NULL / '—'), firing flag (J4) and the pattern state:
-    firing -> dormant (no fire in 7 d) -> active (last fire < 24 h) -> quiet."""
+    firing -> dormant (no fire in 7 d) -> active (last fire < 24 h) -> quiet.
+    ``strict`` as in ``firing_rules``."""
     r = enabled_rules(rules).select("server_id", "rule_id", "metric_name", "operator", "threshold", "created_at")
     cur = latest_value(metrics, as_of_values, 5).withColumnRenamed("value", "current_value")
     pat = rule_patterns(events, as_of_events)
-    fire = firing_rules(events).withColumn("_firing", F.lit(True))
+    fire = firing_rules(events, strict=strict).withColumn("_firing", F.lit(True))
     x = (r.join(cur, ["server_id", "metric_name"], "left")
          .join(pat, ["server_id", "rule_id"], "left")
          .join(fire, ["server_id", "rule_id"], "left"))

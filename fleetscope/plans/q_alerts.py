@@ -123,6 +123,16 @@ def f23(spark, d):
     return out.select("event_id", "server_id", "url", "text")
 
 
+@register("J4_F10_strict_firing_rules", """
+, recent AS (SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY triggered_at DESC, event_id DESC) AS rn
+             FROM alert_events),
+last AS (SELECT *, row_number() OVER (PARTITION BY server_id, rule_id ORDER BY triggered_at DESC, event_id DESC) AS nth
+         FROM recent WHERE rn <= 50)
+SELECT server_id, rule_id FROM last WHERE nth = 1 AND state = 'FIRING'""")
+def j4_strict(spark, d):
+    return A.firing_rules(B.alert_events(spark, d), strict=True)
+
+
 @register("P12_events_24h_firing", f"""
 SELECT server_id, count(*) AS events_24h, count(*) FILTER (WHERE state = 'FIRING') AS firing_24h
 FROM alert_events WHERE triggered_at >= {AS_OF} - INTERVAL 24 HOUR GROUP BY server_id""")
