@@ -63,16 +63,21 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
     """``cells`` (margins, tokens) with ``w``, the tokens scaled by one factor
     per margin value so that every margin's sums come to its targets.  A value
-    without target ends with weight zero."""
+    without target ends with weight zero.  A margin is one sum and one join
+    over the stored cells: plans that chained them would read the cells twice
+    as often with every margin, and weigh on the driver."""
+    goals = {m: f"goal_{m}" for m in MARGINS}
     fitted = cells.withColumn("w", F.col("tokens").cast("double"))
+    for m, goal in goals.items():
+        fitted = fitted.join(targets[m].withColumnRenamed("target", goal), m, "left")
+    columns = [*MARGINS, "tokens", *[F.coalesce(g, F.lit(0.0)).alias(g) for g in goals.values()]]
+    fitted = stored(fitted.select(*columns, "w"), "raked")
     for _ in range(sweeps):
-        for m in MARGINS:
-            factor = (fitted.groupBy(m).agg(F.sum("w").alias("s")).join(targets[m], m, "left")
-                      .select(m, F.when(F.col("s") > 0, F.coalesce("target", F.lit(0.0)) / F.col("s"))
-                              .otherwise(0.0).alias("factor")))
-            fitted = fitted.join(factor, m).select(*MARGINS, "tokens", (F.col("w") * F.col("factor")).alias("w"))
-        fitted = stored(fitted, "raked")   # each margin reads the cells twice: plans must not chain
-    return fitted
+        for m, goal in goals.items():
+            sums = fitted.groupBy(m).agg(F.sum("w").alias("s"))
+            scaled = F.when(F.col("s") > 0, F.col("w") * (F.col(goal) / F.col("s"))).otherwise(0.0)
+            fitted = stored(fitted.join(sums, m).select(*MARGINS, "tokens", *goals.values(), scaled.alias("w")), "raked")
+    return fitted.select(*MARGINS, "tokens", "w")
 
 
 def cap_scale(fitted: DataFrame, budget: float, steps: int = CAP_STEPS) -> float:
