@@ -183,10 +183,11 @@ def _low(k: int) -> Column:
 
 def continuation_counts(counts: DataFrame) -> dict[int, DataFrame]:
     """By order: (gram, c), at the top the counts, below it in how many
-    distinct n-grams of the next order the gram is the end."""
+    distinct n-grams of the next order the gram is the end.  Each is stored, as
+    several joins read it."""
     by = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
-        by[k] = by[k + 1].groupBy(_low(k).alias("gram")).agg(F.count("*").alias("c"))
+        by[k] = stored(by[k + 1].groupBy(_low(k).alias("gram")).agg(F.count("*").alias("c")), "counts")
     return by
 
 
@@ -215,7 +216,7 @@ def scored(asked: DataFrame, by: dict[int, DataFrame], d: dict[int, tuple[float,
     counts and contexts are joined by their keys."""
     needed = {ORDER: asked.select("gram")}
     for k in range(ORDER - 1, 0, -1):
-        needed[k] = needed[k + 1].select(_low(k).alias("gram")).distinct()
+        needed[k] = stored(needed[k + 1].select(_low(k).alias("gram")).distinct(), "needed")
     lower = None
     for k in range(1, ORDER + 1):
         d1, d2, d3 = d[k]
@@ -305,7 +306,7 @@ def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE, slack: floa
                    "ngrams")
     counts = stored(asked.where("trained").groupBy("shard").applyInArrow(_sum_counts, "gram long, c long"), "counts")
     requests = asked.where("not trained").select("shard", "block", "grams")
-    distinct = requests.groupBy("shard").applyInArrow(_distinct, "shard long, gram long")
+    distinct = stored(requests.groupBy("shard").applyInArrow(_distinct, "shard long, gram long"), "needed")
     by = continuation_counts(counts)
     scores = scored(distinct, by, discounts(by)).join(distinct, "gram")
     replies = (requests.groupBy("shard").cogroup(scores.select("shard", "gram", "p").groupBy("shard"))
