@@ -27,7 +27,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     prepare(spark)
-    scored = lm_quality.quality(docs, table(spark, sf_dir, "labels"))
+    scored = lm_quality.quality(docs, table(spark, sf_dir, "labels"), order=lm_quality.LONG_ORDER)
     return without(docs, scored.where("not keep").select("doc_id").distinct())
 
 

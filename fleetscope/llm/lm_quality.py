@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from fleetscope.llm.common import NULL_ID, byte_texts, grouped, id_key, prepare, stored
 
 ORDER = 5
+#: Order of the registered query and the pipeline: their tables grow with the input for longer (7 bytes fit a long).
+LONG_ORDER = 7
 #: Text of a block of documents, and of the part of it that is held as numbers at once.
 BLOCK_BYTES, SLICE = 24 << 20, 2 << 20
 #: Packed text that a task holds before it writes its parts of the blocks.
 PACK_BYTES = 16 << 20
 #: One in so many trusted documents is held out: the model does not see it, and thresholds come from these.
 HELD_OUT = 5
-#: A language's threshold: this quantile of its held-out documents, times the slack.
-QUANTILE, SLACK = 0.99, 1.1
+#: A language's threshold: this quantile of its held-out documents, times the slack (1: none).
+QUANTILE, SLACK = 0.99, 1.0
 #: log-perplexities are compared in steps of 1 / STEP, so that quantiles are exact counts.
 STEP = 10_000
 
@@ -66,42 +68,42 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _segments(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """(text, bytes): ORDER - 1 bytes of context (zeros before the start) and
+def _segments(texts: list[bytes], order: int) -> Iterator[tuple[int, bytes]]:
+    """(text, bytes): order - 1 bytes of context (zeros before the start) and
     then the bytes to count, of which a segment holds SLICE at most."""
     for i, t in enumerate(texts):
         for a in range(0, len(t), SLICE):
-            yield i, t[max(0, a - ORDER + 1):a].rjust(ORDER - 1, b"\0") + t[a:a + SLICE]
+            yield i, t[max(0, a - order + 1):a].rjust(order - 1, b"\0") + t[a:a + SLICE]
 
 
-def _grams(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _grams(segments: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram that ends at each byte, packed in a long, and the sizes."""
     data = np.frombuffer(b"".join(segments), np.uint8)
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
-    n = len(data) - ORDER + 1
+    n = len(data) - order + 1
     g = data[:n].astype(np.int64)
-    for i in range(1, ORDER):
+    for i in range(1, order):
         g <<= 8
         g |= data[i:n + i]
     ends = np.cumsum(sizes)
     real = np.ones(n, bool)
-    for i in range(ORDER - 1):                       # grams that start in one segment and end in the next
-        real[(ends[:-1] - ORDER + 1 + i)] = False
-    return g[real], sizes - ORDER + 1
+    for i in range(order - 1):                       # grams that start in one segment and end in the next
+        real[(ends[:-1] - order + 1 + i)] = False
+    return g[real], sizes - order + 1
 
 
-def _slices(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _slices(texts: list[bytes], order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(grams, texts of its segments, their sizes), SLICE bytes or so at a time."""
-    segments = list(_segments(texts))
+    segments = list(_segments(texts, order))
     for a, b in grouped([len(s) for _, s in segments], SLICE):
-        grams, sizes = _grams([s for _, s in segments[a:b]])
+        grams, sizes = _grams([s for _, s in segments[a:b]], order)
         yield grams, np.array([i for i, _ in segments[a:b]]), sizes
 
 
-def _counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _counted(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of some texts, in order, and their counts."""
     keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    for grams, _, _ in _slices(texts):
+    for grams, _, _ in _slices(texts, order):
         grams.sort()
         heads = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
         keys, counts = _merged(np.concatenate((keys, grams[heads])),
@@ -140,7 +142,7 @@ def _block_rows(table: pa.Table) -> list[tuple[int, str, bytes]]:
 ASKED = "trained boolean, shard long, block long, grams binary, counts binary"
 
 
-def _gather(shards: int):
+def _gather(shards: int, order: int):
     """Per block and shard: the counts of the n-grams of its trusted documents,
     and the distinct n-grams of all its documents, whose scores it asks for."""
     def run(pieces: pa.Table, trusted: pa.Table) -> pa.Table:
@@ -148,8 +150,8 @@ def _gather(shards: int):
         if pieces.num_rows:
             good = set(trusted.column("did").to_pylist())
             rows = _block_rows(pieces)
-            keys, counts = _counted([t for i, _, t in rows if i in good])
-            rest, _ = _counted([t for i, _, t in rows if i not in good])
+            keys, counts = _counted([t for i, _, t in rows if i in good], order)
+            rest, _ = _counted([t for i, _, t in rows if i not in good], order)
             block = pieces.column("block")[0].as_py()
             for trained, k, c in ((True, keys, counts), (False, np.union1d(keys, rest), None)):
                 to = _shard(k, shards)
@@ -181,12 +183,12 @@ def _low(k: int) -> Column:
     return F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1))
 
 
-def continuation_counts(counts: DataFrame) -> dict[int, DataFrame]:
+def continuation_counts(counts: DataFrame, order: int = ORDER) -> dict[int, DataFrame]:
     """By order: (gram, c), at the top the counts, below it in how many
     distinct n-grams of the next order the gram is the end.  Each is stored, as
     several joins read it."""
-    by = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):
+    by = {order: counts}
+    for k in range(order - 1, 0, -1):
         by[k] = stored(by[k + 1].groupBy(_low(k).alias("gram")).agg(F.count("*").alias("c")), "counts")
     return by
 
@@ -214,11 +216,12 @@ def discounts(by: dict[int, DataFrame]) -> dict[int, tuple[float, float, float]]
 def scored(asked: DataFrame, by: dict[int, DataFrame], d: dict[int, tuple[float, float, float]]) -> DataFrame:
     """(gram, p) for the distinct n-grams ``asked`` (gram): order by order,
     counts and contexts are joined by their keys."""
-    needed = {ORDER: asked.select("gram")}
-    for k in range(ORDER - 1, 0, -1):
+    order = max(by)
+    needed = {order: asked.select("gram")}
+    for k in range(order - 1, 0, -1):
         needed[k] = stored(needed[k + 1].select(_low(k).alias("gram")).distinct(), "needed")
     lower = None
-    for k in range(1, ORDER + 1):
+    for k in range(1, order + 1):
         d1, d2, d3 = d[k]
         off = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         context = (by[k].groupBy(F.shiftright("gram", 8).alias("context"))
@@ -246,21 +249,23 @@ def _reply(asked: pa.Table, scores: pa.Table) -> pa.Table:
                      "logp": pa.array([logp[np.searchsorted(gram, _got(x))].tobytes() for x in data], pa.binary())})
 
 
-def _perplexities(pieces: pa.Table, replies: pa.Table) -> pa.Table:
-    rows = _block_rows(pieces)
-    totals = np.zeros(len(rows))
-    if replies.num_rows:
-        gram = np.concatenate([_got(x) for x in replies.column("grams").to_pylist()])
-        logp = np.concatenate([np.frombuffer(x, np.float32) for x in replies.column("logp").to_pylist()]).astype(float)
-        order = np.argsort(gram)
-        gram, logp = gram[order], logp[order]
-        for grams, of, sizes in _slices([t for _, _, t in rows]):
-            np.add.at(totals, of, np.add.reduceat(logp[np.searchsorted(gram, grams)], np.cumsum(sizes) - sizes))
-    n = np.array([len(t) for _, _, t in rows], np.int64)
-    mean = np.divide(-totals, n, out=np.full(len(rows), np.nan), where=n > 0)
-    return pa.table({"did": pa.array([r[0] for r in rows], pa.int64()), "lang": pa.array([r[1] for r in rows], pa.string()),
-                     "n_bytes": pa.array(n), "steps": pa.array(np.where(n > 0, np.rint(np.nan_to_num(mean) * STEP), 0).astype(np.int64),
-                                                               mask=n == 0)})
+def _perplexities(order: int):
+    def run(pieces: pa.Table, replies: pa.Table) -> pa.Table:
+        rows = _block_rows(pieces)
+        totals = np.zeros(len(rows))
+        if replies.num_rows:
+            gram = np.concatenate([_got(x) for x in replies.column("grams").to_pylist()])
+            logp = np.concatenate([np.frombuffer(x, np.float32) for x in replies.column("logp").to_pylist()]).astype(float)
+            rank = np.argsort(gram)
+            gram, logp = gram[rank], logp[rank]
+            for grams, of, sizes in _slices([t for _, _, t in rows], order):
+                np.add.at(totals, of, np.add.reduceat(logp[np.searchsorted(gram, grams)], np.cumsum(sizes) - sizes))
+        n = np.array([len(t) for _, _, t in rows], np.int64)
+        mean = np.divide(-totals, n, out=np.full(len(rows), np.nan), where=n > 0)
+        return pa.table({"did": pa.array([r[0] for r in rows], pa.int64()), "lang": pa.array([r[1] for r in rows], pa.string()),
+                         "n_bytes": pa.array(n), "steps": pa.array(np.where(n > 0, np.rint(np.nan_to_num(mean) * STEP), 0).astype(np.int64),
+                                                                   mask=n == 0)})
+    return run
 
 
 def exact_quantile(rows: DataFrame, key: str, value: str, q: float) -> DataFrame:
@@ -272,7 +277,8 @@ def exact_quantile(rows: DataFrame, key: str, value: str, q: float) -> DataFrame
             .where(F.col("up") >= F.col("all") * q).groupBy(key).agg(F.min(value).alias("threshold")))
 
 
-def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE, slack: float = SLACK,
+            order: int = ORDER) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, keep) for every row.
 
     Trusted are the documents that all their rows of ``labels`` (doc_id,
@@ -282,7 +288,8 @@ def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE, slack: floa
     n-grams of all their documents; both are dealt out by n-gram, where counts
     are summed and joined, order by order, to probabilities.  A document's
     perplexity is per byte; it is kept unless that exceeds its language's
-    ``q`` quantile over held-out documents by the factor ``slack``.
+    ``q`` quantile over held-out documents by the factor ``slack``.  ``order`` is
+    the length of the n-grams, 7 at most.
 
     Empty or null texts have no perplexity and stay; so do documents of a
     language (null is one) without held-out documents.  Repeated rows each give
@@ -302,17 +309,17 @@ def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE, slack: floa
                .where("good and clean")
                .select("did", (F.pmod(F.xxhash64("did"), F.lit(1 << 40)) % HELD_OUT == 0).alias("held")))
     by_block = pieces.groupBy("block")
-    asked = stored(by_block.cogroup(trusted.where("not held").select(block, "did").groupBy("block")).applyInArrow(_gather(shards), ASKED),
+    asked = stored(by_block.cogroup(trusted.where("not held").select(block, "did").groupBy("block")).applyInArrow(_gather(shards, order), ASKED),
                    "ngrams")
     counts = stored(asked.where("trained").groupBy("shard").applyInArrow(_sum_counts, "gram long, c long"), "counts")
     requests = asked.where("not trained").select("shard", "block", "grams")
     distinct = stored(requests.groupBy("shard").applyInArrow(_distinct, "shard long, gram long"), "needed")
-    by = continuation_counts(counts)
+    by = continuation_counts(counts, order)
     scores = scored(distinct, by, discounts(by)).join(distinct, "gram")
     replies = (requests.groupBy("shard").cogroup(scores.select("shard", "gram", "p").groupBy("shard"))
                .applyInArrow(_reply, "block long, grams binary, logp binary"))
     found = stored(by_block.cogroup(replies.groupBy("block"))
-                   .applyInArrow(_perplexities, "did long, lang string, n_bytes long, steps long"), "perplexities")
+                   .applyInArrow(_perplexities(order), "did long, lang string, n_bytes long, steps long"), "perplexities")
     limits = exact_quantile(found.join(trusted.where("held"), "did", "left_semi"), "lang", "steps", q)
     perplexity = lambda c: F.exp(F.col(c) / float(STEP))
     return (found.join(limits, "lang", "left")

@@ -112,7 +112,7 @@ def op6(spark, sf_dir):
 
 @register("op7_quality_classifier")
 def op7(spark, sf_dir):
-    return lm_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return lm_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), order=lm_quality.LONG_ORDER)
 
 
 @register("op8_simhash_near_dedup")

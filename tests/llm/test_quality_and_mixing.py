@@ -109,6 +109,25 @@ def test_quality_tells_junk_from_prose(spark, make_docs, prose):
     assert sum(got[i] for i, _ in good) >= 195 and sum(got[i] for i, _ in junk) == 0
 
 
+def test_perplexities_of_long_ngrams_and_no_slack(spark, make_docs, prose, monkeypatch):
+    """The order of the registered query; a threshold is the quantile itself."""
+    order = lm_quality.LONG_ORDER
+    assert order > 5
+    rows = [(i, prose(i, 40)) for i in range(40)] + [(100, "lismota dutaren " * 9)]
+    got = lm_quality.quality(make_docs(rows), spark.createDataFrame([(i, 1, 0, 0) for i in range(40)], LABELS), order=order).collect()
+    ids = spark.createDataFrame([(i,) for i in range(40)], "did long")
+    held = {r.did for r in ids.where(F.pmod(F.xxhash64("did"), F.lit(1 << 40)) % lm_quality.HELD_OUT == 0).collect()}
+    monkeypatch.setattr(lm_quality, "ORDER", order)
+    p = brute_model([t.encode() for i, t in rows if i < 40 and i not in held])
+    by = {r.doc_id: r for r in got}
+    for i, t in rows:
+        data, n = b"\0" * (order - 1) + t.encode(), len(t)
+        log = -sum(math.log(p(data[j:j + order])) for j in range(n)) / n
+        assert by[i].perplexity == pytest.approx(math.exp(log), rel=2e-4)
+    own = sorted(by[i].perplexity for i in held)
+    assert by[100].threshold == pytest.approx(own[math.ceil(lm_quality.QUANTILE * len(own)) - 1])
+
+
 def test_exact_quantile(spark):
     rows = spark.createDataFrame([("a", i) for i in range(1, 101)] + [("b", 5), ("b", 5), ("c", None)], "k string, v long")
     got = {r.k: r.threshold for r in lm_quality.exact_quantile(rows, "k", "v", 0.99).collect()}
