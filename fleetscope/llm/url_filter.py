@@ -26,31 +26,68 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 
-#: Words of the small labelled url table, most unwanted kinds of site first.
-UNWANTED = ("casino bets poker slots pills pharma viagra spam farm adult xxx porn escort ads track click banner "
-            "loan payday replica cheap free win lottery jackpot dating warez crack torrent").split()
-WANTED = ("news library school university museum science health garden travel recipe history music weather city "
-          "forum wiki docs blog journal review sport energy climate market office family water paper house the "
-          "tion there other these whether station mother within").split()
-#: Frequent English letter pairs: hosts built from them stand for harmless names of no known word.
-PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co".split()
+#: Words of the small labelled url table, written by hand and from no table of this
+#: repository.  Unwanted: kinds of site that public blocklists commonly hold (gambling,
+#: sham pharmacies, adult, pirated software, advert servers, quick loans, fakes).
+UNWANTED = ("casino poker roulette blackjack betting sportsbet slots jackpot bingo lottery viagra cialis steroid pills "
+            "painkiller slimming porn xxx nude escort webcam adult hookup warez keygen torrent cracked serialz "
+            "adserver popunder banner clickbait tracker spam payday quickloan cashadvance replica fakewatch "
+            "freegift winner prize cheap").split()
+#: Ordinary: words that names of public sites are commonly made of.
+WANTED = ("news times herald gazette library school university college museum science physics biology health hospital "
+          "garden travel railway airport recipe kitchen history music theatre weather city council parliament forum wiki "
+          "docs developer software research journal review sport football cycling energy climate market bank insurance "
+          "family water paper house furniture church charity community foundation institute standards photo film radio "
+          "books poetry language street north river mountain island harbour").split()
+#: Hosts of well-known public sites, from memory: names of no common word, all ordinary.
+KNOWN = ("www.google.com mail.yahoo.com www.bing.com duckduckgo.com www.apple.com www.microsoft.com www.mozilla.org "
+         "www.debian.org www.kernel.org www.gnu.org www.python.org www.oracle.com www.ibm.com www.intel.com www.nvidia.com "
+         "www.samsung.com www.sony.com www.nokia.com www.siemens.com www.bosch.de www.bmw.de www.renault.fr www.toyota.com "
+         "www.reuters.com apnews.com www.theguardian.com www.nytimes.com www.washingtonpost.com www.economist.com "
+         "www.ft.com www.bloomberg.com www.cnn.com www.npr.org www.aljazeera.com www.zeit.de www.faz.net www.tagesschau.de "
+         "www.sueddeutsche.de www.liberation.fr www.lefigaro.fr www.elmundo.es www.lavanguardia.com www.corriere.it "
+         "www.repubblica.it www.nzz.ch www.derstandard.at www.un.org www.unesco.org www.unicef.org www.oecd.org "
+         "www.imf.org www.worldbank.org www.wto.org www.redcross.org www.amnesty.org www.cern.ch www.esa.int www.noaa.gov "
+         "www.usgs.gov www.nih.gov www.cdc.gov www.loc.gov www.gov.uk www.service-public.fr www.bund.de www.mit.edu "
+         "www.stanford.edu www.harvard.edu www.cam.ac.uk www.ethz.ch www.tum.de www.sorbonne-universite.fr www.uam.es "
+         "www.acm.org www.ieee.org www.iso.org www.w3.org www.ietf.org www.jstor.org www.springer.com www.elsevier.com "
+         "www.britannica.com www.merriam-webster.com dict.leo.org www.linguee.com www.deepl.com www.openstreetmap.org "
+         "www.amazon.com www.ebay.de www.ikea.com www.otto.de www.zalando.de www.fnac.com www.decathlon.fr www.lidl.de "
+         "www.etsy.com www.booking.com www.tripadvisor.com www.airbnb.com www.lufthansa.com www.renfe.com www.sncf.com "
+         "www.youtube.com vimeo.com www.spotify.com soundcloud.com bandcamp.com www.flickr.com www.reddit.com "
+         "www.linkedin.com www.facebook.com medium.com substack.com www.quora.com www.twitch.tv www.netflix.com "
+         "www.goodreads.com www.fifa.com www.uefa.com www.olympics.com www.chess.com www.louvre.fr www.tate.org.uk "
+         "www.prado.es www.vangoghmuseum.nl www.smithsonianmag.com www.nationalgeographic.com www.gitlab.com "
+         "bitbucket.org sourceforge.net www.npmjs.com pypi.org crates.io hub.docker.com www.postgresql.org").split()
+#: Common forms of hosts (NAME is a word or two) and of paths (WORD is an
+#: ordinary word, # a number), the same for both labels.
+HOSTS = ("www.NAME.com", "NAME.org", "NAME.net", "www.NAME.co.uk", "NAME.de", "www.NAME.fr", "NAME.io", "shop.NAME.com",
+         "NAME.wordpress.com", "www.NAME.es", "m.NAME.net", "blog.NAME.org")
+PATHS = ("/", "/index.html", "/about", "/WORD/#", "/2021/03/WORD-WORD", "/category/WORD", "/WORD.php", "/en/WORD",
+         "/contact", "/wiki/WORD", "/p/#/WORD")
 
 
 def seed_urls() -> list[tuple[str, int]]:
-    """The small labelled table (url, 1 unwanted): each word, and each with the
-    word after it, under a few host and path forms, and names of letter pairs."""
-    out = []
-    for words, label in ((UNWANTED, 1), (WANTED, 0)):
-        for i, w in enumerate(words):
-            pair = f"{w}-{words[(i + 1) % len(words)]}" if label else w + words[(i + 1) % len(words)]
-            for j, host in enumerate((w, pair, f"www.{pair}", f"blog.{w}", f"m.{pair}")):
-                tld, lang = ("com", "net", "org")[(i + j) % 3], ("en", "fr", "de", "es")[(i + j) % 4]
-                out.append((f"http://{host}.example.{tld}/{lang}/{37 * i + 11 * j}", label))
-    for i, p in enumerate(PAIRS):
-        for j in range(10):
-            name = p + PAIRS[(i * 7 + j * 3) % len(PAIRS)] + PAIRS[(i + j * 5) % len(PAIRS)] * (j % 2)
-            tld, lang = ("com", "net", "org")[(i + j) % 3], ("en", "fr", "de", "es")[(i + 2 * j) % 4]
-            out.append((f"https://{('', 'www.', 'blog.', 'm.')[j % 4]}{name}.example.{tld}/{lang}/{41 * i + 7 * j}", 0))
+    """The small labelled table (url, 1 unwanted): each word, alone and with
+    others, under common host and path forms, and known hosts with such paths."""
+    out, plain = [], 0
+
+    def path(i):
+        nonlocal plain
+        p = PATHS[i % len(PATHS)].replace("#", str(37 * i % 9973))
+        while "WORD" in p:
+            p = p.replace("WORD", WANTED[plain % len(WANTED)], 1)
+            plain += 1
+        return p
+
+    for words, label, rounds in ((UNWANTED, 1, 3), (WANTED, 0, 1)):
+        for i, w in enumerate(words * rounds):
+            near, far = words[(i * 3 + i // len(words) + 1) % len(words)], words[(i * 7 + i // len(words) + 5) % len(words)]
+            other = WANTED[(i * 5 + 3) % len(WANTED)]
+            for j, name in enumerate((w, w + near, f"{w}-{far}", f"{far}{w}", f"the{w}", f"{w}online", f"{other}-{w}")):
+                host = HOSTS[(i * 5 + j) % len(HOSTS)].replace("NAME", name)
+                out.append((f"{('http', 'https')[(i + j) % 2]}://{host}{path(i * 3 + j * 4)}", label))
+    out += [(f"https://{host}{path(i * 5 + 3 * j)}", 0) for i, host in enumerate(KNOWN) for j in range(4)]
     return out
 
 

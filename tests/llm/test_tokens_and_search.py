@@ -138,3 +138,65 @@ def test_url_classifier_on_held_out_rows():
     texts = url_filter._texts(rows[held].host.tolist(), rows[held].path.tolist())
     said = url_filter._logit(*url_filter.features(texts), held.sum(), w) > 0
     assert (said == (rows[held].label == 1)).mean() > 0.9
+
+
+#: Public url forms, written by hand and not built by seed_urls.
+ORDINARY_URLS = """
+    https://en.wikipedia.org/wiki/Botany
+    https://www.bbc.co.uk/news/world-europe
+    https://github.com/apache/spark
+    https://docs.python.org/3/library/re.html
+    https://www.nasa.gov/missions
+    https://www.nature.com/articles/d41586
+    https://www.lemonde.fr/international/
+    https://www.spiegel.de/politik/
+    https://elpais.com/cultura/
+    https://www.gutenberg.org/ebooks/1342
+    https://stackoverflow.com/questions/11227809
+    https://www.who.int/health-topics
+    https://arxiv.org/abs/1706.03762
+    https://www.ox.ac.uk/admissions
+    https://www.allrecipes.com/recipe/23600/
+    https://www.deutschebahn.com/de
+    https://europa.eu/youth
+    https://www.rijksmuseum.nl/en/visit
+    https://www.weather.gov/forecast
+    https://www.imdb.com/title/tt0111161/
+""".split()
+UNWANTED_URLS = """
+    https://www.888casino.com/promotions
+    https://www.pokerstars.net/download/
+    https://www.onlinecasinoguide.com/
+    https://best-betting-sites.org/bonus
+    https://www.viagra-without-doctor.net/buy
+    https://cheapcialis.org/order
+    https://www.pornhub.com/video
+    https://www.xxxvideos.net/
+    https://escorts-london.co.uk/girls
+    https://www.torrentdownloads.net/latest
+    https://warez-bb.org/index.php
+    https://paydayloans247.com/apply
+    https://adserver.doublead.net/click
+    https://replica-watches.cn/rolex
+    https://jackpotcity.com/
+    https://www.lotterywinner.biz/claim
+    https://freepills4u.com/shop
+    https://nudewebcams.net/live
+    https://keygens.nl/crack
+    https://www.bingohall.com/slots
+""".split()
+
+
+def test_url_classifier_on_urls_that_seed_urls_did_not_build():
+    import re
+
+    import pandas as pd
+    split = lambda u: re.match(r".*?://([^/]*)(.*)", u).groups()
+    seed = url_filter.seed_urls()
+    assert not [u for u, _ in seed if ".example." in u or re.search(r"/(en|fr|de|es)/\d+$", u)]
+    assert not {split(u)[0] for u, _ in seed} & {split(u)[0] for u in ORDINARY_URLS + UNWANTED_URLS}
+    w = url_filter.fit(pd.DataFrame([(*split(u), y) for u, y in seed], columns=["host", "path", "label"]))
+    urls = ORDINARY_URLS + UNWANTED_URLS
+    said = url_filter._logit(*url_filter.features(url_filter._texts(*zip(*map(split, urls)))), len(urls), w) > 0
+    right = [bool(b) == (i >= len(ORDINARY_URLS)) for i, b in enumerate(said)]
+    assert sum(right) / len(right) > 0.85
