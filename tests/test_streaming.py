@@ -223,3 +223,17 @@ def test_online_stream_at_the_default_window(spark):
         a += size
     assert a == n and len(want) == n
     assert all(abs(want[t] - s) < 1e-12 for t, s in got.items()) and max(got.values()) > 0
+
+
+def test_heartbeat_gaps_hold_no_message(spark):
+    """A server that sent heartbeats all along is not reported as offline."""
+    from fleetscope.plans import catalog
+    from fleetscope.sources import bindings as B
+    messages = B.heartbeat_messages(spark, SMALL).select(F.col("server_id").alias("of"), "timestamp")
+    for name in ("R7_heartbeat_gaps", "R7_heartbeat_gaps_event_clock"):
+        beats = messages if name == "R7_heartbeat_gaps" else B.heartbeat_messages(spark, SMALL, clock="raw").select(
+            F.col("server_id").alias("of"), "timestamp")
+        gaps = catalog.queries()[name](spark, SMALL)
+        inside = (F.col("of") == F.col("server_id")) & (F.col("timestamp") > F.col("last_seen")) & (
+            F.col("timestamp") < F.col("back_online_at"))
+        assert gaps.join(beats, inside).count() == 0, name
