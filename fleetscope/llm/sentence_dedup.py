@@ -30,18 +30,31 @@ def sentences(text: bytes) -> list[bytes]:
     return out
 
 
+def run_ends(sizes: list[int], length: int, words: int) -> list[int | None]:
+    """Where the run from each sentence on ends: after ``length`` sentences, or
+    as many more as it takes to ``words`` words; none if the text ends before."""
+    out, end, total = [], 0, 0
+    for i, n in enumerate(sizes):
+        while end < len(sizes) and (end - i < length or total < words):
+            total += sizes[end]
+            end += 1
+        out.append(end if end - i >= length and total >= words else None)
+        total -= n
+    return out
+
+
 def spans(pieces: list[bytes], length: int, words: int) -> list[tuple[int, int] | None]:
-    """A 128-bit hash for the run of ``length`` sentences from each sentence
-    on; none for a run of fewer than ``words`` words.  A-Z and blanks are folded."""
+    """A 128-bit hash for the run from each sentence on (see ``run_ends``); A-Z
+    and blanks are folded."""
+    return [run and run[0] for run in _runs(pieces, length, words)]
+
+
+def _runs(pieces: list[bytes], length: int, words: int) -> list[tuple[tuple[int, int], int] | None]:
     plain = [p.lower().split() for p in pieces]
-    text, size = [b" ".join(p) for p in plain], [len(p) for p in plain]
-    out = []
-    for i in range(len(plain) - length + 1):
-        if sum(size[i:i + length]) < words:
-            out.append(None)
-        else:
-            out.append(struct.unpack("<qq", hashlib.blake2b(b"\n".join(text[i:i + length]), digest_size=16).digest()))
-    return out
+    text = [b" ".join(p) for p in plain]
+    return [None if end is None else
+            (struct.unpack("<qq", hashlib.blake2b(b"\n".join(text[i:end]), digest_size=16).digest()), end)
+            for i, end in enumerate(run_ends([len(p) for p in plain], length, words))]
 
 
 def _emit(length: int, words: int):
@@ -65,11 +78,14 @@ def _cut(length: int, words: int):
             out = []
             for text, earlier in zip(byte_texts(b.column("text")), b.column("earlier").to_pylist()):
                 pieces = sentences(text)
-                runs = spans(pieces, length, words)
-                gone, seen = set(), {runs[i] for i in earlier or () if i < len(runs)}
-                for i, h in enumerate(runs):
-                    if h in seen and h is not None:
-                        gone.update(range(i, i + length))
+                runs = _runs(pieces, length, words)
+                gone, seen = set(), {runs[i][0] for i in earlier or () if i < len(runs) and runs[i]}
+                for i, run in enumerate(runs):
+                    if run is None:
+                        continue
+                    h, end = run
+                    if h in seen:
+                        gone.update(range(i, end))
                     seen.add(h)
                 out.append((len(pieces), len(gone), b"".join(p for i, p in enumerate(pieces) if i not in gone)))
             yield pa.RecordBatch.from_arrays(
@@ -81,9 +97,10 @@ def _cut(length: int, words: int):
 
 def remove_repeated_sentences(docs: DataFrame, length: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """(doc_id, n_sentences, n_removed, text) for every row of ``docs``, without
-    the sentences covered by a run of ``length`` consecutive sentences that
-    also occurs earlier: in a document of smaller doc_id, or earlier in the
-    same one.  Runs of fewer than ``words`` words do not count.
+    the sentences covered by a run of consecutive sentences that also occurs
+    earlier: in a document of smaller doc_id, or earlier in the same one.  From
+    each sentence on there is one run: ``length`` sentences, or as many more as
+    it takes to ``words`` words.
 
     Each document sends one row per distinct run; their smallest doc_id is a
     grouped minimum, combined on the map side, so a run that a third of all

@@ -188,6 +188,15 @@ def test_repeated_sentences_against_brute_force(make_docs, prose):
     assert {r.doc_id: r.n_removed > 0 for r in null} == {None: False, 1: True}
 
 
+def test_long_passages_of_short_sentences_go(make_docs, prose):
+    menu = "".join(f"Menu entry {i}\n" for i in range(20))
+    rows = [(i, prose(i, 40) + "\n" + menu + prose(100 + i, 40)) for i in range(4)]
+    rows += [(10, "One of. of. Then other words here."), (11, "Some of. of. And so on it went.")]     # a chance pair
+    by = {r.doc_id: r for r in sentence_dedup.remove_repeated_sentences(make_docs(rows)).collect()}
+    assert [by[i].n_removed for i in (0, 1, 2, 3, 10, 11)] == [0, 20, 20, 20, 0, 0]
+    assert ["Menu entry" in by[i].text for i in range(4)] == [True, False, False, False]
+
+
 def test_sentences_join_to_the_text():
     for text in (b"", b"A. B", b"\n\nA.\n \nB! C?\tD", b"a.b. c", "É. Ü.\r\n".encode()):
         assert b"".join(sentence_dedup.sentences(text)) == text
