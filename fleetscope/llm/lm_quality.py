@@ -277,6 +277,10 @@ def exact_quantile(rows: DataFrame, key: str, value: str, q: float) -> DataFrame
             .where(F.col("up") >= F.col("all") * q).groupBy(key).agg(F.min(value).alias("threshold")))
 
 
+def block_of(key: Column, blocks: int) -> Column:
+    return F.pmod(key, F.lit(blocks)).cast("long").alias("block")
+
+
 def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE, slack: float = SLACK,
             order: int = ORDER) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, keep) for every row.
@@ -299,10 +303,12 @@ def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE, slack: floa
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    block = F.pmod(F.xxhash64("did"), F.lit(max(1, -(-size // BLOCK_BYTES)))).cast("long").alias("block")
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    block = block_of(F.xxhash64("did"), blocks)
     pieces = (docs.select(id_key().alias("did"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
                           text.alias("text"))
-              .select(block, "did", "lang", "text").mapInArrow(_packed, "block long, payload binary"))
+              .select(block_of(F.when(F.col("did") == NULL_ID, F.xxhash64("text")).otherwise(F.xxhash64("did")), blocks),
+                      "did", "lang", "text").mapInArrow(_packed, "block long, payload binary"))
     trusted = (labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("did"))
                .agg((F.min(F.coalesce("quality", F.lit(0))) == 1).alias("good"),
                     (F.max(F.coalesce("toxic", F.lit(1))) == 0).alias("clean"))

@@ -62,13 +62,10 @@ def _emit(length: int, words: int):
         for b in batches:
             out = []
             for did, text in zip(b.column("did").to_pylist(), byte_texts(b.column("text"))):
-                firsts: dict[tuple[int, int], int] = {}
-                for i, h in enumerate(spans(sentences(text), length, words)):
-                    if h is not None:
-                        firsts.setdefault(h, i)
-                out += [(*h, did, i) for h, i in firsts.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(
-                (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["h1", "h2", "did", "i"])
+                own = set(spans(sentences(text), length, words)) - {None}
+                out += [(*h, did) for h in own]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)],
+                                             ["h1", "h2", "did"])
     return run
 
 
@@ -79,7 +76,7 @@ def _cut(length: int, words: int):
             for text, earlier in zip(byte_texts(b.column("text")), b.column("earlier").to_pylist()):
                 pieces = sentences(text)
                 runs = _runs(pieces, length, words)
-                gone, seen = set(), {runs[i][0] for i in earlier or () if i < len(runs) and runs[i]}
+                gone, seen = set(), {(h["h1"], h["h2"]) for h in earlier or ()}
                 for i, run in enumerate(runs):
                     if run is None:
                         continue
@@ -105,17 +102,18 @@ def remove_repeated_sentences(docs: DataFrame, length: int = SENTENCES, words: i
     Each document sends one row per distinct run; their smallest doc_id is a
     grouped minimum, combined on the map side, so a run that a third of all
     documents share is no hot group; only runs of several documents are joined
-    back.  Null texts are empty and give an empty text; documents of fewer
+    back, by their hashes: rows that share a doc_id may hold different texts.
+    Null texts are empty and give an empty text; documents of fewer
     sentences stay whole.  Rows that share a doc_id are one place in the order:
     none of them is earlier than another; a null doc_id comes first.  An empty
     table gives none; other columns are ignored."""
     prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("did"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    runs = texts.select("did", "text").mapInArrow(_emit(length, words), "h1 long, h2 long, did long, i int")
+    runs = texts.select("did", "text").mapInArrow(_emit(length, words), "h1 long, h2 long, did long")
     shared = (runs.groupBy("h1", "h2").agg(F.min("did").alias("first"), F.max("did").alias("last"))
               .where("first < last").select("h1", "h2", "first"))
     later = (runs.join(shared, ["h1", "h2"]).where("did > first")
-             .groupBy("did").agg(F.collect_set("i").alias("earlier")))
+             .groupBy("did").agg(F.collect_set(F.struct("h1", "h2")).alias("earlier")))
     return (texts.join(later, "did", "left").select("doc_id", "text", "earlier")
             .mapInArrow(_cut(length, words), "doc_id long, n_sentences long, n_removed long, text string"))

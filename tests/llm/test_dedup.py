@@ -197,6 +197,12 @@ def test_long_passages_of_short_sentences_go(make_docs, prose):
     assert ["Menu entry" in by[i].text for i in range(4)] == [True, False, False, False]
 
 
+def test_rows_of_one_doc_id_keep_their_own_sentences(make_docs, prose):
+    passage, other = prose(500, 60), prose(501, 60)
+    got = sentence_dedup.remove_repeated_sentences(make_docs([(1, passage), (2, passage), (2, other)])).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, passage), (2, ""), (2, other)])
+
+
 def test_sentences_join_to_the_text():
     for text in (b"", b"A. B", b"\n\nA.\n \nB! C?\tD", b"a.b. c", "É. Ü.\r\n".encode()):
         assert b"".join(sentence_dedup.sentences(text)) == text

@@ -128,6 +128,15 @@ def test_perplexities_of_long_ngrams_and_no_slack(spark, make_docs, prose, monke
     assert by[100].threshold == pytest.approx(own[math.ceil(lm_quality.QUANTILE * len(own)) - 1])
 
 
+def test_rows_without_an_id_are_dealt_to_many_blocks(spark, make_docs, prose, monkeypatch):
+    seen, frame = [], type(make_docs([]))
+    packed = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, *a, **k: (seen.append(df), packed(df, *a, **k))[1])
+    monkeypatch.setattr(lm_quality, "BLOCK_BYTES", 1000)
+    got = lm_quality.quality(make_docs([(None, prose(i, 60)) for i in range(30)]), spark.createDataFrame([], LABELS))
+    assert seen[0].select("block").distinct().count() > 3 and got.count() == 30
+
+
 def test_exact_quantile(spark):
     rows = spark.createDataFrame([("a", i) for i in range(1, 101)] + [("b", 5), ("b", 5), ("c", None)], "k string, v long")
     got = {r.k: r.threshold for r in lm_quality.exact_quantile(rows, "k", "v", 0.99).collect()}
