@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,9 @@ DIMENSIONS = 1 << 18
 GRAMS = (1, 2)
 #: Least calibrated probability of a family, and least share of a template's word pairs.
 PROBABILITY, CONTAINED = 0.5, 0.6
+#: Words of a window and of a step: short notices, then the longest templates.
+WINDOWS = ((20, 8), (64, 24))
+_BLANK = re.compile(rb"\n[ \t\r]*\n")
 #: Labelled paragraphs made from the templates: so many variants of each.
 VARIANTS = 24
 
@@ -141,7 +145,19 @@ def seed_paragraphs(variants: int = VARIANTS) -> list[tuple[str, str]]:
 
 
 def paragraphs(text: bytes) -> list[bytes]:
-    return [p for p in text.split(b"\n") if p.strip()]
+    """Blank lines part them; the lines of one are joined."""
+    return [b" ".join(p.split()) for p in _BLANK.split(text) if p.strip()]
+
+
+def windows(paragraph: bytes) -> Iterator[bytes]:
+    """A paragraph as long as a window at most is one; a longer one gives
+    overlapping windows of each size, so that a notice is not diluted."""
+    words = paragraph.split(b" ")
+    for size, step in WINDOWS:
+        for a in range(0, max(1, len(words) - size + step), step):
+            yield b" ".join(words[a:a + size])
+        if len(words) <= size:
+            return
 
 
 def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -245,9 +261,17 @@ def _scan(model: Model, templates: dict[str, list[str]], probability: float, con
         for b in batches:
             ids, out = b.column("doc_id").to_pylist(), []
             rows = [(d, i, p) for d, t in enumerate(byte_texts(b.column("text"))) for i, p in enumerate(paragraphs(t))]
-            for lo, hi in grouped([len(p) for _, _, p in rows], SLICE):
-                for at, *cells in found([p for _, _, p in rows[lo:hi]]):
-                    d, i, p = rows[lo + at]
+            for lo, hi in grouped([4 * len(p) for _, _, p in rows], SLICE):
+                cut = [(at, w) for at in range(lo, hi) for w in windows(rows[at][2])]
+                best: dict[tuple[int, str], tuple] = {}      # of the windows of a paragraph, by family
+                for j, k in grouped([len(w) for _, w in cut], SLICE):
+                    for at, *cells in found([w for _, w in cut[j:k]]):
+                        key = cut[j + at][0], cells[0]
+                        rank = (cells[4], cells[3], cells[1])
+                        if key not in best or rank > best[key][0]:
+                            best[key] = rank, cells
+                for (at, _), (_, cells) in best.items():
+                    d, i, p = rows[at]
                     out.append((ids[d], i, *cells, p.decode()))
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.float64(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)],
@@ -258,10 +282,12 @@ def _scan(model: Model, templates: dict[str, list[str]], probability: float, con
 
 def licences(docs: DataFrame, labelled: list[tuple[str, str]] | None = None, templates: dict[str, list[str]] = TEMPLATES,
              probability: float = PROBABILITY, contained: float = CONTAINED) -> DataFrame:
-    """One row per paragraph that the classifier puts in a licence family with
-    a calibrated ``probability``: doc_id, number of the paragraph (non-blank
-    lines, from 0), family, template that it holds most of, the share of that
-    template's word pairs it holds, whether that confirms the family, and text.
+    """One row per paragraph and licence family that the classifier puts one of
+    its windows in with a calibrated ``probability``: doc_id, number of the
+    paragraph (parted by blank lines, from 0), family, and, of the window that
+    holds most of a template, probability, template, the share of its word
+    pairs held and whether that confirms the family; the paragraph, its lines
+    joined.
 
     ``labelled`` (paragraph, family) is a bounded list that the driver fits; a
     worker holds the weights of its n-grams only.  Paragraphs of class unknown

@@ -269,6 +269,20 @@ def test_licences_of_paragraphs(make_docs, prose):
     assert license_scan.licences(make_docs(rows), labelled=[]).count() == 0
 
 
+def test_wrapped_and_embedded_licences(make_docs, prose):
+    import textwrap
+    rows, want = [], {}
+    for i, (family, texts) in enumerate(license_scan.TEMPLATES.items()):
+        long = max(texts, key=len)
+        rows += [(i, prose(i, 30) + "\n\n" + "\n".join(textwrap.wrap(long, 40))),
+                 (100 + i, prose(i, 150) + " " + long + " " + prose(50 + i, 150))]
+        want |= {i: family, 100 + i: family}
+    got = license_scan.licences(make_docs(rows)).where("confirmed").collect()
+    found = {(r.doc_id, r.family) for r in got}
+    assert {(i, f) for i, f in want.items()} <= found
+    assert len(got) == len(found)
+
+
 def test_licence_classifier_on_held_out_rows():
     rows = license_scan.seed_paragraphs()
     model = license_scan.train([r for i, r in enumerate(rows) if i % 4])
