@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import (decontaminate, license_scan, lm_quality, mixing, sentence_dedup, simhash_dups,
-                            suffix_dedup, token_cache, topk_search, url_filter)
+from fleetscope.llm import (decontaminate, hard_negatives, license_scan, lm_quality, mixing, prefix_trie, sentence_dedup,
+                            sharding, simhash_dups, suffix_dedup, token_cache, topk_search, url_filter)
 from fleetscope.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,3 +155,112 @@ def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = suffix_dedup.remove_repeats(docs, 100, with_text=False)
     return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+# Unsigned CRC-32 of a list of bytes, with the table built by its rule.
+CRC_TABLE = """crc_table AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_prepend(CAST(n AS BIGINT), range(8)),
+                          lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM range(256) r(n)))"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL of the CRC-32 of a text; ``t`` is the column of ``crc_table``."""
+    numbers = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {numbers}), lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])), 4294967295)"
+
+
+# The trie by grouping paths; a path is the list of its turns' digests.
+OP11_SQL = f"""
+WITH {CRC_TABLE},
+own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, {crc_sql('CAST(conv_id AS VARCHAR)')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own), crc_table),
+turns AS (
+  SELECT c.conv_id, o.pos, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, o.pos, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos > c.h),
+dealt AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS d,
+         md5(octet_length(encode(role)) || ':' || role || text) AS m,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+  FROM turns),
+members AS (
+  SELECT conv_id, CAST(d AS INTEGER) AS depth, list(m) OVER (PARTITION BY conv_id ORDER BY d) AS path, words FROM dealt
+  UNION ALL SELECT conv_id, 0, CAST([] AS VARCHAR[]), 0 FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS n FROM members GROUP BY conv_id),
+nodes AS (
+  SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = n), '') AS ends
+  FROM members JOIN lengths USING (conv_id) GROUP BY path),
+children AS (SELECT path[:-2] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+counted AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c USING (path)),
+subtrees AS (
+  SELECT path[:k] AS path, sum((n_convs - 1) * words) AS saved, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM counted) GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(s.leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM counted n JOIN subtrees s USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[:-2]
+"""
+
+
+@register("op11_prefix_trie", OP11_SQL)
+def op11(spark, sf_dir):
+    turns = prefix_trie.turn_rows(table(spark, sf_dir, "conversations"))
+    nodes = prefix_trie.prefix_trie(prefix_trie.keys(prefix_trie.rebuilt(prefix_trie.sequences(turns), 20, 4)))
+    return nodes.withColumn("depth", F.col("depth").cast("long"))
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth FROM scored WHERE same) WHERE nth <= 5),
+found AS (
+  SELECT p.*, n.vec_id AS negative_id, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+   AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM found WHERE rank <= 5
+"""
+
+
+@register("op12_hard_negatives", OP12_SQL)
+def op12(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.labelled_vectors(table(spark, sf_dir, "embeddings").withColumn("label", label))
+    found = hard_negatives.hard_negatives(rows, rows.where(F.col("vec_id") % 100 == 0), positives=5, k=5, low=80)
+    return found.drop("negative_label")
+
+
+OP13_SQL = f"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, {crc_sql("coalesce(text, '')")} AS text_crc32
+      FROM documents, crc_table),
+p AS (SELECT *, sum(size) OVER () AS total,
+             sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before,
+             row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) AS place FROM d),
+s AS (SELECT *, CAST(least(7, ((2 * before + size) * 8) // (2 * total)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+       place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s
+"""
+
+
+@register("op13_sharding", OP13_SQL)
+def op13(spark, sf_dir):
+    return sharding.byte_shards(table(spark, sf_dir, "documents"), shards=8)
