@@ -12,18 +12,18 @@ def test_matches_sql(spark, name):
     assert r["status"] == "MATCH", r
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_thirteen_and_the_pipeline_are_registered():
     import __spark_entry__ as E
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_runs_on_the_small_tables(spark, name):
-    tables = {"op2": "embeddings", "op4": "pages"}
+    tables = {"op4": "pages"}
     df = QUERIES[name](spark, SMALL)
     rows = df.count()
-    if name.split("_")[0] not in ("op2", "op5", "op9"):
+    if name.split("_")[0] not in ("op2", "op5", "op9", "op11", "op12"):
         assert rows == spark.read.parquet(f"{SMALL}/{tables.get(name.split('_')[0], 'documents')}.parquet").count()
 
 
