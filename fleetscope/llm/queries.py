@@ -74,7 +74,8 @@ def op5(spark, sf_dir):
 
 
 # A sentence ends after . ! or ? before a blank and after a line end; blank
-# pieces join the sentence before them (or the first one).
+# pieces join the sentence before them (or the first one).  Every sentence of a
+# run has a word, so a run is at most as many sentences as its word floor.
 OP6_SQL = r"""
 WITH pieces AS (
   SELECT doc_id, unnest(cut) AS piece, generate_subscripts(cut, 1) AS pos
@@ -89,20 +90,22 @@ plain AS (
   SELECT *, translate(trim(regexp_replace(sentence, '[ \t\n\r\x0b\f]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                       'abcdefghijklmnopqrstuvwxyz') AS words FROM sentences),
 counted AS (SELECT *, CASE WHEN words = '' THEN 0 ELSE length(words) - length(replace(words, ' ', '')) + 1 END AS n FROM plain),
-runs AS (
-  SELECT doc_id, i, words || chr(10) || lead(words) OVER o AS run, n + lead(n) OVER o AS n
-  FROM counted WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ahead AS (
+  SELECT doc_id, i, list(words) OVER o AS texts, list(n) OVER o AS ns
+  FROM counted WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {following} FOLLOWING)),
+ends AS (SELECT *, list_filter(range({length}, len(ns) + 1), lambda k: list_sum(ns[1:k]) >= {words})[1] AS k FROM ahead),
 again AS (
-  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth
-                         FROM runs WHERE run IS NOT NULL AND n >= 8) WHERE nth > 1),
-gone AS (SELECT doc_id, i FROM again UNION SELECT doc_id, i + 1 FROM again),
+  SELECT doc_id, i, k FROM (SELECT doc_id, i, k, row_number() OVER (PARTITION BY array_to_string(texts[1:k], chr(10)) ORDER BY doc_id, i) AS nth
+                            FROM ends WHERE k IS NOT NULL) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, k)) AS i FROM again),
 kept AS (
   SELECT s.doc_id, count(*) AS n_sentences, count(g.i) AS n_removed,
          coalesce(string_agg(sentence, '' ORDER BY s.i) FILTER (WHERE g.i IS NULL), '') AS text
   FROM sentences s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.i = s.i GROUP BY s.doc_id)
 SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(k.text, '') AS text
 FROM documents d LEFT JOIN kept k USING (doc_id)
-"""
+""".replace("{following}", str(max(sentence_dedup.SENTENCES, sentence_dedup.WORDS) - 1)).replace(
+    "{length}", str(sentence_dedup.SENTENCES)).replace("{words}", str(sentence_dedup.WORDS))
 
 
 @register("op6_substring_dedup", OP6_SQL)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from fleetscope.llm.common import byte_texts, id_key, prepare
 
-SENTENCES, WORDS = 2, 8
+#: Two sentences of a few words repeat by chance; 20 words in one order do not.
+SENTENCES, WORDS = 2, 20
 #: A sentence ends after . ! or ? before a blank, and after a line end.
 _END = re.compile(rb"(?<=[.!?])(?=[ \t\r\n])|(?<=\n)")
 

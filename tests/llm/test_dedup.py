@@ -160,15 +160,18 @@ def test_repeats_defined_cases(make_docs, prose):
 
 
 def brute_sentences(rows, length, words):
-    seen, out = {}, {}
+    seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         pieces = sentence_dedup.sentences((t or "").encode())
-        runs = sentence_dedup.spans(pieces, length, words)
+        plain = [p.lower().split() for p in pieces]
         gone = set()
-        for j, h in enumerate(runs):
-            if h is not None and h in seen:
-                gone |= set(range(j, j + length))
-            seen.setdefault(h, i)
+        for j in range(len(pieces)):
+            ends = [e for e in range(j + length, len(pieces) + 1) if sum(map(len, plain[j:e])) >= words]
+            run = tuple(b" ".join(p) for p in plain[j:ends[0]]) if ends else None
+            if run in seen:
+                gone |= set(range(j, ends[0]))
+            if run:
+                seen.add(run)
         out[i] = (len(pieces), len(gone), b"".join(p for j, p in enumerate(pieces) if j not in gone).decode())
     return out
 
