@@ -55,13 +55,19 @@ def rows_of(df: pd.DataFrame) -> list[tuple]:
 
 def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> dict:
     t0 = time.time()
-    sdf = fn(spark, sf_dir).toPandas()
+    frame = fn(spark, sf_dir)
+    sdf, sdf_schema = frame.toPandas(), frame.schema
     t1 = time.time()
     res = {"name": name, "spark_rows": len(sdf), "spark_sec": round(t1 - t0, 2)}
     if sql is None:
         res["status"] = "rows-only"
         return res
     ddf = con.execute(sql).df()
+    # pandas turns whole numbers with nulls into floats, on one side or the other
+    for c in (f.name for f in sdf_schema if f.dataType.typeName() in ("byte", "short", "integer", "long")):
+        sdf[c] = sdf[c].astype("Int64")
+        if c in ddf.columns:
+            ddf[c] = ddf[c].astype("Int64")
     res["duck_rows"] = len(ddf)
     if sorted(sdf.columns) != sorted(ddf.columns):
         res["status"] = f"COLUMNS {sorted(sdf.columns)} vs {sorted(ddf.columns)}"
