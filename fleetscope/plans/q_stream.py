@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from fleetscope.operators import features
 from fleetscope.plans.catalog import AS_OF_FAST, AS_OF_FAST_TS, register
-from fleetscope.plans.q_series import _FEATURES_SQL
+from fleetscope.plans.q_alerts import _REPLAY_SQL
+from fleetscope.plans.q_series import _FEATURES_SQL, scores
 from fleetscope.sources import bindings as B
-from fleetscope.streaming import jobs
+from fleetscope.session import scratch
+from fleetscope.streaming import alert_processor, jobs
 
 CUT = AS_OF_FAST_TS - timedelta(minutes=30)     # features already stored before this instant
 CUT_SQL = f"({AS_OF_FAST} - INTERVAL 30 MINUTE)"
@@ -53,3 +55,26 @@ SELECT server_id, prev AS last_seen, prev + INTERVAL 90 SECOND AS offline_at, "t
 FROM g WHERE epoch_us("timestamp") - epoch_us(prev) > 90000000""")
 def r7_raw(spark, d):
     return jobs.heartbeat_gaps(B.heartbeat_messages(spark, d, clock="raw"))
+
+
+def as_stream(df, path):
+    """A table as a file stream: written to ``path`` and read from there."""
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+@register("R3_R4_S5_alert_stream", _REPLAY_SQL, recursive=True)
+def r3_stream(spark, d):
+    """The stateful evaluator over the tables as streams; a sample of an unknown
+    server an hour later moves the watermark past the last tick."""
+    path = scratch(spark, "alert-stream")
+    end = (F.lit(AS_OF_FAST_TS.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp") + F.expr("INTERVAL 1 HOUR")).alias("ts")
+    last = lambda c: spark.range(1).select(F.lit("-").alias("server_id"), F.lit("-").alias("metric_name"), end, F.lit(0.0).alias(c))
+    m = B.metrics_fast(spark, d).select("server_id", "metric_name", "ts", "value").union(last("value"))
+    s = scores(spark, d).select("server_id", "metric_name", "ts", "score").union(last("score"))
+    beats = B.heartbeats(spark, d).filter(F.col("server_id") != "srv-3").select("server_id", "timestamp", "agent_version")
+    signal = alert_processor.signals(as_stream(m, f"{path}/metrics"), as_stream(s, f"{path}/scores"),
+                                     as_stream(B.alert_rules(spark, d), f"{path}/rules"), as_stream(beats, f"{path}/beats"))
+    alert_processor.alerts_to_table(signal, f"{path}/events", f"{path}/checkpoint", every_s=None).awaitTermination()
+    until = F.lit(AS_OF_FAST_TS.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
+    return spark.read.parquet(f"{path}/events").filter(F.col("triggered_at") <= until).drop("batch")
