@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.functions import timefeat
-from fleetscope.operators.chunked import row_index
+from fleetscope.operators.chunked import row_index, running_extremes
 
 # ---- fixed values: model inputs and defaults -------------------------------
 FEATURES = ["value", "hour_sin", "hour_cos", "day_of_week", "is_weekend"]
@@ -39,6 +39,8 @@ SEED = 42
 LIMIT = 0.1                  # of a window: a node of less mass ends the walk
 # -----------------------------------------------------------------------------
 
+#: How values are scaled for the trees.
+SCALES = ("none", "running_minmax")
 KEY = ["server_id", "metric_name"]
 WINDOWS_PER_TASK = 64
 
@@ -142,14 +144,32 @@ def with_time_features(metrics: DataFrame) -> DataFrame:
             .withColumn("is_weekend", timefeat.is_weekend("ts").cast("double")))
 
 
+def running_minmax(metrics: DataFrame, chunk_us: int | None = None) -> DataFrame:
+    """(server_id, metric_name, ts, value): each value placed between the
+    smallest and the largest value of its series so far, itself included, so
+    nothing looks into the future; 0.5 while they are the same.  The trees
+    expect numbers from 0 to 1."""
+    x = running_extremes(metrics.select(*KEY, "ts", "value"), KEY, "ts", "value", ["value"], chunk_us)
+    scaled = F.when(F.col("high") > F.col("low"), (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.5)
+    return x.withColumn("_raw", F.col("value")).withColumn("value", scaled).drop("low", "high")
+
+
 def online_scores(metrics: DataFrame, n_trees: int = N_TREES, height: int = HEIGHT, window: int = WINDOW,
-                  seed: int = SEED, chunk_us: int | None = None) -> DataFrame:
-    """R5 replay: (server_id, metric_name, ts, score) for every sample.  Values
-    are fed as they are, with the default (0, 1) workspace, as the reference
-    does; bounds of a whole series would look into the future."""
-    x = with_time_features(metrics.select(*KEY, "ts", "value"))
+                  seed: int = SEED, chunk_us: int | None = None, scale: str = "none") -> DataFrame:
+    """R5 replay: (server_id, metric_name, ts, score) for every sample.  With
+    ``scale`` ``none`` values are fed as they are, with the default (0, 1)
+    workspace, as the reference does; with ``running_minmax`` they are scaled
+    by the bounds of the series so far (bounds of a whole series would look
+    into the future)."""
+    if scale not in SCALES:
+        raise ValueError(f"scale is one of {SCALES}")
+    x = metrics.select(*KEY, "ts", "value")
+    order = ["value"]
+    if scale == "running_minmax":
+        x, order = running_minmax(x, chunk_us), ["_raw"]
+    x = with_time_features(x)
     feat, split = make_trees(len(FEATURES), n_trees, height, seed)
-    x = row_index(x, KEY, "ts", ["value"], out="idx", chunk_us=chunk_us)
+    x = row_index(x, KEY, "ts", order, out="idx", chunk_us=chunk_us)
     win = F.floor(F.col("idx") / window)
     run = F.floor(win / WINDOWS_PER_TASK)
     last = win % WINDOWS_PER_TASK == WINDOWS_PER_TASK - 1

@@ -188,3 +188,23 @@ def first_at_or_after(left: DataFrame, right: DataFrame, keys: list[str], t: str
     need = need.join(carry, [*keys, "_chunk"], "left").withColumn("_a", F.col("_ca")).drop("_ca")
     res = have.unionByName(need)
     return res.select(*[F.col(f"_row.{c}").alias(c) for c in lcols], F.col("_a").alias(out))
+
+
+def running_extremes(df: DataFrame, keys: list[str], ts: str, value: str, tiebreak: list[str] | None = None,
+                     chunk_us: int | None = None) -> DataFrame:
+    """Add ``low`` and ``high``, the smallest and largest ``value`` of the series
+    up to and including the row (``ts`` order, then ``tiebreak``): running
+    extremes inside the chunk, combined with those of all earlier chunks, which
+    are one row a chunk.  A null value counts for nothing."""
+    chunk_us = chunk_size(chunk_us)
+    x = df.withColumn("_us", _us(ts)).withColumn("_chunk", idiv(F.col("_us"), chunk_us))
+    inside = (Window.partitionBy(*keys, "_chunk").orderBy("_us", *(tiebreak or []))
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = x.groupBy(*keys, "_chunk").agg(F.min(value).alias("_a"), F.max(value).alias("_z"))
+    before = ends.select(*keys, "_chunk", F.min("_a").over(earlier).alias("_low"), F.max("_z").over(earlier).alias("_high"))
+    x = x.withColumn("_a", F.min(value).over(inside)).withColumn("_z", F.max(value).over(inside))
+    # least and greatest skip nulls: the first chunk has nothing before it
+    return (x.join(before, [*keys, "_chunk"], "left")
+            .withColumn("low", F.least("_a", "_low")).withColumn("high", F.greatest("_z", "_high"))
+            .drop("_us", "_chunk", "_a", "_z", "_low", "_high"))

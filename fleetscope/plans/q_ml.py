@@ -139,9 +139,12 @@ def m4_new(spark, d):
     return iforest.score_published(f, models)
 
 
-def _online_sql():
+def _online_sql(scaled: bool = False):
     """The online replay in SQL: descend the fixed trees level by level, count
     node masses per window, score against the window before."""
+    so_far = "OVER (PARTITION BY server_id, metric_name ORDER BY ts, value ROWS UNBOUNDED PRECEDING)"
+    fed = "value" if not scaled else (f"CASE WHEN max(value) {so_far} > min(value) {so_far} THEN (value - min(value) {so_far}) "
+                                      f"/ (max(value) {so_far} - min(value) {so_far}) ELSE 0.5 END")
     feat, split = hst.make_trees(len(hst.FEATURES))
     cells = ", ".join(f"({t}, {n}, {feat[t, n]}, {float(split[t, n])!r})" for t in range(hst.N_TREES) for n in range(1, 2 ** hst.HEIGHT))
     value = "CASE s.q " + " ".join(f"WHEN {i} THEN l.{c}" for i, c in enumerate(hst.FEATURES)) + " END"
@@ -150,7 +153,7 @@ l{k + 1} AS (SELECT l.* REPLACE (2 * l.node + CASE WHEN {value} >= s.split THEN
      FROM l{k} l JOIN splits s ON s.t = l.t AND s.node = l.node),""" for k in range(hst.HEIGHT))
     return f"""
 , splits AS (SELECT * FROM (VALUES {cells}) v(t, node, q, split)),
-pts AS (SELECT server_id, metric_name, ts, value,
+pts AS (SELECT server_id, metric_name, ts, {fed} AS value,
   row_number() OVER (PARTITION BY server_id, metric_name ORDER BY ts, value) - 1 AS idx,
   sin(2 * pi() * (hour(ts) + minute(ts) / 60.0 + second(ts) / 3600.0) / 24) AS hour_sin,
   cos(2 * pi() * (hour(ts) + minute(ts) / 60.0 + second(ts) / 3600.0) / 24) AS hour_cos,
@@ -174,6 +177,11 @@ def r5(spark, d):
     return hst.online_scores(B.metrics_fast(spark, d))
 
 
+@register("R5_online_scores_running_minmax", _online_sql(scaled=True))
+def r5_scaled(spark, d):
+    return hst.online_scores(B.metrics_fast(spark, d), scale="running_minmax")
+
+
 @register("R5_hst_window_index", """
 SELECT server_id, metric_name, (rn - 1) // 250 AS win, count(*) AS n FROM (
   SELECT server_id, metric_name, row_number() OVER (PARTITION BY server_id, metric_name ORDER BY ts, value) AS rn

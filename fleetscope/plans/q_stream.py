@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from fleetscope.operators import features
 from fleetscope.plans.catalog import AS_OF_FAST, AS_OF_FAST_TS, register
 from fleetscope.plans.q_alerts import _REPLAY_SQL
+from fleetscope.plans.q_ml import _online_sql
 from fleetscope.plans.q_series import _FEATURES_SQL, scores
 from fleetscope.sources import bindings as B
 from fleetscope.session import scratch
-from fleetscope.streaming import alert_processor, jobs
+from fleetscope.streaming import alert_processor, jobs, score_writer
 
 CUT = AS_OF_FAST_TS - timedelta(minutes=30)     # features already stored before this instant
 CUT_SQL = f"({AS_OF_FAST} - INTERVAL 30 MINUTE)"
@@ -78,3 +79,12 @@ def r3_stream(spark, d):
     alert_processor.alerts_to_table(signal, f"{path}/events", f"{path}/checkpoint", every_s=None).awaitTermination()
     until = F.lit(AS_OF_FAST_TS.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
     return spark.read.parquet(f"{path}/events").filter(F.col("triggered_at") <= until).drop("batch")
+
+
+@register("R5_online_score_stream", _online_sql())
+def r5_stream(spark, d):
+    """The score writer over the samples as a stream, read back from its table."""
+    path = scratch(spark, "score-stream")
+    samples = as_stream(B.metrics_fast(spark, d).select("server_id", "metric_name", "ts", "value"), f"{path}/metrics")
+    score_writer.scores_to_table(samples, f"{path}/scores", f"{path}/checkpoint", every_s=None).awaitTermination()
+    return spark.read.parquet(f"{path}/scores").select("server_id", "metric_name", "ts", "score")
