@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetscope.operators import features
-from fleetscope.plans.catalog import AS_OF_FAST, AS_OF_FAST_TS, register
+from fleetscope.plans.catalog import AS_OF, AS_OF_FAST, AS_OF_FAST_TS, AS_OF_TS, register
 from fleetscope.plans.q_alerts import _REPLAY_SQL
+from fleetscope.plans.q_ingest import _PAYLOAD_SQL, metric_payloads
 from fleetscope.plans.q_ml import _online_sql
 from fleetscope.plans.q_series import _FEATURES_SQL, scores
 from fleetscope.sources import bindings as B
+from fleetscope.sources import manifest, segments
 from fleetscope.session import scratch
 from fleetscope.streaming import alert_processor, jobs, score_writer
 
@@ -88,3 +91,51 @@ def r5_stream(spark, d):
     samples = as_stream(B.metrics_fast(spark, d).select("server_id", "metric_name", "ts", "value"), f"{path}/metrics")
     score_writer.scores_to_table(samples, f"{path}/scores", f"{path}/checkpoint", every_s=None).awaitTermination()
     return spark.read.parquet(f"{path}/scores").select("server_id", "metric_name", "ts", "score")
+
+
+@register("S1_segment_stream", _PAYLOAD_SQL + """
+SELECT server_id, metric_name, value, ts FROM parsed
+WHERE server_id IS NOT NULL AND metric_name IS NOT NULL AND value IS NOT NULL AND ts IS NOT NULL""")
+def s1_stream(spark, d):
+    """Payloads as segments, streamed in bounded batches to the metrics table."""
+    path = scratch(spark, "segments")
+    metric_payloads(spark, d).select("data").write.text(f"{path}/segments")
+    raw = segments.stream(spark, f"{path}/segments", start="oldest", rows=20_000).select("data")
+    q = jobs.metrics_to_table(raw, f"{path}/metrics", f"{path}/dead", f"{path}/checkpoint", trigger_s=0)
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.parquet(f"{path}/metrics").select("server_id", "metric_name", "value", "ts")
+
+
+@register("S6_S7_S9_S15_versioned_table", f"""
+SELECT CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS day, server_id, count(*) AS n, sum(value) AS total FROM metrics
+WHERE ts > {AS_OF} - INTERVAL 10 DAY GROUP BY ALL""")
+def s6_versions(spark, d):
+    """Samples appended day by day, compacted, expired and read again."""
+    table = manifest.ManifestTable(spark, scratch(spark, "versions"))
+    m = B.metrics(spark, d).select("server_id", "metric_name", "ts", "value").persist()
+    for i in range(4):
+        manifest.append_rows(table, m.filter(F.dayofmonth("ts") % 4 == i), "ts", ["server_id", "metric_name"], "days", i)
+    table.compact(["server_id", "metric_name", "ts"])
+    manifest.retain(table, AS_OF_TS - timedelta(days=10))
+    table.vacuum()
+    m.unpersist()
+    return table.read().groupBy(F.date_format("ts", "yyyyMMdd").cast("long").alias("day"), "server_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+@register("S5_streamed_upsert", """
+SELECT server_id, "timestamp", agent_version FROM heartbeats""")
+def s5_stream(spark, d):
+    """Heartbeats as a stream of four batches in order of arrival, merged into
+    the latest-state table."""
+    path = scratch(spark, "latest")
+    msgs = B.heartbeat_messages(spark, d)
+    payload = F.to_json(F.struct("server_id", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+                                 "agent_version", "watched_logs", "inventory")).alias("data")
+    table = manifest.ManifestTable(spark, f"{path}/table", "bucket")
+    for i in range(4):          # arrival order is time order here: a slice of arrivals a batch
+        part = msgs.withColumn("_n", F.ntile(4).over(Window.partitionBy("server_id").orderBy("arrival_seq"))).filter(F.col("_n") == i + 1)
+        part.select(payload).write.mode("append").text(f"{path}/beats")
+        jobs.heartbeats_to_latest(jobs.json_lines(spark, f"{path}/beats", 10_000), table, f"{path}/checkpoint", None).awaitTermination()
+    return table.read().select("server_id", "timestamp", "agent_version")

@@ -1,7 +1,7 @@
 """A stream source with its own offsets, over appended segment files.
 
-A folder holds one text file per producer (``*.log``), to which whole lines are
-appended, one message a line.  An offset is the byte after the last line read
+A folder holds one text file per producer (names that start with a dot or an
+underscore do not count), to which whole lines are appended, one message a line.  An offset is the byte after the last line read
 of every segment, and is kept by the query's checkpoint alone: a batch that
 is run again reads the same bytes, a restart goes on after the last batch.
 
@@ -23,7 +23,6 @@ from pyspark.sql.types import StructType
 
 NAME = "fleetscope_segments"
 SCHEMA = "segment string, position long, data string"
-SUFFIX = ".log"
 # ---- fixed values: messages a batch, wait between batches -------------------
 BATCH_ROWS = 500
 EVERY_S = 5
@@ -62,7 +61,7 @@ class Folder:
     def sizes(self) -> dict[str, int]:
         fs, root = _open(self.path)
         found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-        return {f.base_name: f.size for f in found if f.type == pafs.FileType.File and f.base_name.endswith(SUFFIX)}
+        return {f.base_name: f.size for f in found if f.type == pafs.FileType.File and f.base_name[0] not in "._"}
 
     def read(self, segment: str, start: int, end: int) -> bytes:
         fs, root = _open(self.path)
@@ -172,8 +171,8 @@ class SegmentReader(DataSourceReader):
         f = self.folder
         return [Piece(f.path, s, 0, f.last_line(s, n)) for s, n in sorted(f.sizes().items()) if n]
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        return lines(partition)
+    def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
+        return lines(partition) if partition is not None else iter(())      # no segments: no partition
 
 
 class SegmentSource(DataSource):

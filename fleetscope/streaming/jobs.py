@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetscope.sources import ingest
+from fleetscope.sources.manifest import ManifestTable, append_rows, upsert_latest
 from fleetscope.sources.sinks import append_layout
 
 OFFLINE_AFTER_S = 90
@@ -71,6 +72,36 @@ def heartbeats_to_table(raw: DataFrame, table_path: str, dead_path: str, checkpo
                            ["server_id"], trigger_s)
 
 
+def append_to_manifest(raw: DataFrame, check, table: ManifestTable, dead: ManifestTable, checkpoint: str, ts: str,
+                       keys: list[str], trigger_s: int | None = 5):
+    """R1 into a table whose files are listed by version, which can be compacted
+    and expired while the stream runs.  ``check`` is a parser of ``ingest``;
+    ``trigger_s`` None: until the input is used up."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        x = check(batch).persist()
+        try:
+            good = x.filter(F.col("reason").isNull()).drop("reason", "raw")
+            append_rows(table, good, ts, keys, checkpoint, batch_id)
+            bad = x.filter(F.col("reason").isNotNull()).select("raw", "reason", F.lit(batch_id).cast("long").alias("batch"))
+            dead.append(bad, checkpoint, batch_id)
+        finally:
+            x.unpersist()
+
+    w = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if trigger_s is None else w.trigger(processingTime=f"{trigger_s} seconds")).start()
+
+
+def heartbeats_to_latest(raw: DataFrame, table: ManifestTable, checkpoint: str, trigger_s: int | None = 5, buckets: int = 16):
+    """Heartbeat payloads (column ``data``) merged into one row per server;
+    ``table`` is partitioned by ``bucket``.  F7, P10 and P11 read it alone."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        good, _ = ingest.parse_heartbeats(batch)
+        upsert_latest(table, good, ["server_id"], "timestamp", checkpoint, batch_id, buckets)
+
+    w = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if trigger_s is None else w.trigger(processingTime=f"{trigger_s} seconds")).start()
+
+
 def latest_heartbeats(spark: SparkSession, table_path: str) -> DataFrame:
     """S5 over the heartbeat table: the last batch that has the server, and in
     it the newest instant."""
