@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from fleetscope.operators import features
 from fleetscope.operators.anomaly import hst, iforest
+from fleetscope.operators.anomaly.model_store import ModelStore
 from fleetscope.plans.catalog import register
 from fleetscope.plans.q_series import _FEATURES_SQL
+from fleetscope.session import scratch
 from fleetscope.sources import bindings as B
 
 # the driver tables hold ~400 rows per series at sf0.01, where results are
@@ -26,14 +28,29 @@ def a23(spark, d):
     return iforest.eligible(feats(spark, d), MIN_SAMPLES)
 
 
+def _trained(f, seed, trained_at):
+    trees = iforest.train(f, MIN_SAMPLES, N_TREES, seed=seed)
+    seen = f.join(iforest.eligible(f, MIN_SAMPLES).select(*iforest.KEY), iforest.KEY, "left_semi")
+    return iforest.with_metadata(trees, iforest.bounds(iforest.raw_scores(seen, trees)), trained_at)
+
+
 @register("M2_M4_model_registry", f"""
-SELECT server_id, metric_name, 'v2' AS version, CAST({N_TREES} AS BIGINT) AS n_trees
+SELECT server_id, metric_name, 'v2' AS version, CAST({N_TREES} AS BIGINT) AS n_trees, count(*) AS n_samples,
+       max(ts) AS data_range_end
 FROM metrics_fast GROUP BY ALL HAVING count(*) >= {MIN_SAMPLES}""")
 def m2(spark, d):
-    trees = iforest.train(feats(spark, d), MIN_SAMPLES, N_TREES)
-    published = trees.withColumn("version", F.explode(F.array(F.lit("v1"), F.lit("v2"))))
-    latest = iforest.latest_models(published)
-    return latest.groupBy("server_id", "metric_name", "version").agg(F.count(F.lit(1)).alias("n_trees"))
+    """Version 1 is trained on the older rows, version 2 on all of them; version
+    3 is broken (its bounds are turned round) and must not be served."""
+    store = ModelStore(spark, scratch(spark, "models"))
+    feats(spark, d).write.parquet(f"{store.path}/features")
+    f = spark.read.parquet(f"{store.path}/features")
+    cut = f.agg(F.expr("percentile_approx(unix_micros(ts), 0.8)")).first()[0]
+    store.publish(_trained(f.filter(F.unix_micros("ts") < cut), 1, "2024-01-30 00:00:00"), "v1", N_TREES)
+    store.publish(_trained(f, 2, "2024-01-31 00:00:00"), "v2", N_TREES)
+    served = store.models()
+    store.publish(served.withColumn("score_min", F.col("score_max") + 1), "v3", N_TREES)
+    return store.models().groupBy("server_id", "metric_name", "version").agg(
+        F.count(F.lit(1)).alias("n_trees"), F.max("n_samples").alias("n_samples"), F.max("data_range_end").alias("data_range_end"))
 
 
 @register("M3_F22_iforest_scores", None)
