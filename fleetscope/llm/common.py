@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -43,6 +45,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` whose successor is written, and let the
+    driver's JVM collect the plans of finished jobs: their shuffle files go
+    with them, which otherwise waits for the driver to run short of memory."""
+    for df in tables:
+        spark = df.sparkSession
+        files = df.inputFiles()
+        if files:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    release(SparkSession.getActiveSession())
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs (see ``discard``).  Events
+    that are still on their way hold the plan of a job that has just ended, so
+    the second collection comes a moment later."""
+    for pause in (0.5, 0.0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
+
+
 def id_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 

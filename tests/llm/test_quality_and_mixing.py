@@ -1,6 +1,7 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,11 +91,30 @@ def test_ngrams_in_small_slices(prose, monkeypatch):
             for i, n in zip(of.tolist(), sizes.tolist()):
                 total[i] += n
         assert total == [len(t) for t in texts]
-    assert lm_quality._got(lm_quality._put(keys)).tolist() == keys.tolist()
+    for order in range(3, 8):
+        own = lm_quality._counted(texts, order)[0]
+        back = lm_quality._got_grams(lm_quality._put_grams(own, order), order)
+        assert sorted(back.tolist()) == own.tolist()
+        assert (np.diff(lm_quality._turned(back, order)) > 0).all()
+        # ends and contexts of three bytes and more stay in the n-gram's shard
+        for k in range(3, order):
+            assert (lm_quality._shard(own & ((1 << 8 * k) - 1), 37) == lm_quality._shard(own, 37)).all()
     rows = [(1, "en", b"x"), (-5, "", b""), (2, "f\u00fc", prose(3).encode())]
     assert lm_quality._unpack(lm_quality._pack(rows)) == rows
 
 
+def test_lookup_of_known_ngrams(monkeypatch):
+    pick = np.random.default_rng(2)
+    grams = np.unique(pick.integers(0, 1 << 56, 5000))
+    for bits in (21, 9):                # 9: many slices
+        monkeypatch.setattr(lm_quality, "PLACE_BITS", bits)
+        known = lm_quality.Lookup(grams, grams.astype(float))
+        asked = pick.choice(grams, 20_000)
+        assert (known.get(asked) == asked.astype(float)).all()
+    monkeypatch.setattr(lm_quality, "PLACE_BITS", 40)       # 24 bits for 5000 n-grams: some factor keeps them apart
+    assert (lm_quality.Lookup(grams[:2000], grams[:2000]).get(grams[:50]) == grams[:50]).all()
+
+
 def test_quality_without_labels_or_documents(spark, make_docs, prose):
     none = spark.createDataFrame([], LABELS)
     assert [r.keep for r in lm_quality.quality(make_docs([(1, prose(1)), (2, "%%")]), none).collect()] == [True, True]
