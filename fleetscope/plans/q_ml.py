@@ -29,7 +29,9 @@ def a23(spark, d):
 
 
 def _trained(f, seed, trained_at):
-    trees = iforest.train(f, MIN_SAMPLES, N_TREES, seed=seed)
+    path = scratch(f.sparkSession, "trees")
+    iforest.train(f, MIN_SAMPLES, N_TREES, seed=seed).write.parquet(path)      # read by the scores and by the model
+    trees = f.sparkSession.read.parquet(path)
     seen = f.join(iforest.eligible(f, MIN_SAMPLES).select(*iforest.KEY), iforest.KEY, "left_semi")
     return iforest.with_metadata(trees, iforest.bounds(iforest.raw_scores(seen, trees)), trained_at)
 
