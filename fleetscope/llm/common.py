@@ -72,6 +72,12 @@ def id_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 
 
+def row_key(*parts: Column) -> Column:
+    """One long for some columns, in which nulls count: a document is its id
+    and its text, whatever else repeats the id."""
+    return F.xxhash64(*[c for x in parts for c in (x.isNull(), x)])
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]

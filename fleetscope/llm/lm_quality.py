@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -427,9 +428,10 @@ def _perplexities(order: int):
             n = np.array([len(t) for _, _, t in rows], np.int64)
             mean = np.divide(-totals, n, out=np.zeros(len(rows)), where=n > 0)
             out.append(pa.table({"did": pa.array([r[0] for r in rows], pa.int64()), "lang": pa.array([r[1] for r in rows], pa.string()),
+                                 "text_hash": pa.array(np.array([xxhash.xxh64_intdigest(t, 42) for _, _, t in rows], np.uint64).view(np.int64)),
                                  "n_bytes": pa.array(n), "steps": pa.array(np.rint(mean * STEP).astype(np.int64), mask=n == 0)}))
-        names = ("did", "lang", "n_bytes", "steps")
-        none = pa.schema(list(zip(names, (pa.int64(), pa.string(), pa.int64(), pa.int64()))))
+        names = ("did", "lang", "text_hash", "n_bytes", "steps")
+        none = pa.schema(list(zip(names, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))))
         return pa.concat_tables(out) if out else none.empty_table()
     return run
 
@@ -449,7 +451,9 @@ def block_of(key: Column, blocks: int) -> Column:
 
 def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE, slack: float = SLACK,
             order: int = ORDER) -> DataFrame:
-    """(doc_id, lang, n_bytes, perplexity, threshold, keep) for every row.
+    """(doc_id, lang, n_bytes, text_hash, perplexity, threshold, keep) for every
+    row; ``text_hash`` is Spark's ``xxhash64`` of the text, so that doc_id,
+    text_hash and lang tell the rows apart that are judged apart.
 
     Trusted are the documents that all their rows of ``labels`` (doc_id,
     quality, toxic) call good and not toxic; the model is trained on them but
@@ -500,12 +504,12 @@ def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE, slack: floa
     replies = (counts.unionByName(requests).repartition("shard").sortWithinPartitions("shard", "nth")
                .mapInArrow(_answer(order, d, pair_scores(pairs, d)), "block long, grams binary, logp binary"))
     found = stored(by_block.cogroup(replies.groupBy("block"))
-                   .applyInArrow(_perplexities(order), "did long, lang string, n_bytes long, steps long"), "perplexities")
+                   .applyInArrow(_perplexities(order), "did long, lang string, text_hash long, n_bytes long, steps long"), "perplexities")
     discard(asked, model)
     limits = exact_quantile(found.join(trusted.where("held"), "did", "left_semi"), "lang", "steps", q)
     perplexity = lambda c: F.exp(F.col(c) / float(STEP))
     return (found.join(limits, "lang", "left")
             .select(F.when(F.col("did") != F.lit(NULL_ID), F.col("did")).alias("doc_id"),
-                    F.when(F.col("lang") != "", F.substring("lang", 2, 1 << 30)).alias("lang"), "n_bytes",
+                    F.when(F.col("lang") != "", F.substring("lang", 2, 1 << 30)).alias("lang"), "n_bytes", "text_hash",
                     perplexity("steps").alias("perplexity"), (perplexity("threshold") * slack).alias("threshold"))
             .withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import byte_texts, prepare, stored
+from fleetscope.llm.common import row_key, byte_texts, prepare, stored
 from fleetscope.llm.components import connected_components
 
 HASH_SEED = 42
@@ -172,8 +172,16 @@ def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 3) ->
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """One document of each group stays: the one whose doc_id names it.  Rows
-    without a doc_id stay; rows that repeat a kept doc_id stay too."""
-    found = (simhash_components(docs, shingle, max_bits)
-             .where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_anti")
+    """One document of each group stays: the one of the smallest doc_id (of
+    several texts under it, of the smallest hash); rows without a doc_id stand
+    behind all others.  A document is its doc_id and text: two texts under one
+    doc_id are judged apart, and rows that repeat the kept one stay too.  Other
+    columns are not looked at."""
+    key = row_key(F.col("doc_id"), F.col("text")).alias("doc_id")
+    rows = docs.select(key, F.col("text"), F.col("doc_id").cast("long").alias("own"))
+    found = simhash_components(rows.select("doc_id", "text"), shingle, max_bits).select("doc_id", "component_id").distinct()
+    ids = rows.select("doc_id", "own").distinct()
+    first = F.min(F.struct(F.col("own").isNull(), "own", "doc_id")).alias("m")
+    kept = found.join(ids, "doc_id").groupBy("component_id").agg(first).select(F.col("m.doc_id").alias("_key"))
+    return (docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text"))).join(kept, "_key", "left_semi")
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))
