@@ -24,6 +24,9 @@ from fleetscope.sources.manifest import ManifestTable
 
 KEY = iforest.KEY
 PROBES = 16
+PUBLISHED = "server_id string, metric_name string, version string, folder string, seq int"
+MODELS = (f"{iforest.TREE_SCHEMA}, version string, score_min double, score_max double, n_samples long, "
+          "data_range_start timestamp, data_range_end timestamp, trained_at timestamp, contamination double")
 CHECKED = "server_id string, metric_name string, reason string"
 
 
@@ -126,6 +129,8 @@ class ModelStore:
     def published(self) -> DataFrame:
         """(server_id, metric_name, version, folder, seq): the newest published
         model of each series."""
+        if not self.versions.snapshot().files:
+            return self.spark.createDataFrame([], PUBLISHED)
         return self.versions.read().groupBy(*KEY).agg(
             F.max_by(F.struct("version", "folder", "seq"), F.struct("seq", "folder")).alias("m")).select(*KEY, "m.*")
 
@@ -139,7 +144,7 @@ class ModelStore:
         now = now.persist()
         folders = [r.folder for r in now.select("folder").distinct().collect()]
         if not folders:
-            raise ValueError("no model is published")
+            return self.spark.createDataFrame([], MODELS)
         rows = self.spark.read.parquet(*[f"{self.path}/written/{f}" for f in sorted(folders)])
         rows = rows.withColumn("folder", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
         return rows.join(now.select(*KEY, "folder"), [*KEY, "folder"], "left_semi").drop("folder")
