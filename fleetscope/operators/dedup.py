@@ -30,9 +30,12 @@ def latest_version(df: DataFrame, keys: list[str], version: str | Column) -> Dat
             .select(*df.columns))
 
 
-def newest_n(df: DataFrame, keys: list[str], ts: str, n: int | Column, tiebreak: list[str] | None = None) -> DataFrame:
+def newest_n(df: DataFrame, keys: list[str], ts: str, n: int | Column, tiebreak: list[str] | None = None,
+             at_most: int | None = None) -> DataFrame:
     """Newest ``n`` rows per key (a number, or an expression of
-    the key), rows without an instant last.
+    the key that is at most ``at_most``), rows without an instant last.  The
+    number bounds what a map task sends of a key
+    (``windowGroupLimitThreshold``).
 
     Rows are counted per key and day first (two columns, combined on the map
     side); only the days that can hold one of the newest ``n`` are ranked, so a
@@ -45,5 +48,7 @@ def newest_n(df: DataFrame, keys: list[str], ts: str, n: int | Column, tiebreak:
            .groupBy(*keys).agg(F.min("_day").alias("_from")))
     order = [F.col(ts).desc()] + [F.col(c).desc() for c in (tiebreak or [])]
     w = Window.partitionBy(*keys).orderBy(*order)
-    return (df.join(cut, keys).where(day >= F.col("_from")).withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") <= n).select(*df.columns))
+    ranked = df.join(cut, keys).where(day >= F.col("_from")).withColumn("_rn", F.row_number().over(w))
+    if at_most is not None:
+        ranked = ranked.where(F.col("_rn") <= at_most)
+    return ranked.where(F.col("_rn") <= n).select(*df.columns)

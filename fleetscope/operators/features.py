@@ -79,7 +79,7 @@ def compute_features(metrics: DataFrame, keys: list[str] | None = None,
 
 def incremental_features(metrics: DataFrame, stored: DataFrame | None, as_of,
                          lookback_days: int = 30, buffer_minutes: int = 10,
-                         chunk_us: int | None = None) -> DataFrame:
+                         chunk_us: int | None = None, watermarks: DataFrame | None = None) -> DataFrame:
     """R2: the rows the hourly job appends.
 
     Per series: with no stored features, start at as_of - 30 days; otherwise
@@ -87,19 +87,27 @@ def incremental_features(metrics: DataFrame, stored: DataFrame | None, as_of,
     holds the sample at the watermark, the first new row's predecessor) and
     emit only rows strictly newer than the watermark.  Late rows at or before
     the watermark are never computed, as in the reference.  All series in one
-    job: the watermark table (one row per series) is joined, not looped."""
+    job: the watermark table (one row per series) is joined, not looped.  It is
+    ``watermarks`` where the caller keeps one, else taken from ``stored``.  Of
+    samples laid out by ``month``, earlier months are not listed."""
     first_start = ts_lit(to_dt(as_of) - timedelta(days=lookback_days))
-    m = metrics.select(*SERIES, "ts", "value")
     chunk_us = chunked.chunk_size(chunk_us, floor_us=ROLLING_US)
-    if stored is None:
-        return compute_features(m.filter(F.col("ts") >= first_start), chunk_us=chunk_us)
-    wm = stored.groupBy(*SERIES).agg(F.max("ts").alias("watermark"))
+
+    def samples(start: datetime) -> DataFrame:
+        m = metrics.filter(F.col("ts") >= ts_lit(start))
+        if "month" in metrics.columns:
+            m = m.filter(F.col("month") >= start.year * 100 + start.month)
+        return m.select(*SERIES, "ts", "value")
+
+    if stored is None and watermarks is None:
+        return compute_features(samples(to_dt(as_of) - timedelta(days=lookback_days)), chunk_us=chunk_us)
+    wm = watermarks if watermarks is not None else stored.groupBy(*SERIES).agg(F.max("ts").alias("watermark"))
     # one scalar from the stored features: a literal bound that prunes the scan
     low = wm.agg(F.min(F.unix_micros("watermark"))).first()[0]
     oldest = to_dt(as_of) - timedelta(days=lookback_days)
     if low is not None:
         oldest = min(oldest, datetime(1970, 1, 1) + timedelta(microseconds=low, minutes=-buffer_minutes))
-    x = m.filter(F.col("ts") >= ts_lit(oldest)).join(wm, SERIES, "left")
+    x = samples(oldest).join(wm, SERIES, "left")
     start = F.coalesce(F.col("watermark") - F.expr(f"INTERVAL {buffer_minutes} MINUTES"), first_start)
     # the sample at the watermark lies in the buffer: the first new row has its predecessor
     feats = compute_features(x.filter(F.col("ts") >= start).select(*SERIES, "ts", "value"), chunk_us=chunk_us)

@@ -7,10 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.operators import series as S
-from fleetscope.operators.series import since, ts_lit
+from fleetscope.operators.series import THRESHOLDS, since, ts_lit
 
 # ---- fixed values: health rules -------------------------------------------
-THRESHOLDS = {"cpu_usage_percent": 80.0, "memory_usage_percent": 90.0, "disk_usage_percent": 95.0}
 ATTENTION = {"cpu_usage_percent": 68.0, "memory_usage_percent": 76.0, "disk_usage_percent": 80.0}
 SHORT = {"cpu_usage_percent": "cpu", "memory_usage_percent": "mem", "disk_usage_percent": "disk"}
 OFFLINE_AFTER_S = 90

@@ -17,6 +17,10 @@ from fleetscope.sources.bindings import idiv
 
 SERIES = ["server_id", "metric_name"]
 
+# ---- fixed values: limits of the metrics that charts and health use ---------
+THRESHOLDS = {"cpu_usage_percent": 80.0, "memory_usage_percent": 90.0, "disk_usage_percent": 95.0}
+# -----------------------------------------------------------------------------
+
 
 def ts_lit(as_of: datetime | str) -> Column:
     """An instant literal read in the session zone (UTC), never the Python
@@ -195,3 +199,22 @@ def overlay(values: DataFrame, scores: DataFrame, as_of, minutes: int = 30,
     j = chunked.nearest(s, v, SERIES, "ts", "value", out="value", chunk_us=chunk_us)
     return (j.filter(F.col("value").isNotNull())
             .withColumn("level", F.when(F.col("score") >= red, "red").otherwise("amber")))
+
+
+def chart_frame(values: DataFrame, scores: DataFrame, baselines: DataFrame, as_of, minutes: int = 30,
+                chunk_us: int | None = None) -> DataFrame:
+    """H6: all a metric chart shows, as rows: the samples of the window (kind
+    ``value``) and the anomaly points over them (kind ``anomaly``, at the nearest
+    sample's value to two digits, with score and level), each with the series'
+    baseline (A4, null without one) and its threshold (null for metrics without
+    one).  ``baselines`` (one row per series) is joined by series."""
+    points = series_window(values, as_of, minutes).select(
+        *SERIES, F.lit("value").alias("kind"), "ts", "value", F.lit(None).cast("double").alias("score"),
+        F.lit(None).cast("string").alias("level"))
+    marks = overlay(values, scores, as_of, minutes, chunk_us=chunk_us).select(
+        *SERIES, F.lit("anomaly").alias("kind"), "ts", F.round("value", 2).alias("value"), "score", "level")
+    threshold = F.lit(None).cast("double")
+    for name, limit in THRESHOLDS.items():
+        threshold = F.when(F.col("metric_name") == name, limit).otherwise(threshold)
+    return (points.unionByName(marks).join(baselines.select(*SERIES, "baseline"), SERIES, "left")
+            .withColumn("threshold", threshold))

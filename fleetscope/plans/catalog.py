@@ -63,4 +63,4 @@ def oracle_sql() -> dict[str, str]:
 def _load() -> None:
     # importing the modules fills REGISTRY
     from fleetscope.plans import (q_series, q_security, q_logs, q_alerts, q_fleet, q_ml,  # noqa: F401
-                                  q_ingest, q_stream)
+                                  q_ingest, q_stream, q_rollup)

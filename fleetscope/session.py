@@ -25,8 +25,10 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
-    # per-key top-N filters up to the 2000-line log tail get a map-side group limit
-    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
+    # per-key top-N filters up to the 20 000 rows of a log stream get a map-side group limit
+    "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
+    # streamed sessions are merged in each input partition before they are shuffled
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
@@ -48,7 +50,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session (e.g. the driver's)."""
-    for k in ("spark.sql.session.timeZone", "spark.sql.optimizer.windowGroupLimitThreshold"):
+    for k in ("spark.sql.session.timeZone", "spark.sql.optimizer.windowGroupLimitThreshold",
+              "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"):
         spark.conf.set(k, BASE_CONF[k])
     ensure_checkpoint_dir(spark)
     ship_code(spark)

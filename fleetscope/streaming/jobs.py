@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -109,30 +109,58 @@ def latest_heartbeats(spark: SparkSession, table_path: str) -> DataFrame:
     return ingest.latest_heartbeat(spark.read.parquet(table_path), order).drop("batch", "month")
 
 
-def features_to_table(metrics: DataFrame, metrics_path: str, features_path: str, checkpoint: str):
+def features_to_table(metrics: DataFrame, metrics_path: str, features_path: str, checkpoint: str, buckets: int = 16):
     """R2 as an ``availableNow`` job: when samples have arrived since the last
-    run, append the feature rows newer than each series' watermark."""
+    run, append the feature rows newer than each series' watermark.
+
+    Watermarks are a table of their own beside the features (one row per series,
+    dealt into ``buckets``), so no run scans what is stored.  A batch writes its
+    features first, into folders of its id, and then its watermarks with its id:
+    a batch that is run again either finds its id and stops, or computes from
+    the watermarks before it and replaces its folders."""
     from fleetscope.operators import features
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        marks = ManifestTable(spark, watermarks_of(features_path), "bucket")
+        now = marks.snapshot()
         last = batch.agg(F.max(F.unix_micros("ts"))).first()[0]
-        if last is None:
+        if last is None or now.batches.get(checkpoint, -1) >= batch_id:
             return
-        has = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(features_path)
-        fs = has.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        # what an earlier attempt at this batch wrote does not count as stored
-        stored = spark.read.parquet(features_path).filter(F.col("batch") < batch_id) if fs.exists(has) else None
-        now = datetime(1970, 1, 1) + timedelta(microseconds=last)
-        new = features.incremental_features(spark.read.parquet(metrics_path), stored, now)
-        (append_layout(new.withColumn("batch", F.lit(batch_id).cast("long")), "ts", ["server_id", "metric_name"])
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "month")
-         .parquet(features_path))
+        before = marks.read(now.version).select("server_id", "metric_name", "watermark") if now.files else None
+        as_of = datetime(1970, 1, 1) + timedelta(microseconds=last)
+        new = features.incremental_features(spark.read.parquet(metrics_path), None, as_of, watermarks=before)
+        new = new.withColumn("batch", F.lit(batch_id).cast("long")).persist()
+        try:
+            (append_layout(new, "ts", ["server_id", "metric_name"]).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("month", "batch").parquet(features_path))
+            top = new.groupBy("server_id", "metric_name").agg(F.max("ts").alias("watermark"))
+            upsert_latest(marks, top, ["server_id", "metric_name"], "watermark", checkpoint, batch_id, buckets)
+        finally:
+            new.unpersist()
 
     return (metrics.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def watermarks_of(features_path: str) -> str:
+    """Where the watermarks of a feature table lie."""
+    return features_path.rstrip("/") + "_watermarks"
+
+
+def partials_to_table(rows: DataFrame, reduce, table: ManifestTable, checkpoint: str, keys: list[str],
+                      trigger_s: int | None = 60):
+    """Keep a rollup: the partials (``operators.rollups``) of each micro-batch
+    are appended once, by batch id; ``reduce`` makes them from rows.  Late rows
+    are partials of an older bucket.  ``trigger_s`` None: until the input is
+    used up."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_rows(table, reduce(batch), "bucket", keys, checkpoint, batch_id)
+
+    w = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if trigger_s is None else w.trigger(processingTime=f"{trigger_s} seconds")).start()
+
+
 def live_tail(logs: DataFrame, server_id: str, log_file: str) -> DataFrame:
     """The rows of one log as they arrive (start with a 1 s trigger).
     Every row is delivered once; unlike polling ``ts > last_ts`` no row that
@@ -140,6 +168,16 @@ def live_tail(logs: DataFrame, server_id: str, log_file: str) -> DataFrame:
     return logs.filter((F.col("server_id") == server_id) & (F.col("log_file") == log_file))
 
 
+def tail_to_table(logs: DataFrame, server_id: str, log_file: str, path: str, checkpoint: str, every_s: int = 1):
+    """R6 as a started job: every second the new rows of one log go to ``path``,
+    in a folder of their batch that a repeated batch replaces."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (live_tail(logs, server_id, log_file).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(processingTime=f"{every_s} seconds").start())
+
+
 def bucket_counts(metrics: DataFrame, minutes: int = 2, lateness: str = "10 minutes") -> DataFrame:
     """Tumbling-window means per series with a watermark, so append mode
     emits each bucket once when it can no longer change."""
@@ -195,6 +233,32 @@ def heartbeat_gaps(heartbeats: DataFrame, offline_after_s: int = OFFLINE_AFTER_S
                     F.col("timestamp").alias("back_online_at")))
 
 
+def uptime_sessions(heartbeats: DataFrame, offline_after_s: int = OFFLINE_AFTER_S) -> DataFrame:
+    """Spells of a server being online: heartbeats at most ``offline_after_s``
+    apart (a beat after exactly 90 s still belongs to the spell).  The spells and
+    ``heartbeat_gaps`` complement each other.
+
+    A stream takes a watermark first and, in append mode, emits a spell when no
+    heartbeat can lengthen it any more; its spells are merged in each input
+    partition before the shuffle (a setting of ``configure``).  In batch they are
+    made per (server, chunk of time) and then joined over the chunks' borders, so
+    a hot server is one row a chunk where it comes together."""
+    spell = F.session_window("timestamp", f"{offline_after_s} seconds").alias("_spell")
+    beats = [F.min("timestamp").alias("online_from"), F.max("timestamp").alias("last_seen"), F.count(F.lit(1)).alias("heartbeats")]
+    if heartbeats.isStreaming:
+        return heartbeats.groupBy("server_id", spell).agg(*beats).drop("_spell")
+    from fleetscope.operators.chunked import chunk_size
+    from fleetscope.sources.bindings import idiv
+    chunk = idiv(F.unix_micros("timestamp"), chunk_size()).alias("_chunk")
+    parts = heartbeats.select("server_id", "timestamp", chunk).groupBy("server_id", "_chunk", spell).agg(*beats)
+    w = Window.partitionBy("server_id").orderBy("online_from")
+    apart = F.unix_micros("online_from") - F.unix_micros(F.lag("last_seen").over(w))
+    fresh = F.when(apart <= offline_after_s * 1_000_000, 0).otherwise(1)
+    return (parts.withColumn("_new", fresh).withColumn("_nr", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .groupBy("server_id", "_nr").agg(F.min("online_from").alias("online_from"), F.max("last_seen").alias("last_seen"),
+                                             F.sum("heartbeats").alias("heartbeats")).drop("_nr"))
+
+
 # --- alert evaluation (R3 streaming twin) -----------------------------------
 
 ALERT_EVENT_SCHEMA = ("event_id string, server_id string, rule_id string, metric_name string, threshold double, "
