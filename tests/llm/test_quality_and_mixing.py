@@ -268,6 +268,38 @@ def test_mixture_defined_cases(make_docs):
     assert mixing.mixture(make_docs([])).count() == 0
 
 
+def test_capped_cells_do_not_spoil_the_targets(spark):
+    """sf0.1: most cells give all they have, and still every margin comes within
+    0.005 of its feasible goal; goals keep the targets' ratio below the caps."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    fitted = mixing.fit(docs)
+    report = mixing.margin_report(fitted).toPandas()
+    assert fitted.where("f >= 1").count() > 0.5 * fitted.count()
+    for _, m in report.groupby("margin"):
+        budget = mixing.BUDGET * m.tokens.sum()
+        assert m.goal.sum() == pytest.approx(budget, rel=1e-9) and (m.goal <= m.tokens).all()
+        assert ((m.expected - m.goal).abs() / budget).max() < 0.005
+        free = m[m.goal < m.tokens]
+        assert (free.goal / free.target).std() <= 1e-6 * (free.goal / free.target).mean() or len(free) == 1
+        assert (free.goal >= free.target * budget * (1 - 1e-9)).all()
+    kept = mixing.mixture(docs, fitted=fitted).where("kept").groupBy("topic").agg(F.sum("n_tokens").alias("t")).toPandas()
+    goal = report[report.margin == "topic"].set_index("value").goal
+    assert all(abs(r.t - goal[r.topic]) < 0.02 * goal.sum() for r in kept.itertuples())
+
+
+def test_mixture_of_targets_beyond_the_tokens(spark, make_docs):
+    docs = make_docs([(i, "a  b\tc", ("en", "fr", "de")[i % 10 % 3], "s") for i in range(100)], extra=False)
+    goal = spark.createDataFrame([("fr", 1.0), ("xx", 5.0)], "lang string, target double")
+    got = mixing.mixture(docs, budget=0.9, targets={"lang": goal}).toPandas()
+    assert (got.n_tokens == 3).all() and (got.kept == (got.lang == "fr")).all()
+
+
+def test_rows_without_id_draw_by_their_text(make_docs, prose):
+    docs = make_docs([(None, prose(i, 20), "en", "s") for i in range(300)] * 2, extra=False)
+    got = mixing.mixture(docs, budget=0.5).select("row.text", "kept").toPandas().groupby("text").kept.agg(["nunique", "max"])
+    assert (got["nunique"] == 1).all() and 100 < got["max"].sum() < 200
+
+
 def test_mixing_plan_is_native(make_docs):
     plan = mixing.mixture(make_docs([(1, "a b")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
