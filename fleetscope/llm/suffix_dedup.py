@@ -22,8 +22,12 @@ BLOCK_BYTES = 4 << 20
 LONG_KEY = 50_000
 #: Place of the key gram in a string that is keyed by all of it.
 SINGLE = 255
+#: Place in a row of strings that their block holds earlier, which go without their bytes.
+COPY = 254
 #: Strings of one transform, about.
 STRINGS = 1 << 16
+#: Text of a bucket, about, and bytes of cells that a task takes at a time.
+BUCKET_BYTES, STEP_BYTES = 8 << 20, 24 << 20
 _M = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64)) for i in range(8)]
 
 
@@ -86,6 +90,26 @@ class Runs:
     def strings(self) -> list[bytes]:
         return [self.data[a:b] for a, b in zip(self.at.tolist(), (self.at + self.windows + self.length - 1).tolist())]
 
+    def copies(self) -> np.ndarray:
+        """A mark for each string that one of the texts holds earlier."""
+        again = np.zeros(len(self.key), bool)
+        _, of, n = np.unique(self.key, return_inverse=True, return_counts=True)
+        rows = np.flatnonzero(n[of] > 1)
+        rows = rows[np.argsort(self.at[rows])]
+        seen: set[bytes] = set()
+        for i, a, n in zip(rows.tolist(), self.at[rows].tolist(), self.windows[rows].tolist()):
+            string = self.data[a:a + n + self.length - 1]
+            again[i] = string in seen
+            seen.add(string)
+        return again
+
+    def collapse(self) -> np.ndarray:
+        """Keep the earliest of equal strings; (text, start, windows) of the others."""
+        again = self.copies()
+        gone = np.array([self.text[again], self.start[again], self.windows[again]], np.int64)
+        self.take(~again)
+        return gone
+
     def take(self, rows: np.ndarray) -> None:
         for name in ("at", "windows", "text", "key", "place", "start"):
             setattr(self, name, getattr(self, name)[rows])
@@ -122,10 +146,12 @@ def _bytes(x: np.ndarray, kind) -> bytes:
 
 
 def _requests(length: int, buckets: int):
-    """Per block and bucket: its distinct keys and in how many strings each is."""
+    """Per block and bucket: its distinct keys and in how many distinct strings each is."""
     def run(block: pa.Table) -> pa.Table:
         _, texts = _documents(block)
-        key, n = np.unique(Runs(texts, length).key, return_counts=True)
+        runs = Runs(texts, length)
+        runs.collapse()
+        key, n = np.unique(runs.key, return_counts=True)
         bucket = (key % np.uint64(buckets)).astype(np.int64)
         cells = [(b, _bytes(key[bucket == b], np.uint64), _bytes(np.minimum(n[bucket == b], 2 ** 31), np.uint32))
                  for b in np.unique(bucket).tolist()]
@@ -136,13 +162,26 @@ def _requests(length: int, buckets: int):
     return run
 
 
-def _count(long_key: int):
+def _buckets(batches: Iterator[pa.RecordBatch], names: list[str], step: int) -> Iterator[list[tuple]]:
+    """The rows of whole buckets, about ``step`` bytes of cells at a time, from
+    batches sorted by bucket; the first of ``names`` is the bucket."""
+    rows: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in names)):
+            if size > step and row[0] != rows[-1][0]:
+                yield rows
+                rows, size = [], 0
+            rows.append(row)
+            size += sum(len(c) for c in row if isinstance(c, bytes))
+    if rows:
+        yield rows
+
+
+def _count(long_key: int, step: int = STEP_BYTES):
     """Answer the requests of some buckets: 0 one string in all, 1 several,
     2 more than ``long_key``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "keys", "counts")))]
-        if not rows:
-            return
+    def answers(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         keys = np.frombuffer(b"".join(r[2] for r in rows), np.uint64)
         counts = np.frombuffer(b"".join(r[3] for r in rows), np.uint32)
         order = np.argsort(keys, kind="stable")
@@ -151,12 +190,16 @@ def _count(long_key: int):
         answer = np.empty(len(keys), np.uint8)
         answer[order] = (total > 1).astype(np.uint8) + (total > long_key)
         at = 0
-        for block, bucket, own, _ in rows:
+        for bucket, block, own, _ in rows:
             n = len(own) // 8
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int64()),
                                               pa.array([answer[at:at + n].tobytes()], pa.binary())],
                                              ["block", "bucket", "answer"])
             at += n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _buckets(batches, ["bucket", "block", "keys", "counts"], step):
+            yield from answers(rows)
     return run
 
 
@@ -166,13 +209,16 @@ _KINDS = {"sizes": np.uint16, "place": np.uint8, "did": np.int64, "tk": np.int64
 
 
 def _strings(length: int, buckets: int):
-    """Per block and bucket: the strings whose key several have."""
+    """Per block and bucket: the distinct strings whose key several have, each
+    with its earliest place in the block; and, dealt out by block, the places
+    of the others, whose windows all start earlier too."""
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         if not block.num_rows:
             return pa.table({c: pa.array([], pa.int64() if c in ("bucket", "block") else pa.binary())
                              for c in ["bucket", "block", "texts", *_KINDS]})
         docs, texts = _documents(block)
         runs = Runs(texts, length)
+        again = [runs.collapse()]
         keys = np.unique(runs.key)
         bucket = (keys % np.uint64(buckets)).astype(np.int64)
         level = np.zeros(len(keys), np.uint8)
@@ -180,7 +226,9 @@ def _strings(length: int, buckets: int):
             level[bucket == b] = np.frombuffer(answer, np.uint8)
         own = level[np.searchsorted(keys, runs.key)]
         runs.take(own > 0)
-        runs.single(own[own > 0] > 1)
+        if (own > 1).any():
+            runs.single(own[own > 0] > 1)
+            again.append(runs.collapse())
         did, tk = (docs.column(c).to_numpy() for c in ("did", "tk"))
         strings = runs.strings()
         cells = {"sizes": runs.windows + length - 1, "place": runs.place, "did": did[runs.text], "tk": tk[runs.text],
@@ -189,10 +237,16 @@ def _strings(length: int, buckets: int):
         order = np.lexsort((runs.key, to))
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(to[order])) + 1, [len(order)])) if len(order) else [0]
         parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-        return pa.table({"bucket": pa.array([int(to[p[0]]) for p in parts], pa.int64()),
-                         "block": pa.array([_first(block, "block")] * len(parts), pa.int64()),
-                         "texts": pa.array([b"".join([strings[i] for i in p.tolist()]) for p in parts], pa.binary()),
-                         **{c: pa.array([_bytes(v[p], _KINDS[c]) for p in parts], pa.binary()) for c, v in cells.items()}})
+        number = _first(block, "block")
+        out = [(int(to[p[0]]), number, b"".join([strings[i] for i in p.tolist()]),
+                *(_bytes(cells[c][p], k) for c, k in _KINDS.items())) for p in parts]
+        text, start, windows = np.concatenate(again, axis=1)
+        if len(text):
+            own = {"sizes": windows + length - 1, "place": np.full(1, COPY), "doc": text, "start": start}
+            out.append((number % buckets, number, b"", *(_bytes(own[c], k) if c in own else b"" for c, k in _KINDS.items())))
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * (len(_KINDS) + 1)]
+        return pa.table({c: pa.array([r[i] for r in out], k)
+                         for i, (c, k) in enumerate(zip(["bucket", "block", "texts", *_KINDS], kinds))})
     return run
 
 
@@ -219,7 +273,7 @@ def _later(strings: list[bytes], place: np.ndarray, rank: np.ndarray, start: np.
     return marks
 
 
-def _transform(length: int, most: int):
+def _transform(length: int, most: int, step: int = STEP_BYTES):
     """Build the transform of some buckets' strings, a bounded part at a time,
     and send each block the windows of its strings that also start earlier."""
     def answers(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -261,10 +315,19 @@ def _transform(length: int, most: int):
                  pa.array([_bytes(cells["start"][at], np.int64)], pa.binary()),
                  pa.array([np.packbits(own[at], axis=1).tobytes()], pa.binary())], ["block", "doc", "start", "marks"])
 
+    def copies(row: tuple) -> pa.RecordBatch:
+        own = dict(zip(_KINDS, row[3:]))
+        windows = np.frombuffer(own["sizes"], _KINDS["sizes"]).astype(np.int64) - length + 1
+        marks = np.packbits(np.arange(length - GRAM + 1) < windows[:, None], axis=1).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([row[1]], pa.int64()), *(pa.array([x], pa.binary()) for x in (
+            own["doc"], own["start"], marks))], ["block", "doc", "start", "marks"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ["bucket", "block", "texts", *_KINDS]))]
-        if rows:
-            yield from answers(rows)
+        for rows in _buckets(batches, ["bucket", "block", "texts", *_KINDS], step):
+            yield from (copies(r) for r in rows if not r[2])
+            rows = [r for r in rows if r[2]]
+            if rows:
+                yield from answers(rows)
     return run
 
 
@@ -333,8 +396,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True, l
        hash of the window, and ask whether other strings have that key; a block
        asks once a key, so copies and common passages are reduced before the
        shuffle.
-    2. Strings of shared keys are dealt out by key.  A key that more than
-       ``long_key`` strings share is split into its single windows.
+    2. Strings of shared keys are dealt out by key, each distinct one once a
+       block with its earliest place there; the others of the block start
+       later, so only their places are sent, spread by block.  A key that more
+       than ``long_key`` strings share is split into its single windows, of
+       which a block again sends each distinct one once.
     3. Each task builds the column-wise transform of its strings, about
        ``strings_at_once`` of them, aligned by their key grams: equal windows have equal keys and places, so they stand
        in one column, where a common prefix of ``length`` marks them.
@@ -350,15 +416,17 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True, l
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     texts = (docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"),
                          id_key().alias("did"), F.xxhash64(text).alias("tk"), text.alias("text"))
              .withColumn("block", F.pmod(F.xxhash64("did", "tk"), F.lit(blocks)).cast("long")))
     by_block = texts.groupBy("block")
     answers = (by_block.applyInArrow(_requests(length, buckets), "block long, bucket long, keys binary, counts binary")
-               .repartition("bucket").mapInArrow(_count(long_key), "block long, bucket long, answer binary"))
+               .repartition("bucket").sortWithinPartitions("bucket")
+               .mapInArrow(_count(long_key, STEP_BYTES), "block long, bucket long, answer binary"))
     strings = by_block.cogroup(answers.groupBy("block")).applyInArrow(_strings(length, buckets), STRINGS_SCHEMA)
-    marks = strings.repartition("bucket").mapInArrow(_transform(length, strings_at_once), "block long, doc binary, start binary, marks binary")
+    marks = strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        _transform(length, strings_at_once, STEP_BYTES), "block long, doc binary, start binary, marks binary")
     schema = T.StructType([texts.schema["row"], *T._parse_datatype_string(
         "n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string").fields])
     return by_block.cogroup(marks.groupBy("block")).applyInArrow(_finish(length, with_text), schema)

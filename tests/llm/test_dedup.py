@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fleetscope.llm import components, sentence_dedup, simhash_dups, suffix_dedup
@@ -119,6 +120,9 @@ def brute_repeats(rows, length):
 @pytest.mark.parametrize("long_key,strings", [(50_000, 1 << 16), (3, 1 << 16), (50_000, 40)])
 def test_repeated_bytes_against_brute_force(make_docs, prose, monkeypatch, long_key, strings):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4000)
+    if long_key == 3:                                           # many buckets, few at a time
+        monkeypatch.setattr(suffix_dedup, "STEP_BYTES", 500)
+        monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1000)
     pick, line = random.Random(2), "This common line stands in many documents, and nothing is special about it.\n"
     rows = [(0, None), (1, ""), (2, "short"), (3, "é" * 300), (4, "ab" * 400), (5, "x" * 99), (6, "x" * 100), (7, "x" * 250)]
     for i in range(40):
@@ -209,3 +213,30 @@ def test_rows_of_one_doc_id_keep_their_own_sentences(make_docs, prose):
 def test_sentences_join_to_the_text():
     for text in (b"", b"A. B", b"\n\nA.\n \nB! C?\tD", b"a.b. c", "É. Ü.\r\n".encode()):
         assert b"".join(sentence_dedup.sentences(text)) == text
+
+
+@pytest.mark.parametrize("long_key", [50_000, 20])
+def test_a_hot_passage_is_sent_once_a_block(prose, long_key):
+    """Thousands of copies in one block: its distinct strings go to the
+    buckets once, the other places without their bytes."""
+    passage = prose(5, 60)[:140]
+    texts = [prose(100 + i, 12) + passage + prose(5000 + i, 12) for i in range(3000)]
+    block = pa.table({"block": pa.array([3] * 3000, pa.int64()), "did": pa.array(range(3000), pa.int64()),
+                      "tk": pa.array(range(3000), pa.int64()), "text": texts})
+    asked = suffix_dedup._requests(100, 8)(block).to_batches()
+    asked = [b.take(pa.array(np.argsort(b.column("bucket").to_numpy(), kind="stable"))) for b in asked]
+    answers = pa.Table.from_batches(list(suffix_dedup._count(long_key)(iter(asked))))
+    sent = suffix_dedup._strings(100, 8)(block, answers)
+    strings, places = {}, 0
+    for row in sent.to_pylist():
+        sizes, at = np.frombuffer(row["sizes"], np.uint16).tolist(), 0
+        places += len(sizes) if not row["texts"] else 0
+        for n in sizes if row["texts"] else []:
+            string = row["texts"][at:at + n]
+            strings[string] = strings.get(string, 0) + 1
+            at += n
+    assert max(strings.values()) == 1
+    within = [s for s in strings if s in passage.encode()]
+    assert len(within) <= 41 and places >= 2999                 # a window each, at most; the rest are places
+    windows = {t.encode()[i:i + 100] for t in texts for i in range(len(t) - 99)}
+    assert long_key == 50_000 or sum(map(len, strings)) <= 100 * len(windows)
