@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import byte_texts, grouped, prepare
+from fleetscope.llm.common import byte_texts, grouped, prepare, stored
 from fleetscope.llm.words import SLICE, Words, parts, shingles
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -173,8 +173,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     is 0.8 or more.
 
     Documents are read once per ITEMS items (or ITEM_BYTES of their texts);
-    each worker holds the index of those items only.  Windows are fingerprinted where they share a shingle
-    with an item of their length: any other window has similarity zero.  The
+    the driver and each worker hold the items of one such pass only, whose
+    results are stored before the next one.  Windows are fingerprinted where
+    they share a shingle with an item of their length: any other window has
+    similarity zero.  The
     multi-index returns all fingerprints within RADIUS bits, and each is then
     verified exactly.  Texts and items that are null or hold no word match
     nothing; an item of fewer than five words is one shingle; a text shorter
@@ -193,5 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)  # about its share
         rows = [(r.item_id, r.text.encode()) for r in own.orderBy("item_id", "text").collect()]
         part = texts.mapInArrow(_find(rows), FOUND)
+        if passes > 1:
+            part = stored(part, "found")                # lets go of the items before the next pass
         found = part if found is None else found.union(part)
     return found
