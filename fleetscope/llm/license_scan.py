@@ -20,8 +20,8 @@ DIMENSIONS = 1 << 18
 GRAMS = (1, 2)
 #: Least calibrated probability of a family, and least share of a template's word pairs.
 PROBABILITY, CONTAINED = 0.5, 0.6
-#: Words of a window and of a step: short notices, then the longest templates.
-WINDOWS = ((20, 8), (64, 24))
+#: Words of a window and of a step: notices of a few words, of a line, the longest templates.
+WINDOWS = ((8, 3), (20, 8), (64, 24))
 _BLANK = re.compile(rb"\n[ \t\r]*\n")
 #: Labelled paragraphs made from the templates: so many variants of each.
 VARIANTS = 24
@@ -123,12 +123,12 @@ ORDINARY = [
 ]
 
 
-def seed_paragraphs(variants: int = VARIANTS) -> list[tuple[str, str]]:
+def seed_paragraphs(variants: int = VARIANTS, sentences: list[str] = ORDINARY, seed: int = 7) -> list[tuple[str, str]]:
     """(paragraph, family): each template and each ordinary sentence, whole, in
-    capitals, cut at an end, and with ordinary words around it."""
-    pick, out = random.Random(7), []
-    rows = [(t, f) for f, ts in TEMPLATES.items() for t in ts] + [(t, UNKNOWN) for t in ORDINARY]
-    plain = " ".join(ORDINARY).split()
+    capitals, cut at an end, and with ordinary words on both sides of it."""
+    pick, out = random.Random(seed), []
+    rows = [(t, f) for f, ts in TEMPLATES.items() for t in ts] + [(t, UNKNOWN) for t in sentences]
+    plain = " ".join(sentences).split()
     for text, family in rows:
         for i in range(variants):
             words = text.split()
@@ -137,8 +137,8 @@ def seed_paragraphs(variants: int = VARIANTS) -> list[tuple[str, str]]:
             if i % 4 == 2 and len(words) > 12:
                 words = words[:-pick.randrange(1, 4)]
             if i % 4 == 3:
-                a = pick.randrange(len(plain) - 12)
-                words = plain[a:a + pick.randrange(2, 12)] + words
+                a, b = pick.randrange(len(plain) - 12), pick.randrange(len(plain) - 12)
+                words = plain[a:a + pick.randrange(12)] + words + plain[b:b + pick.randrange(6)]
             out.append((" ".join(words), family))
     out += [(" ".join(pick.sample(plain, pick.randrange(3, 40))), UNKNOWN) for _ in range(len(out))]
     return out
@@ -171,10 +171,15 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(slots)
 
 
+def _distinct(row: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.divmod(np.unique(row * DIMENSIONS + slot), DIMENSIONS)
+
+
 @dataclass
 class Model:
     """Sparse weights: slot -> row of ``weights`` (row 0 is zero), one column a
-    class, the last ``bias``; ``heat`` is the calibrating temperature."""
+    class, the last ``bias``; ``heat`` is the calibrating temperature.  An
+    n-gram counts once, whose sum is divided by the root of all n-grams."""
 
     families: list[str]
     row_of: np.ndarray
@@ -185,12 +190,20 @@ class Model:
     def logits(self, row: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
         total = np.bincount(row, minlength=n)
         known = self.row_of[slot] > 0
-        row, at = row[known], self.row_of[slot[known]]
-        out = np.empty((n, len(self.families)))
+        return self._logits(*_distinct(row[known], slot[known]), total)
+
+    def _logits(self, row: np.ndarray, slot: np.ndarray, total: np.ndarray) -> np.ndarray:
+        at, out = self.row_of[slot], np.empty((len(total), len(self.families)))
         for c in range(len(self.families)):
-            out[:, c] = np.bincount(row, self.weights[at, c], minlength=n)
+            out[:, c] = np.bincount(row, self.weights[at, c], minlength=len(total))
         return out / np.sqrt(np.maximum(total, 1))[:, None] + self.bias
 
+    def bound(self, row: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
+        """No family's logit is more than this above that of the class unknown."""
+        gain = np.maximum((self.weights - self.weights[:, :1]).max(axis=1), 0)
+        over = np.bincount(row, gain[self.row_of[slot]], minlength=n)
+        return over / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1)) + (self.bias - self.bias[0])[1:].max(initial=0)
+
     def probabilities(self, row: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
         return _softmax(self.logits(row, slot, n) / self.heat)
 
@@ -200,10 +213,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(labelled: list[tuple[str, str]], rounds: int = 200, rate: float = 4.0, decay: float = 1e-4) -> Model:
+def train(labelled: list[tuple[str, str]], rounds: int = 200, rate: float = 4.0, decay: float = 1e-4,
+          calibration: list[tuple[str, str]] = ()) -> Model:
     """Softmax regression on hashed word 1- and 2-grams by full-batch gradient
-    steps on nine tenths of the rows; the temperature is the one under which
-    the held-out tenth is likeliest.  Without rows everything is unknown."""
+    steps; the temperature is the one under which the rows of ``calibration``
+    are likeliest, which have families of ``labelled`` (none given: every tenth
+    row is held out for it).  Without rows everything is unknown."""
+    n_fit, labelled = len(labelled), [*labelled, *calibration]
     families = [UNKNOWN, *sorted({f for _, f in labelled} - {UNKNOWN})]
     y = np.array([families.index(f) for _, f in labelled], np.int64)
     row, slot = features(Words([t.encode().replace(b"\n", b" ") for t, _ in labelled]))
@@ -211,11 +227,13 @@ def train(labelled: list[tuple[str, str]], rounds: int = 200, rate: float = 4.0,
     row_of = np.zeros(DIMENSIONS, np.int32)
     row_of[used] = np.arange(1, len(used) + 1)
     model = Model(families, row_of, np.zeros((len(used) + 1, len(families))), np.zeros(len(families)), 1.0)
-    held = np.arange(len(y)) % 10 == 9
+    held = np.arange(len(y)) >= n_fit if calibration else np.arange(len(y)) % 10 == 9
+    total = np.bincount(row, minlength=len(y))
+    row, slot = _distinct(row, slot)
     fit = ~held[row]
-    scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(y)), 1))
+    scale = 1 / np.sqrt(np.maximum(total, 1))
     for _ in range(rounds if len(y) else 0):
-        gap = model.probabilities(row, slot, len(y))
+        gap = _softmax(model._logits(row, slot, total))
         gap[np.arange(len(y)), y] -= 1
         gap[held] = 0
         gap /= max(1, (~held).sum())
@@ -225,12 +243,19 @@ def train(labelled: list[tuple[str, str]], rounds: int = 200, rate: float = 4.0,
         model.weights[0] = 0
         model.bias -= rate * gap.sum(axis=0)
     if held.any():
-        z = model.logits(row, slot, len(y))[held]
+        z = model._logits(row, slot, total)[held]
         loss = lambda t: -np.log(_softmax(z / t)[np.arange(held.sum()), y[held]] + 1e-12).mean()
         model.heat = min(np.geomspace(0.2, 5, 33), key=loss)
     return model
 
 
+def seed_model() -> Model:
+    """The model of the seed paragraphs, calibrated on ordinary sentences and
+    surroundings that it is not fitted on."""
+    fit, other = [t for i, t in enumerate(ORDINARY) if i % 4], ORDINARY[::4]
+    return train(seed_paragraphs(sentences=fit), calibration=seed_paragraphs(VARIANTS // 4, other, 8))
+
+
 def _pairs(text: bytes) -> set[int]:
     h = Words([text]).hash
     return set(shingles(h, min(2, len(h))).tolist()) if len(h) else set()
@@ -246,9 +271,9 @@ def _scan(model: Model, templates: dict[str, list[str]], probability: float, con
     def found(texts: list[bytes]) -> Iterator[tuple]:
         words = Words(texts)
         row, slot = features(words)
-        hot = np.unique(row[model.row_of[slot] > 0])     # others have no weight but the bias
-        keep = np.isin(row, hot)
-        row, slot = np.searchsorted(hot, row[keep]), slot[keep]
+        may = model.bound(row, slot, len(texts)) > 0
+        hot, number = np.flatnonzero(may), np.cumsum(may) - 1
+        row, slot = number[row[may[row]]], slot[may[row]]
         p = model.probabilities(row, slot, len(hot))
         best = p.argmax(axis=1)
         for i in np.flatnonzero((best > 0) & (p.max(axis=1, initial=0) >= probability)).tolist():
@@ -295,7 +320,7 @@ def licences(docs: DataFrame, labelled: list[tuple[str, str]] | None = None, tem
     paragraph at a time.  Repeated rows each give rows, also without a doc_id;
     an empty table gives none; other columns are ignored."""
     prepare(docs.sparkSession)
-    model = train(seed_paragraphs() if labelled is None else labelled)
+    model = seed_model() if labelled is None else train(labelled)
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"),
                                                   F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_scan(model, templates, probability, contained), FOUND)

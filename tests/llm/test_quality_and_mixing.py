@@ -345,3 +345,23 @@ def test_licence_classifier_on_held_out_rows():
     assert sum(right) / len(right) > 0.95
     sure = p.max(axis=1)
     assert abs(sure.mean() - sum(right) / len(right)) < 0.05          # calibrated on average
+
+
+def test_short_notices_at_the_end_of_a_paragraph(make_docs, prose):
+    """Notices of three to five words close a long paragraph; words of licences
+    repeated on end and ordinary prose are none."""
+    short = ["All rights reserved.", "Released under the MIT License.", "Licensed under CC BY-NC 4.0."]
+    rows = [(i, prose(60 + i, 40) + "\n" + short[i % 3]) for i in range(9)]
+    rows += [(100 + i, prose(90 + i, 300)) for i in range(9)] + [(200, "That " * 90), (201, "license " * 90)]
+    got = license_scan.licences(make_docs(rows)).collect()
+    assert {r.doc_id for r in got if r.confirmed} == set(range(9))
+    assert {r.family for r in got if r.confirmed} == {"proprietary", "mit", "cc-by-nc"}
+    assert not [r.doc_id for r in got if r.doc_id >= 100]
+
+
+def test_the_bound_of_licence_windows_holds():
+    model = license_scan.seed_model()
+    texts = [t.encode() for t, _ in license_scan.seed_paragraphs(8, seed=3)]
+    row, slot = license_scan.features(license_scan.Words(texts))
+    z = model.logits(row, slot, len(texts))
+    assert (z[:, 1:].max(axis=1) - z[:, 0] <= model.bound(row, slot, len(texts)) + 1e-9).all()
