@@ -16,6 +16,8 @@ DIMENSIONS = 1 << 18
 LENGTHS = (3, 4, 5)
 #: Labelled rows that the classifier is fitted on at most (a hash order of the urls picks them).
 MAX_LABELLED = 20_000
+#: Folds of hosts, and the share of ordinary urls on hosts out of the fit that may be blocked.
+FOLDS, FALSE_BLOCKS = 4, 0.02
 
 #: The rules of the contract, as (verdict, host, path).
 RULES = [
@@ -146,34 +148,57 @@ def fit(urls: pd.DataFrame, rounds: int = 300, rate: float = 2.0, decay: float =
     n, y = len(urls), urls["label"].to_numpy(float)
     row, slot = features(_texts(urls["host"].tolist(), urls["path"].tolist()))
     scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
-    w = np.zeros(DIMENSIONS + 1)
+    used, at = np.unique(slot, return_inverse=True)
+    w = np.zeros(len(used) + 1)
     for _ in range(rounds if n else 0):
-        gap = (1 / (1 + np.exp(-_logit(row, slot, n, w))) - y) / n
-        step = np.bincount(slot, (gap * scale)[row], minlength=DIMENSIONS + 1)
+        gap = (1 / (1 + np.exp(-_logit(row, at, n, w))) - y) / n
+        step = np.bincount(at, (gap * scale)[row], minlength=len(w))
         step[-1] = gap.sum()
         w -= rate * (step * 8 + decay * w)
-    return w
-
-
-def train(labelled: DataFrame, max_rows: int = MAX_LABELLED) -> np.ndarray:
-    """Fit on ``labelled`` (url, label), on ``max_rows`` rows at most, taken in
-    a fixed hash order.  Rows without a label are left out."""
+    whole = np.zeros(DIMENSIONS + 1)
+    whole[used], whole[-1] = w[:-1], w[-1]
+    return whole
+
+
+def threshold_of(urls: pd.DataFrame, false_blocks: float = FALSE_BLOCKS) -> float:
+    """The probability that at most ``false_blocks`` of the ordinary rows
+    exceed when their host is in no row of the fit: hosts are dealt into FOLDS,
+    each scored by a fit on the others.  0.5 at least."""
+    fold = pd.util.hash_array(urls["host"].to_numpy(object), categorize=False) % FOLDS
+    p = []
+    for i in range(FOLDS):
+        out = urls[(fold == i) & (urls["label"] == 0)]
+        w = fit(urls[fold != i])
+        row, slot = features(_texts(out["host"].tolist(), out["path"].tolist()))
+        p.append(1 / (1 + np.exp(-_logit(row, slot, len(out), w))))
+    p = np.concatenate(p)
+    return max(0.5, float(np.quantile(p, 1 - false_blocks, method="higher"))) if len(p) else 0.5
+
+
+def train(labelled: DataFrame, max_rows: int = MAX_LABELLED) -> tuple[np.ndarray, float]:
+    """Weights and threshold of ``labelled`` (url, label), of ``max_rows`` rows
+    at most, taken in a fixed hash order.  Rows without a label are left out."""
     host, path = host_path(F.col("url"))
     rows = (labelled.where("label is not null").orderBy(F.xxhash64("url"), "url", "label").limit(max_rows)
             .select(host.alias("host"), path.alias("path"), F.col("label").cast("double").alias("label")))
-    return fit(rows.toPandas())
+    urls = rows.toPandas()
+    return fit(urls), threshold_of(urls)
 
 
 def url_verdicts(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]] = RULES,
-                 threshold: float = 0.5) -> DataFrame:
+                 threshold: float | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, p_block) for every row of ``pages``.
 
-    The longest rule that fits decides; else the classifier does, on any text:
+    The longest rule that fits decides; else the classifier does, by a
+    ``threshold`` that is set on held-out hosts (``threshold_of``) if none is
+    given, on any text:
     a null url has empty host and path and takes the verdict of the empty url.
     Repeated rows each give a row; an empty table gives none; other columns are
     ignored.  With no labelled rows the classifier allows everything."""
     spark = prepare(pages.sparkSession)
-    weights = spark.sparkContext.broadcast(train(labelled).astype(np.float32))  # DIMENSIONS floats
+    fitted, calibrated = train(labelled)
+    threshold = calibrated if threshold is None else threshold
+    weights = spark.sparkContext.broadcast(fitted.astype(np.float32))  # DIMENSIONS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value

@@ -1,5 +1,7 @@
 import json
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from fleetscope.llm import token_cache, topk_search, url_filter
@@ -129,7 +131,6 @@ def test_url_verdicts(spark):
 
 
 def test_url_classifier_on_held_out_rows():
-    import pandas as pd
     rows = pd.DataFrame(url_filter.seed_urls(), columns=["url", "label"])
     rows["host"] = rows.url.str.extract(r"://([^/]*)")
     rows["path"] = rows.url.str.extract(r"://[^/]*(/.*)")
@@ -190,7 +191,7 @@ UNWANTED_URLS = """
 def test_url_classifier_on_urls_that_seed_urls_did_not_build():
     import re
 
-    import pandas as pd
+
     split = lambda u: re.match(r".*?://([^/]*)(.*)", u).groups()
     seed = url_filter.seed_urls()
     assert not [u for u, _ in seed if ".example." in u or re.search(r"/(en|fr|de|es)/\d+$", u)]
@@ -200,3 +201,37 @@ def test_url_classifier_on_urls_that_seed_urls_did_not_build():
     said = url_filter._logit(*url_filter.features(url_filter._texts(*zip(*map(split, urls)))), len(urls), w) > 0
     right = [bool(b) == (i >= len(ORDINARY_URLS)) for i, b in enumerate(said)]
     assert sum(right) / len(right) > 0.85
+
+
+def test_url_probabilities_and_threshold_against_brute_force(spark):
+    """The registered verdicts without a rule are those of the summed weights
+    of each url's n-grams, held against the calibrated threshold; hosts out of
+    the fit are blocked no more often than the threshold's share."""
+    seed = url_filter.seed_table(spark)
+    w, threshold = url_filter.train(seed)
+    urls = ORDINARY_URLS + UNWANTED_URLS + ["", None, "no scheme"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.url_verdicts(pages, seed, rules=[]).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        text = url_filter._texts([r.host], [r.path])[0]
+        total = n = 0
+        for k in url_filter.LENGTHS:
+            for i in range(len(text) - k + 1):
+                h = k
+                for c in text[i:i + k]:
+                    h = ((h ^ c) * 0x9E3779B97F4A7C15) % (1 << 64)
+                    h ^= h >> 29
+                total, n = total + float(np.float32(w[h % url_filter.DIMENSIONS])), n + 1
+        p = 1 / (1 + np.exp(-(total / max(n, 1) ** 0.5 + w[-1])))
+        assert abs(p - r.p_block) < 1e-4 and r.rule is None
+        assert abs(p - threshold) < 1e-4 or (r.verdict == "block") == (p > threshold)
+    blocked = {r.page_id for r in got if r.verdict == "block"}
+    assert len(blocked & set(range(len(ORDINARY_URLS)))) <= 1
+    assert 0.5 <= threshold < 0.9
+
+
+def test_url_threshold_of_few_rows():
+    rows = pd.DataFrame([("a.com", "/", 0.0), ("b.com", "/", 1.0)], columns=["host", "path", "label"])
+    assert 0.5 <= url_filter.threshold_of(rows) < 1
+    assert url_filter.threshold_of(rows[rows.label == 1]) == 0.5 == url_filter.threshold_of(rows[:0])
