@@ -239,3 +239,28 @@ def test_numbers_in_webhook_texts(spark):
     values = [10000000.0, 80.0, 0.5, 123456789.25, 1e15, -2e7, 42.0]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     assert [r.s for r in df.select(A.plain_number(F.col("x")).alias("s")).collect()] == [repr(v) for v in values]
+
+
+def test_no_frame_runs_to_the_end_of_its_partition(spark):
+    """Such a frame is evaluated anew for every row; the matches stay the same
+    over several chunks, with ties and keys without a partner."""
+    from fleetscope.operators import chunked
+    import random
+    random.seed(5)
+    left = [(k, random.randrange(0, 400)) for k in "ab" for _ in range(80)]
+    right = [("a", random.randrange(0, 400), i) for i in range(12)]
+    t = F.timestamp_micros(F.col("_u") * 1_000_000).alias("ts")
+    p = spark.createDataFrame(left, "k string, _u long").select("k", t)
+    v = spark.createDataFrame(right, "k string, _u long, i long").select("k", t, F.col("_u").cast("double").alias("value"))
+    near = chunked.nearest(p, v, ["k"], "ts", "value", chunk_us=60_000_000)
+    spots = sorted(u for _, u, _ in right)
+    for r in near.withColumn("_u", F.unix_micros("ts") / 1_000_000).collect():
+        want = min(spots, key=lambda s: (abs(s - r._u), s)) if r.k == "a" else None
+        assert r.nearest_value == want
+    lt = spark.createDataFrame(left, "k string, t long")
+    rt = spark.createDataFrame([(k, u, u) for k, u, _ in right], "k string, t long, j long")
+    later = chunked.first_at_or_after(lt, rt, ["k"], "t", "j", "j", chunk_us=60)
+    for r in later.collect():
+        assert r.j == (next((s for s in spots if s >= r.t), None) if r.k == "a" else None)
+    for out in (near, later):
+        assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
