@@ -153,3 +153,13 @@ def test_rolling_frames_are_running_aggregates(spark):
                 assert math.isclose(r.rolling_std_5m, statistics.stdev(own), rel_tol=1e-6)
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "RangeFrame, -" not in plan and "unboundedfollowing" not in plan.lower()
+
+
+def test_model_queries_compute_the_features_once(spark):
+    """Gate, sample and scores read stored features; before, each of them had
+    the rolling windows in its own plan."""
+    from fleetscope.plans import q_ml
+    from tests.conftest import SMALL
+    out = q_ml.a22_fixed(spark, SMALL)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 25

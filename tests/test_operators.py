@@ -264,3 +264,17 @@ def test_no_frame_runs_to_the_end_of_its_partition(spark):
         assert r.j == (next((s for s in spots if s >= r.t), None) if r.k == "a" else None)
     for out in (near, later):
         assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_path_lengths_match_a_walk_of_single_rows():
+    import numpy as np
+    from fleetscope.operators.anomaly import iforest
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 7)).round(1)
+    x[::50, 2] = np.nan
+    feat, split, left, right, size = iforest.build_tree(np.nan_to_num(x[:256]), rng, 8)
+    for row, got in zip(x, iforest.path_lengths(x, feat, split, left, right, size)):
+        node = depth = 0
+        while feat[node] >= 0:
+            node, depth = (left if row[feat[node]] < split[node] else right)[node], depth + 1
+        assert got == depth + iforest._c([size[node]])[0]
