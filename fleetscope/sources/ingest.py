@@ -174,4 +174,5 @@ def newest_per_stream(df: DataFrame, ts: str, tiebreak: list[str]) -> DataFrame:
     bound = F.lit(0)
     for stream, n in STREAM_BOUNDS.items():
         bound = F.when(F.col("stream") == stream, F.lit(n)).otherwise(bound)
-    return newest_n(df, ["stream"], ts, bound, tiebreak, at_most=max(STREAM_BOUNDS.values()))
+    return newest_n(df, ["stream"], ts, bound, tiebreak, at_most=max(STREAM_BOUNDS.values()),
+                    few_keys=True)      # the known streams

@@ -278,3 +278,21 @@ def test_path_lengths_match_a_walk_of_single_rows():
         while feat[node] >= 0:
             node, depth = (left if row[feat[node]] < split[node] else right)[node], depth + 1
         assert got == depth + iforest._c([size[node]])[0]
+
+
+def test_newest_n_ranks_only_the_seconds_it_needs(spark):
+    """One day, many seconds: all rows of the day were ranked before."""
+    from fleetscope.operators.dedup import newest_n
+    rows = [(k, f"2024-01-02 00:{i // 60:02d}:{i % 60:02d}", j) for k in "ab" for i in range(600) for j in range(2)]
+    rows += [("a", None, 7), ("c", None, 1), ("c", None, 2), ("c", "2023-01-01 00:00:00", 3)]
+    df = spark.createDataFrame(rows, "k string, t string, j long").select("k", F.to_timestamp("t").alias("ts"), "j")
+    want = {"a": [(f"2024-01-02 00:09:{s}", j) for s, j in ((59, 1), (59, 0), (58, 1))],
+            "c": [("2023-01-01 00:00:00", 3), ("None", 2)]}
+    for few in (False, True):
+        out = newest_n(df, ["k"], "ts", F.when(F.col("k") == "a", 3).when(F.col("k") == "c", 2).otherwise(0), ["j"],
+                       at_most=3, few_keys=few)
+        got = {}
+        for r in sorted(out.collect(), key=lambda r: (str(r.ts) != "None", str(r.ts), r.j), reverse=True):
+            got.setdefault(r.k, []).append((str(r.ts), r.j))
+        assert got == want
+        assert "date_trunc(second" in out._jdf.queryExecution().optimizedPlan().toString()
