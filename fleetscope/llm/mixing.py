@@ -29,11 +29,17 @@ def text_column() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
+def _count(text: Column, char: str) -> Column:
+    """How often a one-byte character is there: by bytes and replace, which take
+    a fraction of the time of lengths in characters and translate."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
+
+
 def token_weight() -> Column:
     """Words between runs of blanks, tabs and line ends; texts of nothing else
     have none."""
     t = F.btrim(F.regexp_replace(text_column(), "[ \\n\\t]+", " "))
-    return F.when(F.length(t) == 0, 0).otherwise(F.length(t) - F.length(F.translate(t, " ", "")) + 1).cast("long")
+    return F.when(F.octet_length(t) == 0, 0).otherwise(_count(t, " ") + 1).cast("long")
 
 
 def topic_of() -> Column:
@@ -41,7 +47,7 @@ def topic_of() -> Column:
     notice (speaks of a licence or copyright), contact (an address), table
     (column bars), list (lines under 60 characters on average) and prose."""
     t = text_column()
-    lines = F.length(t) - F.length(F.translate(t, "\n", "")) + 1
+    lines = _count(t, "\n") + 1
     return (F.when(F.length(t) == 0, "empty")
             .when(F.contains(t, F.lit("icense")) | F.contains(t, F.lit("opyright")), "notice")
             .when(F.contains(t, F.lit("@")), "contact").when(F.contains(t, F.lit(" | ")), "table")

@@ -365,3 +365,14 @@ def test_the_bound_of_licence_windows_holds():
     row, slot = license_scan.features(license_scan.Words(texts))
     z = model.logits(row, slot, len(texts))
     assert (z[:, 1:].max(axis=1) - z[:, 0] <= model.bound(row, slot, len(texts)) + 1e-9).all()
+
+
+def test_words_and_lines_are_counted_by_bytes(make_docs):
+    """Same numbers as by characters, without a pass of ``translate``."""
+    texts = ["", " \n\t ", "é ü\n\nß", "a  b\tc \n", None, "日本 語\n" * 40, "one", "x" * 200]
+    docs = make_docs([(i, t) for i, t in enumerate(texts)])
+    out = docs.select("doc_id", mixing.token_weight().alias("n"), mixing.topic_of().alias("topic"))
+    got = {r.doc_id: (r.n, r.topic) for r in out.collect()}
+    assert {i: n for i, (n, _) in got.items()} == {i: len((t or "").split()) for i, t in enumerate(texts)}
+    assert [got[i][1] for i in range(8)] == ["empty", "list", "list", "list", "empty", "list", "list", "prose"]
+    assert "translate" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
