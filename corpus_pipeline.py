@@ -43,7 +43,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     doc_id; texts that are null or hold no word are copies of one another.  Two
     texts under one doc_id are judged apart; rows that repeat the kept one stay."""
     prepare(spark)
-    return simhash_dups.drop_near_duplicates(docs, SHINGLE, MAX_BITS)
+    return simhash_dups.drop_near_duplicates(docs, SHINGLE, MAX_BITS, judge_unnamed=True)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
