@@ -97,10 +97,13 @@ def r5_stream(spark, d):
 SELECT server_id, metric_name, value, ts FROM parsed
 WHERE server_id IS NOT NULL AND metric_name IS NOT NULL AND value IS NOT NULL AND ts IS NOT NULL""")
 def s1_stream(spark, d):
-    """Payloads as segments, streamed in bounded batches to the metrics table."""
+    """Payloads as segments, streamed to the metrics table in batches of at most
+    20 000 messages a core: planning and commits cost each batch about a second,
+    so there are no more of them than the cores need."""
     path = scratch(spark, "segments")
     metric_payloads(spark, d).select("data").write.text(f"{path}/segments")
-    raw = segments.stream(spark, f"{path}/segments", start="oldest", rows=20_000).select("data")
+    rows = 20_000 * spark.sparkContext.defaultParallelism
+    raw = segments.stream(spark, f"{path}/segments", start="oldest", rows=rows).select("data")
     q = jobs.metrics_to_table(raw, f"{path}/metrics", f"{path}/dead", f"{path}/checkpoint", trigger_s=0)
     q.processAllAvailable()
     q.stop()

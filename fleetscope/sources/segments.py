@@ -5,9 +5,10 @@ underscore do not count), to which whole lines are appended, one message a line.
 of every segment, and is kept by the query's checkpoint alone: a batch that
 is run again reads the same bytes, a restart goes on after the last batch.
 
-The reading itself is done by the executors, one task a segment and batch.  To
-limit a batch to whole lines the driver looks at the next few bytes of the
-segments that have grown, at most ``rows`` lines a batch.
+The reading itself is done by the executors, a task for each ``PIECE`` bytes of
+a segment in a batch.  To limit a batch to whole lines the driver counts the line
+ends of the next bytes of the segments that have grown, at most ``rows`` lines a
+batch.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ BATCH_ROWS = 500
 EVERY_S = 5
 # -----------------------------------------------------------------------------
 READ = 1 << 16
+PIECE = 16 * READ       # bytes of one task, up to the end of their last line
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -45,6 +47,9 @@ class Piece(InputPartition):
 
 def line_end(data: bytes, lines: int) -> tuple[int, int]:
     """(bytes, lines) of the first ``lines`` whole lines of ``data``."""
+    whole = data.count(b"\n")
+    if whole <= lines:
+        return data.rfind(b"\n") + 1, whole
     at = found = 0
     while found < lines:
         n = data.find(b"\n", at)
@@ -93,6 +98,21 @@ class Folder:
             at = low
         return 0
 
+    def pieces(self, segment: str, start: int, end: int) -> Iterator[Piece]:
+        """[start, end), which ends with a line, in pieces of about ``PIECE``
+        bytes: each ends with the line that its bound falls into."""
+        while start < end:
+            at = start + PIECE - 1
+            while at < end:
+                n = self.read(segment, at, min(end, at + READ)).find(b"\n")
+                if n >= 0:
+                    at += n + 1
+                    break
+                at += READ
+            at = min(at, end)
+            yield Piece(self.path, segment, start, at)
+            start = at
+
 
 def lines(piece: Piece) -> Iterator[pa.RecordBatch]:
     """The messages of a piece, a bounded run of bytes at a time."""
@@ -149,7 +169,7 @@ class SegmentStreamReader(DataSourceStreamReader):
         # after a restart the engine plans the last batch of the checkpoint first
         if self.at is None:
             self.at = dict(end)
-        return [Piece(self.folder.path, s, start.get(s, 0), e) for s, e in sorted(end.items()) if e > start.get(s, 0)]
+        return [p for s, e in sorted(end.items()) for p in self.folder.pieces(s, start.get(s, 0), e)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         return lines(partition)
@@ -162,14 +182,14 @@ class SegmentStreamReader(DataSourceStreamReader):
 
 
 class SegmentReader(DataSourceReader):
-    """All whole lines of all segments, one task a segment."""
+    """All whole lines of all segments."""
 
     def __init__(self, path: str):
         self.folder = Folder(path)
 
     def partitions(self) -> Sequence[InputPartition]:
         f = self.folder
-        return [Piece(f.path, s, 0, f.last_line(s, n)) for s, n in sorted(f.sizes().items()) if n]
+        return [p for s, n in sorted(f.sizes().items()) for p in f.pieces(s, 0, f.last_line(s, n))]
 
     def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
         return lines(partition) if partition is not None else iter(())      # no segments: no partition

@@ -115,3 +115,50 @@ def test_segments_feed_the_metrics_table(spark, tmp_path):
     good, bad = ingest.parse_metrics(payloads)
     assert spark.read.parquet(str(tmp_path / "out")).count() == good.count()
     assert spark.read.parquet(str(tmp_path / "dead")).count() == bad.count()
+
+
+def test_a_long_segment_is_dealt_to_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "READ", 16)
+    monkeypatch.setattr(segments, "PIECE", 64)
+    seg = str(tmp_path / "seg")
+    rows = ["x" * n for n in (0, 62, 63, 64, 0, 1, 300, 5)] + [f"é {i}" for i in range(100)]
+    append(seg, "a", rows, tail="unfinished")
+    append(seg, "b", ["short"])
+    append(seg, "c", [], tail="no whole line")
+    reader = segments.SegmentStreamReader(seg, "oldest", 1000)
+    for pieces in (reader.partitions({}, reader.latestOffset()), segments.SegmentReader(seg).partitions()):
+        a = [p for p in pieces if p.segment == "a.log"]
+        assert len(a) > 5 and [p.segment for p in pieces if p not in a] == ["b.log"]
+        assert a[0].start == 0 and all(p.end == q.start for p, q in zip(a, a[1:]))
+        assert all(p.end - p.start >= 64 for p in a[:-1])
+        texts = [[t for b in segments.lines(p) for t in b.column(2).to_pylist()] for p in a]
+        assert [t for piece in texts for t in piece] == rows
+        assert all(sum(len(t.encode()) + 1 for t in piece[:-1]) < 64 for piece in texts)    # one line over the bound at most
+
+
+def test_line_ends_are_those_of_the_lines_asked_for():
+    data = b"a\n\nbc\nd"
+    assert [segments.line_end(data, n) for n in range(5)] == [(0, 0), (2, 1), (3, 2), (6, 3), (6, 3)]
+    assert segments.line_end(b"half", 2) == segments.line_end(b"", 2) == (0, 0)
+
+
+def test_the_segment_query_takes_batches_by_the_cores(spark, tmp_path, monkeypatch):
+    """A core takes 20 000 messages of a batch, so batches are as many as that needs."""
+    from fleetscope.plans import q_ingest, q_stream
+    n = 20_001
+    rows = spark.range(n).selectExpr("id AS event_id", "timestamp_micros(1704067200000000 + id * 1000003) AS ts",
+                                     "id % 7 AS user_id", "'view' AS event_type", "id / 8 AS value", "'{\"k\": \"v\"}' AS props")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    queries = []
+
+    def kept(*a, **kw):
+        queries.append(metrics_to_table(*a, **kw))
+        return queries[-1]
+    metrics_to_table = jobs.metrics_to_table
+    monkeypatch.setattr(jobs, "metrics_to_table", kept)
+    got = q_stream.s1_stream(spark, str(tmp_path))
+    batches = [p.numInputRows for p in queries[0].recentProgress if p.numInputRows]
+    most = 20_000 * spark.sparkContext.defaultParallelism
+    assert sum(batches) == n and max(batches) <= most and len(batches) == -(-n // most)
+    expected = q_ingest.s2(spark, str(tmp_path))
+    assert got.exceptAll(expected).isEmpty() and expected.exceptAll(got).isEmpty() and got.count() > 0
