@@ -87,6 +87,35 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == brute_top(rows, 5, lambda i: i % 10 == 0)
 
 
+@pytest.mark.parametrize("scale", [1.0, 2.0 ** 19])       # scores that floats hold exactly, and larger ones
+def test_top_k_of_long_sparse_and_dense_terms(spark, monkeypatch, scale):
+    import random
+    for name, value in (("CELLS", 900), ("QUERY_CELLS", 60), ("SLICE", 4)):
+        monkeypatch.setattr(topk_search, name, value)
+    pick = random.Random(8)
+    rows = [(i, [pick.gauss(0, scale) if t < 4 or pick.random() < 0.15 else 0.0 for t in range(pick.randrange(0, 18))]) for i in range(200)]
+    v = topk_search.integer_vectors(vectors(spark, [(i, e, "x", "y") for i, e in rows]))
+    got = topk_search.top_k(v.where(F.col("vec_id") % 9 == 0), v, 4).collect()
+    assert sorted(tuple(r) for r in got) == brute_top(rows, 4, lambda i: i % 9 == 0)
+
+
+def test_best_of_many_is_the_first_of_all_in_order():
+    pick = np.random.default_rng(4)
+    for k, kind in ((1, np.int64), (5, np.float64), (7, np.int64)):
+        scores, ids = pick.integers(-40, 40, 5000).astype(kind), pick.permutation(5000)
+        assert topk_search.best(scores, ids, k).tolist() == np.lexsort((ids, -scores))[:k].tolist()
+
+
+def test_query_blocks_are_not_broadcast(spark):
+    """The driver would hold a copy of all query blocks for every candidate block."""
+    pick = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in pick.normal(0, 1, 8)], "x", "y") for i in range(400)]
+    v = topk_search.integer_vectors(vectors(spark, rows))
+    found = topk_search.top_k(v.where(F.col("vec_id") % 10 == 0), v, 5)
+    assert len(found.collect()) == 200
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_top_k_of_few_or_no_rows(spark):
     v = topk_search.integer_vectors(vectors(spark, [(0, [1.0, 2.0], "", ""), (1, [3.0], "", ""), (2, [], "", "")]))
     got = sorted(tuple(r) for r in topk_search.top_k(v.where("vec_id = 0"), v, 5).collect())
