@@ -125,12 +125,15 @@ def _scan(pick, k: int, low: int):
 
 def _search(anchors: DataFrame, blocks: DataFrame, n_blocks: int, n_anchors: int, pick, k: int, low: int = 0) -> DataFrame:
     """Partial lists (anchor_id, slot, vec_id, label, score), k a slot and block:
-    every anchor block meets every candidate block once."""
+    every anchor block meets every candidate block once, in a merge join that
+    holds the candidate block.  A broadcast would have the driver hold a copy of
+    all anchors for every candidate block, of which Spark's estimate knows
+    nothing."""
     deal = F.pmod(F.xxhash64("vec_id"), F.lit(-(-n_anchors // ANCHORS))).alias("block")
     packed = anchors.select(deal, "*").groupBy("block").applyInArrow(_block, BLOCK)
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block")
     sent = packed.select(each, *[F.col(c).alias(f"a_{c}") for c in ("ids", "labels", "limits", "width", "kind", "flat")])
-    return blocks.drop("limits").join(sent, "block").drop("block").mapInArrow(_scan(pick, k, low), FOUND)
+    return sent.hint("merge").join(blocks.drop("limits"), "block").drop("block").mapInArrow(_scan(pick, k, low), FOUND)
 
 
 def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, k: int = 5, low: int = 80) -> DataFrame:
@@ -162,7 +165,9 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, k: i
     result = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long, negative_label long"
     if not n or not m:
         return spark.createDataFrame([], result)
-    n_blocks = max(-(-n // CANDIDATES), min(n // 64 + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # enough blocks for the cluster, as far as the anchors sent to them stay near twice the rows
+    spread = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, 2 * n // m))
+    n_blocks = max(-(-n // CANDIDATES), min(n // 64 + 1, spread))
     deal = F.pmod(F.xxhash64("vec_id", "label", "v"), F.lit(n_blocks)).alias("block")
     blocks = stored(rows.select(deal, "*").groupBy("block").applyInArrow(_block, BLOCK), "blocks")
 
@@ -176,7 +181,7 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, k: i
     asked = pairs.groupBy("anchor_id").agg(limits.alias("own")).select(
         F.col("anchor_id").alias("vec_id"), "own",
         F.slice(F.concat("own", F.array_repeat(F.lit(-1).cast("long"), positives)), 1, positives).alias("limits"))
-    asking = anchors.join(asked.drop("own"), "vec_id")
+    asking = anchors.hint("merge").join(asked.drop("own"), "vec_id")     # vectors are packed on disk, wide in the driver
     kept = top(_search(asking, blocks, n_blocks, m, _negatives, k, low), k)
     lists = kept.groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct(
         "slot", (-F.col("score")).alias("down"), "vec_id", "label"))).alias("merged"))

@@ -222,6 +222,24 @@ def test_negatives_of_odd_rows(spark):
     assert negatives(spark, [], {0}) == [] and negatives(spark, rows, {999}) == []
 
 
+def test_anchor_blocks_are_not_broadcast(spark, monkeypatch):
+    """The driver would hold a copy of all anchors for every candidate block."""
+    plans, search = [], hard_negatives._search
+
+    def seen(*args, **kw):
+        plans.append(search(*args, **kw))
+        return plans[-1]
+    monkeypatch.setattr(hard_negatives, "_search", seen)
+    pick = np.random.default_rng(6)
+    rows = [(i, i % 3, [float(x) for x in pick.normal(0.3, 0.5, 8).astype(np.float32)]) for i in range(300)]
+    kw = {"positives": 5, "k": 5, "low": 80}
+    assert set(negatives(spark, rows, set(range(0, 300, 13)), **kw)) == brute_negatives(rows, set(range(0, 300, 13)), **kw)
+    assert len(plans) == 2
+    for found in plans:
+        found.collect()
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scores_past_the_integers_raise(spark):
     rows = [(i, i % 2, [3e38, 1.0]) for i in range(4)]
     with pytest.raises(Exception, match="64-bit"):
